@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlume.llm.common import fold_of, small_batches
 
@@ -131,7 +132,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "score"])
 
     small_batches(docs.sparkSession)
-    return kept.mapInArrow(rows, kept.schema.add("score", "double"))
+    return kept.mapInArrow(rows, T.StructType([*kept.schema, T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlume.llm.common import fold_of, small_batches
 
@@ -105,7 +106,7 @@ def train(positive: list[str | None], unlabelled: list[str | None], prior: float
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from the training folds' toxic rows and unlabelled text, both bounded."""
     label = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where((fold_of("_id", FOLDS) != HELD_OUT) & F.col("_toxic").isNotNull()).dropDuplicates(["_id"])
-    toxic, known = label.agg(F.count_if("_toxic = 1"), F.count("*")).first()
+    toxic, known = label.agg(F.count_if(F.col("_toxic") == 1), F.count("*")).first()
     rows = docs.select(F.col("doc_id").alias("_id"), "text").where((fold_of("_id", FOLDS) != HELD_OUT) & F.col("text").isNotNull())
     total = rows.count()
     place = F.pmod(F.xxhash64(F.col("_id"), F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
@@ -129,8 +130,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     small_batches(docs.sparkSession)
     kept = docs.drop("score")
-    schema = kept.schema.add("score", "double")
-    return kept.mapInArrow(rows, schema)
+    return kept.mapInArrow(rows, T.StructType([*kept.schema, T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
