@@ -6,10 +6,10 @@ signature for each element and round from a seeded permutation; rounds go on onl
 long documents need one or two.
 
 Documents with equal sets form a class and are represented by its smallest doc_id. Representatives that share
-a band of ROWS slots are candidates. Of each bucket first the pairs with its first and last member are
-verified; after grouping, the pairs of a bucket that still lie in different groups and weren't verified
-follow, so each candidate pair is either verified or already in one group. A pair of exactly the threshold
-shares no band with probability (1 - 0.85^5)^26 = 2.4e-7.
+a band of ROWS slots are candidates. First each bucket's members meet its first one; after grouping, the pairs
+of a bucket that still lie in different groups follow, so each candidate pair is either tested or already in one
+group. Before sets are fetched a pair must pass an exact bound from the sets' bitmaps. A pair of exactly the
+threshold shares no band with probability (1 - 0.85^5)^26 = 2.4e-7.
 
 Null or empty text: empty set, linked with nothing. Null doc_id: kept as a row of its own, never linked.
 Repeated rows have equal sets, and so one class. An empty table gives no rows.
@@ -26,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlume.llm.common import small_batches, stage
+from gridlume.operators.graph import components
 
 SHINGLE, ROWS, BANDS = 5, 5, 26
 SLOTS = ROWS * BANDS
+#: Bits of a set's bitmap.
+BITS = 1024
 #: A link: 100 * shared >= PERCENT * union.
 PERCENT = 85
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -101,19 +104,27 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit for each element, in 64-bit words."""
+    on = np.zeros(BITS, np.uint8)
+    on[((s >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(on).view(np.int64)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit sums that identify the set, and its band keys."""
+    """doc_id, n_shingles, two 64-bit sums that identify the set, its band keys and its bitmap."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column(1)]
             keys = bands(signatures(sets))
             sums = np.array([(mixed(s).sum(dtype=np.uint64), mixed(s ^ _odd[2]).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), lists], ["doc_id", "n_shingles", "sum_a", "sum_b", "bands"])
+            bits = np.concatenate([bitmap(s) for s in sets]) if sets else np.zeros(0, np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * n, pa.int32()), pa.array(x.ravel())) for x, n in ((keys, BANDS), (bits, BITS // 64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), *lists], ["doc_id", "n_shingles", "sum_a", "sum_b", "bands", "bits"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_shingles long, sum_a long, sum_b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_shingles long, sum_a long, sum_b long, bands array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -123,12 +134,20 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["doc_id", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     return texts.mapInArrow(rows, "doc_id long, shingles array<long>")
 
 
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The candidate pairs that are links, by the full sets of the documents they name."""
+    pairs = stage(pairs, "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stage(full_sets(docs, wanted).dropDuplicates(["doc_id"]), "full-sets")
+    return stage(verified(pairs, sets), "confirmed")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold."""
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
@@ -137,62 +156,47 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("shared") >= PERCENT * F.col("union")).select("a", "b")
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """node, root (the smallest id reachable) of every linked node: union-find as alternating large and small stars.
+def bounded(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that can still meet the threshold by their sets' bitmaps. bitmaps: doc, n, bits."""
+    for side in "ab":
+        pairs = pairs.join(bitmaps.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    return pairs.where(possible()).select("a", "b")
 
-    Each round is written to the shared folder; it ends when a round changes no edge.
-    """
-    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-
-    def mark(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-
-    seen = mark(edges)
-    for _ in range(most_rounds):
-        # Large star: every larger neighbour of u points to u's smallest neighbour or itself.
-        both = edges.union(edges.select("v", "u").toDF("u", "v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: u and its smaller neighbours point to the smallest of them.
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        edges = stage(small.where("u <> v").distinct(), "links")
-        if (now := mark(edges)) == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components are not stable after {most_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+def possible():
+    """An exact bound: an element whose bit the other set lacks isn't shared."""
+
+    def only(one: str, other: str):
+        return F.aggregate(F.zip_with(f"bits_{one}", f"bits_{other}", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, k: n + k)
+
+    shared = F.least(F.col("n_a") - only("a", "b"), F.col("n_b") - only("b", "a"))
+    return 100 * shared >= PERCENT * (F.col("n_a") + F.col("n_b") - shared)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document."""
     sketch = stage(sketches(docs), "sketches")
     same = ["n_shingles", "sum_a", "sum_b"]
-    classes = stage(sketch.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "set-classes")
-    keyed = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("doc"), F.col("n_shingles").alias("n"))
-    ends = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("doc", "n")).alias("first"), F.max(F.struct("doc", "n")).alias("last"))
-    buckets = stage(keyed.join(ends.where("members > 1"), "key"), "buckets")
-
-    def near(n, m):
-        # Sets that differ more in size can't meet the threshold.
-        return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
-
-    to_ends = buckets.select("doc", "n", F.explode(F.array("first", "last")).alias("end"))
-    first = stage(to_ends.where((F.col("doc") != F.col("end.doc")) & near(F.col("n"), F.col("end.n"))).select(F.least("doc", "end.doc").alias("a"), F.greatest("doc", "end.doc").alias("b")).distinct(), "end-pairs")
-    sets = stage(full_sets(docs, buckets.select(F.col("doc").alias("doc_id")).distinct()).dropDuplicates(["doc_id"]), "full-sets")
-    links = stage(verified(first, sets), "end-links")
+    classes = stage(sketch.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("doc"), F.min("bands").alias("bands"), F.min("bits").alias("bits")), "set-classes")
+    bitmaps = classes.select("doc", F.col("n_shingles").alias("n"), "bits")
+    keyed = classes.select(F.explode("bands").alias("key"), "doc")
+    firsts = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("key", "first")
+    buckets = stage(keyed.join(firsts, "key"), "buckets")
+
+    first = stage(buckets.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), "first-pairs")
+    groups = components(confirmed(docs, bounded(first, bitmaps)))
+
+    # Pairs in buckets that still hold several groups: of each such pair one lies outside the bucket's largest group.
+    root = F.coalesce("root", "doc").alias("root")
+    grouped = stage(buckets.join(groups, F.col("doc") == F.col("node"), "left").select("key", "doc", root), "grouped-buckets")
+    largest = grouped.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("n", "root")).alias("largest"))
+    rows = stage(grouped.join(largest.where("groups > 1").select("key", "largest"), "key").join(bitmaps, "doc"), "open-buckets")
+    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "root", "n", "bits", "largest"))) for s in "ab")
+    rest = a.where("root_a <> largest_a").join(b, (a["key"] == b["key"]) & (F.col("root_a") != F.col("root_b")) & possible())
+    rest = rest.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    # A group's members with its root stand for the links found so far.
+    links = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(confirmed(docs, rest))
     groups = components(links)
 
-    grouped = buckets.select("key", "doc", "n").join(groups, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", F.coalesce("root", "doc").alias("root"))
-    spread = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    grouped = stage(grouped.join(spread, "key"), "open-buckets")
-    a, b = (grouped.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "root"))) for s in "ab")
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("doc_a") < F.col("doc_b")) & (F.col("root_a") != F.col("root_b")) & near(F.col("n_a"), F.col("n_b")))
-    rest = rest.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = stage(verified(rest, sets), "rest-links")
-    # The groups so far stand for their links: each node's edge to its root.
-    groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-
-    roots = classes.join(groups, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("root", "rep").alias("root"))
-    return sketch.drop("bands").join(roots, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    roots = classes.join(groups, F.col("doc") == F.col("node"), "left").select(*same, root)
+    return sketch.drop("bands", "bits").join(roots, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
