@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlume.llm import chat, fingerprints, mixing, near_dedup, packing, quality, token_counts, toxicity, url_filters
+from gridlume.llm import chat, fingerprints, media, mixing, near_dedup, packing, quality, token_counts, toxicity, url_filters
 from gridlume.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(media.pictures(table(spark, sf_dir, "embeddings")))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))], said.schema)
@@ -52,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_near_dedup, op4_toxicity, op5_token_counts, op6_fingerprints, op7_url_filters, op9_chat, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_near_dedup, op4_toxicity, op5_token_counts, op6_fingerprints, op7_url_filters, op8_media, op9_chat, op10_quality)}
 
 _mixing_sql = r"""
 WITH words AS (
