@@ -58,18 +58,25 @@ class Model:
         return 1 / (1 + np.exp(-max(-30.0, min(30.0, self.bias + sum(self.weights[f] for f in sorted(hits))))))
 
 
-def screened(positive: list[set[str]], unlabelled: list[set[str]]) -> list[str]:
-    """Features whose share among the positive differs from the unlabelled share by more than 4 standard errors."""
-    p, u = Counter(f for d in positive for f in d), Counter(f for d in unlabelled for f in d)
+def screened(positive: list[str], unlabelled: list[str]) -> list[str]:
+    """Features whose share among the positive exceeds the unlabelled share by more than 4 standard errors.
+
+    The texts' features are counted, not kept: of the unlabelled only those that enough positive texts have.
+    """
+    p = Counter()
+    for t in positive:
+        p.update(features_of(words_of(t)))
+    p = {f: k for f, k in p.items() if k >= 4}
+    u = dict.fromkeys(p, 0)
+    for t in unlabelled:
+        for f in features_of(words_of(t)) & p.keys():
+            u[f] += 1
     n, m = len(positive), max(1, len(unlabelled))
     scored = []
     for f, k in p.items():
-        if k >= 4:
-            a, b = k / n, u[f] / m
-            pooled = (k + u[f] + 1) / (n + m + 2)
-            z = (a - b) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m)) if pooled < 1 else 0
-            if z > 4:
-                scored.append((-z, f))
+        pooled = (k + u[f] + 1) / (n + m + 2)
+        if pooled < 1 and (z := (k / n - u[f] / m) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))) > 4:
+            scored.append((-z, f))
     return [f for _, f in sorted(scored)[:MOST_FEATURES]]
 
 
@@ -78,28 +85,31 @@ def train(positive: list[str | None], unlabelled: list[str | None], prior: float
     if not positive:
         return Model({}, float(np.log(prior / (1 - prior))) if 0 < prior < 1 else -30.0)
     # Copies and near copies count once: else all the words of a much-copied toxic document look toxic.
-    positive, unlabelled = ({tuple(sorted(words_of(t), key=len)[-20:]): t for t in sorted(filter(None, x))}.values() for x in (positive, unlabelled))
-    docs = [features_of(words_of(t)) for t in positive], [features_of(words_of(t)) for t in unlabelled]
-    names = screened(*docs)
+    positive, unlabelled = (list({tuple(sorted(words_of(t), key=len)[-20:]): t for t in sorted(filter(None, x))}.values()) for x in (positive, unlabelled))
+    names = screened(positive, unlabelled)
     place = {f: i for i, f in enumerate(names)}
-    x = [np.zeros((len(d), len(names) + 1), np.float32) for d in docs]
-    for rows, d in zip(x, docs, strict=True):
+    x = []
+    for texts in (positive, unlabelled):
+        rows = np.zeros((len(texts), len(names) + 1), np.float32)
         rows[:, -1] = 1
-        for i, found in enumerate(d):
-            rows[i, [place[f] for f in found if f in place]] = 1
-    w = np.zeros(len(names) + 1)
+        for i, t in enumerate(texts):
+            rows[i, [place[f] for f in features_of(words_of(t)) & place.keys()]] = 1
+        x.append(rows)
+    w = np.zeros(len(names) + 1, np.float32)
     w[-1] = np.log(prior / (1 - prior))
-    first, second = np.zeros_like(w), np.zeros_like(w)
+    first, second = np.zeros(len(w)), np.zeros(len(w))
     for step in range(1, steps + 1):
         fp, fu = x[0] @ w, x[1] @ w
         sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
         negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean() if len(fu) else 0.0
-        gain = x[0].T @ (sp - 1) / len(fp) * prior
-        against = (x[1].T @ su / len(fu) if len(fu) else 0) - prior * (x[0].T @ sp) / len(fp)
+        gain = (sp - 1) @ x[0] / len(fp) * prior
+        against = (su @ x[1] / len(fu) if len(fu) else 0) - prior * (sp @ x[0]) / len(fp)
         g = gain + against if negative >= 0 else -against
         g = g + decay * np.append(w[:-1], 0)
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        w = w - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        w = (w - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        # Every screened feature speaks for toxicity: a text without any is no likelier toxic than the prior.
+        w[-1] = min(w[-1], np.log(prior / (1 - prior)))
     return Model({f: float(v) for f, v in zip(names, w[:-1], strict=True) if abs(v) > 1e-3}, float(w[-1]))
 
 
