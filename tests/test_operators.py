@@ -182,7 +182,7 @@ def test_ring_is_a_wall_and_a_line_is_not(spark):
 
 def test_rendered_circle_is_found(spark):
     ring = pixels(spark, lambda x, y: 35 if math.hypot(x - 70, y - 60) <= 30 else 170, 140, 120)
-    got = raster.circles(ring, 24, 36, 200.0, 100, 20.0).orderBy(F.col("votes").desc()).first()
+    got = raster.circles(ring, 24, 36, 200.0, 30, 20.0).orderBy(F.col("votes").desc()).first()
     assert abs(got.x - 70) <= 1 and abs(got.y - 60) <= 1 and abs(got.radius - 30) <= 1
 
 
