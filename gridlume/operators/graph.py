@@ -85,3 +85,16 @@ def lattice_degree(points: DataFrame, pitch: float, width: float, height: float)
     edge = (F.col("x") <= m) | (F.col("y") <= m) | (F.col("x") >= width - m) | (F.col("y") >= height - m)
     out = p.join(degree, "id", "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0).cast("long"))).withColumn("near_edge", edge)
     return out.withColumn("keep", (F.col("neighbours") >= 2) | (F.col("near_edge") & (F.col("neighbours") >= 1)))
+
+
+def grid_filter(points: DataFrame, radius: float) -> DataFrame:
+    """GR-02: points near a line of at least two both in x and in y; an axis without such lines doesn't filter."""
+    from gridlume.operators.ordered import clusters, nearest_centre
+
+    out = points.withColumn("_all", F.lit(1))
+    for axis in ("x", "y"):
+        lines = clusters(points.withColumn("_all", F.lit(1)), "_all", axis, max(6.0, 0.32 * radius), support=2)
+        if not lines.isEmpty():
+            near = nearest_centre(out, lines, "_all", axis)
+            out = near.where(F.abs(F.col(axis) - F.col("centre")) <= max(8.0, 0.38 * radius)).drop("cluster", "centre")
+    return out.drop("_all")

@@ -46,16 +46,20 @@ def clusters(df: DataFrame, key: str, value: str, tolerance: float, support: int
     return out.where(c("support") >= support)
 
 
-def nearest_centre(df: DataFrame, centres: DataFrame, key: str, value: str, row_id: str) -> DataFrame:
-    """WN-06: each row's nearest cluster; ties go to the lowest. A row meets its own image's centres only."""
-    near = df.join(centres, key).groupBy(*df.columns).agg(F.min_by(F.struct("cluster", "centre"), F.struct(F.abs(c(value) - c("centre")), c("cluster"))).alias("_c"))
-    return near.select(*df.columns, "_c.cluster", "_c.centre")
+def nearest_centre(df: DataFrame, centres: DataFrame, key: str, value: str) -> DataFrame:
+    """WN-06: each row's nearest cluster; ties go to the lowest.
+
+    An image's centres are one array, so a row meets them in an expression: no product of rows and centres is made.
+    """
+    lines = centres.groupBy(key).agg(F.collect_list(F.struct("cluster", "centre")).alias("_cs"))
+    best = F.array_min(F.transform("_cs", lambda e: F.struct(F.abs(c(value) - e["centre"]).alias("d"), e["cluster"].alias("cluster"), e["centre"].alias("centre"))))
+    return df.join(lines, key).withColumn("_c", best).select(*df.columns, "_c.cluster", "_c.centre")
 
 
 def array_indices(points: DataFrame, tolerance: float) -> DataFrame:
     """WN-07: row by clusters of y, column by place of x in the row. points (id, x, y)."""
     rows = points.withColumn("_all", F.lit(1))
-    near = nearest_centre(rows, clusters(rows, "_all", "y", tolerance), "_all", "y", "id")
+    near = nearest_centre(rows, clusters(rows, "_all", "y", tolerance), "_all", "y")
     out = numbered(near, ["cluster"], ["x", "id"], "col_index").withColumnRenamed("cluster", "row_index")
     return out.select("id", "row_index", "col_index", F.concat(F.lit("R"), padded(c("row_index"), 4), F.lit("_C"), padded(c("col_index"), 3)).alias("array_key"))
 

@@ -9,7 +9,6 @@ from gridlume.operators import graph, raster as R
 from gridlume.operators import spatial as G
 from gridlume.operators import summaries as A
 from gridlume.operators.lineage import stage
-from gridlume.operators.ordered import clusters, nearest_centre
 from gridlume.plans.registry import query
 from gridlume.plans.table_queries import EDGES, MATCH, MATRIX, PCA, matches, pts, r6
 from gridlume.plans.views import Tables
@@ -33,7 +32,7 @@ def gr_01(t: Tables) -> DataFrame:
 
 
 def line_fold(name: str, value: str) -> str:
-    step = f"abs(v.x - s / n) <= 8"
+    step = "abs(v.x - s / n) <= 8"
     return f"""v{name} AS (SELECT CAST({value} AS DOUBLE) AS x, row_number() OVER (ORDER BY {value}) AS i FROM v_points),
 f{name} AS (SELECT i, x, 1 AS k, x AS s, 1 AS n FROM v{name} WHERE i = 1 UNION ALL SELECT v.i, v.x, CASE WHEN {step} THEN k ELSE k + 1 END, CASE WHEN {step} THEN s + v.x ELSE v.x END, CASE WHEN {step} THEN n + 1 ELSE 1 END FROM f{name} f JOIN v{name} v ON v.i = f.i + 1),
 c{name} AS (SELECT k, avg(x) AS centre FROM f{name} GROUP BY 1 HAVING count(*) >= 2)"""
@@ -41,18 +40,7 @@ c{name} AS (SELECT k, avg(x) AS centre FROM f{name} GROUP BY 1 HAVING count(*) >
 
 @query("gr_02", f"WITH {line_fold('x', 'x_px')}, {line_fold('y', 'y_px')} SELECT well_id FROM v_points p WHERE (SELECT min(abs(p.x_px - centre)) FROM cx) <= CAST(9.5 AS DOUBLE) AND (SELECT min(abs(p.y_px - centre)) FROM cy) <= CAST(9.5 AS DOUBLE)", "v_points", recursive=True)
 def gr_02(t: Tables) -> DataFrame:
-    return A_grid_filter(pts(t.points), 25.0).select(c("id").alias("well_id"))
-
-
-def A_grid_filter(points: DataFrame, radius: float) -> DataFrame:
-    out = points.withColumn("_all", F.lit(1))
-    for axis in ("x", "y"):
-        lines = clusters(points.withColumn("_all", F.lit(1)), "_all", axis, max(6.0, 0.32 * radius), support=2)
-        if lines.isEmpty():
-            continue
-        near = nearest_centre(out, lines, "_all", axis, "id")
-        out = near.where(F.abs(c(axis) - c("centre")) <= max(8.0, 0.38 * radius)).drop("cluster", "centre")
-    return out.drop("_all")
+    return graph.grid_filter(pts(t.points), 25.0).select(c("id").alias("well_id"))
 
 
 @query("gr_03", f"""WITH {EDGES}, d AS (SELECT id, count(*) AS n FROM (SELECT a_id AS id FROM edges UNION ALL SELECT b_id FROM edges) GROUP BY 1),
@@ -357,7 +345,7 @@ def rs_14(t: Tables) -> DataFrame:
 s AS (SELECT a, 30.6::DOUBLE + 54.4::DOUBLE * k / 99 AS radius, a * 2 * pi() / 72 AS angle FROM range(0, 72) AS x(a), range(0, 100) AS y(k)),
 g AS (SELECT dic.image_id, a, round(radius / 68, 9) AS share, v FROM s JOIN dic ON dic.x = CAST(round_even(round(110 + radius * cos(angle), 6), 0) AS BIGINT) AND dic.y = CAST(round_even(round(110 + radius * sin(angle), 6), 0) AS BIGINT)),
 ray AS (SELECT image_id, a, quantile_cont(v, 0.5) FILTER (share BETWEEN CAST(0.45 AS DOUBLE) AND CAST(0.65 AS DOUBLE)) AS i, quantile_cont(v, 0.5) FILTER (share BETWEEN CAST(1.12 AS DOUBLE) AND CAST(1.25 AS DOUBLE)) AS o, min(v) FILTER (share BETWEEN CAST(0.72 AS DOUBLE) AND CAST(1.10 AS DOUBLE)) AS w FROM g GROUP BY ALL)
-SELECT ray.image_id, 1 AS well_id, round(quantile_cont(((i + o) / 2 - w) / greatest(p90 - p10, 1), 0.5), 5) AS score FROM ray JOIN sp USING (image_id) GROUP BY 1""", "v_pixels")
+SELECT ray.image_id, CAST(1 AS BIGINT) AS well_id, round(quantile_cont(((i + o) / 2 - w) / greatest(p90 - p10, 1), 0.5), 5) AS score FROM ray JOIN sp USING (image_id) GROUP BY 1""", "v_pixels")
 def rs_15(t: Tables) -> DataFrame:
     return R.wall_evidence(rendered(t), ring_wells(t)).withColumn("score", F.round("score", 5))
 

@@ -167,11 +167,11 @@ s AS (SELECT midpoint, hill, count(*) AS n, sum(f) AS sf, sum(y) AS sy, sum(f *
 b AS (SELECT *, CASE WHEN abs(n * sff - sf * sf) > 1e-12 THEN (n * sfy - sf * sy) / (n * sff - sf * sf) ELSE 0 END AS slope FROM s),
 q AS (SELECT *, (sy - slope * sf) / n AS bottom FROM b),
 z AS (SELECT midpoint, hill, bottom, bottom + slope AS top, round(syy - bottom * sy - slope * sfy, 9) AS sse FROM q)
-SELECT midpoint, hill, round(bottom, 6) AS bottom, round(top, 6) AS top, round(sse, 6) AS sse, CAST(NULL AS VARCHAR) AS fit_error FROM z ORDER BY z.sse, midpoint, hill LIMIT 1""", "v_tracking")
+SELECT midpoint, hill, round(bottom, 2) AS bottom, round(top, 2) AS top, round(sse, 4) AS sse, CAST(NULL AS VARCHAR) AS fit_error FROM z ORDER BY z.sse, midpoint, hill LIMIT 1""", "v_tracking")
 def ag_27(t: Tables) -> DataFrame:
     doses = R.quartiles(R.final_rows(metrics(t)).where("concentration IS NOT NULL"), ["concentration"], "relative_area")
     fit = R.dose_grid_fit(doses.select(F.col("concentration").alias("dose"), F.round("median", 9).alias("response")), [1, 3, 10, 30, 100, 300, 1000, 3000], [0.05, 0.5, 1, 2, 4, 10])
-    return rounded(fit, "bottom", "top", "sse")
+    return fit.withColumns({"bottom": F.round("bottom", 2), "top": F.round("top", 2), "sse": F.round("sse", 4)})
 
 
 @query("wn_08", METRICS + "SELECT condition, key AS well_index, round(percent_change, 6) AS percent_change, row_number() OVER (PARTITION BY condition ORDER BY percent_change, key) AS waterfall_rank FROM final WHERE percent_change IS NOT NULL", "v_tracking")

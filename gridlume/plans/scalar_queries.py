@@ -184,7 +184,7 @@ def fn_26(t: Tables) -> DataFrame:
     return t.table("part").select("p_partkey", b.alias("bytes"), r6(b / 1048576.0, "mib"), (b > 1 << 30).alias("large"))
 
 
-@query("fn_27", "SELECT count_if(total_area_um2 < 0) AS negative_areas, count_if(foci_analysed AND focus_count IS NULL) AS foci_missing, count_if(NOT foci_analysed AND focus_count IS NOT NULL) AS foci_unasked FROM v_tracking", "v_tracking")
+@query("fn_27", "SELECT count(*) FILTER (WHERE total_area_um2 < 0) AS negative_areas, count(*) FILTER (WHERE foci_analysed AND focus_count IS NULL) AS foci_missing, count(*) FILTER (WHERE NOT foci_analysed AND focus_count IS NOT NULL) AS foci_unasked FROM v_tracking", "v_tracking")
 def fn_27(t: Tables) -> DataFrame:
     foci = c("focus_count")
     return t.tracking.agg(F.count_if(c("total_area_um2") < 0).alias("negative_areas"), F.count_if(c("foci_analysed") & foci.isNull()).alias("foci_missing"), F.count_if(~c("foci_analysed") & foci.isNotNull()).alias("foci_unasked"))
@@ -196,7 +196,7 @@ def fn_28(t: Tables) -> DataFrame:
     return t.table("documents").select("doc_id", S.truthy(F.when(k == 0, "True ").when(k == 1, "1").when(k == 2, c("lang"))).alias("flag"))
 
 
-@query("fn_29", "SELECT count(*) AS cells, count_if(trim(uri) <> '') AS filled FROM (SELECT CASE WHEN page_id % 3 = 0 THEN '  ' ELSE url END AS uri FROM pages)")
+@query("fn_29", "SELECT count(*) AS cells, count(*) FILTER (WHERE trim(uri) <> '') AS filled FROM (SELECT CASE WHEN page_id % 3 = 0 THEN '  ' ELSE url END AS uri FROM pages)")
 def fn_29(t: Tables) -> DataFrame:
     uri = F.when(c("page_id") % 3 == 0, F.lit("  ")).otherwise(c("url"))
     return t.table("pages").agg(F.count("*").alias("cells"), F.count_if(F.trim(uri) != "").alias("filled"))
@@ -263,7 +263,7 @@ def src_07(t: Tables) -> DataFrame:
 LONG = "WITH p AS (SELECT image_id, x, y, v AS c0, (v * 3 + x) % 256 AS c1 FROM v_pixels) "
 
 
-@query("src_08", LONG + "SELECT image_id, x, y, c0 AS r, c1 AS g, 0 AS b FROM p", "v_pixels")
+@query("src_08", LONG + "SELECT image_id, x, y, c0 AS r, c1 AS g, CAST(0 AS BIGINT) AS b FROM p", "v_pixels")
 def src_08(t: Tables) -> DataFrame:
     return IO.compose_rgb(IO.long_channels(t.pixels), (0, 1, -1))
 

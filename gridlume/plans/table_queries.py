@@ -187,7 +187,7 @@ def jn_21(t: Tables) -> DataFrame:
 # ---- aggregations
 
 
-@query("ag_01", "SELECT image_series, timepoint_index, count(*) AS wells, count_if(object_count > 0) AS object_wells, CAST(sum(object_count) AS BIGINT) AS objects, CAST(sum(focus_count) AS BIGINT) AS foci, 0.65::DOUBLE AS um_per_pixel FROM v_tracking GROUP BY ALL", "v_tracking")
+@query("ag_01", "SELECT image_series, timepoint_index, count(*) AS wells, count(*) FILTER (WHERE object_count > 0) AS object_wells, CAST(sum(object_count) AS BIGINT) AS objects, CAST(sum(focus_count) AS BIGINT) AS foci, 0.65::DOUBLE AS um_per_pixel FROM v_tracking GROUP BY ALL", "v_tracking")
 def ag_01(t: Tables) -> DataFrame:
     return A.image_summary(t.tracking.withColumn("um_per_pixel", P(0.65)), ["image_series", "timepoint_index"]).withColumn("um_per_pixel", F.round("um_per_pixel", 6))
 
@@ -225,7 +225,7 @@ def ag_05(t: Tables) -> DataFrame:
     return A.roll_up(wells, objects, "well_id").select("well_id", r6("mean_diameter_um", "mean_diameter_um"), r6("max_diameter_um", "max_diameter_um"), r6("total_area_um2", "total_area_um2"))
 
 
-@query("ag_06", "SELECT condition, timepoint, count(*) AS wells, round(100.0::DOUBLE * count_if(object_count > 2) / count(*), 6) AS occupancy_percent, round(avg(focus_count) FILTER (object_count > 2), 6) AS mean_foci FROM v_tracking GROUP BY ALL", "v_tracking")
+@query("ag_06", "SELECT condition, timepoint, count(*) AS wells, round(100.0::DOUBLE * count(*) FILTER (WHERE object_count > 2) / count(*), 6) AS occupancy_percent, round(avg(focus_count) FILTER (object_count > 2), 6) AS mean_foci FROM v_tracking GROUP BY ALL", "v_tracking")
 def ag_06(t: Tables) -> DataFrame:
     out = A.condition_summary(t.tracking.withColumn("object_count", c("object_count") - 2), ["condition", "timepoint"])
     return out.withColumns({k: F.round(k, 6) for k in ("occupancy_percent", "mean_foci")})
@@ -240,7 +240,7 @@ def assessed(t: Tables) -> DataFrame:
 
 
 @query("ag_07", f"""WITH s AS (SELECT well_id % 10 AS image_id, well_id, {STATUS} AS st, wall_score <= CAST(0.337 AS DOUBLE) AS bad FROM v_candidates)
-SELECT image_id, well_id, CAST(CASE WHEN image_id IS NULL THEN 3 WHEN well_id IS NULL THEN 1 ELSE 0 END AS BIGINT) AS level, count_if(st = 'accepted') AS accepted, count_if(st = 'ambiguous') AS ambiguous, count_if(st = 'outside_well') AS outside_well, count(DISTINCT CASE WHEN bad THEN well_id END) AS false_wells
+SELECT image_id, well_id, CAST(CASE WHEN image_id IS NULL THEN 3 WHEN well_id IS NULL THEN 1 ELSE 0 END AS BIGINT) AS level, count(*) FILTER (WHERE st = 'accepted') AS accepted, count(*) FILTER (WHERE st = 'ambiguous') AS ambiguous, count(*) FILTER (WHERE st = 'outside_well') AS outside_well, count(DISTINCT CASE WHEN bad THEN well_id END) AS false_wells
 FROM s GROUP BY GROUPING SETS ((), (image_id), (image_id, well_id))""".replace("count(DISTINCT CASE WHEN bad THEN well_id END)", "count(DISTINCT CASE WHEN bad THEN wid END)").replace("well_id, CASE", "well_id, well_id AS wid, CASE", 1), "v_candidates")
 def ag_07(t: Tables) -> DataFrame:
     rows = assessed(t).withColumns({"image_id": c("well_id") % 10, "false_well": c("wall_score") <= 0.337, "wid": c("well_id")})
@@ -254,8 +254,8 @@ def ag_14(t: Tables) -> DataFrame:
 
 
 @query("ag_15", """WITH s AS (SELECT wall_score AS v, wall_fraction >= CAST(0.2 AS DOUBLE) AS truth FROM v_candidates), e AS (SELECT min(v) FILTER (truth) AS true_low, max(v) FILTER (NOT truth) AS false_high FROM s)
-SELECT true_low, false_high, round((true_low + false_high) / 2, 6) AS cut, true_low > false_high AS separable, count_if(v >= (true_low + false_high) / 2 AND truth) AS true_pass, count_if(v < (true_low + false_high) / 2 AND truth) AS true_reject,
-count_if(v >= (true_low + false_high) / 2 AND NOT truth) AS false_pass, count_if(v < (true_low + false_high) / 2 AND NOT truth) AS false_reject FROM s, e GROUP BY true_low, false_high""", "v_candidates")
+SELECT true_low, false_high, round((true_low + false_high) / 2, 6) AS cut, true_low > false_high AS separable, count(*) FILTER (WHERE v >= (true_low + false_high) / 2 AND truth) AS true_pass, count(*) FILTER (WHERE v < (true_low + false_high) / 2 AND truth) AS true_reject,
+count(*) FILTER (WHERE v >= (true_low + false_high) / 2 AND NOT truth) AS false_pass, count(*) FILTER (WHERE v < (true_low + false_high) / 2 AND NOT truth) AS false_reject FROM s, e GROUP BY true_low, false_high""", "v_candidates")
 def ag_15(t: Tables) -> DataFrame:
     return A.cut_off(t.candidates.select("wall_score", (c("wall_fraction") >= 0.2).alias("truth")), "wall_score", "truth").withColumn("cut", F.round("cut", 6))
 
@@ -290,20 +290,20 @@ def ag_20(t: Tables) -> DataFrame:
     return A.hex_angle(G.annulus_edges(pts(t.points), 60.0)).withColumn("angle", F.round("angle", 6))
 
 
-@query("ag_23", "WITH w AS (SELECT well_id, count(o.object_id) AS n FROM v_points LEFT JOIN v_object_points o ON o.object_id % 3000 = well_id GROUP BY 1) SELECT count(*) AS wells, count_if(n > 0) AS positive, count_if(n = 0) AS negative, count_if(n > 1) AS multiple, round(count_if(n > 0) / count(*)::DOUBLE, 6) AS positive_share, round(avg(n), 6) AS mean_objects, quantile_cont(n, 0.5)::DOUBLE AS median_objects FROM w", "v_points", "v_object_points")
+@query("ag_23", "WITH w AS (SELECT well_id, count(o.object_id) AS n FROM v_points LEFT JOIN v_object_points o ON o.object_id % 3000 = well_id GROUP BY 1) SELECT count(*) AS wells, count(*) FILTER (WHERE n > 0) AS positive, count(*) FILTER (WHERE n = 0) AS negative, count(*) FILTER (WHERE n > 1) AS multiple, round(count(*) FILTER (WHERE n > 0) / count(*)::DOUBLE, 6) AS positive_share, round(avg(n), 6) AS mean_objects, quantile_cont(n, 0.5)::DOUBLE AS median_objects FROM w", "v_points", "v_object_points")
 def ag_23(t: Tables) -> DataFrame:
     o = t.object_points.select((c("object_id") % 3000).alias("well_id"), "object_id")
     wells = t.points.join(o, "well_id", "left").groupBy("well_id").agg(F.count("object_id").alias("object_count"))
     return A.final_summary(wells).withColumns({k: F.round(k, 6) for k in ("positive_share", "mean_objects")})
 
 
-@query("ag_26", "WITH s AS (SELECT CASE page_id % 7 WHEN 0 THEN 'error' WHEN 1 THEN 'partial' ELSE 'complete' END AS status FROM pages) SELECT count_if(status = 'complete') AS complete, count_if(status = 'partial') AS partial, count_if(status = 'error') AS error, bool_and(status = 'complete') AS all_complete FROM s")
+@query("ag_26", "WITH s AS (SELECT CASE page_id % 7 WHEN 0 THEN 'error' WHEN 1 THEN 'partial' ELSE 'complete' END AS status FROM pages) SELECT count(*) FILTER (WHERE status = 'complete') AS complete, count(*) FILTER (WHERE status = 'partial') AS partial, count(*) FILTER (WHERE status = 'error') AS error, bool_and(status = 'complete') AS all_complete FROM s")
 def ag_26(t: Tables) -> DataFrame:
     k = c("page_id") % 7
     return A.run_status(t.table("pages").select(F.when(k == 0, "error").when(k == 1, "partial").otherwise("complete").alias("status")))
 
 
-@query("ag_29", "SELECT timepoint_index, round(avg(0.5::DOUBLE + image_series / 100.0::DOUBLE), 6) AS um_per_pixel, count_if(object_count > 3) AS accepted_fields, CAST(sum(object_count) AS BIGINT) AS matched_wells FROM v_tracking GROUP BY 1", "v_tracking")
+@query("ag_29", "SELECT timepoint_index, round(avg(0.5::DOUBLE + image_series / 100.0::DOUBLE), 6) AS um_per_pixel, count(*) FILTER (WHERE object_count > 3) AS accepted_fields, CAST(sum(object_count) AS BIGINT) AS matched_wells FROM v_tracking GROUP BY 1", "v_tracking")
 def ag_29(t: Tables) -> DataFrame:
     f = t.tracking.select("timepoint_index", (0.5 + c("image_series") / 100.0).alias("um_per_pixel"), (c("object_count") > 3).alias("accepted"), c("object_count").alias("matched"))
     return A.calibration_audit(f).withColumn("um_per_pixel", F.round("um_per_pixel", 6))
@@ -327,7 +327,7 @@ def wn_04(t: Tables) -> DataFrame:
 
 
 FOLD = """WITH RECURSIVE v AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY x) AS i FROM (SELECT {key} AS g, CAST({value} AS DOUBLE) AS x FROM v_points)),
-f AS (SELECT g, i, x, 1 AS k, x AS s, 1 AS n FROM v WHERE i = 1
+f AS (SELECT g, i, x, CAST(1 AS BIGINT) AS k, x AS s, 1 AS n FROM v WHERE i = 1
 UNION ALL SELECT v.g, v.i, v.x, CASE WHEN abs(v.x - s / n) <= {tol} THEN k ELSE k + 1 END, CASE WHEN abs(v.x - s / n) <= {tol} THEN s + v.x ELSE v.x END, CASE WHEN abs(v.x - s / n) <= {tol} THEN n + 1 ELSE 1 END FROM f JOIN v ON v.g = f.g AND v.i = f.i + 1),
 cl AS (SELECT g, k, avg(x) AS centre, count(*) AS support FROM f GROUP BY ALL)"""
 
@@ -345,7 +345,7 @@ def wn_05(t: Tables) -> DataFrame:
 @query("wn_06", folded("well_id % 4", "y_px", 12) + ", n AS (SELECT well_id, k, row_number() OVER (PARTITION BY well_id ORDER BY abs(y_px - centre), k) AS o FROM v_points p JOIN cl ON cl.g = p.well_id % 4) SELECT well_id, k AS grid_row FROM n WHERE o = 1", "v_points", recursive=True)
 def wn_06(t: Tables) -> DataFrame:
     p = t.points.select("well_id", (c("well_id") % 4).alias("image_id"), c("y_px").cast("double").alias("v"))
-    return nearest_centre(p, clusters(p, "image_id", "v", 12.0), "image_id", "v", "well_id").select("well_id", c("cluster").alias("grid_row"))
+    return nearest_centre(p, clusters(p, "image_id", "v", 12.0), "image_id", "v").select("well_id", c("cluster").alias("grid_row"))
 
 
 @query("wn_07", folded("1", "y_px", 20) + ", n AS (SELECT well_id, x_px, k, row_number() OVER (PARTITION BY well_id ORDER BY abs(y_px - centre), k) AS o FROM v_points, cl), r AS (SELECT well_id, k AS row_index, row_number() OVER (PARTITION BY k ORDER BY x_px, well_id) AS col_index FROM n WHERE o = 1) SELECT well_id, row_index, col_index, 'R' || lpad(row_index::VARCHAR, 4, '0') || '_C' || lpad(col_index::VARCHAR, 3, '0') AS array_key FROM r", "v_points", recursive=True)
