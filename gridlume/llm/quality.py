@@ -25,7 +25,7 @@ from gridlume.llm.common import fold_of, small_batches
 
 MOST_LABELLED, DIMENSIONS, NEIGHBOURS = 4096, 64, 15
 FOLDS, HELD_OUT = 3, 1
-TERMS, REPEATS = 4096, 8
+TERMS, REPEATS, BLOCK = 4096, 8, 256
 
 
 def shape_codes() -> np.ndarray:
@@ -65,33 +65,46 @@ def terms(text: str | None) -> np.ndarray:
 
 
 class Model:
-    """rarity: weight of each term; basis: terms by DIMENSIONS; vectors, labels: the sample."""
+    """rarity: weight of each term; basis: terms by DIMENSIONS; vectors, labels: the sample.
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray):
-        present = (counts > 0).sum(axis=0)
+    The sample's counts are kept by their non-zero places and made dense BLOCK texts at a time.
+    """
+
+    def __init__(self, counts: list[np.ndarray], labels: np.ndarray):
+        """counts: for each text an array of two rows, places and counts."""
+        present = np.bincount(np.concatenate([c[0] for c in counts]), minlength=TERMS)
         self.rarity = np.log((1 + len(counts)) / (1 + present)).astype(np.float32) + 1
-        x = self.weighted(counts)
         rng = np.random.default_rng(10)
-        k = min(DIMENSIONS, *x.shape)
+        k = min(DIMENSIONS, len(counts))
         # Randomised singular vectors, three power rounds.
-        y = x.T @ (x @ rng.standard_normal((x.shape[1], min(k + 16, x.shape[0])), np.float32))
-        for _ in range(3):
-            y = x.T @ (x @ np.linalg.qr(y)[0])
+        y = rng.standard_normal((TERMS, min(k + 16, len(counts))), np.float32)
+        for turn in range(4):
+            q = np.linalg.qr(y)[0] if turn else y
+            y = sum(x.T @ (x @ q) for x in self.blocks(counts))
         q = np.linalg.qr(y)[0]
-        self.basis = (q @ np.linalg.svd(x @ q, full_matrices=False)[2].T[:, :k]).astype(np.float32)
-        self.vectors, self.labels, self.mean = self.projected(counts), labels.astype(np.float32), float(labels.mean())
+        z = np.concatenate([x @ q for x in self.blocks(counts)])
+        self.basis = (q @ np.linalg.svd(z, full_matrices=False)[2].T[:, :k]).astype(np.float32)
+        self.vectors = np.concatenate([self.unit(x @ self.basis) for x in self.blocks(counts)])
+        self.labels, self.mean = labels.astype(np.float32), float(labels.mean())
+
+    def blocks(self, counts: list[np.ndarray]) -> Iterator[np.ndarray]:
+        for at in range(0, len(counts), BLOCK):
+            some = counts[at : at + BLOCK]
+            dense = np.zeros((len(some), TERMS), np.float32)
+            for row, c in zip(dense, some, strict=True):
+                row[c[0]] = c[1]
+            yield self.weighted(dense)
 
     def weighted(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.rarity
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        return self.unit(np.log1p(counts) * self.rarity)
 
-    def projected(self, counts: np.ndarray) -> np.ndarray:
-        v = self.weighted(counts) @ self.basis
+    @staticmethod
+    def unit(v: np.ndarray) -> np.ndarray:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def vote(self, texts: list[str | None]) -> np.ndarray:
         """Scores of a block of texts."""
-        v = self.projected(np.stack([terms(t) for t in texts]))
+        v = self.unit(self.weighted(np.stack([terms(t) for t in texts])) @ self.basis)
         near = v @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
@@ -108,7 +121,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [terms(t.as_py()).astype("<u4").tobytes() for t in batch.column(0)]
+            counts = [np.stack([np.flatnonzero(c), c[c > 0]]).astype("<u4").tobytes() for c in (terms(t.as_py()) for t in batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()), batch.column(1)], ["counts", "label"])
 
     small_batches(docs.sparkSession)
@@ -116,7 +129,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not found:
         return None
     found.sort(key=lambda r: bytes(r[0]))  # the model doesn't depend on the order of arrival
-    return Model(np.stack([np.frombuffer(r[0], "<u4") for r in found]).astype(np.float32), np.array([r[1] for r in found]))
+    return Model([np.frombuffer(r[0], "<u4").reshape(2, -1) for r in found], np.array([r[1] for r in found]))
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
