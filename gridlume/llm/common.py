@@ -1,14 +1,12 @@
-"""Shared helpers: reading tables, cutting lineage in the shared folder, bounded Arrow batches."""
+"""Shared helpers: reading tables, bounded Arrow batches, folds of keys."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlume.operators.lineage import stage  # noqa: F401  the operators of this subpackage take it from here
+
 #: Bytes that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,25 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Rows in an Arrow batch: long texts then keep a Python worker's memory bounded."""
+def small_batches(spark: SparkSession, rows: int = 256, mb: int = 32) -> None:
+    """Rows and size of an Arrow batch: long texts then keep a Python worker's memory bounded."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return os.path.dirname(context.getCheckpointDir().rstrip("/"))
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: it is computed once and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
 
 
 def fold_of(key: str, folds: int):
