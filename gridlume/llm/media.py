@@ -3,18 +3,20 @@
 Corners are local maxima of the Harris response at several scales. Around each the intensity centroid gives the
 orientation, and 128 seeded comparisons of smoothed grey levels, turned to it, give the descriptor. Six Hamming
 tables, each of two of the descriptor's four words, are joined on equality, so descriptors that differ in up to two
-bits (or in one or two words) meet: each bucket's descriptors meet its first one. Matches vote for the change of
-scale, angle and place between two images; a pair with CONSENSUS keypoints in one cell of votes is a link, and
-links make classes by union-find.
+bits (or in one or two words) meet: each bucket's descriptors meet its first image's, and then, where a bucket still
+holds several classes, those of the other classes. Matches vote for the change of scale, angle and place between two
+images; a pair with CONSENSUS keypoints in one cell of votes is a link, and links make classes by union-find, the
+same as if all pairs of images were compared. n_links follows from the class, so every copy of a picture has it.
 
 Images are grey, row by row, in a binary column with width. A null, empty or misshapen image has no keypoints and is a
-class of its own; so is a null media_id, which is never linked. Rows that repeat a media_id count once in links. An
+class of its own; so is a null media_id, which is never linked. Rows that repeat a media_id count once. An
 empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import combinations
 from math import log, pi
 
@@ -103,7 +105,7 @@ def keypoints(stack: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def described(media: DataFrame) -> DataFrame:
-    """media_id, y, x, scale (log), angle (step) and words of each keypoint."""
+    """media_id, picture (a digest of shape and pixels), y, x, scale (log), angle (step) and words of each keypoint."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,11 +118,12 @@ def described(media: DataFrame) -> DataFrame:
                 image, y, x, scale, angle, words = keypoints(stack)
                 ids = np.array([k for k, _ in same], np.int64)[image.astype(int)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * 4, pa.int32()), pa.array(words.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.asarray(c, float)) for c in (y, x, scale)), pa.array(np.asarray(angle, np.int32)), lists], ["media_id", "y", "x", "scale", "angle", "words"])
+                seen = [sha256(b"%d:%b" % (shape[1], i)).digest() for _, i in same]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([seen[i] for i in image.astype(int)], pa.binary()), *(pa.array(np.asarray(c, float)) for c in (y, x, scale)), pa.array(np.asarray(angle, np.int32)), lists], ["media_id", "picture", "y", "x", "scale", "angle", "words"])
 
     small_batches(media.sparkSession)
     known = media.where("media_id IS NOT NULL").select(F.col("media_id").cast("long").alias("media_id"), F.col("width").cast("int").alias("width"), "image")
-    return known.mapInArrow(rows, "media_id long, y double, x double, scale double, angle int, words array<long>")
+    return known.mapInArrow(rows, "media_id long, picture binary, y double, x double, scale double, angle int, words array<long>")
 
 
 def vote_cell(shift: float) -> list[Column]:
@@ -131,30 +134,55 @@ def vote_cell(shift: float) -> list[Column]:
     return [cell(F.col("scale_b") - F.col("scale_a"), 0.35).alias("s"), F.floor(turn / 4).cast("int").alias("t"), cell(F.col("x_b") - F.col("x_a") * ratio, 4.0).alias("dx"), cell(F.col("y_b") - F.col("y_a") * ratio, 4.0).alias("dy")]
 
 
+def agreed(match: DataFrame) -> DataFrame:
+    """Pairs (a, b) of images with enough keypoints that agree on one change. match: a, b and the places of a keypoint of each that share words."""
+    places = [c for c in match.columns if c not in "ab"]
+    sets = match.groupBy("a", "b").agg(F.collect_set(F.struct(*places)).alias("m")).where(F.size("m") >= CONSENSUS)
+    votes = sets.select("a", "b", F.inline("m")).select("a", "b", "y_a", "x_a", F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), *vote_cell(i / 2)) for i in (0, 1)])).alias("cell"))
+    return votes.groupBy("a", "b", "cell").agg(F.count_distinct("y_a", "x_a").alias("n")).where(F.col("n") >= CONSENSUS).select("a", "b").distinct()
+
+
 def linked_images(points: DataFrame) -> DataFrame:
-    """Pairs (a, b) of images, a the smaller id, with enough keypoints that agree on one change."""
+    """Links (a, b) with the same components as all pairs of images that have enough keypoints in agreement."""
     tables = F.array(*[F.struct(F.lit(i).alias("table"), F.col("words")[p].alias("u"), F.col("words")[q].alias("v")) for i, (p, q) in enumerate(combinations(range(4), 2))])
-    keyed = points.distinct().select("*", F.inline(tables)).drop("words")
-    key = ["table", "u", "v"]
     columns = ["media_id", "y", "x", "scale", "angle"]
+    keyed = points.select("media_id", *[F.col(k).cast("float") for k in ("y", "x", "scale")], "angle", F.inline(tables)).distinct()
+    key = ["table", "u", "v"]
     ends = keyed.groupBy(*key).agg(F.min("media_id").alias("first"), F.max("media_id").alias("last")).where("first <> last").drop("last")
-    shared = stage(keyed.join(ends, key), "shared-words")
-    firsts = shared.where("media_id = first").groupBy(*key).agg(F.min(F.struct(*columns)).alias("f"))
-    met = shared.where("media_id <> first").join(firsts, key)
-    match = met.select(*[F.col(f"f.{k}").alias(f"{'a' if k == 'media_id' else k + '_a'}") for k in columns], *[F.col(k).alias(f"{'b' if k == 'media_id' else k + '_b'}") for k in columns]).distinct()
-    votes = match.select("a", "b", "y_a", "x_a", F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), *vote_cell(i / 2)) for i in (0, 1)])).alias("cell"))
-    agreed = votes.groupBy("a", "b", "cell").agg(F.count_distinct("y_a", "x_a").alias("n")).where(F.col("n") >= CONSENSUS)
-    return agreed.select("a", "b").distinct()
+    shared = stage(keyed.join(ends, key).select(F.xxhash64(*key).alias("key"), "first", *columns), "shared-words")
+
+    def named(rows: DataFrame, side: str, *more: str) -> DataFrame:
+        return rows.select("key", *[F.col(k).alias(side if k == "media_id" else f"{k}_{side}") for k in (*columns, *more)])
+
+    match = named(shared.where("media_id = first"), "a").join(named(shared.where("media_id <> first"), "b"), "key")
+    groups = components(stage(agreed(match.drop("key")), "image-links"))
+
+    # Images of different groups meet only in buckets with several groups: there one of each pair lies outside the largest group.
+    root = F.coalesce("root", "media_id").alias("root")
+    grouped = stage(shared.join(groups, F.col("media_id") == F.col("node"), "left").select("key", *columns, root), "grouped-words")
+    largest = grouped.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("n", "root")).alias("largest"))
+    rows = stage(grouped.join(largest.where("groups > 1").select("key", "largest"), "key"), "open-words")
+    a, b = (named(rows, side, "root", "largest") for side in "ab")
+    # Both sides of a pair are taken in the order of the ids, so that its matches in all buckets vote together.
+    rest = a.where("root_a <> largest_a").join(b, "key").where("root_a <> root_b and (a < b or root_b = largest_b)")
+    pair = [F.when(F.col("a") < F.col("b"), F.col(f"{k}_{s}" if k else s)).otherwise(F.col(f"{k}_{o}" if k else o)).alias(f"{k}_{s}" if k else s) for s, o in ("ab", "ba") for k in ("", *columns[1:])]
+    links = agreed(rest.select(*pair))
+    # A group's members with its root stand for the links found so far.
+    return groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)
 
 
 def copies(media: DataFrame) -> DataFrame:
-    """media_id, class_id (smallest media_id of its copies), n_links: one row for each row of media."""
-    links = stage(linked_images(stage(described(media), "keypoints")), "image-links")
-    groups = components(links)
-    n = links.select(F.explode(F.array("a", "b")).alias("media_id")).groupBy("media_id").agg(F.count("*").alias("n_links"))
+    """media_id, class_id (smallest media_id of its copies), n_links (the other images of its class): one row for each row of media."""
+    points = stage(described(media), "keypoints")
+    # Of equal pictures the first stands for all.
+    shown = points.select("media_id", "picture").distinct()
+    same = stage(shown.join(shown.groupBy("picture").agg(F.min("media_id").alias("first")), "picture"), "equal-pictures")
+    links = linked_images(points.join(same.where("media_id = first").drop("first"), ["media_id", "picture"], "left_semi"))
+    groups = stage(components(links.union(same.select("first", "media_id"))), "image-classes")
+    sizes = groups.groupBy(F.col("root").alias("class_id")).agg(F.count("*").alias("n_links"))
     ids = media.select(F.col("media_id").cast("long").alias("media_id"))
-    out = ids.join(groups, F.col("media_id") == F.col("node"), "left").join(n, "media_id", "left")
-    return out.select("media_id", F.coalesce("root", "media_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    out = ids.join(groups, F.col("media_id") == F.col("node"), "left").select("media_id", F.coalesce("root", "media_id").alias("class_id")).join(sizes, "class_id", "left")
+    return out.select("media_id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def pictures(embeddings: DataFrame, cell: int = 6) -> DataFrame:

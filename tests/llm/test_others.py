@@ -87,6 +87,26 @@ def test_odd_images(spark):
     assert media.copies(df.limit(0)).count() == 0
 
 
+def mosaic(seed, side=20, cell=6):
+    return np.kron(np.random.default_rng(seed).integers(0, 256, (side, side)), np.ones((cell, cell))).astype(np.uint8)
+
+
+def media_rows(spark, images):
+    return spark.createDataFrame([(k, i.shape[1], i.tobytes()) for k, i in images.items()], "media_id long, width int, image binary")
+
+
+def test_copies_meet_beside_a_stranger_of_smaller_id(spark):
+    picture, other = mosaic(1), mosaic(2)
+    # Image 1 has all words of image 2 in places that agree on no change: it leads their buckets.
+    b, c = picture[:90, :90], picture[3:90, 2:90]
+    points = media.stage(media.described(media_rows(spark, {2: b, 3: c})), "points")
+    shared = points.where("media_id = 2").withColumns({"media_id": F.lit(1).cast("long"), "y": F.rand(1) * 1e6, "x": F.rand(2) * 1e6})
+    links = {tuple(r) for r in media.linked_images(points.union(shared)).collect()}
+    assert {(min(e), max(e)) for e in links} == {(2, 3)}
+    got = {r.media_id: (r.class_id, r.n_links) for r in media.copies(media_rows(spark, {1: other, 2: b, 3: c, 4: b, 5: b, 6: c})).collect()}
+    assert got == {1: (1, 0), **{k: (2, 4) for k in (2, 3, 4, 5, 6)}}
+
+
 def test_stages_keep_columns_and_take_effect(spark, sf, odd):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     n = docs.count()
