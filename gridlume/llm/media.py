@@ -4,9 +4,11 @@ Corners are local maxima of the Harris response at several scales. Around each t
 orientation, and 128 seeded comparisons of smoothed grey levels, turned to it, give the descriptor. Six Hamming
 tables, each of two of the descriptor's four words, are joined on equality, so descriptors that differ in up to two
 bits (or in one or two words) meet: each bucket's descriptors meet its first image's, and then, where a bucket still
-holds several classes, those of the other classes. Matches vote for the change of scale, angle and place between two
-images; a pair with CONSENSUS keypoints in one cell of votes is a link, and links make classes by union-find, the
-same as if all pairs of images were compared. n_links follows from the class, so every copy of a picture has it.
+holds several classes, those of the other classes. Any two matches of two images fix a turn, a resizing and a shift; a
+pair with CONSENSUS keypoints that agree on one is a link, and links make classes by union-find, the same as if all
+pairs of images were compared. n_links follows from the class, so every copy of a picture has it. Keypoints are in
+proportion to the area. Words must be equal, so copies turned by an oblique angle, where grey levels are interpolated,
+are found less surely than others, and small ones seldom.
 
 Images are grey, row by row, in a binary column with width. A null, empty or misshapen image has no keypoints and is a
 class of its own; so is a null media_id, which is never linked. Rows that repeat a media_id count once. An
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 from gridlume.llm.common import small_batches, stage
 from gridlume.operators.graph import components
 
-#: Half-width of a patch, its border with turned tests, bits, angle steps, keypoints at each scale.
+#: Half-width of a patch, its border with turned tests, bits, angle steps, keypoints at each scale on AREA pixels.
 HALF, BORDER, BITS, STEPS = 7, 8, 128, 32
-SCALES = ((1.0, 32), (1.5, 16))
-CONSENSUS = 3
+SCALES = ((1.0, 32), (1.25, 20), (1.5, 16), (2.0, 10))
+AREA = 2304
+#: Keypoints that agree on one change; pixels at scale 1 and angle steps within which they do; part of a patch's contrast below which grey levels count as equal.
+CONSENSUS, NEAR, TURN, EQUAL = 3, 2.0, 2, 0.25
 
 
 def tests() -> np.ndarray:
@@ -42,7 +46,7 @@ def tests() -> np.ndarray:
     out = np.zeros((STEPS, BITS, 4), np.int64)
     for s in range(STEPS):
         a = 2 * pi * s / STEPS
-        turned = p @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])
+        turned = p @ np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]])
         out[s] = np.rint(turned).reshape(BITS, 4)
     return out
 
@@ -69,6 +73,18 @@ def reduced(a: np.ndarray, scale: float) -> np.ndarray:
     return rows[:, :, lo[1]] * (1 - f[1]) + rows[:, :, lo[1] + 1] * f[1]
 
 
+def described_places(a: np.ndarray, soft: np.ndarray, image: np.ndarray, y: np.ndarray, x: np.ndarray, scale: float) -> tuple[np.ndarray, ...]:
+    patch = a[image[:, None, None], y[:, None, None] + _y, x[:, None, None] + _x]
+    angle = np.arctan2((patch * _disc * _y).sum((1, 2)), (patch * _disc * _x).sum((1, 2)))
+    step = np.rint(angle / (2 * pi) * STEPS).astype(int) % STEPS
+    t = _tests[step]
+    at = lambda i: soft[image[:, None], y[:, None] + t[:, :, i], x[:, None] + t[:, :, i + 1]]
+    # Levels that noise could reorder count as equal, in proportion to the contrast, which brightness and gain keep.
+    equal = EQUAL * patch.std((1, 2))[:, None] + 1e-6
+    words = np.packbits(at(0) < at(2) - equal, axis=1).view(">u4").astype(np.int64)
+    return image, y * scale, x * scale, np.full(len(y), log(scale)), step, words
+
+
 def keypoints(stack: np.ndarray) -> tuple[np.ndarray, ...]:
     """Image number, y, x (in the image's pixels), log scale, angle step and four 32-bit words of all keypoints of a stack."""
     found = []
@@ -87,18 +103,13 @@ def keypoints(stack: np.ndarray) -> tuple[np.ndarray, ...]:
             for dx in (-1, 0, 1):
                 top = np.maximum(top, np.roll(inner, (dy, dx), (1, 2)))
         flat = np.where((inner == top) & (inner > 1), inner, -np.inf).reshape(n, -1)
-        best = np.argsort(-flat, axis=1, kind="stable")[:, :most]
+        best = np.argsort(-flat, axis=1, kind="stable")[:, : most * max(AREA, stack[0].size) // AREA]
         image, place = np.nonzero(np.isfinite(np.take_along_axis(flat, best, 1)))
         place = best[image, place]
         y, x = place // w, place % w
-        patch = a[image[:, None, None], y[:, None, None] + _y, x[:, None, None] + _x] * _disc
-        angle = np.arctan2((patch * _y).sum((1, 2)), (patch * _x).sum((1, 2)))
-        step = np.rint(angle / (2 * pi) * STEPS).astype(int) % STEPS
-        soft = box(a, 1)
-        t = _tests[step]
-        at = lambda i: soft[image[:, None], y[:, None] + t[:, :, i], x[:, None] + t[:, :, i + 1]]  # noqa: E731, B023
-        words = np.packbits(at(0) < at(2) - 1e-6, axis=1).view(">u4").astype(np.int64)
-        found.append((image, y * scale, x * scale, np.full(len(y), log(scale)), step, words))
+        soft = box(a, 2) / 25
+        for i in range(0, len(y), 8192):
+            found.append(described_places(a, soft, image[i : i + 8192], y[i : i + 8192], x[i : i + 8192], scale))
     if not found:
         return (*[np.zeros(0)] * 5, np.zeros((0, 4), np.int64))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
@@ -115,7 +126,9 @@ def described(media: DataFrame) -> DataFrame:
                     shapes.setdefault((len(image) // width, width), []).append((key, image))
             for shape, same in shapes.items():
                 stack = np.frombuffer(b"".join(i for _, i in same), np.uint8).reshape(-1, *shape)
-                image, y, x, scale, angle, words = keypoints(stack)
+                n = max(1, (1 << 21) // stack[0].size)
+                parts = [keypoints(stack[i : i + n]) for i in range(0, len(stack), n)]
+                image, y, x, scale, angle, words = (np.concatenate(c) for c in zip(*[(p[0] + i * n, *p[1:]) for i, p in enumerate(parts)], strict=True))
                 ids = np.array([k for k, _ in same], np.int64)[image.astype(int)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * 4, pa.int32()), pa.array(words.ravel()))
                 seen = [sha256(b"%d:%b" % (shape[1], i)).digest() for _, i in same]
@@ -126,20 +139,45 @@ def described(media: DataFrame) -> DataFrame:
     return known.mapInArrow(rows, "media_id long, picture binary, y double, x double, scale double, angle int, words array<long>")
 
 
-def vote_cell(shift: float) -> list[Column]:
-    """The change from image a to image b, in cells: log scale, angle steps, and where b's origin lies in a. shift: half a cell, for pairs at a border."""
-    cell = lambda v, size: F.floor(v / size + shift).cast("int")
-    ratio = F.exp(F.col("scale_b") - F.col("scale_a"))
-    turn = F.pmod(F.col("angle_b") - F.col("angle_a") + (2 if shift else 0), F.lit(STEPS))
-    return [cell(F.col("scale_b") - F.col("scale_a"), 0.35).alias("s"), F.floor(turn / 4).cast("int").alias("t"), cell(F.col("x_b") - F.col("x_a") * ratio, 4.0).alias("dx"), cell(F.col("y_b") - F.col("y_a") * ratio, 4.0).alias("dy")]
+def agree(y_a: np.ndarray, x_a: np.ndarray, y_b: np.ndarray, x_b: np.ndarray, ratio: np.ndarray, turn: np.ndarray) -> bool:
+    """Whether matches of enough places of image a agree on one turn, resizing and shift to image b.
+
+    Any two matches fix a change, for which the others are counted; enough are CONSENSUS, and one more for each doubling
+    of the matches beyond four, as among many more agree by chance. ratio and turn (in steps) are each match's own by its keypoints.
+    """
+    za, zb = x_a + 1j * y_a, x_b + 1j * y_b
+    _, place = np.unique(za, return_inverse=True)
+    enough = CONSENSUS + int(np.log2(max(1, len(za) / 4)))
+    for i in range(len(za) - enough + 1):
+        j = i + 1 + np.flatnonzero(np.abs(za[i + 1 :] - za[i]) >= 2 * HALF)
+        if not len(j):
+            continue
+        change = (zb[j] - zb[i]) / (za[j] - za[i])
+        off = np.angle(np.exp(2j * pi / STEPS * turn)[None] * np.exp(-1j * np.angle(change))[:, None]) * STEPS / (2 * pi)
+        size = np.abs(change)[:, None]
+        fits = (np.abs(off) <= TURN) & (np.abs(np.log(np.maximum(size, 1e-9)) - np.log(ratio)) <= 0.25)
+        fits &= np.abs(zb[None] - zb[i] - change[:, None] * (za[None] - za[i])) <= NEAR * np.maximum(1, size)
+        fits &= (fits[:, i] & fits[np.arange(len(j)), j])[:, None]
+        for f in fits[fits.sum(1) >= enough]:
+            if len(np.unique(place[f])) >= enough and len(np.unique(zb[f])) >= enough:
+                return True
+    return False
 
 
 def agreed(match: DataFrame) -> DataFrame:
     """Pairs (a, b) of images with enough keypoints that agree on one change. match: a, b and the places of a keypoint of each that share words."""
-    places = [c for c in match.columns if c not in "ab"]
-    sets = match.groupBy("a", "b").agg(F.collect_set(F.struct(*places)).alias("m")).where(F.size("m") >= CONSENSUS)
-    votes = sets.select("a", "b", F.inline("m")).select("a", "b", "y_a", "x_a", F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), *vote_cell(i / 2)) for i in (0, 1)])).alias("cell"))
-    return votes.groupBy("a", "b", "cell").agg(F.count_distinct("y_a", "x_a").alias("n")).where(F.col("n") >= CONSENSUS).select("a", "b").distinct()
+    turn = F.pmod(F.col("angle_b") - F.col("angle_a"), F.lit(STEPS)).cast("float")
+    place = F.array("y_a", "x_a", "y_b", "x_b", F.exp(F.col("scale_b") - F.col("scale_a")).cast("float"), turn)
+    sets = match.groupBy("a", "b").agg(F.collect_set(place).alias("m")).where(F.size("m") >= CONSENSUS)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
+            values = batch.column(2).flatten().flatten().to_numpy().reshape(-1, 6).astype(float)
+            yes = [agree(*values[i:j].T) for i, j in zip(ends, ends[1:], strict=False)]
+            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+    return sets.mapInArrow(rows, "a long, b long")
 
 
 def linked_images(points: DataFrame) -> DataFrame:

@@ -107,6 +107,41 @@ def test_copies_meet_beside_a_stranger_of_smaller_id(spark):
     assert got == {1: (1, 0), **{k: (2, 4) for k in (2, 3, 4, 5, 6)}}
 
 
+def warped(image, degrees, size):
+    h, w = image.shape
+    y, x = np.mgrid[: int(h * size), : int(w * size)] / size
+    y, x, t = y - h / 2, x - w / 2, np.deg2rad(degrees)
+    y, x = (np.cos(t) * y - np.sin(t) * x + h / 2).clip(0, h - 1.001), (np.sin(t) * y + np.cos(t) * x + w / 2).clip(0, w - 1.001)
+    i, j, v = y.astype(int), x.astype(int), image.astype(float)
+    y, x = y - i, x - j
+    return (v[i, j] * (1 - y) * (1 - x) + v[i + 1, j] * y * (1 - x) + v[i, j + 1] * (1 - y) * x + v[i + 1, j + 1] * y * x).astype(np.uint8)
+
+
+EDITS = {
+    "quarter turn": lambda a: np.rot90(a).copy(), "turned": lambda a: warped(a, 20, 1), "larger": lambda a: warped(a, 0, 1.2), "smaller": lambda a: warped(a, 0, 0.8),
+    "noisy": lambda a: (a + np.random.default_rng(5).normal(0, 8, a.shape)).clip(0, 255).astype(np.uint8), "small crop": lambda a: a[75:120, 70:116].copy(),
+}
+
+
+def test_edited_copies_are_found(spark):
+    images, copy_of = {}, {}
+    for n, edit in enumerate(EDITS.values()):
+        for i in range(10):
+            key = 100 * n + 2 * i
+            images[key] = mosaic(1000 + key)
+            images[key + 1] = edit(images[key])
+            copy_of[key + 1] = key
+    got = {r.media_id: r.class_id for r in media.copies(media_rows(spark, images)).collect()}
+    for n, name in enumerate(EDITS):
+        assert np.mean([got[k] == of for k, of in copy_of.items() if k // 100 == n]) >= 0.9, name
+    assert all(got[k] == k for k in images if k % 2 == 0)
+
+
+def test_keypoints_follow_the_area():
+    small, large = (len(media.keypoints(mosaic(3, side)[None])[0]) for side in (10, 40))
+    assert large > 8 * small
+
+
 def test_stages_keep_columns_and_take_effect(spark, sf, odd):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     n = docs.count()
