@@ -8,7 +8,7 @@ made when first met and kept.
 
 Texts are cut in chunks. A chunk's map takes the state in which it is entered (the text since the last place
 where a non-space meets a space: there every piece ends, so the state is the start state) to a count and the
-state in which it is left. Maps compose associatively, by a parallel prefix scan of pairs.
+state in which it is left. Maps compose associatively; all of a text's are composed in pairs inside one task.
 
 Null text counts as empty: 0 tokens. Repeated rows are each counted. An empty table gives no rows.
 """
