@@ -12,26 +12,34 @@ each by itself. An empty table gives no rows. Other columns of the input are ign
 from __future__ import annotations
 
 import os
-import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlume.llm.common import small_batches, stage
 
-#: Tokens in a length class, buckets in which a class is ranked, words that a worker remembers in each of two generations.
-WIDTH, SALTS, REMEMBERED = 16, 64, 300_000
+#: Tokens in a length class, words that a worker remembers, and their longest.
+WIDTH, REMEMBERED, LONGEST = 16, 500_000, 64
+#: Stands between words that are encoded together.
+MARK = "|"
+#: Pieces for which one more bucket is taken, and the most: each class is ranked in that many.
+PER_SALT, MOST_SALTS = 500_000, 4096
 
 
 class Encoder:
-    """Token ids of a text as little-endian 32-bit bytes.
+    """Token ids of texts.
 
-    The tokenizer drops white space and never joins words across it, so ids are remembered word by word.
+    The tokenizer drops white space and never joins words across it. So a batch's words are told apart by Arrow, each
+    distinct one is looked up once, those not met before are encoded together, and the texts' ids are gathered from
+    one array of all known words' ids. Words of more than LONGEST letters aren't remembered, and when REMEMBERED others
+    are, all are forgotten: that bounds a worker's memory.
     """
 
     def __init__(self, path: str, keep: int = REMEMBERED):
@@ -40,34 +48,74 @@ class Encoder:
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def word(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.raw(word)
-        if len(self.new) >= self.keep:
-            self.old, self.new = self.new, {}
-        self.new[word] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.raw(text)
+        (self.mark,) = self.raw([MARK])[0]
+        self.forget()
+
+    def forget(self) -> None:
+        """No known words: their places in starts and sizes, and the ids that those two speak of."""
+        self.place: dict[str, int] = {}
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def separate(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids one after another, and each word's size, from one text in which a mark that no word has stands between them."""
+        odd = [i for i, w in enumerate(words) if MARK in w or any(s in w for s in self.special)]
+        alone = dict(zip(odd, self.raw([words[i] for i in odd]), strict=True)) if odd else {}
+        joined = f" {MARK} ".join("" if i in alone else w for i, w in enumerate(words)) if odd else f" {MARK} ".join(words)
+        ids = self.raw([joined])[0]
+        marks = np.flatnonzero(ids == self.mark)
+        sizes = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+        ids = np.delete(ids, marks)
+        if odd:
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for i, found in alone.items():
+                parts[i], sizes[i] = found, len(found)
+            ids = np.concatenate(parts)
+        return ids, sizes
+
+    def plain(self, text: str) -> str:
+        """text lower-cased where that gives the same ids: it is composed both before and after."""
         if "Σ" not in text:
             low = text.lower()
-            # Composed both before and after: lower-casing first then gives the same ids, with fewer distinct words.
             if text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
                 text = low
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.new.__getitem__, words))
-        except KeyError:
-            return b"".join([self.new.get(w) or self.word(w) for w in words])
+        return text.replace("\n", " ")
+
+    def known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's start and size in the array of ids, which is the third."""
+        if len(self.place) > self.keep:
+            self.forget()
+        get = self.place.get
+        at = np.array([get(w, -1) for w in words], np.int64)
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return self.starts[at], self.sizes[at], self.ids
+        # Words to be remembered come first, so the others' ids can be cut off after this batch.
+        new = sorted((words[i] for i in missing), key=lambda w: len(w) > LONGEST)
+        found, sizes = self.separate(new)
+        ids, n = np.concatenate([self.ids, found]), sum(len(w) <= LONGEST for w in new)
+        base, starts = len(self.starts), len(self.ids) + np.cumsum(sizes) - sizes
+        all_starts, all_sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+        here = dict(zip(new, range(base, base + len(new)), strict=True))
+        at[missing] = [here[words[i]] for i in missing]
+        self.place.update(zip(new[:n], range(base, base + n), strict=True))
+        self.starts, self.sizes, self.ids = all_starts[: base + n], all_sizes[: base + n], ids[: len(self.ids) + int(sizes[:n].sum())]
+        return all_starts[at], all_sizes[at], ids
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids, as little-endian 32-bit numbers."""
+        whole = [any(s in t for s in self.special) for t in texts]
+        split = pc.split_pattern(pa.array(["" if w else self.plain(t) for t, w in zip(texts, whole, strict=True)], pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        starts, sizes, ids = self.known(words.dictionary.to_pylist())
+        code = words.indices.to_numpy(zero_copy_only=False)
+        size = sizes[code]
+        ends = np.cumsum(size)
+        flat = ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[code] - (ends - size), size)]
+        cuts = np.append(0, ends)[split.offsets.to_numpy()]
+        return [self.raw([t])[0] if w else flat[i:j] for t, w, i, j in zip(texts, whole, cuts, cuts[1:], strict=False)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -84,21 +132,21 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     """Pieces of at most capacity ids: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path), struct.pack("<I", end_id)
+        encode, end = encoder(tokenizer_path), np.array([end_id], "<u4")
         for batch in batches:
             keys, starts, lengths, crcs, totals = [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode.text(text.as_py() or "") + end
-                for at in range(0, len(ids), 4 * capacity):
-                    part = ids[at : at + 4 * capacity]
+            for key, ids in zip(batch.column(0).to_pylist(), encode.texts([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids = np.append(ids, end)
+                for at in range(0, len(ids), capacity):
+                    part = ids[at : at + capacity]
                     keys.append(key)
-                    starts.append(at // 4)
-                    lengths.append(len(part) // 4)
-                    crcs.append(zlib.crc32(part))
-                    totals.append(len(ids) // 4)
+                    starts.append(at)
+                    lengths.append(len(part))
+                    crcs.append(zlib.crc32(part.tobytes()))
+                    totals.append(len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, starts, lengths, crcs, totals)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1024)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
@@ -122,11 +170,11 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), pattern
 
 
-def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 5e-4, rounds: int = 1500) -> list[tuple[dict[int, int], int]]:
+def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 5e-4) -> list[tuple[dict[int, int], int]]:
     """Patterns (pieces by size, how often) that cover demand exactly.
 
-    Revised simplex on the columns priced so far; it ends when the dual bound is within gap. What rounding down
-    leaves is at most one pattern for each size, and is packed largest first.
+    Revised simplex on the columns priced so far; it ends when the dual bound is within gap, or when no pattern makes
+    the program better. What rounding down leaves is at most one pattern for each size, and is packed largest first.
     """
     sizes = np.array(sorted(k for k, n in demand.items() if n), int)
     if not len(sizes):
@@ -134,7 +182,8 @@ def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 5e-4, roun
     need = np.array([demand[k] for k in sizes], float)
     basis = np.diag((capacity // sizes).astype(float))
     inverse, amounts = np.diag(1 / np.diag(basis)), need / np.diag(basis)
-    for turn in range(rounds):
+    seen: set[bytes] = set()
+    for turn in count():
         if turn % 64 == 63:
             inverse = np.linalg.inv(basis)
             amounts = np.maximum(inverse @ need, 0)
@@ -144,8 +193,11 @@ def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 5e-4, roun
             break
         step = inverse @ pattern
         rows = np.flatnonzero(step > 1e-9)
-        if not len(rows):
+        # Without progress the pivots could go round: a basis that comes back ends the search.
+        state = np.sort(np.ascontiguousarray(basis.T).view([("", basis.dtype)] * len(basis)).ravel()).tobytes() if turn > 1000 else b""
+        if not len(rows) or state in seen:
             break
+        seen.update([state] if state else [])
         out = rows[np.argmin(amounts[rows] / step[rows])]
         move = amounts[out] / step[out]
         amounts = np.maximum(amounts - move * step, 0)
@@ -177,10 +229,12 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """pieces with sequence_id and offset. pieces must be stored (see stage): it is read three times.
 
     Only the histogram (capacity / WIDTH rows) reaches the driver; the pattern table and the rank offsets that
-    are broadcast have at most (capacity / WIDTH) * capacity / WIDTH and (capacity / WIDTH) * SALTS rows.
+    are broadcast have at most (capacity / WIDTH) * capacity / WIDTH and (capacity / WIDTH) * MOST_SALTS rows. The
+    number of buckets follows the number of pieces, so that a class, however large, is ranked in tasks of like size.
     """
     spark = pieces.sparkSession
-    ranked = pieces.withColumns({"_class": F.ceil(F.col("length") / WIDTH).cast("int"), "_salt": F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")})
+    salts = max(64, min(MOST_SALTS, pieces.count() // PER_SALT))
+    ranked = pieces.withColumns({"_class": F.ceil(F.col("length") / WIDTH).cast("int"), "_salt": F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")})
     counts = stage(ranked.groupBy("_class", "_salt").agg(F.count("*").alias("_n")), "packing-counts")
     patterns = cutting_stock({r[0]: r[1] for r in counts.groupBy("_class").agg(F.sum("_n")).collect()}, capacity // WIDTH)
     rows, first, given = [], 0, dict.fromkeys(range(capacity // WIDTH + 1), 0)
