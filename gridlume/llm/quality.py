@@ -1,14 +1,16 @@
 """Operator 10, quality classifier: nearest-neighbour voting on latent-semantic vectors.
 
-A text's terms are hashed sequences of three shapes (runs of letters of one case, single digits, marks, spaces
-and line ends), and how often a word is repeated at once up to REPEATS times, over the whole text. Log counts, weighted by rarity, are projected on
+A text's terms are taken over the whole text and hashed: its words and their first four letters, sequences of three
+shapes (runs of letters of one case, single digits, marks, spaces and line ends), and how often a word is repeated at
+once up to REPEATS times. Log counts, weighted by rarity, words and shapes alike in length, are projected on
 the sample's first DIMENSIONS right singular vectors. The labelled sample's vectors (at most MOST_LABELLED
 by DIMENSIONS, 1 MB) are broadcast; every document's exact cosines with all of them are computed in blocks, and
-its NEIGHBOURS nearest vote with their similarity as weight.
+its NEIGHBOURS nearest, with all that tie with the last of them, vote with their similarity as weight.
 
 Labels come from the training folds alone. Null or empty text has the zero vector: its score is the sample's mean
-label. Repeated rows are each scored. An empty table gives no rows; without labels every score is 1, so that
-nothing is rejected. Other columns are ignored.
+label. Very long texts are read whole, one at a time. Repeated rows are each scored; in the sample a doc_id counts once,
+by its first text in order, and of several labels the lowest holds. An empty table gives no rows; without labels every
+score is 1, so that nothing is rejected. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlume.llm.common import fold_of, small_batches
+from gridlume.llm.common import fold_of, small_batches, stage
 
+#: Bounds of the sample, and those that vote.
 MOST_LABELLED, DIMENSIONS, NEIGHBOURS = 4096, 64, 15
 FOLDS, HELD_OUT = 3, 1
-TERMS, REPEATS, BLOCK = 4096, 8, 256
+SHAPES, WORDS, REPEATS, BLOCK = 4096, 4096, 8, 256
+TERMS = SHAPES + WORDS
 
 
 def shape_codes() -> np.ndarray:
@@ -40,25 +44,46 @@ def shape_codes() -> np.ndarray:
 
 
 _codes = shape_codes()
+#: For a byte (A-Z as a-z) at each of 32 places in a word a random number: a word's hash is their sum.
+_places = np.random.default_rng(10).integers(0, 2**63, (32, 256), np.int64).astype(np.uint64)
+_places[:, 65:91] = _places[:, 97:123]
+#: Letters of a word that also count by themselves.
+START = 4
+
+
+def word_terms(b: np.ndarray) -> np.ndarray:
+    """The hashed numbers of a text's words (runs of letters and digits, by its bytes) and of their first letters."""
+    at = np.flatnonzero((_codes[b] <= 3))
+    if not len(at):
+        return at
+    first = np.append(True, at[1:] != at[:-1] + 1)
+    starts = np.flatnonzero(first)
+    place = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+    value = _places[place & 31, b[at]] * (2 * (place >> 5).astype(np.uint64) + np.uint64(1))
+    words = np.add.reduceat(value, starts)
+    begun = np.add.reduceat(np.where(place < START, value, np.uint64(0)), starts)[np.diff(np.append(starts, len(at))) > START] + np.uint64(1)
+    return ((np.concatenate([words, begun]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)).astype(np.int64)
 
 
 def terms(text: str | None) -> np.ndarray:
-    """Counts of the text's hashed terms."""
-    c = _codes[np.frombuffer((text or "").encode(), np.uint8)]
-    if len(c):
-        # A run of letters is one shape.
-        c = c[np.append(True, (c[1:] != c[:-1]) | (c[1:] > 2))]
+    """Counts of the text's hashed terms: shapes, then words."""
+    out = np.zeros(TERMS, np.float32)
+    b = np.frombuffer((text or "").encode(), np.uint8)
+    if not len(b):
+        return out
+    out[SHAPES:] = np.bincount(word_terms(b), minlength=WORDS)
+    c = _codes[b]
+    # A run of letters is one shape.
+    c = c[np.append(True, (c[1:] != c[:-1]) | (c[1:] > 2))]
     if len(c) < 3:
-        c = np.append(c, np.zeros(3, np.int64)) if len(c) else c
-    if not len(c):
-        return np.zeros(TERMS, np.float32)
+        c = np.append(c, np.zeros(3, np.int64))
     h = (c[:-2] * 1_000_003 + c[1:-1] * 10_007 + c[2:] * 101) * 0x9E3779B1 & 0xFFFFFFFF
-    out = np.bincount(h >> 20, minlength=TERMS).astype(np.float32)
+    out[:SHAPES] = np.bincount(h >> 20, minlength=SHAPES)
     words, run = text.split(), 0
-    for a, b in zip(words, words[1:], strict=False):
-        if a == b:
+    for x, y in zip(words, words[1:], strict=False):
+        if x == y:
             run = min(run + 1, REPEATS)
-            out[TERMS - run] += 1
+            out[SHAPES - run] += 1
         elif run:
             run = 0
     return out
@@ -96,7 +121,8 @@ class Model:
             yield self.weighted(dense)
 
     def weighted(self, counts: np.ndarray) -> np.ndarray:
-        return self.unit(np.log1p(counts) * self.rarity)
+        weighted = np.log1p(counts) * self.rarity
+        return np.hstack([self.unit(weighted[:, :SHAPES]), self.unit(weighted[:, SHAPES:])])
 
     @staticmethod
     def unit(v: np.ndarray) -> np.ndarray:
@@ -106,18 +132,21 @@ class Model:
         """Scores of a block of texts."""
         v = self.unit(self.weighted(np.stack([terms(t) for t in texts])) @ self.basis)
         near = v @ self.vectors.T
-        k = min(NEIGHBOURS, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, top, axis=1), 0) ** 4
+        k = near.shape[1] - min(NEIGHBOURS, near.shape[1])
+        last = np.partition(near, k, axis=1)[:, k : k + 1]
+        weight = np.square(np.square(np.where(near >= last, np.maximum(near, 0), np.float32(0))))
         total = weight.sum(axis=1)
-        return np.where(total > 1e-9, (weight * self.labels[top]).sum(axis=1) / np.maximum(total, 1e-9), self.mean).astype(float).clip(0, 1)
+        return np.where(total > 1e-9, weight @ self.labels / np.maximum(total, 1e-9), self.mean).astype(float).clip(0, 1)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model from a bounded sample of the training folds' labelled rows, chosen by hash."""
-    label = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality")).where((fold_of("_id", FOLDS) != HELD_OUT) & F.col("_quality").isNotNull()).dropDuplicates(["_id"])
+    label = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality")).where((fold_of("_id", FOLDS) != HELD_OUT) & F.col("_quality").isNotNull())
+    label = stage(label.groupBy("_id").agg(F.min("_quality").alias("_quality")), "quality-labels")
     place = F.pmod(F.xxhash64(F.col("_id"), F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
-    sample = docs.select(F.col("doc_id").alias("_id"), "text").join(label.where(place < 0.95 * MOST_LABELLED / max(label.count(), 1)), "_id")
+    # A little under the bound; the limit, in the same order, makes it sure.
+    chosen = label.where(place < 0.95 * MOST_LABELLED / max(label.count(), 1)).orderBy(place, "_id").limit(MOST_LABELLED)
+    sample = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), "_id").groupBy("_id", "_quality").agg(F.min("text").alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,27 +154,27 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()), batch.column(1)], ["counts", "label"])
 
     small_batches(docs.sparkSession)
-    found = sample.select("text", F.col("_quality").cast("double")).mapInArrow(rows, "counts binary, label double").limit(MOST_LABELLED).collect()
+    found = sample.select("text", F.col("_quality").cast("double")).mapInArrow(rows, "counts binary, label double").collect()
     if not found:
         return None
     found.sort(key=lambda r: bytes(r[0]))  # the model doesn't depend on the order of arrival
     return Model([np.frombuffer(r[0], "<u4").reshape(2, -1) for r in found], np.array([r[1] for r in found]))
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with score; a column of that name is replaced."""
-    kept = docs.drop("score")
+def scored(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
+    """docs with the score in a column of that name, which is replaced."""
+    kept = docs.drop(name)
     if model is None:
-        return kept.withColumn("score", F.lit(1.0))
+        return kept.withColumn(name, F.lit(1.0))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = sent.value.vote([t.as_py() for t in batch.column("text")]) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
 
     small_batches(docs.sparkSession)
-    return kept.mapInArrow(rows, T.StructType([*kept.schema, T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(rows, T.StructType([*kept.schema, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,14 +2,19 @@
 
 Training sees confirmed toxic documents and unlabelled text, never confirmed clean ones. The risk is
 prior * loss(positive, 1) + max(0, loss(unlabelled, 0) - prior * loss(positive, 0)); where the second term
-turns negative its gradient is reversed. The prior is the toxic share of the labelled training rows.
-
-Features are the presence of words and of word beginnings in the whole text, screened on the sample. Only the
-bounded training sample (MOST_POSITIVE and MOST_UNLABELLED documents, chosen by hash) reaches the driver; the
-model is at most MOST_FEATURES strings. Labels come from training folds alone, and unlabelled text too.
-
-Null or empty text gets the score of a text without features. Repeated rows are each scored. An empty table gives
-no rows; without confirmed toxic rows every score is the prior (0 without labels). Other columns are ignored.
+turns negative its gradient is reversed. The prior is the toxic share of the labelled training rows among the
+documents. The score is 0.5 where the same risk, with misses and false alarms counted instead of the loss, is least.
+
+Features are the presence of words and of word beginnings in the whole text, screened on the sample: each says that a
+text is toxic, so no weight is below zero. The sample (at most MOST_POSITIVE and MOST_UNLABELLED documents, chosen by
+hash) is counted in Spark tasks; only its screened features' numbers reach the driver. The model is at most
+MOST_FEATURES strings. Labels come from training folds alone, and unlabelled text too.
+
+Null or empty text gets the score of a text without features. Very long texts are read whole, one at a time. Repeated
+rows are each scored, and count once in the sample: of several texts of a doc_id the first in order, as do near copies
+(same longest words). Of several labels of a doc_id the toxic one holds. Features that tie in the screening go by name.
+An empty table gives no rows; without confirmed toxic rows every score is the prior (0 without labels). Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -19,16 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlume.llm.common import fold_of, small_batches
+from gridlume.llm.common import fold_of, small_batches, stage
 
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 3000, 6000, 3000
 FOLDS, HELD_OUT = 5, 0
 #: Lengths of the word beginnings that count as features, and what is cut off a word's ends.
 BEGINNINGS, MARKS = (4, 5, 6), ".,;:!?\"'()[]{}|*%$#&<>-_/\\"
+#: Confirmed documents that must have a feature, and by how many standard errors its share must exceed the unlabelled one.
+LEAST, ERRORS = 4, 4.0
 
 
 def words_of(text: str | None) -> set[str]:
@@ -55,92 +63,151 @@ class Model:
         for n, starts in self.starts.items():
             if starts:
                 hits.update({"^" + s for s in {w[:n] for w in words if len(w) > n} & starts})
-        return 1 / (1 + np.exp(-max(-30.0, min(30.0, self.bias + sum(self.weights[f] for f in sorted(hits))))))
-
-
-def screened(positive: list[str], unlabelled: list[str]) -> list[str]:
-    """Features whose share among the positive exceeds the unlabelled share by more than 4 standard errors.
-
-    The texts' features are counted, not kept: of the unlabelled only those that enough positive texts have.
-    """
-    p = Counter()
-    for t in positive:
-        p.update(features_of(words_of(t)))
-    p = {f: k for f, k in p.items() if k >= 4}
-    u = dict.fromkeys(p, 0)
-    for t in unlabelled:
-        for f in features_of(words_of(t)) & p.keys():
-            u[f] += 1
-    n, m = len(positive), max(1, len(unlabelled))
-    scored = []
-    for f, k in p.items():
-        pooled = (k + u[f] + 1) / (n + m + 2)
-        if pooled < 1 and (z := (k / n - u[f] / m) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))) > 4:
-            scored.append((-z, f))
-    return [f for _, f in sorted(scored)[:MOST_FEATURES]]
-
-
-def train(positive: list[str | None], unlabelled: list[str | None], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> Model:
-    """Full-batch Adam on the non-negative risk with the logistic loss."""
-    if not positive:
+        return float(1 / (1 + np.exp(-max(-30.0, min(30.0, self.bias + sum(self.weights[f] for f in sorted(hits)))))))
+
+
+class Sample:
+    """Documents as lists of feature numbers; the last number, the bias, is in every one."""
+
+    def __init__(self, documents: list[np.ndarray], features: int):
+        self.n, self.width = len(documents), features + 1
+        each = [np.append(d, features) for d in documents]
+        self.feature = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
+        self.sizes = np.array([len(d) for d in each], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(w[self.feature], self.starts) if self.n else np.zeros(0)
+
+    def mean(self, v: np.ndarray) -> np.ndarray:
+        """Mean over the documents of v times their features."""
+        return np.bincount(self.feature, np.repeat(v, self.sizes), self.width) / max(1, self.n)
+
+
+def risk(w: np.ndarray, positive: Sample, unlabelled: Sample, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The positive part of the risk, the negative part before it is held at zero, and the gradients of both."""
+    fp, fu = positive.margins(w), unlabelled.margins(w)
+    sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
+    gain = prior * np.logaddexp(0, -fp).mean()
+    against = (np.logaddexp(0, fu).mean() if unlabelled.n else 0.0) - prior * np.logaddexp(0, fp).mean()
+    return gain, against, prior * positive.mean(sp - 1), unlabelled.mean(su) - prior * positive.mean(sp)
+
+
+def least_risk_cut(fp: np.ndarray, fu: np.ndarray, prior: float) -> float:
+    """The margin at which the share of misses times the prior, and the false alarms left after the prior's correction, are least: the middle of all such."""
+    cuts = np.unique(np.concatenate([fp, fu]))
+    miss = np.searchsorted(np.sort(fp), cuts) / len(fp)
+    alarm = 1 - np.searchsorted(np.sort(fu), cuts) / max(1, len(fu)) if len(fu) else 1 - miss
+    total = prior * miss + np.maximum(0, alarm - prior * (1 - miss))
+    best = np.flatnonzero(total <= total.min() + 1e-12)
+    # A cut may lie anywhere above the margin before the first best one, and up to the last of the run.
+    run = best[: 1 + int(np.argmax(np.append(np.diff(best) > 1, True)))]
+    low, high = cuts[max(run[0] - 1, 0)], cuts[run[-1]]
+    return float((low + high) / 2)
+
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[str], prior: float, steps: int = 800, rate: float = 0.1, decay: float = 1e-5) -> Model:
+    """Full-batch Adam on the non-negative risk with the logistic loss. Documents as the places of their features in names."""
+    if not positive or not 0 < prior < 1:
         return Model({}, float(np.log(prior / (1 - prior))) if 0 < prior < 1 else -30.0)
-    # Copies and near copies count once: else all the words of a much-copied toxic document look toxic.
-    positive, unlabelled = (list({tuple(sorted(words_of(t), key=len)[-20:]): t for t in sorted(filter(None, x))}.values()) for x in (positive, unlabelled))
-    names = screened(positive, unlabelled)
-    place = {f: i for i, f in enumerate(names)}
-    x = []
-    for texts in (positive, unlabelled):
-        rows = np.zeros((len(texts), len(names) + 1), np.float32)
-        rows[:, -1] = 1
-        for i, t in enumerate(texts):
-            rows[i, [place[f] for f in features_of(words_of(t)) & place.keys()]] = 1
-        x.append(rows)
-    w = np.zeros(len(names) + 1, np.float32)
+    p, u = Sample(positive, len(names)), Sample(unlabelled, len(names))
+    w = np.zeros(len(names) + 1)
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros(len(w)), np.zeros(len(w))
     for step in range(1, steps + 1):
-        fp, fu = x[0] @ w, x[1] @ w
-        sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean() if len(fu) else 0.0
-        gain = (sp - 1) @ x[0] / len(fp) * prior
-        against = (su @ x[1] / len(fu) if len(fu) else 0) - prior * (sp @ x[0]) / len(fp)
-        g = gain + against if negative >= 0 else -against
-        g = g + decay * np.append(w[:-1], 0)
+        _, against, up, down = risk(w, p, u, prior)
+        g = (up + down if against >= 0 else -down) + decay * np.append(w[:-1], 0)
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        w = (w - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        # Every screened feature speaks for toxicity: a text without any is no likelier toxic than the prior.
-        w[-1] = min(w[-1], np.log(prior / (1 - prior)))
-    return Model({f: float(v) for f, v in zip(names, w[:-1], strict=True) if abs(v) > 1e-3}, float(w[-1]))
+        w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        w[:-1] = np.maximum(w[:-1], 0)
+    w[-1] -= least_risk_cut(p.margins(w), u.margins(w), prior)
+    return Model({f: float(v) for f, v in zip(names, w[:-1], strict=True) if v > 1e-3}, float(w[-1]))
+
+
+def place(seed: int):
+    """A number from 0 to 1 by the hash of the document's id: the order in which documents are taken for a sample."""
+    return F.pmod(F.xxhash64(F.col("_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def bounded(docs: DataFrame, toxic: DataFrame, n_toxic: int) -> DataFrame:
+    """The sample: positive, _id, text, key (of near copies). toxic: the confirmed ids, once each."""
+    texts = docs.select(F.col("doc_id").alias("_id"), "text").where((fold_of("_id", FOLDS) != HELD_OUT) & F.col("text").isNotNull())
+    share = lambda n, most: 0.95 * most / max(n, 1)  # noqa: E731  a little under the bound; the cuts below make it sure
+    positives = toxic.where(place(4) < share(n_toxic, MOST_POSITIVE)).orderBy(place(4), "_id").limit(MOST_POSITIVE).withColumn("_positive", F.lit(True))
+    both = texts.join(F.broadcast(positives), "_id", "left")
+    open_share = share(texts.count(), MOST_UNLABELLED)
+    kinds = F.array_compact(F.array(F.col("_positive"), F.when(place(5) < open_share, False)))
+    picked = both.select("_id", "text", F.explode(kinds).alias("positive")).groupBy("positive", "_id").agg(F.min("text").alias("text"))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            longest = (" ".join(sorted(sorted(words_of(t.as_py())), key=len)[-20:]) for t in batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxhash.xxh64_intdigest(x) >> 1 for x in longest], pa.int64())], [*batch.schema.names, "key"])
+
+    small_batches(docs.sparkSession)
+    sample = stage(picked.mapInArrow(keyed, T.StructType([*picked.schema, T.StructField("key", T.LongType())])), "toxicity-sample")
+    order = [r[0] for r in sample.where("not positive").select(place(5)).orderBy(place(5)).limit(MOST_UNLABELLED + 1).collect()]
+    if len(order) > MOST_UNLABELLED:
+        sample = sample.where(F.col("positive") | (place(5) < order[-1]))
+    # Copies and near copies count once: else all the words of a much-copied toxic document look toxic.
+    firsts = sample.groupBy("positive", "key").agg(F.min("_id").alias("_id"))
+    return stage(sample.join(F.broadcast(firsts), ["positive", "key", "_id"], "left_semi"), "toxicity-firsts")
+
+
+def screened(sample: DataFrame) -> list[str]:
+    """Features whose share among the positive exceeds the unlabelled share by more than ERRORS standard errors."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {True: Counter(), False: Counter()}
+        for batch in batches:
+            for positive, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                seen[positive].update(features_of(words_of(text.as_py())))
+        names = sorted(seen[True] | seen[False])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[k][f] for f in names], pa.int64()) for k in (True, False))], ["feature", "p", "u"])
+
+    n, m = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    counts = sample.select("positive", "text").mapInArrow(counted, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST)
+    n, m = max(1, n), max(1, m)
+    pooled = (F.col("p") + F.col("u") + 1) / float(n + m + 2)
+    z = (F.col("p") / float(n) - F.col("u") / float(m)) / F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+    best = counts.where(pooled < 1).select("feature", z.alias("z")).where(F.col("z") > ERRORS).orderBy(F.col("z").desc(), "feature").limit(MOST_FEATURES)
+    return [r[0] for r in best.collect()]
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from the training folds' toxic rows and unlabelled text, both bounded."""
-    label = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where((fold_of("_id", FOLDS) != HELD_OUT) & F.col("_toxic").isNotNull()).dropDuplicates(["_id"])
-    toxic, known = label.agg(F.count_if(F.col("_toxic") == 1), F.count("*")).first()
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").where((fold_of("_id", FOLDS) != HELD_OUT) & F.col("text").isNotNull())
-    total = rows.count()
-    place = F.pmod(F.xxhash64(F.col("_id"), F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
-
-    def at_most(rows: DataFrame, n: int, most: int) -> list[str]:
-        # The share keeps the expected number a little under the bound; the limit makes the bound sure.
-        return [r[0] for r in rows.where(place < 0.95 * most / max(n, 1)).select("text").limit(most).collect()]
+    label = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where((fold_of("_id", FOLDS) != HELD_OUT) & F.col("_toxic").isNotNull())
+    there = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("_id"))
+    known = stage(label.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).join(there, "_id", "left_semi"), "toxicity-labels")
+    toxic, n = known.agg(F.count_if(F.col("_toxic") == 1), F.count("*")).first()
+    if not toxic:
+        return train([], [], [], 0.0)
+    sample = bounded(docs, known.where("_toxic = 1").select("_id"), toxic)
+    names = screened(sample)
+    at = {f: i for i, f in enumerate(names)}
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.array(sorted(at[f] for f in features_of(words_of(t.as_py())) & at.keys()), "<u2").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["positive", "features"])
 
-    positive = at_most(rows.join(label.where("_toxic = 1"), "_id"), toxic, MOST_POSITIVE)
-    return train(positive, at_most(rows, total, MOST_UNLABELLED), min(0.9, toxic / known) if known else 0.0)
+    found = sorted((r[0], bytes(r[1])) for r in sample.select("positive", "text").mapInArrow(numbered, "positive boolean, features binary").collect())
+    sides = [[np.frombuffer(x, "<u2") for kind, x in found if kind is side] for side in (True, False)]
+    return train(*sides, names, min(0.9, toxic / n))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score; a column of that name is replaced."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with the score in a column of that name, which is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = pa.array([sent.value.score(t.as_py()) for t in batch.column("text")], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, name])
 
     small_batches(docs.sparkSession)
-    kept = docs.drop("score")
-    return kept.mapInArrow(rows, T.StructType([*kept.schema, T.StructField("score", T.DoubleType())]))
+    kept = docs.drop(name)
+    return kept.mapInArrow(rows, T.StructType([*kept.schema, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -155,6 +155,14 @@ def test_stages_keep_columns_and_take_effect(spark, sf, odd):
     assert packed.count() > 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(packed.columns)
 
 
+def test_stages_keep_a_column_that_clashes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({c: F.lit("mine") for c in ("score", "_quality_score", "kept")})
+    for _, step in corpus_pipeline.STAGES[:4]:
+        kept = step(spark, docs, sf)
+        assert kept.columns == docs.columns
+        assert kept.where("score = 'mine' and _quality_score = 'mine' and kept = 'mine'").count() == kept.count() > 0
+
+
 def test_stages_on_odd_and_no_rows(spark, sf, odd):
     for _, step in corpus_pipeline.STAGES:
         step(spark, odd, sf).count()
