@@ -14,14 +14,21 @@ from gridlume.llm.common import stage, table
 from gridlume.llm.queries import tokenizer
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, or that with underscores before it: a column that docs hasn't."""
+    while name.lower() in map(str.lower, docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fitted(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where("score >= 0.5").select(*docs.columns)
+    model, score = quality.fitted(docs, table(spark, sf_dir, "labels")), free_name(docs, "_quality_score")
+    return quality.scored(docs, model, score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where("score < 0.5").select(*docs.columns)
+    model, score = toxicity.fitted(docs, table(spark, sf_dir, "labels")), free_name(docs, "_toxic_score")
+    return toxicity.scored(docs, model, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
