@@ -11,8 +11,13 @@ of a bucket that still lie in different groups follow, so each candidate pair is
 group. Before sets are fetched a pair must pass an exact bound from the sets' bitmaps. A pair of exactly the
 threshold shares no band with probability (1 - 0.85^5)^26 = 2.4e-7.
 
+Nothing hot meets in one task: a large bucket's rows are dealt to tasks in parts, a document with many pairs sends its
+set once for each PART of them, and classes with many copies get their roots by broadcast.
+
 Null or empty text: empty set, linked with nothing. Null doc_id: kept as a row of its own, never linked.
-Repeated rows have equal sets, and so one class. An empty table gives no rows.
+Repeated rows have equal sets, and so one class. A doc_id with several texts is one node: it is linked with all that any
+of its texts is linked with. Very long texts are read whole, one at a time. An empty table gives no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ SLOTS = ROWS * BANDS
 BITS = 1024
 #: A link: 100 * shared >= PERCENT * union.
 PERCENT = 85
+#: Pairs of one document, and rows of one bucket, that are dealt to one task; most documents with more pairs, and most classes with many copies, that are broadcast.
+PART, MEMBERS, MOST_HUBS, MOST_HOT = 5000, 1000, 100_000, 1000
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -144,16 +151,48 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The candidate pairs that are links, by the full sets of the documents they name."""
     pairs = stage(pairs, "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stage(full_sets(docs, wanted).dropDuplicates(["doc_id"]), "full-sets")
-    return stage(verified(pairs, sets), "confirmed")
+    sets = full_sets(docs, wanted).withColumn("_set", F.xxhash64("shingles")).dropDuplicates(["doc_id", "_set"]).drop("_set")
+    return stage(verified(pairs, stage(sets, "full-sets")), "confirmed")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold."""
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b") - shared).alias("union"))
-    return both.where(100 * F.col("shared") >= PERCENT * F.col("union")).select("a", "b")
+    """The pairs (a, b) whose full sets meet the threshold. Both tables are read more than once.
+
+    Each a's set goes ahead of its pairs, which bring the sets of their b, and is held while they pass.
+    """
+    most = max(PART, pairs.count() // MOST_HUBS)
+    hubs = F.broadcast(pairs.groupBy("a").count().where(F.col("count") > most).select("a", F.ceil(F.col("count") / most).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    ahead = sets.withColumnRenamed("doc_id", "a").join(pairs.select("a"), "a", "left_semi").join(hubs, "a", "left")
+    ahead = ahead.select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "shingles")
+    after = pairs.select("a", "b").join(sets.withColumnRenamed("doc_id", "b"), "b").join(hubs, "a", "left")
+    after = after.select("a", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"), "b", "shingles")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, held = None, []
+        for batch in batches:
+            ends = batch.column(3).offsets.to_numpy() - batch.column(3).offsets[0].as_py()
+            values, found = batch.column(3).flatten().to_numpy().view(np.uint64), []
+            for a, part, b, i, j in zip(*(batch.column(k).to_pylist() for k in range(3)), ends, ends[1:], strict=False):
+                if (a, part) != owner:
+                    owner, held = (a, part), []
+                if b is None:
+                    held.append(values[i:j].copy())
+                elif any(alike(x, values[i:j]) for x in held):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    small_batches(pairs.sparkSession)
+    ordered = ahead.union(after).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return ordered.mapInArrow(rows, "a long, b long").distinct()
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets meet the threshold."""
+    if not len(x) or not len(y):
+        return False
+    shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
 
 
 def bounded(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -177,26 +216,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document."""
     sketch = stage(sketches(docs), "sketches")
     same = ["n_shingles", "sum_a", "sum_b"]
-    classes = stage(sketch.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("doc"), F.min("bands").alias("bands"), F.min("bits").alias("bits")), "set-classes")
+    classes = stage(sketch.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.min("bands").alias("bands"), F.min("bits").alias("bits")), "set-classes")
     bitmaps = classes.select("doc", F.col("n_shingles").alias("n"), "bits")
     keyed = classes.select(F.explode("bands").alias("key"), "doc")
     firsts = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("key", "first")
     buckets = stage(keyed.join(firsts, "key"), "buckets")
 
     first = stage(buckets.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), "first-pairs")
-    groups = components(confirmed(docs, bounded(first, bitmaps)))
+    groups = components(confirmed(docs, bounded(first, bitmaps).distinct()))
 
     # Pairs in buckets that still hold several groups: of each such pair one lies outside the bucket's largest group.
     root = F.coalesce("root", "doc").alias("root")
     grouped = stage(buckets.join(groups, F.col("doc") == F.col("node"), "left").select("key", "doc", root), "grouped-buckets")
-    largest = grouped.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("n", "root")).alias("largest"))
-    rows = stage(grouped.join(largest.where("groups > 1").select("key", "largest"), "key").join(bitmaps, "doc"), "open-buckets")
-    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "root", "n", "bits", "largest"))) for s in "ab")
-    rest = a.where("root_a <> largest_a").join(b, (a["key"] == b["key"]) & (F.col("root_a") != F.col("root_b")) & possible())
+    sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.ceil(F.sum("n") / MEMBERS).cast("int").alias("parts"))
+    rows = stage(grouped.join(largest.where("groups > 1").drop("groups"), "key").join(bitmaps, "doc"), "open-buckets")
+    # Those outside the largest group are dealt to parts of their bucket; each part meets the whole bucket.
+    part = {"a": F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}
+    a, b = (rows.select("key", part[s].alias("part"), *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "root", "n", "bits", "largest"))) for s in "ab")
+    rest = a.where("root_a <> largest_a").join(b, (a["key"] == b["key"]) & (a["part"] == b["part"]) & (F.col("root_a") != F.col("root_b")) & possible())
     rest = rest.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     # A group's members with its root stand for the links found so far.
     links = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(confirmed(docs, rest))
     groups = components(links)
 
-    roots = classes.join(groups, F.col("doc") == F.col("node"), "left").select(*same, root)
-    return sketch.drop("bands", "bits").join(roots, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    roots = stage(classes.join(groups, F.col("doc") == F.col("node"), "left").select(*same, "copies", root), "class-roots")
+    # At most MOST_HOT classes have so many copies; empty sets have no root.
+    hot = F.broadcast(roots.where(F.col("copies") > sketch.count() / MOST_HOT).select(*same, F.col("root").alias("hot_root")))
+    rows = sketch.select("doc_id", *same)
+    full = rows.where("n_shingles > 0").join(hot, same, "left")
+    few = full.where("hot_root is null").join(roots.select(*same, "root"), same, "left")
+    out = few.select("doc_id", "n_shingles", "root").union(full.where("hot_root is not null").select("doc_id", "n_shingles", "hot_root"))
+    out = out.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")
+    return out.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

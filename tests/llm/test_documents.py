@@ -175,6 +175,27 @@ def test_near_dedup_of_a_chain_and_a_hub(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("part,members", [(2, 3)])
+def test_near_dedup_in_small_parts(spark, monkeypatch, part, members):
+    """One hub with many pairs, a bucket of many groups that share a passage, and hot copies: dealt in parts, the same."""
+    monkeypatch.setattr(near_dedup, "PART", part)
+    monkeypatch.setattr(near_dedup, "MEMBERS", members)
+    rng = np.random.default_rng(4)
+    passage = [f"p{i}" for i in range(300)]
+    texts = [(k, " ".join([*passage, *(f"q{k % 12}_{i}" for i in range(45 + k % 3))])) for k in range(1, 37)]
+    texts += [(100 + k, " ".join(w if rng.random() > 0.004 else f"z{k}" for w in passage)) for k in range(20)]
+    texts += [(200 + k, "one and the same text of some words") for k in range(30)] + [(300 + k, "") for k in range(10)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts)
+
+
+def test_a_document_with_two_texts_is_one_node(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (9, "other words")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (5, 5), (7, 5), (8, 5), (9, 9)]
+
+
 def test_near_dedup_of_the_table(spark, sf):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op3_near_dedup"](spark, sf).collect()}
