@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlume.operators.lineage import stage
+from gridlume.operators.lineage import release, stage
 from gridlume.operators.spatial import annulus_edges, pairs_within
 
 
@@ -29,7 +29,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Small star: u and its smaller neighbours point to the smallest of them.
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        edges = stage(small.where("u <> v").distinct(), "links")
+        before, edges = edges, stage(small.where("u <> v").distinct(), "links")
+        release(before)
         if (now := mark(edges)) == seen:
             break
         seen = now

@@ -8,13 +8,37 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: For each application its folder of staged tables.
+_roots: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
+    """This application's folder in the one that the cluster names in spark.checkpoint.dir.
+
+    Where none is named, the context's checkpoint folder is taken, and in local mode, where driver and executors are one
+    process, a temporary one; on a cluster without a shared folder this raises. The folder goes when the application ends.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return os.path.dirname(context.getCheckpointDir().rstrip("/"))
+    key = context.applicationId
+    if key not in _roots:
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and context.getCheckpointDir() is not None:
+            named = os.path.dirname(context.getCheckpointDir().rstrip("/"))
+        if named is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir isn't set: it must name a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        root = f"{named.rstrip('/')}/staged-{key}-{uuid.uuid4().hex[:8]}"
+        system, path = _file_system(spark, root)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _roots[key] = root
+    return _roots[key]
+
+
+def _file_system(spark: SparkSession, place: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -22,4 +46,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(staged: DataFrame) -> None:
+    """Delete a table written by stage() that nothing will read again."""
+    system, path = _file_system(staged.sparkSession, staged._staged_at)
+    system.delete(path, True)
