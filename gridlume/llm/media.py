@@ -4,7 +4,7 @@ Corners are local maxima of the Harris response at several scales. Around each t
 orientation, and 128 seeded comparisons of smoothed grey levels, turned to it, give the descriptor. Six Hamming
 tables, each of two of the descriptor's four words, are joined on equality, so descriptors that differ in up to two
 bits (or in one or two words) meet: each bucket's descriptors meet its first image's, and then, where a bucket still
-holds several classes, those of the other classes. Any two matches of two images fix a turn, a resizing and a shift; a
+holds several classes, those of the other classes; a bucket's images are dealt to tasks in parts of MEMBERS. Any two matches of two images fix a turn, a resizing and a shift; a
 pair with CONSENSUS keypoints that agree on one is a link, and links make classes by union-find, the same as if all
 pairs of images were compared. n_links follows from the class, so every copy of a picture has it. Keypoints are in
 proportion to the area. Words must be equal, so copies turned by an oblique angle, where grey levels are interpolated,
@@ -32,10 +32,12 @@ from gridlume.operators.graph import components
 
 #: Half-width of a patch, its border with turned tests, bits, angle steps, keypoints at each scale on AREA pixels.
 HALF, BORDER, BITS, STEPS = 7, 8, 128, 32
-SCALES = ((1.0, 32), (1.25, 20), (1.5, 16), (2.0, 10))
+SCALES = ((1.0, 24), (1.25, 16), (1.5, 12), (2.0, 8))
 AREA = 2304
 #: Keypoints that agree on one change; pixels at scale 1 and angle steps within which they do; part of a patch's contrast below which grey levels count as equal.
-CONSENSUS, NEAR, TURN, EQUAL = 3, 2.0, 2, 0.25
+CONSENSUS, NEAR, TURN, EQUAL = 4, 2.0, 2, 0.25
+#: Rows of one bucket that are dealt to one task.
+MEMBERS = 1000
 
 
 def tests() -> np.ndarray:
@@ -81,7 +83,7 @@ def described_places(a: np.ndarray, soft: np.ndarray, image: np.ndarray, y: np.n
     at = lambda i: soft[image[:, None], y[:, None] + t[:, :, i], x[:, None] + t[:, :, i + 1]]
     # Levels that noise could reorder count as equal, in proportion to the contrast, which brightness and gain keep.
     equal = EQUAL * patch.std((1, 2))[:, None] + 1e-6
-    words = np.packbits(at(0) < at(2) - equal, axis=1).view(">u4").astype(np.int64)
+    words = np.packbits(at(0) < at(2) - equal, axis=1).view(">i4").astype(np.int32)
     return image, y * scale, x * scale, np.full(len(y), log(scale)), step, words
 
 
@@ -111,7 +113,7 @@ def keypoints(stack: np.ndarray) -> tuple[np.ndarray, ...]:
         for i in range(0, len(y), 8192):
             found.append(described_places(a, soft, image[i : i + 8192], y[i : i + 8192], x[i : i + 8192], scale))
     if not found:
-        return (*[np.zeros(0)] * 5, np.zeros((0, 4), np.int64))
+        return (*[np.zeros(0)] * 5, np.zeros((0, 4), np.int32))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
@@ -132,11 +134,11 @@ def described(media: DataFrame) -> DataFrame:
                 ids = np.array([k for k, _ in same], np.int64)[image.astype(int)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * 4, pa.int32()), pa.array(words.ravel()))
                 seen = [sha256(b"%d:%b" % (shape[1], i)).digest() for _, i in same]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([seen[i] for i in image.astype(int)], pa.binary()), *(pa.array(np.asarray(c, float)) for c in (y, x, scale)), pa.array(np.asarray(angle, np.int32)), lists], ["media_id", "picture", "y", "x", "scale", "angle", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([seen[i] for i in image.astype(int)], pa.binary()), *(pa.array(np.asarray(c, np.float32)) for c in (y, x, scale)), pa.array(np.asarray(angle, np.int32)), lists], ["media_id", "picture", "y", "x", "scale", "angle", "words"])
 
     small_batches(media.sparkSession)
     known = media.where("media_id IS NOT NULL").select(F.col("media_id").cast("long").alias("media_id"), F.col("width").cast("int").alias("width"), "image")
-    return known.mapInArrow(rows, "media_id long, picture binary, y double, x double, scale double, angle int, words array<long>")
+    return known.mapInArrow(rows, "media_id long, picture binary, y float, x float, scale float, angle int, words array<int>")
 
 
 def agree(y_a: np.ndarray, x_a: np.ndarray, y_b: np.ndarray, x_b: np.ndarray, ratio: np.ndarray, turn: np.ndarray) -> bool:
@@ -182,12 +184,12 @@ def agreed(match: DataFrame) -> DataFrame:
 
 def linked_images(points: DataFrame) -> DataFrame:
     """Links (a, b) with the same components as all pairs of images that have enough keypoints in agreement."""
-    tables = F.array(*[F.struct(F.lit(i).alias("table"), F.col("words")[p].alias("u"), F.col("words")[q].alias("v")) for i, (p, q) in enumerate(combinations(range(4), 2))])
+    tables = F.array(*[F.xxhash64(F.lit(i), F.col("words")[p], F.col("words")[q]) for i, (p, q) in enumerate(combinations(range(4), 2))])
     columns = ["media_id", "y", "x", "scale", "angle"]
-    keyed = points.select("media_id", *[F.col(k).cast("float") for k in ("y", "x", "scale")], "angle", F.inline(tables)).distinct()
-    key = ["table", "u", "v"]
-    ends = keyed.groupBy(*key).agg(F.min("media_id").alias("first"), F.max("media_id").alias("last")).where("first <> last").drop("last")
-    shared = stage(keyed.join(ends, key).select(F.xxhash64(*key).alias("key"), "first", *columns), "shared-words")
+    keyed = points.select(*columns, F.explode(tables).alias("key"))
+    # Only keys and ids are shuffled to find the buckets that two images share; where those are few, Spark broadcasts them to the keypoints.
+    ends = keyed.groupBy("key").agg(F.min("media_id").alias("first"), F.max("media_id").alias("last")).where("first <> last").drop("last")
+    shared = stage(keyed.join(stage(ends, "shared-keys"), "key").distinct(), "shared-words")
 
     def named(rows: DataFrame, side: str, *more: str) -> DataFrame:
         return rows.select("key", *[F.col(k).alias(side if k == "media_id" else f"{k}_{side}") for k in (*columns, *more)])
@@ -198,11 +200,14 @@ def linked_images(points: DataFrame) -> DataFrame:
     # Images of different groups meet only in buckets with several groups: there one of each pair lies outside the largest group.
     root = F.coalesce("root", "media_id").alias("root")
     grouped = stage(shared.join(groups, F.col("media_id") == F.col("node"), "left").select("key", *columns, root), "grouped-words")
-    largest = grouped.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("n", "root")).alias("largest"))
-    rows = stage(grouped.join(largest.where("groups > 1").select("key", "largest"), "key"), "open-words")
-    a, b = (named(rows, side, "root", "largest") for side in "ab")
+    sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.ceil(F.sum("n") / MEMBERS).cast("int").alias("parts"))
+    rows = stage(grouped.join(largest.where("groups > 1").drop("groups"), "key"), "open-words")
+    a, b = (named(rows, side, "root", "largest", "parts") for side in "ab")
+    a = a.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts_a")).cast("int"))
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)))
     # Both sides of a pair are taken in the order of the ids, so that its matches in all buckets vote together.
-    rest = a.where("root_a <> largest_a").join(b, "key").where("root_a <> root_b and (a < b or root_b = largest_b)")
+    rest = a.where("root_a <> largest_a").join(b, ["key", "part"]).where("root_a <> root_b and (a < b or root_b = largest_b)")
     pair = [F.when(F.col("a") < F.col("b"), F.col(f"{k}_{s}" if k else s)).otherwise(F.col(f"{k}_{o}" if k else o)).alias(f"{k}_{s}" if k else s) for s, o in ("ab", "ba") for k in ("", *columns[1:])]
     links = agreed(rest.select(*pair))
     # A group's members with its root stand for the links found so far.
@@ -223,19 +228,27 @@ def copies(media: DataFrame) -> DataFrame:
     return out.select("media_id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def pictures(embeddings: DataFrame, cell: int = 6) -> DataFrame:
-    """Images from vectors of 64 numbers: an 8 by 8 mosaic each, and of every fourth a cropped, brightened copy.
+#: A picture's rows and columns of cells, a cell's pixels, and the numbers of a vector.
+CELLS, CELL, NUMBERS = 16, 3, 64
 
-    media_id is twice vec_id, or one more for the copy. JVM functions only.
+
+def pictures(embeddings: DataFrame) -> DataFrame:
+    """Images from vectors of NUMBERS numbers: a mosaic of CELLS by CELLS each, and of every fourth a cropped, brightened copy.
+
+    A cell's level is the sum of two of the vector's numbers, another pair for each cell. media_id is twice vec_id, or
+    one more for the copy. A vector of another length, or none, has a null image. JVM functions only.
     """
-    side = 8 * cell
-    level = F.transform("embedding", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(255.0), (v.cast("double") + 0.4) * 320)))
-    ids = embeddings.where(F.size("embedding") == 64).select("vec_id", level.alias("level"))
+    side, n = CELLS * CELL, CELLS * CELLS
+    one = F.array(*[F.lit(k % NUMBERS + 1) for k in range(n)])
+    other = F.array(*[F.lit((k * (2 * (k // NUMBERS) + 3) + 11 * (k // NUMBERS) + 7) % NUMBERS + 1) for k in range(n)])
+    number = lambda i: F.try_element_at("embedding", i).cast("double")
+    level = F.when(F.size("embedding") == NUMBERS, F.zip_with(one, other, lambda i, j: F.greatest(F.lit(0.0), F.least(F.lit(255.0), (number(i) + number(j) + 0.57) * 225))))
+    ids = embeddings.select("vec_id", level.alias("level"))
 
     def drawn(rows: DataFrame, key: Column, x0: int, y0: int, w: int, h: int, gain: float, more: float) -> DataFrame:
-        # The eight grid rows as hexadecimal text, one pixel row each; a pixel row is cut from it and repeated.
-        text = F.array_join(F.transform("level", lambda v: F.repeat(F.lpad(F.hex(F.floor(v * gain + more).cast("long")), 2, "0"), F.lit(cell))), "")
-        lines = [F.repeat(F.substring("text", 2 * (r * side + x0) + 1, 2 * w), F.lit(n)) for r in range(8) if (n := len(range(max(y0, r * cell), min(y0 + h, (r + 1) * cell))))]
+        # The grid rows as hexadecimal text, one pixel row each; a pixel row is cut from it and repeated.
+        text = F.array_join(F.transform("level", lambda v: F.repeat(F.lpad(F.hex(F.floor(v * gain + more).cast("long")), 2, "0"), F.lit(CELL))), "")
+        lines = [F.repeat(F.substring("text", 2 * (r * side + x0) + 1, 2 * w), F.lit(k)) for r in range(CELLS) if (k := len(range(max(y0, r * CELL), min(y0 + h, (r + 1) * CELL))))]
         return rows.select(key.alias("media_id"), text.alias("text")).select("media_id", F.lit(w).alias("width"), F.unhex(F.concat(*lines)).alias("image"))
 
     whole = drawn(ids, 2 * F.col("vec_id"), 0, 0, side, side, 1.0, 0.0)

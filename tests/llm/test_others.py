@@ -107,6 +107,51 @@ def test_copies_meet_beside_a_stranger_of_smaller_id(spark):
     assert got == {1: (1, 0), **{k: (2, 4) for k in (2, 3, 4, 5, 6)}}
 
 
+def brute_classes(images):
+    """Every pair of images, every pair of their keypoints: classes by the links alone."""
+    points = {k: media.keypoints(i[None].astype(np.uint8)) for k, i in images.items()}
+    root = {k: k for k in images}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sorted(images):
+        for b in sorted(images):
+            if a < b and not np.array_equal(images[a], images[b]):
+                p, q = points[a], points[b]
+                i, j = np.nonzero((p[5][:, None] == q[5][None]).sum(2) >= 2)
+                match = {tuple(np.float32(v) for v in (p[1][x], p[2][x], q[1][y], q[2][y], np.exp(q[3][y] - p[3][x]), (q[4][y] - p[4][x]) % media.STEPS)) for x, y in zip(i, j, strict=True)}
+                linked = len(match) >= media.CONSENSUS and media.agree(*np.array(sorted(match), float).T)
+            else:
+                linked = a < b
+            if linked:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in images}
+
+
+@pytest.mark.parametrize("members", [1000, 2])
+def test_classes_are_those_of_all_pairs(spark, monkeypatch, members):
+    """Crops and copies of a few pictures, and pictures that share a part: the same classes as by comparing all pairs."""
+    monkeypatch.setattr(media, "MEMBERS", members)
+    images, logo = {}, mosaic(50, 8)
+    for n in range(6):
+        whole = mosaic(60 + n)
+        for i, (y, x) in enumerate(((0, 0), (6, 4), (20, 25), (40, 30))):
+            images[10 * n + i] = whole[y : y + 78, x : x + 78].copy()
+        shown = mosaic(80 + n, 14)
+        shown[:48, :48] = logo
+        images[10 * n + 7], images[10 * n + 8] = shown, mosaic(90 + n, 14)
+        images[10 * n + 9] = images[10 * n + 2].copy()
+    got = {r.media_id: (r.class_id, r.n_links) for r in media.copies(media_rows(spark, images)).collect()}
+    want = brute_classes(images)
+    assert {k: c for k, (c, _) in got.items()} == want
+    assert all(n == sum(c == d for d in want.values()) - 1 for c, n in got.values())
+    assert len({want[10 * n + 7] for n in range(6)}) < 6 and all(want[10 * n + 8] == 10 * n + 8 for n in range(6))
+
+
 def warped(image, degrees, size):
     h, w = image.shape
     y, x = np.mgrid[: int(h * size), : int(w * size)] / size
