@@ -109,8 +109,9 @@ def frame_bytes(width: Column, height: Column, components: Column, item: Column)
 
 
 def natural_key(name: Column) -> Column:
-    """SRC-04: runs of digits compare as numbers, other text in lower case."""
-    return F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1)), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p))
+    """SRC-04: runs of digits compare as numbers of any length (their own length goes first), other text in lower case."""
+    digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1)), lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 10, "0"), digits(p))).otherwise(p))
 
 
 def series_number(name: Column, fallback: Column) -> Column:

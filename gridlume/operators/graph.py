@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,33 +51,28 @@ def labelled_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return out.select("node", "root", "size", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"), (F.col("root") == F.col("_largest")).alias("in_largest"))
 
 
-def greedy_dedupe(points: DataFrame, distance: float, most_rounds: int = 200) -> DataFrame:
+def greedy_dedupe(points: DataFrame, distance: float) -> DataFrame:
     """GR-01: scan in order of (y, x, id) and keep a point if every kept one is farther than distance.
 
     The same set as the lexicographically first maximal independent set: in each round the points without an earlier
-    undecided neighbour are kept and their neighbours go. points (id, x, y); returns the kept ids.
+    undecided neighbour are kept and their neighbours go, until all are decided: a chain of points takes as many rounds
+    as it has kept points. points (id, x, y); returns the kept ids.
     """
     p = points.toDF("id", "x", "y")
-    place = F.struct("y", "x", "id")
     near = pairs_within(p, p, distance, F.col("a_id") != F.col("b_id"))
     earlier = F.struct(F.col("ay").alias("y"), F.col("ax").alias("x"), F.col("a_id").alias("id")) < F.struct(F.col("by").alias("y"), F.col("bx").alias("x"), F.col("b_id").alias("id"))
     edges = stage(near.where(earlier).select(F.col("a_id").alias("first"), F.col("b_id").alias("then")), "dedupe-edges")
     dropped = []
-    for _ in range(most_rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():
         # A node with no earlier undecided neighbour is kept; what follows it is dropped, with its edges.
         kept = edges.select("first").distinct().join(edges.select(F.col("then").alias("first")).distinct(), "first", "left_anti")
         gone = stage(edges.join(kept, "first", "left_semi").select(F.col("then").alias("id")).distinct(), "dedupe-gone")
         dropped.append(gone)
         left = edges.join(kept, "first", "left_anti").join(gone.withColumnRenamed("id", "first"), "first", "left_anti")
-        edges = stage(left.join(gone.withColumnRenamed("id", "then"), "then", "left_anti").select("first", "then"), "dedupe-edges")
-    else:
-        raise RuntimeError("points are not decided")
-    out = p.select("id", place.alias("_p")).drop("_p")
-    for gone in dropped:
-        out = out.join(gone, "id", "left_anti")
-    return out
+        before, edges = edges, stage(left.join(gone.withColumnRenamed("id", "then"), "then", "left_anti").select("first", "then"), "dedupe-edges")
+        release(before)
+    out = p.select("id")
+    return out.join(reduce(DataFrame.union, dropped), "id", "left_anti") if dropped else out
 
 
 def lattice_degree(points: DataFrame, pitch: float, width: float, height: float) -> DataFrame:

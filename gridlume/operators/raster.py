@@ -47,11 +47,21 @@ def smoothed(pixels: DataFrame, sigma: float, value: str = "v") -> DataFrame:
 
 
 def runs(pixels: DataFrame) -> DataFrame:
-    """Horizontal runs of adjacent pixels: image_id, y, x0, x1, run (an id in order of image, y, x0)."""
+    """Horizontal runs of adjacent pixels: image_id, y, x0, x1, run (an id in order of image, y, x0).
+
+    An id has 20 digits for the image and nine each for y and x0, so none overflows and no two meet.
+    """
     w = Window.partitionBy("image_id", "y").orderBy("x")
     island = pixels.select(*PIXEL).withColumn("_i", c("x") - F.row_number().over(w))
     out = island.groupBy("image_id", "y", "_i").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_i")
-    return out.withColumn("run", (c("image_id") * 1_000_000 + c("y")) * 1_000_000 + c("x0"))
+    digits = lambda k, n: F.lpad(c(k).cast("string"), n, "0")
+    return out.withColumn("run", F.concat(digits("image_id", 20), digits("y", 9), digits("x0", 9)).cast("decimal(38,0)"))
+
+
+def first_pixel(run: Column) -> tuple[Column, Column, Column]:
+    """Image, y and x0 of a run's or label's id."""
+    text = F.lpad(run.cast("string"), 38, "0")
+    return tuple(F.substring(text, at, n).cast("long") for at, n in ((1, 20), (21, 9), (30, 9)))
 
 
 def labelled(pixels: DataFrame) -> DataFrame:
@@ -80,15 +90,22 @@ def hysteresis(properties: DataFrame, least_area: int, high: float) -> DataFrame
 
 def background_distance(labels: DataFrame) -> DataFrame:
     """RS-06: squared distance of each component pixel to the nearest other pixel inside the component's box; null if the
-    component fills it. Only background pixels next to the component can be nearest, so only they are met.
+    component fills it.
+
+    Two passes, linear in the box: down each column the nearest such pixel, then along each row the least over its
+    columns, which are one array of the box's width.
     """
     box = labels.groupBy("label").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
-    around = F.explode(F.array(*[F.struct((c("x") + dx).alias("bx"), (c("y") + dy).alias("by")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])).alias("n")
-    edge = labels.select("label", around).select("label", "n.bx", "n.by").distinct().join(box, "label").where("bx BETWEEN x0 AND x1 AND by BETWEEN y0 AND y1")
-    edge = edge.join(labels.select("label", c("x").alias("bx"), c("y").alias("by")), ["label", "bx", "by"], "left_anti").select("label", "bx", "by")
-    dx, dy = c("x") - c("bx"), c("y") - c("by")
-    near = labels.join(edge, "label", "left").groupBy("label", *PIXEL).agg(F.min(dx * dx + dy * dy).alias("d2"))
-    return near
+    columns = box.select("label", F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1")
+    cells = columns.select("label", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
+    other = F.when(c("_in").isNull(), c("y"))
+    down = Window.partitionBy("label", "x").orderBy("y")
+    before = F.last(other, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(other, ignorenulls=True).over(down.rowsBetween(0, Window.unboundedFollowing))
+    held = cells.join(labels.select("label", "x", "y", F.lit(True).alias("_in")), ["label", "x", "y"], "left").withColumn("_g", F.least(c("y") - before, after - c("y")))
+    rows = held.groupBy("label", "y").agg(F.collect_list(F.when(c("_g").isNotNull(), F.struct("x", (c("_g") * c("_g")).alias("g2")))).alias("_row"))
+    dx = lambda e: (c("x") - e["x"]) * (c("x") - e["x"]) + e["g2"]
+    return labels.select("label", *PIXEL).join(rows, ["label", "y"], "left").select("label", *PIXEL, F.array_min(F.transform("_row", dx)).alias("d2"))
 
 
 def local_maxima(pixels: DataFrame, distance: int, threshold: float, value: str = "v") -> DataFrame:

@@ -106,17 +106,18 @@ def manual_affine(scale: float, degrees: float, dx: float, dy: float, base: tupl
     return a, b, tx - a * cx - b * cy, -b, a, ty + b * cx - a * cy
 
 
-def blocked_two_nearest(left: DataFrame, right: DataFrame, blocks: int | None = None) -> DataFrame:
+def blocked_two_nearest(left: DataFrame, right: DataFrame, blocks: int | None = None, same: bool = False) -> DataFrame:
     """JN-14: each left vector's two nearest right vectors by exact distance (left_id, right_id, d, rank).
 
     left (id, vector) is a stated query set: it meets the right side in blocks, and each block's two best are
     kept before the blocks are put together. blocks: as many as shuffle partitions, unless given.
+    same: both are of one table, and a row is not its own neighbour.
     """
     blocks = blocks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     l, r = left.toDF("left_id", "u"), right.toDF("right_id", "v")
     ln, rn = (F.sqrt(F.aggregate(F.zip_with("u", "v", lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda s, x: s + x)), F.pmod(F.xxhash64("right_id"), F.lit(blocks)))
     spread = l.select("*", F.explode(F.array(*[F.lit(i).cast("long") for i in range(blocks)])).alias("block"))
-    scored = spread.join(r.withColumn("block", rn.cast("long")), "block").select("left_id", "right_id", "block", ln.alias("d"))
+    scored = spread.join(r.withColumn("block", rn.cast("long")), "block").where((F.col("left_id") != F.col("right_id")) if same else F.lit(True)).select("left_id", "right_id", "block", ln.alias("d"))
     best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("d", "right_id"))
     kept = scored.withColumn("rank", best("left_id", "block")).where("rank <= 2")
     return kept.withColumn("rank", best("left_id")).where("rank <= 2").drop("block")

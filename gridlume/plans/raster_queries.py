@@ -44,10 +44,10 @@ def gr_02(t: Tables) -> DataFrame:
 
 
 @query("gr_03", f"""WITH {EDGES}, d AS (SELECT id, count(*) AS n FROM (SELECT a_id AS id FROM edges UNION ALL SELECT b_id FROM edges) GROUP BY 1),
-a AS (SELECT well_id, coalesce(n, 0) AS neighbours, x_px <= 78 OR y_px <= 78 OR x_px >= 1800 - 78 OR y_px >= 3200 - 78 AS near_edge FROM v_points LEFT JOIN d ON d.id = well_id)
+a AS (SELECT well_id, coalesce(n, 0) AS neighbours, x_px <= 78 OR y_px <= 78 OR x_px >= w - 78 OR y_px >= h - 78 AS near_edge FROM v_points CROSS JOIN (SELECT max(x_px) + 1 AS w, max(y_px) + 1 AS h FROM v_points) LEFT JOIN d ON d.id = well_id)
 SELECT *, neighbours >= 2 OR (near_edge AND neighbours >= 1) AS keep FROM a""", "v_points")
 def gr_03(t: Tables) -> DataFrame:
-    return graph.lattice_degree(pts(t.points), 60.0, 1800, 3200).select(c("id").alias("well_id"), "neighbours", "near_edge", "keep")
+    return graph.lattice_degree(pts(t.points), 60.0, *t.extent).select(c("id").alias("well_id"), "neighbours", "near_edge", "keep")
 
 
 def lattice_components(t: Tables) -> DataFrame:
@@ -120,22 +120,25 @@ def gr_07(t: Tables) -> DataFrame:
     return t.points.select("well_id", r6(x, "x"), r6(y, "y"), r6(G.affine(c("x_px"), c("y_px"), manual)[0], "manual_x"))
 
 
-TILES = "tiles AS (SELECT CAST(ty.v AS BIGINT) AS tile_y, CAST(tx.u AS BIGINT) AS tile_x, tx.u * 512 AS x0, ty.v * 512 AS y0, least(512, 1800 - tx.u * 512) AS w, least(512, 3200 - ty.v * 512) AS h FROM range(0, 4) AS tx(u), range(0, 7) AS ty(v))"
+EXTENT = "e AS (SELECT CAST(max(x_px) + 1 AS BIGINT) AS aw, CAST(max(y_px) + 1 AS BIGINT) AS ah FROM v_points)"
+TILES = f"""{EXTENT}, tx AS (SELECT unnest(range(0, (aw + 511) // 512)) AS u, aw FROM e), ty AS (SELECT unnest(range(0, (ah + 511) // 512)) AS v, ah FROM e),
+tiles AS (SELECT CAST(v AS BIGINT) AS tile_y, CAST(u AS BIGINT) AS tile_x, u * 512 AS x0, v * 512 AS y0, least(512, aw - u * 512) AS w, least(512, ah - v * 512) AS h, aw FROM tx CROSS JOIN ty)"""
 
 
-@query("gr_08", f"WITH {TILES} SELECT *, greatest(0, x0 - 96) AS halo_x0, least(1800, x0 + w + 96) AS halo_x1, count(well_id) AS wells FROM tiles LEFT JOIN v_points ON x_px >= x0 AND x_px < x0 + w AND y_px >= y0 AND y_px < y0 + h GROUP BY ALL".replace("SELECT *,", "SELECT tile_y, tile_x, x0, y0, w, h,"), "v_points")
+@query("gr_08", f"WITH {TILES} SELECT tile_y, tile_x, x0, y0, w, h, greatest(0, x0 - 96) AS halo_x0, least(aw, x0 + w + 96) AS halo_x1, count(well_id) AS wells FROM tiles LEFT JOIN v_points ON x_px >= x0 AND x_px < x0 + w AND y_px >= y0 AND y_px < y0 + h GROUP BY ALL", "v_points")
 def gr_08(t: Tables) -> DataFrame:
     from gridlume.operators.tiles import tile_grid
 
-    tiles = tile_grid(t.spark, 1800, 3200, 512, 96)
-    at = t.points.where("x_px >= 0 AND x_px < 1800 AND y_px >= 0 AND y_px < 3200").groupBy(F.expr("x_px div 512").alias("tile_x"), F.expr("y_px div 512").alias("tile_y")).agg(F.count("*").alias("wells"))
+    tiles = tile_grid(t.spark, *t.extent, 512, 96)
+    at = t.points.where("x_px >= 0 AND y_px >= 0").groupBy(F.expr("x_px div 512").alias("tile_x"), F.expr("y_px div 512").alias("tile_y")).agg(F.count("*").alias("wells"))
     return tiles.join(at, ["tile_y", "tile_x"], "left").withColumn("wells", F.coalesce("wells", F.lit(0).cast("long")))
 
 
-@query("gr_09", "SELECT well_id, least(3, greatest(0, x_px) // 512) AS tile_x, least(6, greatest(0, y_px) // 512) AS tile_y FROM v_points", "v_points")
+@query("gr_09", f"WITH {EXTENT} SELECT well_id, least((aw - 1) // 512, greatest(0, x_px) // 512) AS tile_x, least((ah - 1) // 512, greatest(0, y_px) // 512) AS tile_y FROM v_points CROSS JOIN e", "v_points")
 def gr_09(t: Tables) -> DataFrame:
-    at = lambda k, most: F.least(F.lit(most).cast("long"), F.floor(F.greatest(F.lit(0).cast("long"), c(k)) / 512).cast("long"))
-    return t.points.select("well_id", at("x_px", 3).alias("tile_x"), at("y_px", 6).alias("tile_y"))
+    width, height = t.extent
+    at = lambda k, n: F.least(F.lit((n - 1) // 512).cast("long"), F.floor(F.greatest(F.lit(0).cast("long"), c(k)) / 512).cast("long"))
+    return t.points.select("well_id", at("x_px", width).alias("tile_x"), at("y_px", height).alias("tile_y"))
 
 
 @query("ag_21", """WITH uv AS (SELECT x_px AS x, y_px AS y, round_even(round(y_px / 52.0::DOUBLE, 9), 0)::DOUBLE AS v, round_even(round((x_px * 52.0::DOUBLE - y_px * 30) / 3120, 9), 0)::DOUBLE AS u FROM v_points),
@@ -218,9 +221,15 @@ def rs_02(t: Tables) -> DataFrame:
     return R.smoothed(t.pixels, 1.0).withColumn("v", F.round("v", 6))
 
 
+def plain_label(df: DataFrame) -> DataFrame:
+    """The label's first pixel as the number that the SQL gives it; the tables' images have fewer than a million rows and columns."""
+    image, y, x = R.first_pixel(c("label"))
+    return df.withColumn("label", (image * 1_000_000 + y) * 1_000_000 + x)
+
+
 @query("rs_03", f"WITH {LABELS} SELECT image_id, x, y, label FROM lab", "v_pixels", recursive=True)
 def rs_03(t: Tables) -> DataFrame:
-    return R.labelled(t.pixels.where(c("v") >= CUT))
+    return plain_label(R.labelled(t.pixels.where(c("v") >= CUT)))
 
 
 PROPS = "props AS (SELECT image_id, label, count(*) AS area, avg(x) AS cx, avg(y) AS cy, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, max(v) AS high FROM lab GROUP BY ALL)"
@@ -228,12 +237,12 @@ PROPS = "props AS (SELECT image_id, label, count(*) AS area, avg(x) AS cx, avg(y
 
 @query("rs_04", f"WITH {LABELS}, {PROPS} SELECT image_id, label, area, round(cx, 6) AS cx, round(cy, 6) AS cy, x0, y0, x1, y1, high FROM props", "v_pixels", recursive=True)
 def rs_04(t: Tables) -> DataFrame:
-    return R.region_properties(labels(t)).withColumns({k: F.round(k, 6) for k in ("cx", "cy")})
+    return plain_label(R.region_properties(labels(t))).withColumns({k: F.round(k, 6) for k in ("cx", "cy")})
 
 
 @query("rs_05", f"WITH {LABELS}, {PROPS} SELECT label, area, high FROM props WHERE area >= 4 AND high >= 200", "v_pixels", recursive=True)
 def rs_05(t: Tables) -> DataFrame:
-    return R.hysteresis(R.region_properties(labels(t)), 4, 200).select("label", "area", "high")
+    return plain_label(R.hysteresis(R.region_properties(labels(t)), 4, 200)).select("label", "area", "high")
 
 
 DISTANCE = """cols AS (SELECT label, y0, y1, unnest(generate_series(x0, x1)) AS x FROM box), cells AS (SELECT label, x, unnest(generate_series(y0, y1)) AS y FROM cols),
@@ -243,7 +252,7 @@ dist AS (SELECT lab.label, lab.image_id, lab.x, lab.y, min((lab.x - bg.x) * (lab
 
 @query("rs_06", f"WITH {LABELS}, {DISTANCE} SELECT label, image_id, x, y, d2 FROM dist", "v_pixels", recursive=True)
 def rs_06(t: Tables) -> DataFrame:
-    return R.background_distance(labels(t))
+    return plain_label(R.background_distance(labels(t)))
 
 
 def maxima_sql(name: str, source: str, d: int, threshold: float, value: str = "v") -> str:
@@ -270,13 +279,13 @@ coalesce(peaks BETWEEN 2 AND 6 AND ratio >= CAST(0.75 AS DOUBLE) AND small >= 3
 def rs_08(t: Tables) -> DataFrame:
     own = labels(t)
     peaks = stage(R.component_peaks(own, 2, 1.0), "component-peaks")
-    return R.split_test(own, peaks, 3).withColumn("ratio", F.round("ratio", 6))
+    return plain_label(R.split_test(own, peaks, 3)).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("rs_09", f"WITH {LABELS}, {PEAKS}, {PIECES} SELECT label, image_id, x, y, px, py FROM pieces", "v_pixels", recursive=True)
 def rs_09(t: Tables) -> DataFrame:
     own = labels(t)
-    return R.pieces(own, stage(R.component_peaks(own, 2, 1.0), "component-peaks"))
+    return plain_label(R.pieces(own, stage(R.component_peaks(own, 2, 1.0), "component-peaks")))
 
 
 @query("rs_10")
@@ -320,7 +329,7 @@ def ring_wells(t: Tables) -> DataFrame:
 
 @query("rs_13", f"WITH {LABELS} SELECT image_id, label, round(avg(CASE WHEN (x - 32) * (x - 32) + (y - 32) * (y - 32) <= 400 THEN 1.0::DOUBLE ELSE 0 END), 6) AS inside_fraction FROM lab GROUP BY ALL", "v_pixels", recursive=True)
 def rs_13(t: Tables) -> DataFrame:
-    return R.inside_fraction(labels(t), discs(t, 20.0)).withColumn("inside_fraction", F.round("inside_fraction", 6))
+    return plain_label(R.inside_fraction(labels(t), discs(t, 20.0))).withColumn("inside_fraction", F.round("inside_fraction", 6))
 
 
 OBJECTS = "(VALUES (0, 150.0, 110.0), (1, 110.0, 200.0), (2, 120.0, 112.0), (3, 60.0, 40.0)) AS k(o, ox, oy)"

@@ -126,9 +126,9 @@ def fn_14(t: Tables) -> DataFrame:
     return e.join(top, "image_id").select("image_id", "x", "y", (c("g") - F.greatest("r", "b")).alias("excess"), r6(F.least(F.lit(1.0), c("soft") / c("top")), "soft_excess"))
 
 
-@query("fn_15", "SELECT well_id FROM v_points WHERE x_px - radius_px >= 2 AND y_px - radius_px >= 2 AND x_px + radius_px < 1798 AND y_px + radius_px < 2998", "v_points")
+@query("fn_15", "SELECT well_id FROM v_points CROSS JOIN (SELECT max(x_px) + 1 AS w, max(y_px) + 1 AS h FROM v_points) WHERE x_px - radius_px >= 2 AND y_px - radius_px >= 2 AND x_px + radius_px < w - 2 AND y_px + radius_px < h - 2", "v_points")
 def fn_15(t: Tables) -> DataFrame:
-    return t.points.where(S.fully_visible(c("x_px"), c("y_px"), c("radius_px"), F.lit(1800), F.lit(3000))).select("well_id")
+    return t.points.where(S.fully_visible(c("x_px"), c("y_px"), c("radius_px"), *map(F.lit, t.extent))).select("well_id")
 
 
 @query("fn_16", "SELECT well_id FROM v_points WHERE x_px >= 512 AND x_px < 1024 AND y_px >= 512 AND y_px < 1024", "v_points")

@@ -109,6 +109,12 @@ class Tables:
     def points(self) -> DataFrame:
         return self.view("v_points")
 
+    @cached_property
+    def extent(self) -> tuple[int, int]:
+        """Width and height of the array that holds the points."""
+        x, y = self.points.agg(F.max("x_px"), F.max("y_px")).first()
+        return int(x or 0) + 1, int(y or 0) + 1
+
     @cached_property
     def points_raw(self) -> DataFrame:
         return self.view("v_points_raw")
