@@ -123,3 +123,14 @@ def source_type(uri: Column) -> Column:
     """SRC-17: by suffix, without the query string."""
     u = F.lower(F.substring_index(uri, "?", 1))
     return F.when(u.endswith(".nd2"), "nd2").when(u.contains(".zarr"), "zarr").when(u.endswith(".tif") | u.endswith(".tiff"), "tiff").otherwise("unknown")
+
+
+def settings_problem(object_channel: Column, focus_channel: Column, channels: Column, wells: Column, responder_max: Column, resistant_min: Column) -> Column:
+    """FN-27: what is wrong with a run's settings, the first of four guards; null if nothing. Raise on it, or count it."""
+    missing = (object_channel >= channels) | (focus_channel >= channels)
+    return (
+        F.when(missing, "Selected channel does not exist.")
+        .when(object_channel == focus_channel, "One channel cannot carry both signals.")
+        .when(F.coalesce(wells, F.lit(0)) == 0, "No wells were detected.")
+        .when(responder_max >= resistant_min, "Responder threshold must be lower than the resistant threshold.")
+    )

@@ -41,6 +41,11 @@ def _file_system(spark: SparkSession, place: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def exists(spark: SparkSession, place: str) -> bool:
+    system, path = _file_system(spark, place)
+    return system.exists(path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: it is computed once and survives lost executors."""
     spark = df.sparkSession

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 AREA, RELATIVE, CHANGE = "total_area_um2", "relative_area", "percent_change"
 DERIVED = ("baseline_time", "baseline_area", RELATIVE, CHANGE, "log_growth_rate")
+#: Terms of the series of Student's t.
+MOST_TERMS = 10_000
 NOTE_NO_FIT = "At least four distinct concentrations, including at least three >0, are required for a 4PL fit."
 
 
@@ -64,9 +66,12 @@ def final_rows(df: DataFrame, keys: tuple[str, ...] = ("condition_index", "condi
 
 def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """AG-08, AG-09: n, median, quartiles and mean by keys, null keys kept; groups without a value go."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(value).alias("n"), q.alias("_q"), F.avg(value).alias("mean"))
-    return out.select(*keys, "n", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q25"), F.col("_q")[2].alias("q75"), "mean")
+    from gridlume.sources.tables import quantiles
+
+    rows = df.select(*keys, value)
+    means = rows.where(F.col(value).isNotNull()).groupBy(F.struct(F.lit(0).alias("_0"), *keys).alias("_key")).agg(F.avg(value).alias("mean"))
+    found = quantiles(rows, keys, value, {"median": 0.5, "q25": 0.25, "q75": 0.75})
+    return found.withColumn("_key", F.struct(F.lit(0).alias("_0"), *keys)).join(means, "_key").select(*keys, "n", "median", "q25", "q75", "mean")
 
 
 def responder_class(change: Column, responder_max: float, resistant_min: float) -> Column:
@@ -85,22 +90,32 @@ def class_shares(df: DataFrame) -> DataFrame:
     return wide.select("condition", each).select("condition", "e.*")
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """The mean of the ranks that ties share."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
+def with_average_rank(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
+    """df with the mean of the ranks that ties share, by keys: counted by value, so that no key is ranked in one task."""
+    from gridlume.sources.tables import running
+
+    counted = running(df.groupBy(*keys, value).agg(F.count("*").alias("_n")), keys, [value], F.col("_n"), "_before")
+    rank = (F.col("_before") + (F.col("_n") + 1) / 2).alias(name)
+    key = F.struct(*keys, value).alias("_key")
+    return df.withColumn("_key", key).join(counted.select(key, rank), "_key").drop("_key")
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """AG-11: rank correlation by keys; null with under 3 rows or a constant side."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = both.withColumns({"_ra": average_rank(a, keys), "_rb": average_rank(b, keys)})
+    from gridlume.operators.lineage import stage
+
+    both = stage(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b), "spearman")
+    ranked = with_average_rank(with_average_rank(both, a, keys, "_ra"), b, keys, "_rb")
     out = ranked.groupBy(*keys).agg(F.count("*").alias("n_wells"), (F.covar_pop("_ra", "_rb") / F.nullif(F.stddev_pop("_ra") * F.stddev_pop("_rb"), F.lit(0.0))).alias("_rho"), F.count_distinct(a).alias("_da"), F.count_distinct(b).alias("_db"))
     usable = (F.col("n_wells") >= 3) & (F.col("_da") >= 2) & (F.col("_db") >= 2)
     return out.withColumn("spearman_rho", F.when(usable, F.col("_rho"))).drop("_rho", "_da", "_db")
 
 
 def spearman_p(rho: Column, n: Column) -> Column:
-    """AG-12: two-sided p of Student's t with n - 2 degrees of freedom, by the finite series for whole degrees."""
+    """AG-12: two-sided p of Student's t with n - 2 degrees of freedom, by the finite series for whole degrees.
+
+    Beyond MOST_TERMS terms the normal law takes over, at t (1 - 1 / 4v) / sqrt(1 + t^2 / 2v): within 1e-6 of the series.
+    """
     v = (n - 2).cast("double")
     t = F.abs(rho) * F.sqrt(v / ((1 + rho) * (1 - rho)))
     angle = F.atan(t / F.sqrt(v))
@@ -114,9 +129,19 @@ def spearman_p(rho: Column, n: Column) -> Column:
         term = acc["term"] * factor(k) * c2
         return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    series = F.when(terms >= 1, F.aggregate(F.sequence(F.lit(1), F.greatest(terms, F.lit(1))), start, step)["sum"]).when(terms == 0, F.lit(1.0)).otherwise(0.0)
+    series = F.when(terms >= 1, F.aggregate(F.sequence(F.lit(1), F.least(F.lit(MOST_TERMS), F.greatest(terms, F.lit(1)))), start, step)["sum"]).when(terms == 0, F.lit(1.0)).otherwise(0.0)
     inside = F.when(even, F.sin(angle) * series).otherwise(2 / F.pi() * (angle + F.when(n > 3, F.sin(angle) * F.cos(angle) * series).otherwise(0.0)))
-    return F.when(F.abs(rho) == 1, 0.0).when(rho.isNotNull() & (n >= 3), F.greatest(F.lit(0.0), 1 - inside))
+    few = F.greatest(F.lit(0.0), 1 - inside)
+    many = two_sided_normal(t * (1 - 1 / (4 * v)) / F.sqrt(1 + t * t / (2 * v)))
+    return F.when(F.abs(rho) == 1, 0.0).when(rho.isNotNull() & (n >= 3), F.when(terms > MOST_TERMS, many).otherwise(few))
+
+
+def two_sided_normal(z: Column) -> Column:
+    """P(|Z| > z) for z >= 0, by a rational approximation of the error function (Abramowitz and Stegun 7.1.26: error under 1.5e-7)."""
+    x = z / F.sqrt(F.lit(2.0))
+    u = 1 / (1 + 0.3275911 * x)
+    series = u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429))))
+    return series * F.exp(-x * x)
 
 
 def bh_adjusted(df: DataFrame, p: str, ties: list[str]) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlume.operators import response as R
 from gridlume.plans.registry import query
 from gridlume.plans.views import Tables
+from gridlume.sources import tables as IO
 
 KEYS = ["condition", "timepoint_index"]
 
@@ -176,16 +179,17 @@ def ag_27(t: Tables) -> DataFrame:
 
 @query("wn_08", METRICS + "SELECT condition, key AS well_index, round(percent_change, 6) AS percent_change, row_number() OVER (PARTITION BY condition ORDER BY percent_change, key) AS waterfall_rank FROM final WHERE percent_change IS NOT NULL", "v_tracking")
 def wn_08(t: Tables) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("condition").orderBy("percent_change", "well_index"))
-    return R.final_rows(metrics(t)).where("percent_change IS NOT NULL").select("condition", "well_index", r6("percent_change"), rank.cast("long").alias("waterfall_rank"))
+    known = R.final_rows(metrics(t)).where("percent_change IS NOT NULL").select("condition", "well_index", "percent_change")
+    return IO.ranked(known, ["percent_change", "well_index"], "waterfall_rank", ["condition"]).withColumn("percent_change", r6("percent_change"))
 
 
 @query("wn_09", METRICS + """SELECT timepoint_index, condition, key AS well_index, round(percent_change, 6) AS percent_change,
 round(row_number() OVER (PARTITION BY timepoint_index, condition ORDER BY percent_change, key) / CAST(count(*) OVER (PARTITION BY timepoint_index, condition) AS DOUBLE), 6) AS ecdf FROM m WHERE percent_change IS NOT NULL""", "v_tracking")
 def wn_09(t: Tables) -> DataFrame:
-    w = Window.partitionBy("timepoint_index", "condition")
-    ecdf = F.row_number().over(w.orderBy("percent_change", "well_index")) / F.count("*").over(w)
-    return metrics(t).where("percent_change IS NOT NULL").select("timepoint_index", "condition", "well_index", r6("percent_change"), r6(ecdf, "ecdf"))
+    known = metrics(t).where("percent_change IS NOT NULL").select("timepoint_index", "condition", "well_index", "percent_change")
+    sizes = known.groupBy("timepoint_index", "condition").agg(F.count("*").alias("n"))
+    placed = IO.ranked(known, ["percent_change", "well_index"], "k", ["timepoint_index", "condition"]).join(sizes, ["timepoint_index", "condition"])
+    return placed.select("timepoint_index", "condition", "well_index", r6("percent_change"), r6(F.col("k") / F.col("n"), "ecdf"))
 
 
 @query("wn_10", METRICS + f"SELECT condition, {QUART.format('percent_change')}, round(min(percent_change), 6) AS low, round(max(percent_change), 6) AS high FROM final WHERE percent_change IS NOT NULL GROUP BY ALL", "v_tracking")
@@ -197,13 +201,16 @@ def wn_10(t: Tables) -> DataFrame:
 
 @query("wn_11", METRICS + """, cells AS (SELECT condition, key, timepoint_index, first(relative_area) AS v FROM m WHERE relative_area IS NOT NULL GROUP BY ALL),
 wide AS (SELECT condition, key AS well_index, """ + ", ".join(f"round(max(CASE WHEN timepoint_index = {k} THEN v END), 6) AS t{k}" for k in range(1, 7)) + """ FROM cells GROUP BY ALL)
-SELECT *, row_number() OVER (PARTITION BY condition ORDER BY coalesce(t6, t5) ASC NULLS LAST, well_index) AS sort_rank FROM wide""", "v_tracking")
+SELECT *, row_number() OVER (PARTITION BY condition ORDER BY CASE (SELECT max(timepoint_index) FROM cells c WHERE c.condition = wide.condition) WHEN 6 THEN t6 WHEN 5 THEN t5 WHEN 4 THEN t4 WHEN 3 THEN t3 WHEN 2 THEN t2 ELSE t1 END ASC NULLS LAST, well_index) AS sort_rank FROM wide""", "v_tracking")
 def wn_11(t: Tables) -> DataFrame:
     known = metrics(t).where("relative_area IS NOT NULL")
     wide = known.groupBy("condition", "well_index").pivot("timepoint_index", list(range(1, 7))).agg(F.round(F.first("relative_area", ignorenulls=True), 6))
     wide = wide.withColumnsRenamed({str(k): f"t{k}" for k in range(1, 7)})
-    order = Window.partitionBy("condition").orderBy(F.coalesce("t6", "t5").asc_nulls_last(), "well_index")
-    return wide.withColumn("sort_rank", F.row_number().over(order).cast("long"))
+    # A condition's rows are in order of its last column, those without a value there last.
+    last = known.groupBy("condition").agg(F.max("timepoint_index").alias("_last"))
+    value = reduce(lambda out, k: F.when(F.col("_last") == k, F.col(f"t{k}")).otherwise(out), range(1, 7), F.lit(None).cast("double"))
+    rows = wide.join(last, "condition").withColumn("_v", value).withColumn("_none", F.col("_v").isNull()).drop("_last")
+    return IO.ranked(rows, ["_none", "_v", "well_index"], "sort_rank", ["condition"]).drop("_v", "_none")
 
 
 @query("jn_03", METRICS + ", f AS (SELECT DISTINCT condition_index, key, baseline_area FROM m) SELECT m.key AS well_index, m.timepoint_index, round(f.baseline_area, 6) AS baseline_area FROM m LEFT JOIN f ON m.condition_index = f.condition_index AND m.key = f.key", "v_tracking")

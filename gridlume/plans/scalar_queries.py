@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlume.functions import scalar as S
+from gridlume.operators.lineage import shared_dir, stage
 from gridlume.plans.registry import query
 from gridlume.plans.views import Tables
 from gridlume.sources import tables as IO
@@ -43,9 +47,9 @@ traj || '__T' || lpad(timepoint_index::VARCHAR, 2, '0') || '__PSCFOCUS' || (CASE
     "v_tracking",
 )
 def fn_03(t: Tables) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("condition_index", "timepoint_index").orderBy("trajectory_id"))
     at = F.split("well_index", ",")
-    ids = t.tracking.withColumns({"n": n, "array_id": S.trajectory_id(F.lit("Experiment_001"), F.lit("Array_001"), c("condition_index"), c("image_series"), at[0], at[1])})
+    rows = IO.ranked(t.tracking, ["trajectory_id"], "n", ["condition_index", "timepoint_index"])
+    ids = rows.withColumns({"array_id": S.trajectory_id(F.lit("Experiment_001"), F.lit("Array_001"), c("condition_index"), c("image_series"), at[0], at[1])})
     ids = ids.withColumn("observation_id", S.observation_id(c("array_id"), c("timepoint_index")))
     return ids.select("trajectory_id", "timepoint_index", "array_id", "observation_id", S.object_id(c("observation_id"), c("n")).alias("object_id"), S.focus_id(c("observation_id"), c("n")).alias("focus_id"))
 
@@ -184,10 +188,15 @@ def fn_26(t: Tables) -> DataFrame:
     return t.table("part").select("p_partkey", b.alias("bytes"), r6(b / 1048576.0, "mib"), (b > 1 << 30).alias("large"))
 
 
-@query("fn_27", "SELECT count(*) FILTER (WHERE total_area_um2 < 0) AS negative_areas, count(*) FILTER (WHERE foci_analysed AND focus_count IS NULL) AS foci_missing, count(*) FILTER (WHERE NOT foci_analysed AND focus_count IS NOT NULL) AS foci_unasked FROM v_tracking", "v_tracking")
+GUARDED = """SELECT p_partkey, p_size % 4 AS object_channel, p_partkey % 5 AS focus_channel, p_size % 6 AS channels, p_size - 30 AS responder_max, p_partkey % 30 - 15 AS resistant_min, n FROM part LEFT JOIN (SELECT ps, count(*) AS n FROM (SELECT l_partkey AS ps, l_discount FROM lineitem) WHERE l_discount > 0.09 GROUP BY ps) ON ps = p_partkey"""
+
+
+@query("fn_27", f"""SELECT p_partkey, CASE WHEN object_channel >= channels OR focus_channel >= channels THEN 'Selected channel does not exist.' WHEN object_channel = focus_channel THEN 'One channel cannot carry both signals.'
+WHEN coalesce(n, 0) = 0 THEN 'No wells were detected.' WHEN responder_max >= resistant_min THEN 'Responder threshold must be lower than the resistant threshold.' END AS problem FROM ({GUARDED})""")
 def fn_27(t: Tables) -> DataFrame:
-    foci = c("focus_count")
-    return t.tracking.agg(F.count_if(c("total_area_um2") < 0).alias("negative_areas"), F.count_if(c("foci_analysed") & foci.isNull()).alias("foci_missing"), F.count_if(~c("foci_analysed") & foci.isNotNull()).alias("foci_unasked"))
+    wells = t.table("lineitem").where("l_discount > 0.09").groupBy(c("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
+    settings = t.table("part").select("p_partkey", (c("p_size") % 4).alias("object_channel"), (c("p_partkey") % 5).alias("focus_channel"), (c("p_size") % 6).alias("channels"), (c("p_size") - 30).alias("responder_max"), (c("p_partkey") % 30 - 15).alias("resistant_min")).join(wells, "p_partkey", "left")
+    return settings.select("p_partkey", S.settings_problem(c("object_channel"), c("focus_channel"), c("channels"), c("n"), c("responder_max"), c("resistant_min")).alias("problem"))
 
 
 @query("fn_28", "SELECT doc_id, coalesce(lower(trim(CASE doc_id % 4 WHEN 0 THEN 'True ' WHEN 1 THEN '1' WHEN 2 THEN lang END)) IN ('true', '1'), false) AS flag FROM documents")
@@ -334,29 +343,40 @@ def src_18(t: Tables) -> DataFrame:
 # ---- sinks
 
 
-@query("snk_01", """SELECT 'condition' AS name, condition AS a, CAST(NULL AS VARCHAR) AS b FROM (SELECT DISTINCT condition FROM v_tracking) UNION ALL SELECT 'timepoint', timepoint, NULL FROM (SELECT DISTINCT timepoint FROM v_tracking)
-UNION ALL SELECT 'map', condition, timepoint FROM (SELECT DISTINCT condition, timepoint FROM v_tracking) UNION ALL SELECT 'trajectory', trajectory_id, NULL FROM (SELECT DISTINCT trajectory_id FROM v_tracking)""", "v_tracking")
+PACKAGE = """'condition' AS name, condition AS a, CAST(NULL AS VARCHAR) AS b FROM (SELECT DISTINCT condition FROM v_tracking) UNION ALL SELECT 'timepoint', timepoint, NULL FROM (SELECT DISTINCT timepoint FROM v_tracking)
+UNION ALL SELECT 'map', condition, timepoint FROM (SELECT DISTINCT condition, timepoint FROM v_tracking) UNION ALL SELECT 'trajectory', trajectory_id, NULL FROM (SELECT DISTINCT trajectory_id FROM v_tracking)
+UNION ALL SELECT 'experiment', 'Experiment_001', count(DISTINCT condition)::VARCHAR FROM v_tracking UNION ALL SELECT 'wells', trajectory_id, timepoint FROM v_tracking
+UNION ALL SELECT 'objects', trajectory_id, k::VARCHAR FROM (SELECT trajectory_id, unnest(range(1, object_count + 1)) AS k FROM v_tracking) UNION ALL SELECT 'foci', trajectory_id, focus_count::VARCHAR FROM v_tracking WHERE foci_analysed
+UNION ALL SELECT 'qc_flags', trajectory_id, 'no_area' FROM v_tracking WHERE total_area_um2 = 0 UNION ALL SELECT 'qc_flags', trajectory_id, 'foci_not_analysed' FROM v_tracking WHERE NOT foci_analysed
+UNION ALL SELECT 'qc_flags', trajectory_id, 'many_objects' FROM v_tracking WHERE object_count > 3"""
+
+
+def written_package(t: Tables) -> dict[str, DataFrame]:
+    return IO.write_package(IO.export_package(stage(t.tracking, "tracking")), f"{shared_dir(t.spark)}/package-{uuid.uuid4().hex}")
+
+
+@query("snk_01", f"SELECT {PACKAGE}", "v_tracking")
 def snk_01(t: Tables) -> DataFrame:
-    package = IO.export_package(t.tracking)
-    out = [package[k].select(F.lit(k).alias("name"), c(package[k].columns[0]).alias("a"), (c(package[k].columns[1]) if k == "map" else F.lit(None).cast("string")).alias("b")) for k in ("condition", "timepoint", "map", "trajectory")]
-    return out[0].union(out[1]).union(out[2]).union(out[3])
+    shown = {"experiment": ("name", "conditions"), "condition": ("condition", None), "timepoint": ("timepoint", None), "map": ("condition", "timepoint"), "trajectory": ("trajectory_id", None), "wells": ("trajectory_id", "timepoint"), "objects": ("trajectory_id", "object_number"), "foci": ("trajectory_id", "focus_count"), "qc_flags": ("trajectory_id", "flag")}
+    package = written_package(t)
+    return reduce(DataFrame.union, [package[k].select(F.lit(k).alias("name"), c(a).alias("a"), (F.lit(None) if b is None else c(b)).cast("string").alias("b")) for k, (a, b) in shown.items()])
 
 
-@query("snk_02", """SELECT 'condition' AS name, count(DISTINCT condition) AS n FROM v_tracking UNION ALL SELECT 'timepoint', count(DISTINCT timepoint) FROM v_tracking
-UNION ALL SELECT 'map', count(*) FROM (SELECT DISTINCT condition, timepoint FROM v_tracking) UNION ALL SELECT 'trajectory', count(DISTINCT trajectory_id) FROM v_tracking UNION ALL SELECT 'wells', count(*) FROM v_tracking""", "v_tracking")
+@query("snk_02", f"SELECT name, count(*) AS n FROM (SELECT {PACKAGE}) GROUP BY name", "v_tracking")
 def snk_02(t: Tables) -> DataFrame:
-    return IO.row_counts(IO.export_package(t.tracking))
+    return IO.row_counts(IO.export_package(stage(t.tracking, "tracking")))
 
 
-@query("snk_03", "SELECT page_id, 'masks/T' || lpad((page_id % 5)::VARCHAR, 2, '0') AS prefix FROM pages")
+@query("snk_03", "SELECT page_id, 'masks/series=T' || lpad((page_id % 5)::VARCHAR, 2, '0') AS prefix FROM pages")
 def snk_03(t: Tables) -> DataFrame:
-    path = F.concat(F.lit("s3://b/masks/T"), S.padded(c("page_id") % 5, 2), F.lit("/mask_manifest.csv"))
-    return t.table("pages").select("page_id", IO.manifest_prefix(path, "s3://b/").alias("prefix"))
+    root = f"{shared_dir(t.spark)}/manifests-{uuid.uuid4().hex}"
+    t.table("pages").select("page_id", F.concat(F.lit("T"), S.padded(c("page_id") % 5, 2)).alias("series")).write.option("header", True).partitionBy("series").csv(f"{root}/masks")
+    return IO.read_manifests(t.spark, root, "page_id long").select("page_id", "prefix")
 
 
-@query("snk_04", f"SELECT DISTINCT 'condition_' || lpad(condition_index::VARCHAR, 2, '0') || '_' || condition || '/time_' || lpad(timepoint_index::VARCHAR, 2, '0') || '_' || {SLUG.format('timepoint')} AS folder FROM v_tracking", "v_tracking")
+@query("snk_04", f"SELECT 'condition_' || lpad(condition_index::VARCHAR, 2, '0') || '_' || condition || '/time_' || lpad(timepoint_index::VARCHAR, 2, '0') || '_' || {SLUG.format('timepoint')} AS folder, count(*) AS wells FROM v_tracking GROUP BY 1", "v_tracking")
 def snk_04(t: Tables) -> DataFrame:
-    return t.tracking.select(IO.output_folder().alias("folder")).distinct()
+    return written_package(t)["wells"].groupBy(F.concat_ws("/", "condition_folder", "time_folder").alias("folder")).agg(F.count("*").alias("wells"))
 
 
 @query("snk_05", "SELECT page_id, '20260102T030405Z_' || substr(trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '_'), 1, 80) AS run_id FROM pages")
@@ -364,10 +384,10 @@ def snk_05(t: Tables) -> DataFrame:
     return t.table("pages").select("page_id", IO.run_id(F.to_timestamp(F.lit("2026-01-02 03:04:05")), c("url")).alias("run_id"))
 
 
-@query("snk_06")
+@query("snk_06", "SELECT condition, count(*) AS rows, min(concentration) AS dose, 1.05::DOUBLE AS centroid_outside, true AS foci, 20.0::DOUBLE AS well_rmin FROM v_tracking GROUP BY condition", "v_tracking")
 def snk_06(t: Tables) -> DataFrame:
-    n = t.tracking.agg(F.count("*").alias("rows"))
-    return IO.settings_snapshot(n, {"well_rmin": 20.0, "foci": True}, {"centroid_outside": 1.05})
+    n = t.tracking.groupBy("condition").agg(F.count("*").alias("rows"), F.min("concentration").alias("dose"))
+    return IO.settings_snapshot(n, {"well_rmin": 24.0, "foci": True}, {"centroid_outside": 1.05, "well_rmin": 20.0})
 
 
 @query("snk_07", "SELECT image_id, m.mask_type, m.definition FROM (SELECT DISTINCT image_id FROM v_pixels) CROSS JOIN (VALUES ('well', 'disc of the detected radius'), ('object', 'segmented foreground'), ('focus', 'disc of radius 2')) AS m(mask_type, definition)", "v_pixels")

@@ -131,12 +131,12 @@ def jn_13(t: Tables) -> DataFrame:
 
 @query("jn_14", """WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT q.vec_id AS left_id, e.vec_id AS right_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: CAST(z[1] - z[2] AS DOUBLE) * CAST(z[1] - z[2] AS DOUBLE))), 9) AS d2 FROM q, embeddings e WHERE e.vec_id <> q.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY d2, right_id) AS k FROM d)
-SELECT a.left_id, a.right_id, round(sqrt(a.d2), 5) AS d FROM k a JOIN k b ON a.left_id = b.left_id AND a.k = 1 AND b.k = 2 WHERE sqrt(a.d2) < CAST(0.75 AS DOUBLE) * sqrt(b.d2)""")
+SELECT a.left_id, a.right_id, round(sqrt(a.d2), 5) AS d, sqrt(a.d2) < CAST(0.75 AS DOUBLE) * sqrt(b.d2) AS accepted FROM k a JOIN k b ON a.left_id = b.left_id AND a.k = 1 AND b.k = 2""")
 def jn_14(t: Tables) -> DataFrame:
     e = t.table("embeddings").select("vec_id", "embedding")
     two = G.blocked_two_nearest(e.where("vec_id % 20 = 0"), e, same=True)
     best = two.groupBy("left_id").agg(F.min_by("right_id", "rank").alias("right_id"), F.min("d").alias("d"), F.max("d").alias("next"))
-    return best.where(c("d") < 0.75 * c("next")).select("left_id", "right_id", F.round("d", 5).alias("d"))
+    return best.select("left_id", "right_id", F.round("d", 5).alias("d"), (c("d") < 0.75 * c("next")).alias("accepted"))
 
 
 @query("jn_15", "WITH a AS (SELECT DISTINCT image_series AS k FROM v_tracking WHERE timepoint_index = 1 AND image_series <> 3), b AS (SELECT DISTINCT image_series AS k FROM v_tracking WHERE timepoint_index = 2 AND image_series <> 5) SELECT coalesce(a.k, b.k) AS image_series, CASE WHEN a.k IS NULL THEN 'no_baseline' WHEN b.k IS NULL THEN 'no_followup' ELSE 'both' END AS status FROM a FULL JOIN b ON a.k = b.k", "v_tracking")

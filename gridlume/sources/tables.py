@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,24 +55,49 @@ def csv_round_trip(tables: list[DataFrame], schema: T.StructType) -> DataFrame:
     return read_measurements(spark, paths, schema)
 
 
-def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
-    """A global 1-based place, without putting the table in one partition: ranks inside ranges, after counts of those before."""
+def running(df: DataFrame, keys: list[str], order: list, amount: Column, name: str) -> DataFrame:
+    """df with the sum of amount over the rows before, by keys (nulls are a key) and in order.
+
+    Neither the table nor a key, however large, is put in one partition: rows are dealt by ranges of keys and order, sums are
+    taken inside a range and added to those of the ranges before. order must tell rows apart, or ties are in any order.
+    """
     n = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    parts = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
     from gridlume.operators.lineage import stage
 
-    held = stage(parts, "ranked")
-    before = held.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - c("_n")).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    # one row a partition is broadcast
-    return held.withColumn("_rn", inside).join(F.broadcast(before), "_part").withColumn(name, (c("_rn") + c("_before")).cast("long")).drop("_part", "_rn", "_before")
+    held = stage(df.withColumn("_amount", amount).repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    by = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    key = F.struct(F.lit(0).alias("_0"), *keys).alias("_key")
+    # One row for each range and each key that it holds: as many as ranges and keys together.
+    before = held.groupBy("_part", key).agg(F.sum("_amount").alias("_sum")).withColumn("_earlier", F.coalesce(F.sum("_sum").over(by), F.lit(0))).drop("_sum")
+    inside = F.coalesce(F.sum("_amount").over(Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return held.withColumns({"_key": key, "_inside": inside}).join(before, ["_part", "_key"]).withColumn(name, (c("_inside") + c("_earlier")).cast("long")).drop("_part", "_key", "_inside", "_earlier", "_amount")
+
+
+def ranked(df: DataFrame, order: list, name: str, keys: list[str] | None = None) -> DataFrame:
+    """A 1-based place by keys and in order, without putting the table or a key in one partition."""
+    return running(df, keys or [], order, F.lit(1), name).withColumn(name, c(name) + 1)
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys, n and for each share its exact quantile (between two places in proportion); null values don't count.
+
+    Values are counted first, then found by their place: no group's values meet in one buffer.
+    """
+    counted = running(df.where(c(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")), keys, [value], c("_n"), "_before")
+    key = F.struct(F.lit(0).alias("_0"), *keys).alias("_key")
+    totals = counted.groupBy(key).agg(F.sum("_n").alias("n"))
+    placed = counted.withColumn("_key", key).join(totals, "_key")
+    holds = lambda place: F.max(F.when((c("_before") <= place) & (place < c("_before") + c("_n")), c(value).cast("double")))
+    at = {k: q * (c("n") - 1) for k, q in shares.items()}
+    ends = [holds(f(at[k])).alias(f"_{k}_{i}") for k in shares for i, f in enumerate((F.floor, F.ceil))]
+    out = placed.groupBy("_key", "n").agg(*ends)
+    return out.select(*(c(f"_key.{k}").alias(k) for k in keys), "n", *((c(f"_{k}_0") + (at[k] - F.floor(at[k])) * (c(f"_{k}_1") - c(f"_{k}_0"))).alias(k) for k in shares))
 
 
 def distinct_names(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """SRC-06: later files of one base name get their number in front."""
     base = F.regexp_extract(key, r"[^/]*$", 0)
-    i = F.row_number().over(Window.partitionBy("_base").orderBy(*order))
-    numbered = df.withColumn("_base", base).withColumn("_i", i)
+    numbered = ranked(df.withColumn("_base", base), order, "_i", ["_base"])
     return numbered.withColumn("name", F.when(c("_i") == 1, c("_base")).otherwise(F.concat(padded(c("_i"), 3), F.lit("_"), c("_base")))).drop("_base", "_i")
 
 
@@ -156,15 +182,32 @@ def local_stretch(pixels: DataFrame, low: float = 0.005, high: float = 0.995) ->
 
 
 def export_package(tracking: DataFrame) -> dict[str, DataFrame]:
-    """SNK-01: a table each of the dimensions, the map and the measurements."""
+    """SNK-01: a table each of the experiment, the dimensions, the map, the measurements, the foci and the flags."""
     d = lambda *x: tracking.select(*x).distinct()
-    return {"condition": d("condition"), "timepoint": d("timepoint"), "map": d("condition", "timepoint"), "trajectory": d("trajectory_id"), "wells": tracking}
-
-
-def write_package(package: dict[str, DataFrame], root: str) -> None:
+    flags = F.filter(F.array(F.when(c("total_area_um2") == 0, "no_area"), F.when(~c("foci_analysed"), "foci_not_analysed"), F.when(c("object_count") > 3, "many_objects")), lambda f: f.isNotNull())
+    return {
+        "experiment": tracking.agg(F.count_distinct("condition").alias("conditions"), F.count_distinct("timepoint").alias("timepoints")).select(F.lit("Experiment_001").alias("name"), "conditions", "timepoints"),
+        "condition": d("condition"),
+        "timepoint": d("timepoint"),
+        "map": d("condition", "timepoint"),
+        "trajectory": d("trajectory_id"),
+        "wells": tracking,
+        "objects": tracking.where("object_count > 0").select("trajectory_id", "timepoint", F.explode(F.sequence(F.lit(1).cast("long"), c("object_count"))).alias("object_number")),
+        "foci": tracking.where("foci_analysed").select("trajectory_id", "timepoint", "focus_count"),
+        "qc_flags": tracking.select("trajectory_id", "timepoint", F.explode(flags).alias("flag")),
+    }
+
+
+def write_package(package: dict[str, DataFrame], root: str) -> dict[str, DataFrame]:
+    """Each table in its folder under root, the wells in folders of condition and time (SNK-04); gives the written tables."""
     for name, df in package.items():
-        parts = [x for x in ("condition", "timepoint") if name == "wells" and x in df.columns]
-        df.write.mode("overwrite").partitionBy(*parts).parquet(f"{root}/{name}")
+        if name == "wells":
+            folder = F.split(output_folder(), "/")
+            df.withColumns({"condition_folder": folder[0], "time_folder": folder[1]}).write.mode("overwrite").partitionBy("condition_folder", "time_folder").parquet(f"{root}/{name}")
+        else:
+            df.write.mode("overwrite").parquet(f"{root}/{name}")
+    spark = next(iter(package.values())).sparkSession
+    return {name: spark.read.parquet(f"{root}/{name}") for name in package}
 
 
 def row_counts(package: dict[str, DataFrame]) -> DataFrame:
@@ -177,12 +220,18 @@ def row_counts(package: dict[str, DataFrame]) -> DataFrame:
 
 
 def manifest_prefix(path: Column, root: str) -> Column:
-    """SNK-03: the folder of a manifest under the root."""
-    return F.regexp_replace(F.replace(path, F.lit(root), F.lit("")), r"/[^/]*$", "")
+    """The folder of a manifest under the root."""
+    return F.regexp_replace(F.regexp_extract(path, re.escape(root.rsplit(":", 1)[-1].lstrip("/")) + r"/(.*)$", 1), r"/[^/]*$", "")
+
+
+def read_manifests(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """SNK-03: all manifests under root in one table, each row with its manifest's folder."""
+    found = spark.read.option("header", True).option("recursiveFileLookup", True).schema(schema).csv(root)
+    return found.select("*", manifest_prefix(c("_metadata.file_path"), root).alias("prefix"))
 
 
 def output_folder() -> Column:
-    """SNK-04"""
+    """SNK-04: the folder of a condition and a time."""
     return F.concat(F.lit("condition_"), padded(c("condition_index"), 2), F.lit("_"), slugify(c("condition")), F.lit("/time_"), padded(c("timepoint_index"), 2), F.lit("_"), slugify(c("timepoint")))
 
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from gridlume.operators.lineage import shared_dir
+from gridlume.operators.lineage import exists, shared_dir
 
 c = F.col
 
@@ -18,14 +19,24 @@ def pending(work: DataFrame, completed: DataFrame, keys: list[str]) -> DataFrame
     return work.join(completed.select(*keys, "fingerprint", "version"), [*keys, "fingerprint", "version"], "left_anti")
 
 
-def append_once(spark: SparkSession, source: str, schema, key: str, order: str, sink: str, checkpoint: str) -> None:
+def append_once(spark: SparkSession, source: str, schema: StructType, key: str, order: str, sink: str, checkpoint: str) -> None:
     """ST-02: every file of the source once, every key once, to a Parquet sink; later calls take up where the last one ended.
 
-    The watermark bounds the state of keys that are remembered.
+    However late a row comes, it is appended if its key isn't in the sink; of a batch's rows with one key the least by order
+    stays. A batch has its own folder, which a repeated run of it overwrites, so a failure between write and commit adds
+    nothing twice. A null key is a key.
     """
-    stream = spark.readStream.schema(schema).parquet(source).withWatermark(order, "30 days").dropDuplicatesWithinWatermark([key])
-    query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", sink).trigger(availableNow=True).start()
-    query.awaitTermination()
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        first = batch.groupBy(key).agg(F.min_by(F.struct(*batch.columns), order).alias("_row")).select("_row.*")
+        if exists(spark, sink):
+            known = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(sink).where(c("batch") != number)
+            first = first.join(known.select(c(key).alias("_known")), c(key).eqNullSafe(c("_known")), "left_anti")
+        first.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    stream = spark.readStream.schema(schema).parquet(source)
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def appended(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -1,12 +1,17 @@
 """Worked examples and properties of single operators."""
 
 import math
+from datetime import datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlume.functions import scalar as S
-from gridlume.operators import graph, joins, ordered, raster, response, spatial, summaries, tiles
+from gridlume.operators import graph, joins, lineage, ordered, raster, response, spatial, summaries, tiles
+from gridlume.sources import tables
+from gridlume.streaming import incremental
 
 
 def one(df):
@@ -195,3 +200,100 @@ def test_tables_of_no_rows(spark):
     empty = spark.createDataFrame([], "id long, x double, y double")
     assert graph.greedy_dedupe(empty, 5.0).count() == 0 and spatial.nearest(empty, empty).count() == 0
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_greedy_dedupe_of_a_long_chain(spark):
+    points = [(i, 0.0, 10.0 * i) for i in range(30)]
+    got = graph.greedy_dedupe(spark.createDataFrame(points, "id long, x double, y double"), 12.0)
+    assert {r.id for r in got.collect()} == set(range(0, 30, 2))
+
+
+def test_labels_of_far_images(spark):
+    """Ids of images, rows and columns beyond a million neither overflow nor meet."""
+    big = 10**15
+    rows = [(big, 5, 1), (big, 6, 1), (big, 6, 2), (big, 1_000_000, 1), (big, 0, 2), (big + 1, 5, 1)]
+    got = raster.labelled(spark.createDataFrame(rows, "image_id long, x long, y long")).select("image_id", "x", "y", *(k.alias(n) for k, n in zip(raster.first_pixel(F.col("label")), ("i", "ly", "lx"), strict=True))).collect()
+    assert {(r.image_id, r.x, r.y): (r.i, r.ly, r.lx) for r in got} == {
+        (big, 5, 1): (big, 1, 5), (big, 6, 1): (big, 1, 5), (big, 6, 2): (big, 1, 5), (big, 1_000_000, 1): (big, 1, 1_000_000), (big, 0, 2): (big, 2, 0), (big + 1, 5, 1): (big + 1, 1, 5),
+    }
+
+
+def test_background_distance_is_the_nearest_other_pixel(spark):
+    shape = ["0111110", "1111111", "1110111", "1111111", "0111100"]
+    inside = [(x, y) for y, line in enumerate(shape) for x, v in enumerate(line) if v == "1"]
+    outside = [(x, y) for y in range(5) for x in range(7) if (x, y) not in inside]
+    df = spark.createDataFrame([(7, 1, x, y) for x, y in inside] + [(8, 1, x, 9) for x in range(3)], "label long, image_id long, x long, y long")
+    got = {(r.label, r.x, r.y): r.d2 for r in raster.background_distance(df).collect()}
+    assert {k[1:]: v for k, v in got.items() if k[0] == 7} == {(x, y): min((x - a) ** 2 + (y - b) ** 2 for a, b in outside) for x, y in inside}
+    assert {v for k, v in got.items() if k[0] == 8} == {None}
+
+
+def test_natural_key_of_long_digit_runs(spark):
+    names = ["a2", "a10", "a" + "9" * 25, "a1" + "0" * 25, "a007", "b"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(S.natural_key(F.col("n")), "n").collect()
+    assert [r.n for r in rows] == ["a2", "a007", "a10", "a" + "9" * 25, "a1" + "0" * 25, "b"]
+
+
+def test_ranks_and_quantiles_by_ranges(spark):
+    """Against the windows and percentiles of one task, with null keys, ties and a key that holds most rows."""
+    rows = [(None if i % 7 == 0 else "a" if i % 3 else "b", float(i * 37 % 50) if i % 11 else None, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v double, i long")
+    place = {(r.i, r.place) for r in tables.ranked(df, ["v", "i"], "place", ["k"]).collect()}
+    w = Window.partitionBy("k").orderBy("v", "i")
+    assert place == {(r.i, r.n) for r in df.select("i", F.row_number().over(w).alias("n")).collect()}
+    got = {r.k: (r.n, r.q1, r.q2) for r in tables.quantiles(df, ["k"], "v", {"q1": 0.1, "q2": 0.5}).collect()}
+    want = {r.k: (r.n, r.q[0], r.q[1]) for r in df.where("v is not null").groupBy("k").agg(F.count("v").alias("n"), F.percentile("v", F.array(F.lit(0.1), F.lit(0.5))).alias("q")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert tables.quantiles(df.limit(0), ["k"], "v", {"q": 0.5}).count() == 0
+
+
+def test_p_of_large_samples_is_the_series_own(spark):
+    df = spark.createDataFrame([(r, n) for r in (0.0, 0.004, 0.01, 0.02, -0.03) for n in (19_999, 20_400)], "r double, n long")
+    got = df.select("r", "n", response.spearman_p(F.col("r"), F.col("n")).alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(math.erfc(abs(r.r) * math.sqrt((r.n - 2) / (1 - r.r**2)) / math.sqrt(2)), abs=2e-5)
+
+
+def test_late_files_are_appended_once(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType()), T.StructField("ts", T.TimestampType())])
+    day = lambda m, d: datetime(2026, m, d)
+    run = lambda: incremental.append_once(spark, f"{tmp_path}/in", schema, "id", "ts", f"{tmp_path}/out", f"{tmp_path}/state")
+    for rows in ([(1, "a", day(6, 1)), (2, "b", day(6, 2))], [(3, "late", day(1, 1)), (1, "again", day(6, 3)), (4, "d", day(6, 3)), (4, "e", day(6, 4))], []):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run()
+        run()
+    assert sorted(tuple(r)[:2] for r in spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()) == [(1, "a"), (2, "b"), (3, "late"), (4, "d")]
+
+
+def test_a_failing_source_leaves_the_others(spark):
+    def job(name):
+        if name == "bad":
+            raise KeyError(name)
+        return len(name)
+
+    assert [tuple(r) for r in incremental.isolated(spark, ["one", "bad", "three"], job).collect()] == [("one", "complete", 3, ""), ("bad", "error", None, "KeyError"), ("three", "complete", 5, "")]
+
+
+class Session:
+    """A stand-in for a session on a cluster that names no shared folder."""
+
+    class conf:
+        get = staticmethod(lambda name, default=None: default)
+
+    class sparkContext:
+        applicationId, master = "app-test", "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: Session.conf)
+
+
+def test_staging_on_a_cluster_needs_a_shared_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.shared_dir(Session)
+
+
+def test_staged_tables_lie_in_one_folder_and_go(spark):
+    root = lineage.shared_dir(spark)
+    staged = lineage.stage(spark.range(5), "five")
+    assert staged._staged_at.startswith(root) and staged.count() == 5
+    lineage.release(staged)
+    assert not lineage.exists(spark, staged._staged_at)
