@@ -3,7 +3,10 @@
 A template is any function from a list of (role, text) turns to a string. Prefixes of a conversation are
 rendered one turn longer each time; what an output adds to the one before is that turn's span, and a template
 whose output doesn't begin with the output before rewrites history (reported, its spans are then those of the
-last common prefix). The loss mask is the union of the assistant turns' text spans, read off the output.
+last common prefix). The loss mask is the union of the assistant turns' text spans. Each is found by rendering once
+more with that turn's text replaced by a mark that the output hasn't: where the mark stands the text begins, and what
+follows the mark follows the text. If the template rewrites history, this is done on the whole conversation, so that
+the mask is of the last output; a turn that the template drops has no span.
 
 A conversation is one training example and so one row: its turns, in order of (turn, role, text), meet in one
 task. Null text counts as empty, null role as the role "". Repeated turns stay. Null conv_id is a conversation
@@ -54,22 +57,40 @@ def spans(render: Callable[[Turns], str], turns: Turns) -> tuple[str, list[tuple
     return out, found, rewrites
 
 
+def text_span(render: Callable[[Turns], str], turns: Turns, at: int, output: str) -> tuple[int, int] | None:
+    """Where the text of turn number at stands in the output of turns; None if the template drops it."""
+    mark = "\ue000"
+    while mark in output:
+        mark += "\ue001"
+    marked = render([*turns[:at], (turns[at][0], mark), *turns[at + 1 :]])
+    start = marked.find(mark)
+    return None if start < 0 else (start, len(output) - (len(marked) - start - len(mark)))
+
+
+def loss_spans(render: Callable[[Turns], str], turns: Turns, output: str, found: list[tuple[int, int]], rewrites: bool, role: str = "assistant") -> list[tuple[int, int]]:
+    """The spans of the role's texts in the last output."""
+    spans = []
+    for i, (who, _) in enumerate(turns):
+        if who == role:
+            spans.append(text_span(render, turns, i, output) if rewrites else text_span(render, turns[: i + 1], i, output[: found[i][1]]))
+    return [s for s in spans if s is not None]
+
+
 _turn = re.compile(re.escape(ROLE) + r"(.*?)" + re.escape(SAYS) + r"(.*)" + re.escape(END), re.S)
 
 
-def read_back(output: str, found: list[tuple[int, int]]) -> tuple[Turns, list[tuple[int, int]]]:
-    """Turns and the text spans of the assistant's, from the output and its spans alone."""
-    turns, mask = [], []
+def read_back(output: str, found: list[tuple[int, int]]) -> Turns:
+    """The turns, from an output of template() and its spans alone."""
+    turns = []
     for start, end in found:
-        m = _turn.fullmatch(output, start, end)
+        if (m := _turn.fullmatch(output, start, end)) is None:
+            raise ValueError(f"no turn of this template stands at {start} to {end}")
         turns.append((unescape(m[1]), unescape(m[2])))
-        if turns[-1][0] == "assistant":
-            mask.append(m.span(2))
-    return turns, mask
+    return turns
 
 
-def format_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted, turn_spans, loss_spans (start, end in code points), rewrites_history."""
+def format_conversations(conversations: DataFrame, render: Callable[[Turns], str] = template) -> DataFrame:
+    """conv_id, formatted, turn_spans, loss_spans (start, end in code points), rewrites_history. render: the chat template."""
     said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(said)).alias("turns"))
 
@@ -77,8 +98,9 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for key, turns in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                output, found, rewrites = spans(template, [(t["role"], t["text"]) for t in turns.as_py()])
-                mask = [] if rewrites else read_back(output, found)[1]
+                turns = [(t["role"], t["text"]) for t in turns.as_py()]
+                output, found, rewrites = spans(render, turns)
+                mask = loss_spans(render, turns, output, found, rewrites)
                 out.append((key, output, *([{"start": a, "end": b} for a, b in x] for x in (found, mask)), rewrites))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(TYPES)], NAMES)
 
@@ -98,7 +120,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             out = []
             for key, output, found, masked, rewrites in zip(*(c for c in batch.columns), strict=True):
                 output, found, masked = output.as_py(), found.as_py(), masked.as_py()
-                turns, _ = read_back(output, [(x["start"], x["end"]) for x in found])
+                turns = read_back(output, [(x["start"], x["end"]) for x in found])
                 loss = "".join(unescape(output[x["start"] : x["end"]]) for x in masked)
                 told = "".join(f"{role}\n{text}\n" for role, text in turns)
                 out.append((key.as_py(), len(turns), sha256(told), len(loss), sha256(loss), len(output), rewrites.as_py()))

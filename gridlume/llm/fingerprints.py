@@ -8,7 +8,9 @@ is the vector of what the texts don't share, so the content lanes' squared lengt
 likeness is 1 - |a - b|^2 / (|a|^2 + |b|^2), at least 0.
 
 Null text counts as empty: no paragraph, the zero vector. The order is descending doc_id, null last, then text;
-repeated rows follow each other. An empty table gives no rows. Other columns are ignored.
+repeated rows follow each other. Very long texts are read whole, one at a time, with the next one's first third. The
+order is cut in ranges of like size by the ids' quantiles; rows of one doc_id, and those without one, are in one range.
+An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +65,31 @@ def shown(v: tuple[np.ndarray, np.ndarray]) -> str:
     return base64.b64encode(v[0].astype("<u8").tobytes() + v[1].astype("<i4").tobytes()).decode()
 
 
+def read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    """The lanes of a shown fingerprint."""
+    raw = base64.b64decode(fingerprint)
+    return np.frombuffer(raw, "<u8", IDENTITY), np.frombuffer(raw, "<i4", CONTENT, 8 * IDENTITY)
+
+
+def insert(fingerprint: str, paragraph: str) -> str:
+    """The fingerprint of the text with one more paragraph (line), wherever it stands; the others aren't read."""
+    (a, x), (b, y) = read(fingerprint), paragraph_vector(paragraph)
+    return shown((a + b, x + y))
+
+
+def delete(fingerprint: str, paragraph: str) -> str:
+    """The fingerprint of the text without one of its paragraphs."""
+    (a, x), (b, y) = read(fingerprint), paragraph_vector(paragraph)
+    return shown((a - b, x - y))
+
+
+def paragraph_vector(line: str) -> tuple[np.ndarray, np.ndarray]:
+    """A paragraph's lanes; it is a line, and an empty one is a paragraph too."""
+    if "\n" in line:
+        raise ValueError("a paragraph is one line")
+    return vector(line) if line else (np.frombuffer(hashlib.blake2b(b"", digest_size=8 * IDENTITY).digest(), "<u8"), np.zeros(CONTENT, np.int32))
+
+
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     if (a[0] == b[0]).all() and (a[1] == b[1]).all():
         return 1.0
@@ -78,14 +106,21 @@ _types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.floa
 def in_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, text, range, borrowed: ranges of descending ids, each followed by a borrowed copy of the next one's first row.
 
-    Only each range's first id (MOST_RANGES rows at most) is gathered; texts are moved once.
+    Only the ids' quantiles and each range's first id (MOST_RANGES rows at most) are gathered; texts are moved once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    n = rows.count()
     ranges = max(1, min(MOST_RANGES, n // RANGE))
-    width = ((float(high) - float(low)) / ranges if n and high is not None else 0) or 1.0
-    number = F.coalesce(F.least(F.lit(ranges - 1), F.floor((F.lit(float(high or 0)) - F.col("doc_id").cast("double")) / width)), F.lit(ranges)).cast("int")
-    rows = rows.withColumn("range", number)
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 20 * ranges)).first()[0] if shares else None
+    # A range's number falls with the id; equal ids have equal numbers. Null ids come last.
+    splits = [float("-inf"), *sorted(set(map(float, cuts or []))), float("inf")]
+    number = F.lit(0)
+    if len(splits) > 2:
+        rows = Bucketizer(splits=splits, inputCol="_id", outputCol="_bucket", handleInvalid="keep").transform(rows.withColumn("_id", F.col("doc_id").cast("double")))
+        number = len(splits) - F.col("_bucket")
+    number = F.when(F.col("doc_id").isNull(), len(splits) + 1).otherwise(number).cast("int")
+    rows = rows.select("doc_id", "text", number.alias("range"))
     firsts = sorted(rows.groupBy("range").agg(F.max("doc_id")).collect())
     before = [(key, firsts[i - 1][0], at) for i, (at, key) in enumerate(firsts)]
     heads = docs.sparkSession.createDataFrame(before, "head_id long, before int, range int")

@@ -39,7 +39,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.filter_urls(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.filter_urls(pages, url_filters.named_hosts(pages))
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,15 @@ count less the current one. A byte's transition is annotated with the tokens it
 fewer where tokens merge), so the annotations of a path add up to the token count. States and transitions are
 made when first met and kept.
 
-Texts are cut in chunks. A chunk's map takes the state in which it is entered (the text since the last place
-where a non-space meets a space: there every piece ends, so the state is the start state) to a count and the
-state in which it is left. Maps compose associatively; all of a text's are composed in pairs inside one task.
-
-Null text counts as empty: 0 tokens. Repeated rows are each counted. An empty table gives no rows.
+Texts are cut in chunks. A place where a non-space meets a space ends every piece, so there the state is the start
+state. A chunk's map takes the state in which it is entered, whatever it is, through its head (the bytes up to its first
+such place) to the start state, from there to a count, and to the state in which it is left, which its tail (the bytes
+since its last such place) fixes; a chunk without such a place is all head. Maps compose associatively and without
+reading a chunk again: only where a tail meets a head are those bytes run, once. All of a text's maps are composed in
+pairs, level by level, inside the one task that holds the text; other texts are spread over tasks.
+
+Null text counts as empty: 0 tokens. Very long texts are counted whole, in memory that STATES, REMEMBERED and LONGEST bound.
+Repeated rows are each counted. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 
 from gridlume.llm.common import small_batches
 
-#: Characters in a chunk; pieces whose path is remembered in each of two generations; most states kept.
-CHUNK, REMEMBERED, STATES = 16_384, 300_000, 250_000
+#: Characters in a chunk; pieces whose path is remembered in each of two generations, and their longest; most states kept.
+CHUNK, REMEMBERED, LONGEST, STATES = 16_384, 300_000, 64, 250_000
 #: The pattern that cuts a text in pieces before merging, as the vocabulary's library has it.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 FIRST_CUT, LAST_CUT = regex.compile(r"(?<=\S)(?=\s)"), regex.compile(r"(?r)(?<=\S)(?=\s)")
@@ -78,6 +82,16 @@ class Transducer:
         self.next: list[dict[int, tuple[int, int]]] = [{}]
         self.fits.clear()
 
+    def begin_anew(self, state: int) -> int:
+        """Forget all states but this one, and give its new number."""
+        here = self.states[state]
+        self.reset()
+        if here not in self.number:
+            self.number[here] = len(self.states)
+            self.states.append(here)
+            self.next.append({})
+        return self.number[here]
+
     def merged(self, ids: list[int]) -> list[int]:
         """Plain byte-pair merging, lowest rank first; only used on the bytes of two tokens."""
         while len(ids) > 1:
@@ -119,13 +133,17 @@ class Transducer:
         """The sum of the annotations along a piece's path from the start state."""
         count = self.old.get(text)
         if count is None:
-            if len(self.states) > STATES:
-                self.reset()
             count, state, table = 0, 0, self.next
             for byte in text.encode():
                 step = table[state].get(byte)
-                state, added = step if step is not None else self.transition(state, byte)
+                if step is None:
+                    if len(self.states) > STATES:
+                        state, table = self.begin_anew(state), self.next
+                    step = self.transition(state, byte)
+                state, added = step
                 count += added
+        if len(text) > LONGEST:
+            return count
         if len(self.new) >= REMEMBERED:
             self.old, self.new = self.new, {}
         self.new[text] = count
@@ -142,7 +160,7 @@ class Transducer:
         return total
 
     def chunk_map(self, text: str) -> tuple[str, int | None, str]:
-        """(what the entering state is still extended by, tokens after it, the leaving state); without a cut the whole chunk extends it."""
+        """(head, tokens after it, tail); without a cut all is head."""
         first = FIRST_CUT.search(text)
         if first is None:
             return text, None, ""
@@ -150,14 +168,11 @@ class Transducer:
         return text[: first.start()], self.count(text[first.start() : last]), text[last:]
 
     def compose(self, a: tuple, b: tuple) -> tuple[str, int | None, str]:
-        if a[1] is None and b[1] is None:
-            return self.chunk_map(a[0] + b[0])
+        """The map of a and then b."""
         if a[1] is None:
-            head, more, tail = self.chunk_map(a[0] + b[0])
-            return (head, b[1], b[2]) if more is None else (head, more + self.count(tail) + b[1], b[2])
+            return a[0] + b[0], b[1], b[2]
         if b[1] is None:
-            head, more, tail = self.chunk_map(a[2] + b[0])
-            return (a[0], a[1], head) if more is None else (a[0], a[1] + self.count(head) + more, tail)
+            return a[0], a[1], a[2] + b[0]
         return a[0], a[1] + self.count(a[2] + b[0]) + b[1], b[2]
 
     def document(self, text: str) -> int:

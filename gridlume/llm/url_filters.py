@@ -6,10 +6,11 @@ listed if the first level that rejects it has an even number. Rows are judged by
 levels' arrays, without a join on keys.
 
 The levels together are checked against max_filter_bytes; a larger list is cut in shards by hash, and each row
-meets its own shard's arrays by a join on the shard number.
+meets its own shard's arrays by a join on the shard number, dealt to SALTS tasks.
 
-Null url, or one without "://": host and path are empty, and no rule fits. Repeated rows are each judged. An
-empty table gives no rows.
+The list is a table of keys: hosts, each once or more; null and hosts that the pages haven't don't count. Null url, or
+one without "://": host and path are empty, and no rule fits. Very long urls are read whole. Repeated rows are each
+judged. An empty table gives no rows, an empty list blocks nothing. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 from gridlume.llm.common import stage
 
+#: Tasks to which the rows of one shard are dealt.
+SALTS = 16
 #: The rules of the contract: (host, path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -34,7 +37,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """Text and verdict of the longest rule that fits, else null. Longest: by host, then path."""
+    """Text and verdict of the longest rule that fits, else null. Longest: by the letters of host and path together, then by host."""
     rule = verdict = F.lit(None).cast("string")
     for of, start, what in sorted(rules, key=lambda r: (len(r[0]) + len(r[1]), r[0])):
         fits = ((host == of) | host.endswith("." + of)) & path.startswith(start)
@@ -80,7 +83,7 @@ class Cascade:
             self.levels.append((bits, stage(words, f"cascade-level-{level}")))
             through = self.holds(F.col("key"), level, F.col(f"level_{level}"))
             # The next level holds what this one lets through wrongly: the other side's keys.
-            keys = stage(keys.join(F.broadcast(self.levels[-1][1]) if self.shards == 1 else self.levels[-1][1], "shard").where(inside | through).drop(f"level_{level}"), f"cascade-through-{level}")
+            keys = stage(self.met(keys, self.levels[-1][1]).where(inside | through).drop(f"level_{level}"), f"cascade-through-{level}")
             inside = ~inside
             held = keys.where(inside).count()
         if held:
@@ -89,6 +92,13 @@ class Cascade:
     def shard(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(self.shards)).cast("int")
 
+    def met(self, rows: DataFrame, words: DataFrame) -> DataFrame:
+        """rows with their shard's words. With one shard the words are one row within max_filter_bytes."""
+        if self.shards == 1:
+            return rows.join(F.broadcast(words), "shard", "left")
+        salted = words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("_salt", F.spark_partition_id() % SALTS).join(salted, ["shard", "_salt"], "left").drop("_salt")
+
     def holds(self, key: Column, level: int, words: Column) -> Column:
         bits = self.levels[level][0]
         tests = [F.get(words, F.shiftright(p, 6).cast("int")).bitwiseAND(mask(p)) != 0 for p in bit_positions(key, level, bits, self.hashes)]
@@ -98,19 +108,25 @@ class Cascade:
         """rows with column listed, exact for every key of the universe."""
         out = rows.withColumn("shard", self.shard(F.col(key)))
         for _, words in self.levels:
-            # One row a shard; with one shard the row is within max_filter_bytes.
-            out = out.join(F.broadcast(words) if self.shards == 1 else words, "shard", "left")
+            out = self.met(out, words)
         listed = F.lit(len(self.levels) % 2 == 1)
         for level in range(len(self.levels) - 1, -1, -1):
             listed = F.when(self.holds(F.col(key), level, F.col(f"level_{level}")), listed).otherwise(F.lit(level % 2 == 1))
         return out.withColumn("listed", listed).drop("shard", *(f"level_{i}" for i in range(len(self.levels))))
 
 
-def filter_urls(pages: DataFrame, listed_host: str = r"(^|\.)(spam|ads|track|porn|casino)[^.]*\.", rules=RULES, **settings) -> DataFrame:
-    """page_id, host, path, rule, verdict. Hosts that match listed_host are the list; without a rule a listed host is blocked."""
+def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, **settings) -> DataFrame:
+    """page_id, host, path, rule, verdict. listed: key, the hosts of the block list; without a rule a listed host is blocked."""
     host, path = url_parts(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
-    universe = parsed.select(F.col("host").alias("key")).distinct().withColumn("listed", F.col("key").rlike(listed_host))
+    known = listed.select("key").where("key is not null").distinct().withColumn("listed", F.lit(True))
+    universe = parsed.select(F.col("host").alias("key")).distinct().join(known, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
     judged = Cascade(universe, **settings).judge(parsed, "host")
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+
+
+def named_hosts(pages: DataFrame, words: tuple[str, ...] = ("spam", "ads", "track", "porn", "casino")) -> DataFrame:
+    """key: a block list made from the pages themselves, where none is given: hosts with a label that begins with one of words, but the last."""
+    host, _ = url_parts(F.col("url"))
+    return pages.select(host.alias("key")).where(F.col("key").rlike(rf"(^|\.)({'|'.join(words)})[^.]*\.")).distinct()

@@ -244,6 +244,14 @@ def test_transducer_on_random_text(byte_bpe):
         assert machine.document(text) == len(byte_bpe.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def test_states_are_bounded_inside_a_piece(byte_bpe, monkeypatch):
+    monkeypatch.setattr(token_counts, "STATES", 50)
+    machine = token_counts.Transducer(tokenizer("byte_bpe_50k.json"))
+    text = "".join(np.random.default_rng(8).choice(list("abcdefghinorst"), 5000))
+    assert machine.document(text) == len(byte_bpe.encode(text, add_special_tokens=False).ids)
+    assert len(machine.states) <= 52 and not machine.new
+
+
 def test_chunk_maps_compose(byte_bpe, monkeypatch):
     machine = token_counts.transducer(tokenizer("byte_bpe_50k.json"))
     text = "It's  a small,\n\n odd text — don't you think? aaaaaaaaaaaaaaaaaaaaaaaaa" * 4
@@ -275,6 +283,37 @@ def test_fingerprint_is_a_multiset_hash():
     assert not same(fingerprints.vector(f"{p}\n{p}"), fingerprints.vector(p))
 
 
+def test_paragraphs_are_inserted_and_deleted():
+    lines = ["first line of words", "", "second line, other words", "ünï"]
+    whole = lambda x: fingerprints.shown(fingerprints.vector("\n".join(x)))
+    for at, line in enumerate(lines):
+        rest = lines[:at] + lines[at + 1 :]
+        assert fingerprints.insert(whole(rest), line) == whole(lines) and fingerprints.delete(whole(lines), line) == whole(rest)
+    with pytest.raises(ValueError, match="one line"):
+        fingerprints.insert(whole(lines), "a\nb")
+
+
+def test_likeness_follows_the_exact_one():
+    """Near the cosine-like share of common three-word runs, counted exactly."""
+    rng = np.random.default_rng(14)
+    for share in (0.0, 0.3, 0.7, 1.0):
+        a = [f"w{i}" for i in rng.integers(0, 10**6, 600)]
+        b = a[: int(600 * share)] + [f"v{i}" for i in rng.integers(0, 10**6, 600 - int(600 * share))]
+        x, y = (Counter(zip(["^", "^", *t], ["^", *t], t, strict=False)) for t in (a, b))
+        exact = 1 - sum((x[k] - y[k]) ** 2 for k in x | y) / (sum(v * v for v in x.values()) + sum(v * v for v in y.values()))
+        assert abs(fingerprints.likeness(*(fingerprints.vector(" ".join(t)) for t in (a, b))) - exact) < 0.2
+
+
+def test_ranges_are_of_like_size_for_clustered_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE", 10)
+    ids = [*range(300), 10**15, 10**15 + 1, None, None]
+    rows = fingerprints.in_ranges(spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")).where("borrowed = 0").collect()
+    sizes = Counter(r.range for r in rows)
+    assert len(rows) == len(ids) and len(sizes) > 20 and max(sizes.values()) <= 40
+    order = sorted(rows, key=lambda r: (r.doc_id is None, -(r.doc_id or 0)))
+    assert [r.range for r in order] == sorted(r.range for r in rows)
+
+
 def test_next_document_over_ranges(spark, sf, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE", 7)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -26,14 +26,21 @@ URLS = [
 
 def test_odd_urls(spark):
     df = spark.createDataFrame(URLS, "page_id long, url string").withColumns({c: F.lit("clash") for c in ("host", "key", "shard", "listed", "level_0")})
-    got = {r.page_id: tuple(r)[1:] for r in url_filters.filter_urls(df).collect()}
-    assert url_filters.filter_urls(df).count() == len(URLS)
+    listed = url_filters.named_hosts(df)
+    assert {r.key for r in listed.collect()} == {"spam-farm.example.net", "ads.example.net"}
+    got = {r.page_id: tuple(r)[1:] for r in url_filters.filter_urls(df, listed).collect()}
+    assert url_filters.filter_urls(df, listed).count() == len(URLS)
+    own = spark.createDataFrame([("h",), ("h",), (None,), ("elsewhere",)], "key string").withColumn("listed", F.lit("clash"))
+    assert {r.page_id for r in url_filters.filter_urls(df, own).collect() if r.rule is None and r.verdict == "block"} == {12}
+    assert url_filters.filter_urls(df, own.limit(0)).where("rule is null and verdict = 'block'").count() == 0
+    long = spark.createDataFrame([(1, "http://a.com/de/" + "x" * 300_000)], "page_id long, url string")
+    assert tuple(url_filters.filter_urls(long, own).first())[3:] == ("com/de/", "block")
     assert got[1] == ("spam-farm.example.net", "/a", None, "block")
     assert got[2] == got[3] == got[4] == ("", "", None, "allow")
     assert got[6][2:] == ("example.org/en/1", "block") and got[7][2:] == ("example.org/es/", "block") and got[8][2:] == ("org/", "allow")
     assert got[9][2:] == ("com/de/", "block") and got[10][2:] == (None, "allow") and got[11][:2] == ("y:", "//z/p")
     assert got[12][:2] == ("h", "") and got[13] == ("ads.example.net", "", None, "block") and got[14] == ("com", "/fr/\nx", "com/fr/", "allow")
-    assert url_filters.filter_urls(df.limit(0)).count() == 0
+    assert url_filters.filter_urls(df.limit(0), listed).count() == 0
 
 
 @pytest.mark.parametrize("settings", [{}, {"bits_per_key": 2, "hashes": 1}, {"max_filter_bytes": 64}])
@@ -55,7 +62,33 @@ def test_rewriting_templates_are_found():
     turns = [("user", "hi "), ("assistant", "yes"), ("user", "bye")]
     assert chat.spans(strips, turns)[2] and not chat.spans(chat.template, turns)[2]
     output, found, _ = chat.spans(chat.template, turns)
-    assert chat.read_back(output, found)[0] == turns
+    assert chat.read_back(output, found) == turns
+    with pytest.raises(ValueError, match="no turn"):
+        chat.read_back(output, [(1, len(output))])
+
+
+def test_loss_spans_of_other_templates():
+    """Templates that trim, number turns, or drop the history's hidden part: the spans are the texts as they stand in the output."""
+    trims = lambda turns: "".join(f"<{r}>{t.strip()}|" for r, t in turns)
+    counts = lambda turns: f"{len(turns)} turns\n" + "\n".join(f"{i}.{r}: {t}" for i, (r, t) in enumerate(turns))
+    forgets = lambda turns: "".join(f"<{r}>{t if i == len(turns) - 1 else t.split('#')[-1]}" for i, (r, t) in enumerate(turns))
+    turns = [("user", "hi"), ("assistant", " one#two "), ("user", "<assistant>"), ("assistant", "|</s>"), ("assistant", "")]
+    for render, want in ((trims, ["one#two", "|</s>", ""]), (counts, [" one#two ", "|</s>", ""]), (forgets, ["two ", "|</s>", ""]), (chat.template, [" one#two ", chat.escape("|</s>"), ""])):
+        output, found, rewrites = chat.spans(render, turns)
+        assert rewrites == (render in (counts, forgets))
+        assert [output[a:b] for a, b in chat.loss_spans(render, turns, output, found, rewrites)] == want
+
+
+def test_a_renderer_is_an_argument(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "bc")], "conv_id long, turn long, role string, text string")
+    row = chat.format_conversations(df, lambda turns: "".join(f"{r}={t};" for r, t in turns)).first()
+    assert row.formatted == "user=a;assistant=bc;" and [tuple(s) for s in row.loss_spans] == [(17, 19)] and not row.rewrites_history
+
+
+def test_a_long_conversation(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"<t{i}> " * 20) for i in range(400)]
+    got = chat.digests(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert got.n_turns == 400 and got.loss_sha256 == hashlib.sha256("".join(t for _, i, _, t in rows if i % 2).encode()).hexdigest()
 
 
 def test_odd_conversations(spark):
