@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from gridlume.llm.common import small_batches, stage
 
 #: Tokens in a length class, words that a worker remembers, and their longest.
-WIDTH, REMEMBERED, LONGEST = 16, 500_000, 64
+WIDTH, REMEMBERED, LONGEST = 16, 200_000, 64
+#: Characters of the texts that are told apart together; a longer text is by itself.
+TOGETHER = 1 << 20
 #: Stands between words that are encoded together.
 MARK = "|"
 #: Pieces for which one more bucket is taken, and the most: each class is ranked in that many.
@@ -104,6 +106,17 @@ class Encoder:
         self.starts, self.sizes, self.ids = all_starts[: base + n], all_sizes[: base + n], ids[: len(self.ids) + int(sizes[:n].sum())]
         return all_starts[at], all_sizes[at], ids
 
+    def all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Each text's ids, TOGETHER characters of texts at a time."""
+        some, size = [], 0
+        for text in texts:
+            if some and size + len(text) > TOGETHER:
+                yield from self.texts(some)
+                some, size = [], 0
+            some.append(text)
+            size += len(text)
+        yield from self.texts(some)
+
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids, as little-endian 32-bit numbers."""
         whole = [any(s in t for s in self.special) for t in texts]
@@ -135,7 +148,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
         encode, end = encoder(tokenizer_path), np.array([end_id], "<u4")
         for batch in batches:
             keys, starts, lengths, crcs, totals = [], [], [], [], []
-            for key, ids in zip(batch.column(0).to_pylist(), encode.texts([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for key, ids in zip(batch.column(0).to_pylist(), encode.all([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids = np.append(ids, end)
                 for at in range(0, len(ids), capacity):
                     part = ids[at : at + capacity]
@@ -146,7 +159,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
                     totals.append(len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, starts, lengths, crcs, totals)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    small_batches(docs.sparkSession, 1024)
+    small_batches(docs.sparkSession, 512)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 

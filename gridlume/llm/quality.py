@@ -29,6 +29,8 @@ from gridlume.llm.common import fold_of, small_batches, stage
 MOST_LABELLED, DIMENSIONS, NEIGHBOURS = 4096, 64, 15
 FOLDS, HELD_OUT = 3, 1
 SHAPES, WORDS, REPEATS, BLOCK = 4096, 4096, 8, 256
+#: Texts that are scored together.
+VOTING = 64
 TERMS = SHAPES + WORDS
 
 
@@ -170,7 +172,9 @@ def scored(docs: DataFrame, model: Model | None, name: str = "score") -> DataFra
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = sent.value.vote([t.as_py() for t in batch.column("text")]) if batch.num_rows else np.zeros(0)
+            texts = batch.column("text")
+            blocks = [sent.value.vote([t.as_py() for t in texts[i : i + VOTING]]) for i in range(0, len(texts), VOTING)]
+            score = np.concatenate([np.zeros(0), *blocks])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
 
     small_batches(docs.sparkSession)
