@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from gridlume.llm.common import small_batches, stage
 
 #: Tokens in a length class, words that a worker remembers, and their longest.
-WIDTH, REMEMBERED, LONGEST = 16, 200_000, 64
+WIDTH, REMEMBERED, LONGEST = 16, 300_000, 64
 #: Characters of the texts that are told apart together; a longer text is by itself.
 TOGETHER = 1 << 20
 #: Stands between words that are encoded together.
