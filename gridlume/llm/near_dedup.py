@@ -40,7 +40,7 @@ BITS = 1024
 #: A link: 100 * shared >= PERCENT * union.
 PERCENT = 85
 #: Pairs of one document, and rows of one bucket, that are dealt to one task; most documents with more pairs, and most classes with many copies, that are broadcast.
-PART, MEMBERS, MOST_HUBS, MOST_HOT = 5000, 1000, 100_000, 1000
+PART, MEMBERS, MOST_HUBS, MOST_HOT = 500, 1000, 100_000, 1000
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
