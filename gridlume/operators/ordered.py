@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlume.functions.scalar import padded
-from gridlume.sources.tables import ranked
+from gridlume.sources.tables import ranked, running
 
 c = F.col
 
@@ -20,11 +20,18 @@ def numbered(df: DataFrame, keys: list[str], order: list, name: str, count: str
 def clusters(df: DataFrame, key: str, value: str, tolerance: float, support: int = 1) -> DataFrame:
     """WN-05: sorted values join the last group while at most tolerance from its running mean, else open a new one.
 
-    The scan is a fold over one image's sorted distinct values with their counts, which an image's height bounds; it
-    gives each group's values, number from 1, mean and support.
+    A value farther than tolerance from the one before always opens a group, so the scan is a fold over each stretch of
+    distinct values between such gaps, with their counts: no key's values meet in one array unless they lie that close.
+    It gives each group's number from 1, mean and support.
     """
-    counted = df.groupBy(key, c(value).alias("v")).agg(F.count("*").alias("n"))
-    values = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("vs"))
+    from gridlume.operators.lineage import stage
+
+    counted = stage(ranked(df.groupBy(key, c(value).alias("v")).agg(F.count("*").alias("n")), ["v"], "_i", [key]), "cluster-values")
+    before = counted.select(key, (c("_i") + 1).alias("_i"), c("v").alias("_p"))
+    gap = F.when(c("_p").isNull() | (c("v") - c("_p") > tolerance), 1).otherwise(0)
+    opened = counted.join(before, [key, "_i"], "left").withColumn("_open", gap).drop("_p", "_i")
+    cut = running(opened, [key], ["v"], c("_open"), "_piece").withColumn("_piece", c("_piece") + c("_open"))
+    values = cut.groupBy(key, "_piece").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("vs"))
     empty = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
     start = F.struct(F.array().cast("array<struct<s:double,n:bigint>>").alias("done"), empty.alias("now"))
 
@@ -42,18 +49,26 @@ def clusters(df: DataFrame, key: str, value: str, tolerance: float, support: int
         return F.struct(first["done"].alias("done"), more.alias("now"))
 
     folded = F.aggregate("vs", start, step, lambda a: F.concat(a["done"], F.array(a["now"])))
-    out = values.select(key, F.posexplode(folded).alias("i", "g")).select(key, (c("i") + 1).cast("long").alias("cluster"), (c("g.s") / c("g.n")).alias("centre"), c("g.n").alias("support"))
+    groups = values.select(key, "_piece", F.posexplode(folded).alias("_i", "g")).select(key, "_piece", "_i", (c("g.s") / c("g.n")).alias("centre"), c("g.n").alias("support"))
+    out = ranked(groups, ["_piece", "_i"], "cluster", [key]).select(key, "cluster", "centre", "support")
     return out.where(c("support") >= support)
 
 
 def nearest_centre(df: DataFrame, centres: DataFrame, key: str, value: str) -> DataFrame:
-    """WN-06: each row's nearest cluster; ties go to the lowest.
+    """WN-06: each row's nearest cluster; ties go to the lowest; a row without a value has none.
 
-    An image's centres are one array, so a row meets them in an expression: no product of rows and centres is made.
+    Half-way places between neighbouring centres and the rows' distinct values are put in one order by ranges; how many
+    such places lie before a value tells its centre. Neither rows and centres nor a key's centres meet in one task.
     """
-    lines = centres.groupBy(key).agg(F.collect_list(F.struct("cluster", "centre")).alias("_cs"))
-    best = F.array_min(F.transform("_cs", lambda e: F.struct(F.abs(c(value) - e["centre"]).alias("d"), e["cluster"].alias("cluster"), e["centre"].alias("centre"))))
-    return df.join(lines, key).withColumn("_c", best).select(*df.columns, "_c.cluster", "_c.centre")
+    from gridlume.operators.lineage import stage
+
+    kept = stage(ranked(centres.select(key, "cluster", "centre"), ["centre", "cluster"], "_k", [key]), "centres")
+    before = kept.select(key, (c("_k") + 1).alias("_k"), c("centre").alias("_p"))
+    starts = kept.join(before, [key, "_k"], "left").select(key, F.coalesce((c("centre") + c("_p")) / 2, F.lit(float("-inf"))).alias("_at"), F.lit(1).alias("_start"))
+    values = df.where(c(value).isNotNull()).select(key, c(value).cast("double").alias("_at"), F.lit(0).alias("_start")).distinct()
+    found = running(values.union(starts), [key], ["_at", "_start"], c("_start"), "_k").where("_start = 0").join(kept, [key, "_k"]).select(key, "_at", "cluster", "centre")
+    keyed = df.join(kept.select(key).distinct(), key, "left_semi").withColumn("_at", c(value).cast("double"))
+    return keyed.join(found, [key, "_at"], "left").select(*df.columns, "cluster", "centre")
 
 
 def array_indices(points: DataFrame, tolerance: float) -> DataFrame:
