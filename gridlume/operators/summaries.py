@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlume.sources.tables import quantiles
+
 c = F.col
 
 
@@ -60,7 +62,14 @@ def status_counts(df: DataFrame) -> DataFrame:
 def metric_summary(df: DataFrame, label: str, metrics: list[str]) -> DataFrame:
     """AG-14: least, median and greatest value of each metric by label."""
     long = df.select(label, *[c(m).cast("double").alias(m) for m in metrics]).unpivot([label], metrics, "metric", "value")
-    return long.groupBy(label, "metric").agg(F.min("value").alias("low"), F.percentile("value", 0.5).alias("median"), F.max("value").alias("high"))
+    ends = long.groupBy(F.struct(label, "metric").alias("_key")).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    middle = quantiles(long, [label, "metric"], "value", {"median": 0.5}).select(F.struct(label, "metric").alias("_key"), "median")
+    return ends.join(middle, "_key", "left").select("_key.*", "low", "median", "high")
+
+
+def quantile_row(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: n and the quantiles of all values; without any, 0 and nulls."""
+    return df.agg(F.count(value).alias("n")).join(quantiles(df, [], value, shares).drop("n"), F.lit(True), "left")
 
 
 def cut_off(df: DataFrame, value: str, truth: str) -> DataFrame:
@@ -75,15 +84,14 @@ def cut_off(df: DataFrame, value: str, truth: str) -> DataFrame:
 def pitch(neighbours: DataFrame, diameter: float, points: int) -> DataFrame:
     """AG-16: median over points of the smallest neighbour distance in [1.03, 2.2] diameters; too few samples are an error."""
     near = neighbours.where((c("d") >= 1.03 * diameter) & (c("d") <= 2.2 * diameter)).groupBy("a_id").agg(F.min("d").alias("d"))
-    out = near.agg(F.count("*").alias("samples"), F.percentile("d", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
-    checked = F.when(c("samples") < max(20, 0.1 * points), F.raise_error(F.lit("too few neighbours for a pitch")).cast("double")).otherwise(c("q")[1])
-    return out.select("samples", checked.alias("pitch"), c("q")[0].alias("p10"), c("q")[2].alias("p90"))
+    out = quantile_row(near, "d", {"p10": 0.1, "p50": 0.5, "p90": 0.9}).withColumnRenamed("n", "samples")
+    checked = F.when(c("samples") < max(20, 0.1 * points), F.raise_error(F.lit("too few neighbours for a pitch")).cast("double")).otherwise(c("p50"))
+    return out.select("samples", checked.alias("pitch"), "p10", "p90")
 
 
 def registration_metrics(matches: DataFrame, base_n: int, follow_n: int, pitch_px: float, least: int = 8, least_share: float = 0.35, good_error: float = 0.2) -> DataFrame:
     """AG-17: matched wells, shares, median error and the status ladder. matches (d, confident)."""
-    ok = F.when(c("confident"), c("d"))
-    m = matches.agg(F.count(ok).alias("matched"), F.percentile(ok, 0.5).alias("median_error_px"))
+    m = quantile_row(matches.where(c("confident")).select("d"), "d", {"median_error_px": 0.5}).withColumnRenamed("n", "matched")
     m = m.withColumns({"base_share": c("matched") / float(base_n), "follow_share": c("matched") / float(follow_n), "median_error_pitch": c("median_error_px") / pitch_px})
     status = F.when((c("matched") < least) | (c("base_share") < least_share), "rejected_low_overlap_or_match_count").when(c("median_error_pitch").isNull() | (c("median_error_pitch") > good_error), "rejected_high_registration_error").otherwise("accepted")
     return m.withColumn("status", status)
@@ -171,7 +179,7 @@ def on_axes(points: DataFrame, axes: DataFrame) -> DataFrame:
 def robust_bounds(points: DataFrame, axes: DataFrame, pitch_px: float, bins: int = 44, least: int = 20, share: float = 0.1, margin: float = 0.45) -> DataFrame:
     """AG-22: a straight region around an array: its sides are percentiles of the extremes in bins along the long axis."""
     p = on_axes(points, axes)
-    q = p.agg(F.percentile("along", F.array(*map(F.lit, (0.005, 0.01, 0.99, 0.995)))).alias("q"))
+    q = quantile_row(p.select("along"), "along", {"_0": 0.005, "_1": 0.01, "_2": 0.99, "_3": 0.995}).select(F.array("_0", "_1", "_2", "_3").alias("q"))
     ranged = p.crossJoin(F.broadcast(q)).where((c("along") >= c("q")[1]) & (c("along") <= c("q")[2]))
     b = F.least(F.lit(bins - 1), F.floor((c("along") - c("q")[1]) / (c("q")[2] - c("q")[1]) * bins))
     per = ranged.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.min("across").alias("lo"), F.max("across").alias("hi")).where(c("n") >= least)
