@@ -15,7 +15,6 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,8 @@ from gridlume.llm.common import small_batches, stage
 WIDTH, REMEMBERED, LONGEST = 16, 300_000, 64
 #: Characters of the texts that are told apart together; a longer text is by itself.
 TOGETHER = 1 << 20
+#: Pivots after which a search that no longer gains is ended, and the most in all.
+STALL, MOST_PIVOTS = 400, 1500
 #: Stands between words that are encoded together.
 MARK = "|"
 #: Pieces for which one more bucket is taken, and the most: each class is ranked in that many.
@@ -186,8 +187,10 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
 def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 5e-4) -> list[tuple[dict[int, int], int]]:
     """Patterns (pieces by size, how often) that cover demand exactly.
 
-    Revised simplex on the columns priced so far; it ends when the dual bound is within gap, or when no pattern makes
-    the program better. What rounding down leaves is at most one pattern for each size, and is packed largest first.
+    Revised simplex on the columns priced so far; it ends when the dual bound is within gap, when STALL
+    pivots lower the number of sequences by less than a fiftieth of gap, or after MOST_PIVOTS: the patterns then still
+    cover all pieces, but may lie above the gap. What rounding down leaves is at most one pattern for each size, and is
+    packed largest first.
     """
     sizes = np.array(sorted(k for k, n in demand.items() if n), int)
     if not len(sizes):
@@ -195,8 +198,8 @@ def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 5e-4) -> l
     need = np.array([demand[k] for k in sizes], float)
     basis = np.diag((capacity // sizes).astype(float))
     inverse, amounts = np.diag(1 / np.diag(basis)), need / np.diag(basis)
-    seen: set[bytes] = set()
-    for turn in count():
+    held = np.inf
+    for turn in range(MOST_PIVOTS):
         if turn % 64 == 63:
             inverse = np.linalg.inv(basis)
             amounts = np.maximum(inverse @ need, 0)
@@ -206,11 +209,13 @@ def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 5e-4) -> l
             break
         step = inverse @ pattern
         rows = np.flatnonzero(step > 1e-9)
-        # Without progress the pivots could go round: a basis that comes back ends the search.
-        state = np.sort(np.ascontiguousarray(basis.T).view([("", basis.dtype)] * len(basis)).ravel()).tobytes() if turn > 1000 else b""
-        if not len(rows) or state in seen:
+        # Degenerate pivots bring nothing, and could go round: a long run of them ends the search.
+        if turn % STALL == STALL - 1:
+            if amounts.sum() > held * (1 - gap / 50):
+                break
+            held = amounts.sum()
+        if not len(rows):
             break
-        seen.update([state] if state else [])
         out = rows[np.argmin(amounts[rows] / step[rows])]
         move = amounts[out] / step[out]
         amounts = np.maximum(amounts - move * step, 0)
