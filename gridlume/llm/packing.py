@@ -11,6 +11,7 @@ each by itself. An empty table gives no rows. Other columns of the input are ign
 
 from __future__ import annotations
 
+import itertools
 import os
 import unicodedata
 import zlib
@@ -28,8 +29,8 @@ from gridlume.llm.common import small_batches, stage
 WIDTH, REMEMBERED, LONGEST = 16, 300_000, 64
 #: Characters of the texts that are told apart together; a longer text is by itself.
 TOGETHER = 1 << 20
-#: Pivots after which a search that no longer gains is ended, and the most in all.
-STALL, MOST_PIVOTS = 400, 1500
+#: Pivots after which a search that no longer gains is ended.
+STALL = 400
 #: Stands between words that are encoded together.
 MARK = "|"
 #: Pieces for which one more bucket is taken, and the most: each class is ranked in that many.
@@ -184,13 +185,29 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), pattern
 
 
+def inverted(square: np.ndarray) -> np.ndarray:
+    """The inverse, by elimination with row exchanges."""
+    n = len(square)
+    both = np.hstack([square, np.eye(n)])
+    for k in range(n):
+        top = k + int(np.abs(both[k:, k]).argmax())
+        if top != k:
+            both[[k, top]] = both[[top, k]]
+        both[k] /= both[k, k]
+        rows = np.flatnonzero(both[:, k])
+        rows = rows[rows != k]
+        both[rows] -= both[rows, k][:, None] * both[k]
+    return both[:, n:]
+
+
 def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 5e-4) -> list[tuple[dict[int, int], int]]:
     """Patterns (pieces by size, how often) that cover demand exactly.
 
-    Revised simplex on the columns priced so far; it ends when the dual bound is within gap, when STALL
-    pivots lower the number of sequences by less than a fiftieth of gap, or after MOST_PIVOTS: the patterns then still
-    cover all pieces, but may lie above the gap. What rounding down leaves is at most one pattern for each size, and is
-    packed largest first.
+    Revised simplex on the columns priced so far; it ends when the dual bound is within gap, or when STALL
+    pivots lower the number of sequences by less than a fiftieth of gap: the patterns then still cover all pieces,
+    but may lie above the gap. What rounding down leaves is at most one pattern for each size, and is packed
+    largest first. No product or inverse here runs in the linear algebra library: its threads don't survive
+    the fork that starts the driver's JVM, and an inverse of 128 rows or more would wait for them for ever.
     """
     sizes = np.array(sorted(k for k, n in demand.items() if n), int)
     if not len(sizes):
@@ -199,15 +216,16 @@ def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 5e-4) -> l
     basis = np.diag((capacity // sizes).astype(float))
     inverse, amounts = np.diag(1 / np.diag(basis)), need / np.diag(basis)
     held = np.inf
-    for turn in range(MOST_PIVOTS):
+    for turn in itertools.count():
         if turn % 64 == 63:
-            inverse = np.linalg.inv(basis)
-            amounts = np.maximum(inverse @ need, 0)
+            inverse = inverted(basis)
+            amounts = np.maximum((inverse * need).sum(axis=1), 0)
         prices = inverse.sum(axis=0)
         worth, pattern = best_pattern(np.maximum(prices, 0), sizes, capacity)
         if worth <= 1 + gap:
             break
-        step = inverse @ pattern
+        used = np.flatnonzero(pattern)
+        step = (inverse[:, used] * pattern[used]).sum(axis=1)
         rows = np.flatnonzero(step > 1e-9)
         # Degenerate pivots bring nothing, and could go round: a long run of them ends the search.
         if turn % STALL == STALL - 1:

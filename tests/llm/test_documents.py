@@ -98,6 +98,22 @@ def test_cutting_stock_covers_demand():
     assert packing.cutting_stock({}, 256) == []
 
 
+def test_cutting_stock_of_every_length_class(spark):
+    """All 256 classes, in a process that has started a JVM: the inverse must not wait for threads lost in that fork."""
+    rng = np.random.default_rng(2)
+    demand = {k: int(n) for k, n in enumerate(rng.integers(1, 3000, 256), 1)}
+    patterns = packing.cutting_stock(demand, 256)
+    made = Counter()
+    for pattern, times in patterns:
+        for k, n in pattern.items():
+            made[k] += n * times
+    assert dict(made) == demand
+    floor = sum(k * n for k, n in demand.items()) / 256
+    assert sum(t for _, t in patterns) <= 1.01 * floor + 1
+    square = rng.integers(0, 3, (180, 180)) + np.diag(np.arange(180.0) + 1)
+    assert np.allclose(packing.inverted(square) @ square, np.eye(180), atol=1e-6)
+
+
 def test_mixing_of_odd_rows(odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(TEXTS)
