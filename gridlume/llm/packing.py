@@ -206,8 +206,8 @@ def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 5e-4) -> l
     Revised simplex on the columns priced so far; it ends when the dual bound is within gap, or when STALL
     pivots lower the number of sequences by less than a fiftieth of gap: the patterns then still cover all pieces,
     but may lie above the gap. What rounding down leaves is at most one pattern for each size, and is packed
-    largest first. No product or inverse here runs in the linear algebra library: its threads don't survive
-    the fork that starts the driver's JVM, and an inverse of 128 rows or more would wait for them for ever.
+    largest first. No product or inverse here runs in the linear algebra library: after the
+    driver's JVM has started, its inverse of 128 rows never returned (most likely its threads are lost in that fork).
     """
     sizes = np.array(sorted(k for k, n in demand.items() if n), int)
     if not len(sizes):
