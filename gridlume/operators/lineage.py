@@ -29,20 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
                 raise RuntimeError("spark.checkpoint.dir isn't set: it must name a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="spark-checkpoint-")
         root = f"{named.rstrip('/')}/staged-{key}-{uuid.uuid4().hex[:8]}"
-        system, path = _file_system(spark, root)
+        system, path = file_system(spark, root)
         system.mkdirs(path)
         system.deleteOnExit(path)
         _roots[key] = root
     return _roots[key]
 
 
-def _file_system(spark: SparkSession, place: str):
+def file_system(spark: SparkSession, place: str):
+    """The Hadoop file system that holds place, and place as its path."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def exists(spark: SparkSession, place: str) -> bool:
-    system, path = _file_system(spark, place)
+    system, path = file_system(spark, place)
     return system.exists(path)
 
 
@@ -58,5 +59,5 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def release(staged: DataFrame) -> None:
     """Delete a table written by stage() that nothing will read again."""
-    system, path = _file_system(staged.sparkSession, staged._staged_at)
+    system, path = file_system(staged.sparkSession, staged._staged_at)
     system.delete(path, True)

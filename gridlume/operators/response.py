@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -165,7 +166,7 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def dose_grid_fit(doses: DataFrame, midpoints: list[float], hills: list[float]) -> DataFrame:
-    """AG-27: four-parameter logistic by profile least squares: for each (midpoint, hill) of a grid bottom and top are
+    """Four-parameter logistic of one group on a given grid, by profile least squares: for each (midpoint, hill) of a grid bottom and top are
     closed-form from sums; the smallest squared error wins, then the smaller midpoint and hill.
 
     doses (dose, response) has one row a concentration. Without four doses, three of them positive, or without a range
@@ -187,3 +188,51 @@ def dose_grid_fit(doses: DataFrame, midpoints: list[float], hills: list[float])
     gate = doses.agg((F.count_distinct("dose") >= 4).alias("a"), (F.count_distinct(F.when(F.col("dose") > 0, F.col("dose"))) >= 3).alias("b3"), (F.max("response") > F.min("response")).alias("c"))
     ok = F.col("a") & F.col("b3") & F.col("c")
     return gate.crossJoin(best).select(*[F.when(ok, F.col(f"b.{c}")).alias(c) for c in ("midpoint", "hill", "bottom", "top", "sse")], F.when(~F.coalesce(ok, F.lit(False)), F.lit(NOTE_NO_FIT)).alias("fit_error"))
+
+
+#: Points of the first and of later grids on each axis, and how many steps of a grid the next one reaches to either side.
+FIRST_GRID, GRID, REACH = 17, 11, 2
+HILL = (0.05, 10.0)
+
+
+def dose_fit(doses: DataFrame, keys: list[str], zooms: int = 14) -> DataFrame:
+    """AG-27: four-parameter logistic of every group at once: bottom + (top - bottom) / (1 + (dose / midpoint) ** hill).
+
+    Bottom and top are closed-form from sums, so the squared error is a function of midpoint and hill: its least value is
+    sought on a grid of their logarithms, from a decade below the doses to one above and over HILL, and then on ever
+    smaller grids about the best point; hill stays inside its bounds. Equal errors (nine digits) go to the lower place in
+    the grid. doses (keys.., dose, response) has one row a concentration; null doses and responses don't count. A group
+    without four doses, three of them positive, or without a range of responses has the note instead.
+    """
+    from gridlume.operators.lineage import stage
+
+    known = stage(doses.where("dose IS NOT NULL AND response IS NOT NULL").select(F.struct(F.lit(0).alias("_0"), *keys).alias("_key"), F.col("dose").cast("double").alias("dose"), F.col("response").cast("double").alias("response")), "doses")
+    positive = F.when(F.col("dose") > 0, F.col("dose"))
+    groups = known.groupBy("_key").agg(
+        ((F.count_distinct("dose") >= 4) & (F.count_distinct(positive) >= 3) & (F.max("response") > F.min("response"))).alias("usable"), F.ln(F.min(positive)).alias("lo"), F.ln(F.max(positive)).alias("hi")
+    )
+    low, high = map(math.log, HILL)
+    at = groups.where("usable").select(
+        "_key", ((F.col("lo") + F.col("hi")) / 2).alias("m"), ((F.col("hi") - F.col("lo") + 2 * math.log(10)) / (FIRST_GRID - 1)).alias("dm"), F.lit((low + high) / 2).alias("h"), F.lit((high - low) / (FIRST_GRID - 1)).alias("dh")
+    )
+    for number in range(zooms + 1):
+        n = GRID if number else FIRST_GRID
+        index = F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("i")
+        step = lambda k: F.col(k) - (n - 1) // 2
+        grid = at.select("*", index).withColumns({"a": F.expr(f"i div {n}"), "b": F.expr(f"i % {n}")})
+        grid = grid.select("_key", "i", "dm", "dh", (F.col("m") + step("a") * F.col("dm")).alias("m"), F.least(F.lit(high), F.greatest(F.lit(low), F.col("h") + step("b") * F.col("dh"))).alias("h"))
+        shape = F.when(F.col("dose") <= 0, 1.0).otherwise(1 / (1 + F.exp(F.exp("h") * (F.ln("dose") - F.col("m")))))
+        each = grid.join(known, "_key").withColumn("f", shape)
+        sums = each.groupBy("_key", "i", "m", "h", "dm", "dh").agg(
+            F.count("*").alias("n"), F.avg("f").alias("mf"), F.avg("response").alias("mr"), F.covar_pop("f", "response").alias("fr"), F.var_pop("f").alias("ff"), F.var_pop("response").alias("rr")
+        )
+        slope = F.when(F.col("ff") > 1e-15, F.col("fr") / F.col("ff")).otherwise(0.0)
+        sse = F.round(F.greatest(F.lit(0.0), F.col("n") * (F.col("rr") - slope * F.col("fr"))), 9).alias("sse")
+        tried = sums.select("_key", "i", "m", "h", "dm", "dh", slope.alias("slope"), (F.col("mr") - slope * F.col("mf")).alias("bottom"), sse)
+        best = tried.groupBy("_key").agg(F.min_by(F.struct("m", "h", "dm", "dh", "slope", "bottom", "sse"), F.struct("sse", "i")).alias("t")).select("_key", "t.*")
+        # Each round is written: fifteen rounds in one plan would be planned anew in every one.
+        at = stage(best.withColumns({"dm": F.col("dm") * 2 * REACH / (GRID - 1), "dh": F.col("dh") * 2 * REACH / (GRID - 1)}), "dose-fit")
+    out = groups.select("_key", "usable").join(at, "_key", "left")
+    found = lambda e, name: F.when(F.col("usable"), e).alias(name)
+    note = F.when(~F.col("usable"), F.lit(NOTE_NO_FIT)).alias("fit_error")
+    return out.select(*(F.col(f"_key.{k}").alias(k) for k in keys), found(F.exp("m"), "midpoint"), found(F.exp("h"), "hill"), found(F.col("bottom"), "bottom"), found(F.col("bottom") + F.col("slope"), "top"), found(F.col("sse"), "sse"), note)

@@ -188,35 +188,6 @@ def robust_bounds(points: DataFrame, axes: DataFrame, pitch_px: float, bins: int
     return sides.crossJoin(q).select("left", "right", (c("q")[0] - m).alias("start"), (c("q")[3] + m).alias("end"))
 
 
-def lattice_fit(points: DataFrame, origin: tuple[float, float], a: tuple[float, float], b: tuple[float, float], pitch_px: float, rounds: int = 5) -> tuple[float, ...]:
-    """AG-21: origin, a and b of x = o + u a + v b. Each round rounds every point to its (u, v), and fits by least squares on the
-    points within 0.32 pitches of their site; it ends when nothing changes or fewer than max(50, half) points are left.
-
-    One row of sums reaches the driver in a round.
-    """
-    n_all = points.count()
-    fit = (*origin, *a, *b)
-    for _ in range(rounds):
-        ox, oy, ax, ay, bx, by = map(float, fit)
-        det = ax * by - bx * ay
-        dx, dy = c("x") - ox, c("y") - oy
-        p = points.withColumns({"u": F.bround(F.round((dx * by - dy * bx) / det, 9)), "v": F.bround(F.round((dy * ax - dx * ay) / det, 9))})
-        ex, ey = c("x") - (ox + c("u") * ax + c("v") * bx), c("y") - (oy + c("u") * ay + c("v") * by)
-        near = p.where(F.sqrt(ex * ex + ey * ey) <= 0.32 * pitch_px)
-        mean = [F.avg(k).alias(f"m{k}") for k in "uvxy"]
-        cov = [F.covar_pop(i, j).alias(i + j) for i, j in ("uu", "uv", "vv", "ux", "vx", "uy", "vy")]
-        s = near.agg(F.count("*").alias("n"), *mean, *cov).first()
-        if s["n"] < max(50, n_all / 2):
-            break
-        d = s["uu"] * s["vv"] - s["uv"] ** 2
-        slope = {k: ((s[f"u{k}"] * s["vv"] - s[f"v{k}"] * s["uv"]) / d, (s[f"v{k}"] * s["uu"] - s[f"u{k}"] * s["uv"]) / d) for k in "xy"}
-        new = (s["mx"] - slope["x"][0] * s["mu"] - slope["x"][1] * s["mv"], s["my"] - slope["y"][0] * s["mu"] - slope["y"][1] * s["mv"], slope["x"][0], slope["y"][0], slope["x"][1], slope["y"][1])
-        if max(abs(p - q) for p, q in zip(new, fit, strict=True)) < 1e-9:
-            break
-        fit = new
-    return fit
-
-
 def ransac_similarity(pairs: DataFrame, order: Column, hypotheses: int = 64, tolerance: float = 4.0) -> DataFrame:
     """AG-24: scale, rotation and shift of matched points (id, x, y, u, v) by two-point hypotheses.
 

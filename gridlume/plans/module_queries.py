@@ -2,27 +2,48 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlume.operators import response as R
-from gridlume.operators.lineage import stage
+from gridlume.operators.lineage import shared_dir, stage
 from gridlume.plans.registry import query
 from gridlume.plans.response_queries import METRICS, metrics
 from gridlume.plans.views import Tables
-from gridlume.streaming import incremental
+from gridlume.streaming import incremental, resumable
 
 c = F.col
 
 
-@query("st_01", "SELECT well_id FROM v_points WHERE NOT (well_id % 3 = 0 AND well_id % 2 = 0)", "v_points")
+_areas = "SELECT well_id, {n} AS attempt, round(pi() * radius_px * radius_px, 6) AS area FROM v_points"
+
+
+@query("st_01", f"SELECT 'resumed' AS state, * FROM ({_areas.format(n='CASE WHEN well_id % 4 < 2 THEN 1 ELSE 2 END')}) UNION ALL SELECT 'changed', * FROM ({_areas.format(n='3')})", "v_points")
 def st_01(t: Tables) -> DataFrame:
-    work = t.points.select("well_id", F.lit("f2").alias("fingerprint"), F.lit(2).alias("version"))
-    # a third is done, half of that under an old fingerprint
-    done = t.points.where("well_id % 3 = 0").select("well_id", F.when(c("well_id") % 2 == 0, "f2").otherwise("f1").alias("fingerprint"), F.lit(2).alias("version"))
-    return incremental.pending(work, done, ["well_id"]).select("well_id")
+    """A job over all wells that stops after two of four batches and is run again; then the source's fingerprint changes."""
+    root = f"{shared_dir(t.spark)}/resumed-{uuid.uuid4().hex}"
+
+    def run(attempt: int, fingerprint: str, stop_after: int = 4) -> DataFrame:
+        begun = []
+
+        def areas(wells: DataFrame) -> DataFrame:
+            begun.append(wells)
+            if len(begun) > stop_after:
+                raise InterruptedError
+            return wells.select("well_id", F.lit(attempt).alias("attempt"), F.round(F.pi() * c("radius_px") * c("radius_px"), 6).alias("area"))
+
+        return resumable.resume(t.spark, root, t.points, ["well_id"], {"fingerprint": fingerprint, "version": 2}, areas, 4, F.pmod("well_id", F.lit(4)))
+
+    try:
+        run(1, "f1", stop_after=2)
+    except InterruptedError:
+        pass
+    resumed = stage(run(2, "f1", stop_after=9).select(F.lit("resumed").alias("state"), "*"), "resumed")
+    changed = run(3, "f2", stop_after=9).select(F.lit("changed").alias("state"), "*")
+    return resumed.union(changed)
 
 
 @query("st_02", "SELECT event_id, user_id FROM events")

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlume.operators import graph, raster as R
+from gridlume.operators import lattice as L
 from gridlume.operators import spatial as G
 from gridlume.operators import summaries as A
 from gridlume.operators.lineage import stage
 from gridlume.plans.registry import query
-from gridlume.plans.table_queries import EDGES, MATCH, MATRIX, PCA, matches, pts, r6
+from gridlume.plans.table_queries import DIST, EDGES, MATCH, MATRIX, PCA, matches, pts, r6
 from gridlume.plans.views import Tables
 
 c = F.col
@@ -72,19 +73,67 @@ def ag_18(t: Tables) -> DataFrame:
     return boxes.crossJoin(F.broadcast(total)).withColumn("share", F.round(c("size") / c("_n"), 6)).drop("_n").orderBy(c("size").desc(), "root").limit(20)
 
 
-UV = "uv AS (SELECT CAST(round_even(y_px / 52.0::DOUBLE, 0) AS BIGINT) AS v, CAST(round_even((x_px - y_px / 52.0::DOUBLE * 30) / 60, 0) AS BIGINT) AS u FROM v_points)"
+def round_sql(k: int) -> str:
+    """One round of the robust fit: sites by the basis before, least squares on the inliers, and whether it goes on."""
+    o = k - 1
+    rint = lambda e: f"CAST(round_even(round(({e}) / (ax * byy - bx * ay), 9), 0) AS BIGINT)"
+    taken = ", ".join(f"CASE WHEN o.stop THEN o.{n} ELSE f.{n} END AS {n}" for n in ("ox", "oy", "ax", "ay", "bx", "byy"))
+    return f"""uv{k} AS MATERIALIZED (SELECT id, x, y, p.u AS pu, p.v AS pv, keep, {rint("(x - ox) * byy - (y - oy) * bx")} AS u, {rint("(y - oy) * ax - (x - ox) * ay")} AS v FROM pts{o} p, fit{o}),
+s{k} AS (SELECT avg(u) AS mu, avg(v) AS mv, avg(x) AS mx, avg(y) AS my, covar_pop(u, u) AS uu, covar_pop(u, v) AS uv, covar_pop(v, v) AS vv, covar_pop(u, x) AS ux, covar_pop(v, x) AS vx, covar_pop(u, y) AS uy, covar_pop(v, y) AS vy FROM uv{k} WHERE keep),
+c{k} AS (SELECT *, (ux * vv - vx * uv) / (uu * vv - uv * uv) AS ax, (vx * uu - ux * uv) / (uu * vv - uv * uv) AS bx, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS ay, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS byy FROM s{k}),
+f{k} AS (SELECT mx - ax * mu - bx * mv AS ox, my - ay * mu - byy * mv AS oy, ax, ay, bx, byy FROM c{k}),
+new{k} AS MATERIALIZED (SELECT w.*, round(sqrt(pow(x - (ox + u * ax + v * bx), 2) + pow(y - (oy + u * ay + v * byy), 2)), 6) <= round(CAST(0.32 AS DOUBLE) * pitch, 6) AS nk FROM uv{k} w, f{k}, pit),
+t{k} AS (SELECT count(*) FILTER (nk <> keep) = 0 AS same, count(*) FILTER (nk) < greatest(50, count(*) / 2.0::DOUBLE) AS few FROM new{k}),
+fit{k} AS MATERIALIZED (SELECT {taken}, o.stop OR same OR few AS stop FROM fit{o} o, f{k} f, t{k}),
+pts{k} AS MATERIALIZED (SELECT id, x, y, CASE WHEN o.stop THEN pu ELSE n.u END AS u, CASE WHEN o.stop THEN pv ELSE n.v END AS v, CASE WHEN o.stop OR same OR few THEN keep ELSE nk END AS keep FROM new{k} n, fit{o} o, t{k})"""
+
+
+LATTICE = f"""WITH dia AS (SELECT 2 * quantile_cont(radius_px, 0.5) AS dia FROM v_points),
+nb AS (SELECT a_id, min(d) AS d FROM (SELECT a.well_id AS a_id, {DIST} AS d FROM v_points a JOIN v_points b ON a.well_id <> b.well_id), dia WHERE d BETWEEN CAST(1.03 AS DOUBLE) * dia AND CAST(2.2 AS DOUBLE) * dia GROUP BY 1),
+pit AS MATERIALIZED (SELECT quantile_cont(d, 0.5) AS pitch FROM nb),
+edges AS MATERIALIZED (SELECT e.* FROM (SELECT a.well_id AS a_id, b.well_id AS b_id, a.x_px AS ax, a.y_px AS ay, b.x_px AS bx, b.y_px AS b_y, {DIST} AS d FROM v_points a JOIN v_points b ON a.well_id < b.well_id) e, pit WHERE d BETWEEN CAST(0.78 AS DOUBLE) * pitch AND CAST(1.22 AS DOUBLE) * pitch),
+{BOTH}{SIZES}, seed AS MATERIALIZED (SELECT well_id AS id, CAST(x_px AS DOUBLE) AS x, CAST(y_px AS DOUBLE) AS y FROM v_points JOIN comp ON node = well_id WHERE root = (SELECT root FROM top)),
+th AS (SELECT atan2(avg(sin(6 * t)), avg(cos(6 * t))) / 6 AS g FROM (SELECT atan2(b_y - ay, bx - ax) AS t FROM edges WHERE a_id IN (SELECT id FROM seed))),
+mid AS (SELECT quantile_cont(x, 0.5) AS ox, quantile_cont(y, 0.5) AS oy FROM seed),
+fit0 AS MATERIALIZED (SELECT ox, oy, pitch * cos(g) AS ax, pitch * sin(g) AS ay, pitch * cos(g + pi() / 3) AS bx, pitch * sin(g + pi() / 3) AS byy, false AS stop FROM mid, th, pit),
+pts0 AS (SELECT id, x, y, CAST(0 AS BIGINT) AS u, CAST(0 AS BIGINT) AS v, true AS keep FROM seed),
+{", ".join(round_sql(k) for k in range(1, 6))}"""
+REGION = LATTICE + """, lm AS (SELECT avg(x) AS cx, avg(y) AS cy, atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2 AS g FROM pts5 WHERE keep),
+laxes AS (SELECT cx, cy, cos(g) * CASE WHEN sin(g) < 0 THEN -1 ELSE 1 END AS lx, sin(g) * CASE WHEN sin(g) < 0 THEN -1 ELSE 1 END AS ly FROM lm),
+lp AS (SELECT (x - cx) * lx + (y - cy) * ly AS al, -(x - cx) * ly + (y - cy) * lx AS ac FROM pts5, laxes WHERE keep),
+lq AS (SELECT quantile_cont(al, 0.005) AS a, quantile_cont(al, 0.01) AS b, quantile_cont(al, 0.99) AS c, quantile_cont(al, 0.995) AS d FROM lp),
+lbins AS (SELECT least(43, floor((al - b) / (c - b) * 44)) AS bin, min(ac) AS lo, max(ac) AS hi FROM lp, lq WHERE al BETWEEN b AND c GROUP BY 1 HAVING count(*) >= 20),
+m AS (SELECT CAST(0.45 AS DOUBLE) * pitch AS m FROM pit), region AS (SELECT quantile_cont(lo, 0.1) - any_value(m) AS l, quantile_cont(hi, 0.9) + any_value(m) AS r, (SELECT a FROM lq) - any_value(m) AS s, (SELECT d FROM lq) + any_value(m) AS e FROM lbins, m),
+span AS (SELECT min(u) - 3 AS u0, max(u) + 3 AS u1, min(v) - 3 AS v0, max(v) + 3 AS v1 FROM pts5),
+grid AS (SELECT u, v, ox + u * ax + v * bx AS x, oy + u * ay + v * byy AS y FROM (SELECT unnest(generate_series(u0, u1)) AS u FROM span), (SELECT unnest(generate_series(v0, v1)) AS v FROM span), fit5),
+placed AS (SELECT u, v, x, y, (x - cx) * lx + (y - cy) * ly AS al, -(x - cx) * ly + (y - cy) * lx AS ac FROM grid, laxes),
+sites AS MATERIALIZED (SELECT placed.* FROM placed, region WHERE round(al, 4) BETWEEN round(s, 4) AND round(e, 4) AND round(ac, 4) BETWEEN round(l, 4) AND round(r, 4))"""
+
+
+def reconstruction(t: Tables) -> L.Reconstruction:
+    diameter = 2 * A.quantile_row(t.points.select(c("radius_px").cast("double").alias("r")), "r", {"m": 0.5}).first()["m"]
+    return L.reconstruct(pts(t.points), diameter)
+
+
+@query("ag_21", LATTICE + " SELECT round(ox, 4) AS ox, round(oy, 4) AS oy, round(ax, 5) AS ax, round(ay, 5) AS ay, round(bx, 5) AS bx, round(byy, 5) AS \"by\", (SELECT count(*) FROM pts5 WHERE keep) AS inliers FROM fit5", "v_points", recursive=True)
+def ag_21(t: Tables) -> DataFrame:
+    found = reconstruction(t)
+    digits = {"ox": 4, "oy": 4, "ax": 5, "ay": 5, "bx": 5, "by": 5}
+    fit = [F.lit(round(v, digits[k])).alias(k) for k, v in found.fit.basis._asdict().items()]
+    return found.seed.agg(F.count_if("inlier").alias("inliers")).select(*fit, "inliers")
 
 
-@query("gr_05", f"""WITH {UV}, b AS (SELECT min(u) - 3 AS u0, max(u) + 3 AS u1, min(v) - 3 AS v0, max(v) + 3 AS v1 FROM uv), e AS (SELECT min(x_px) AS x0, max(x_px) AS x1, min(y_px) AS y0, max(y_px) AS y1 FROM v_points),
-us AS (SELECT unnest(generate_series(u0, u1)) AS u FROM b), vs AS (SELECT unnest(generate_series(v0, v1)) AS v FROM b)
-SELECT u, v, CAST(60 * u + 30 * v AS DOUBLE) AS x, CAST(52 * v AS DOUBLE) AS y FROM us, vs, e WHERE 60 * u + 30 * v BETWEEN x0 AND x1 AND 52 * v BETWEEN y0 AND y1""", "v_points")
+@query("gr_05", REGION + ' SELECT u, v, round(x, 3) AS x, round(y, 3) AS y, round(al, 3) AS along, round(ac, 3) AS across FROM sites', "v_points", recursive=True)
 def gr_05(t: Tables) -> DataFrame:
-    p = pts(t.points)
-    v, u = F.bround(c("y") / 52.0).cast("long"), F.bround((c("x") - c("y") / 52.0 * 30) / 60).cast("long")
-    span = p.agg(*[f(k).alias(n) for f, k, n in ((F.min, u, "u0"), (F.max, u, "u1"), (F.min, v, "v0"), (F.max, v, "v1"))], *[f(k).alias(k + n) for k in "xy" for f, n in ((F.min, "0"), (F.max, "1"))])
-    site = span.withColumn("u", F.explode(F.sequence(c("u0") - 3, c("u1") + 3))).withColumn("v", F.explode(F.sequence(c("v0") - 3, c("v1") + 3)))
-    site = site.withColumns({"x": (60 * c("u") + 30 * c("v")).cast("double"), "y": (52 * c("v")).cast("double")})
-    return site.where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("u", "v", "x", "y")
+    return L.predicted_sites(reconstruction(t)).withColumns({k: F.round(k, 3) for k in ("x", "y", "along", "across")})
+
+
+@query("jn_13", REGION + """, near AS (SELECT u, v, well_id, round(sqrt((x - x_px) * (x - x_px) + (y - y_px) * (y - y_px)), 6) AS d FROM sites, v_points, pit WHERE sqrt((x - x_px) * (x - x_px) + (y - y_px) * (y - y_px)) <= CAST(0.34 AS DOUBLE) * pitch),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY d, well_id) AS k FROM near) WHERE k = 1)
+SELECT sites.u, sites.v, well_id, round(d, 3) AS d, CASE WHEN well_id IS NULL THEN 'missing' WHEN well_id IN (SELECT id FROM seed) THEN 'observed' ELSE 'recovered' END AS status FROM sites LEFT JOIN best ON sites.u = best.u AND sites.v = best.v""", "v_points", recursive=True)
+def jn_13(t: Tables) -> DataFrame:
+    found = reconstruction(t)
+    return L.site_status(found, L.predicted_sites(found), pts(t.points)).select("u", "v", "well_id", F.round("d", 3).alias("d"), "status")
 
 
 ROI = PCA + """, p AS (SELECT well_id, (x_px - cx) * lx + (y_px - cy) * ly AS al, -(x_px - cx) * ly + (y_px - cy) * lx AS ac FROM v_points, axes),
@@ -99,15 +148,13 @@ def ag_22(t: Tables) -> DataFrame:
     return A.robust_bounds(p, A.pca_axes(p), 60.0).select(*[F.round(k, 4).alias(k) for k in ("left", "right", "start", "end")])
 
 
-@query("gr_06", ROI + """, st AS (SELECT well_id, CASE WHEN well_id % 10 <> 0 THEN 'original' WHEN round(al, 4) BETWEEN round(s, 4) AND round(e, 4) AND round(ac, 4) BETWEEN round(l, 4) AND round(r, 4) THEN 'recovered' ELSE 'outside' END AS status FROM p, roi)
-SELECT status, count(DISTINCT st.well_id) AS wells, count(o.object_id) AS objects FROM st LEFT JOIN v_object_points o ON o.object_id % 1500 = st.well_id GROUP BY 1""", "v_points", "v_object_points")
+@query("gr_06", REGION + """, st AS (SELECT well_id, CASE WHEN well_id IN (SELECT id FROM seed) THEN 'original' WHEN round((x_px - cx) * lx + (y_px - cy) * ly, 4) BETWEEN round(s, 4) AND round(e, 4) AND round(-(x_px - cx) * ly + (y_px - cy) * lx, 4) BETWEEN round(l, 4) AND round(r, 4) THEN 'recovered' ELSE 'outside' END AS status FROM v_points, laxes, region)
+SELECT status, count(DISTINCT st.well_id) AS wells, count(o.object_id) AS objects FROM st LEFT JOIN v_object_points o ON o.object_id % 1500 = st.well_id GROUP BY 1""", "v_points", "v_object_points", recursive=True)
 def gr_06(t: Tables) -> DataFrame:
-    p = pts(t.points)
-    axes = A.pca_axes(p)
-    roi = A.robust_bounds(p, axes, 60.0).toDF("l", "r", "s", "e")
-    inside = F.round("along", 4).between(F.round("s", 4), F.round("e", 4)) & F.round("across", 4).between(F.round("l", 4), F.round("r", 4))
-    status = F.when(c("id") % 10 != 0, "original").when(inside, "recovered").otherwise("outside")
-    wells = A.on_axes(p, axes).crossJoin(F.broadcast(roi)).select(c("id").alias("well_id"), status.alias("status"))
+    found = reconstruction(t)
+    seed = found.seed.select("id", F.lit(True).alias("_seed"))
+    status = F.when(c("_seed"), "original").when(c("inside"), "recovered").otherwise("outside")
+    wells = L.within_region(pts(t.points), found).join(seed, "id", "left").select(c("id").alias("well_id"), status.alias("status"))
     objects = t.object_points.select((c("object_id") % 1500).alias("well_id"), "object_id")
     per = wells.join(objects, "well_id", "left").groupBy("status", "well_id").agg(F.count("object_id").alias("n"))
     return per.groupBy("status").agg(F.count("*").alias("wells"), F.sum("n").alias("objects"))
@@ -141,17 +188,6 @@ def gr_09(t: Tables) -> DataFrame:
     return t.points.select("well_id", at("x_px", width).alias("tile_x"), at("y_px", height).alias("tile_y"))
 
 
-@query("ag_21", """WITH uv AS (SELECT x_px AS x, y_px AS y, round_even(round(y_px / 52.0::DOUBLE, 9), 0)::DOUBLE AS v, round_even(round((x_px * 52.0::DOUBLE - y_px * 30) / 3120, 9), 0)::DOUBLE AS u FROM v_points),
-n AS (SELECT * FROM uv WHERE sqrt(pow(x - (60 * u + 30 * v), 2) + pow(y - 52 * v, 2)) <= CAST(19.2 AS DOUBLE)),
-s AS (SELECT avg(u) AS mu, avg(v) AS mv, avg(x) AS mx, avg(y) AS my, covar_pop(u, u) AS uu, covar_pop(u, v) AS uv, covar_pop(v, v) AS vv, covar_pop(u, x) AS ux, covar_pop(v, x) AS vx, covar_pop(u, y) AS uy, covar_pop(v, y) AS vy FROM n),
-f AS (SELECT *, (ux * vv - vx * uv) / (uu * vv - uv * uv) AS ax, (vx * uu - ux * uv) / (uu * vv - uv * uv) AS bx, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS ay, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS "by" FROM s)
-SELECT round(mx - ax * mu - bx * mv, 6) AS ox, round(my - ay * mu - "by" * mv, 6) AS oy, round(ax, 6) AS ax, round(ay, 6) AS ay, round(bx, 6) AS bx, round("by", 6) AS "by" FROM f""", "v_points")
-def ag_21(t: Tables) -> DataFrame:
-    # the detached block shifts (u, v), so one round from the known pitch is compared
-    fit = A.lattice_fit(pts(t.points), (0, 0), (60, 0), (30, 52), 60.0, rounds=1)
-    return t.points.limit(1).select(*[F.lit(round(float(v), 6)).alias(k) for k, v in zip(("ox", "oy", "ax", "ay", "bx", "by"), fit, strict=True)])
-
-
 @query("ag_24", f"""WITH {MATCH}, p AS (SELECT a_id AS id, CAST(a.x_px AS DOUBLE) AS x, CAST(a.y_px AS DOUBLE) AS y, b.x_px AS u, b.y_px AS v FROM mm JOIN v_points a ON a.well_id = a_id JOIN v_points_t2 b ON b.well_id = b_id WHERE mutual),
 o AS (SELECT *, row_number() OVER (ORDER BY (id * 7919) % 10007, id) AS h FROM p), z AS (SELECT h, x, y, u, v, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(u) OVER w AS u2, lead(v) OVER w AS v2 FROM o WHERE h <= 33 WINDOW w AS (ORDER BY h)),
 s1 AS (SELECT h, x, y, u, v, ((u2 - u) * (x2 - x) + (v2 - v) * (y2 - y)) / ((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS a, ((v2 - v) * (x2 - x) - (u2 - u) * (y2 - y)) / ((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS b FROM z WHERE x2 IS NOT NULL),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -163,18 +164,42 @@ def ag_28(t: Tables) -> DataFrame:
     return long.groupBy(*KEYS, "metric").agg(F.count("value").alias("n"), r6(F.avg("value"), "mean"))
 
 
-@query("ag_27", METRICS + """, d AS (SELECT concentration AS dose, round(quantile_cont(relative_area, 0.5), 9) AS y FROM final WHERE relative_area IS NOT NULL AND concentration IS NOT NULL GROUP BY 1),
-g AS (SELECT * FROM (SELECT CAST(unnest([1, 3, 10, 30, 100, 300, 1000, 3000]) AS DOUBLE) AS midpoint), (SELECT CAST(unnest([0.05, 0.5, 1, 2, 4, 10]) AS DOUBLE) AS hill)),
-e AS (SELECT midpoint, hill, y, CASE WHEN dose <= 0 THEN 1 ELSE 1 / (1 + pow(dose / midpoint, hill)) END AS f FROM d, g),
-s AS (SELECT midpoint, hill, count(*) AS n, sum(f) AS sf, sum(y) AS sy, sum(f * f) AS sff, sum(f * y) AS sfy, sum(y * y) AS syy FROM e GROUP BY ALL),
-b AS (SELECT *, CASE WHEN abs(n * sff - sf * sf) > 1e-12 THEN (n * sfy - sf * sy) / (n * sff - sf * sf) ELSE 0 END AS slope FROM s),
-q AS (SELECT *, (sy - slope * sf) / n AS bottom FROM b),
-z AS (SELECT midpoint, hill, bottom, bottom + slope AS top, round(syy - bottom * sy - slope * sfy, 9) AS sse FROM q)
-SELECT midpoint, hill, round(bottom, 2) AS bottom, round(top, 2) AS top, round(sse, 4) AS sse, CAST(NULL AS VARCHAR) AS fit_error FROM z ORDER BY z.sse, midpoint, hill LIMIT 1""", "v_tracking")
+def dose_fit_sql(zooms: int = 14) -> str:
+    """The same rounds: a grid over the logarithms of midpoint and hill, and ever smaller ones about the best point."""
+    low, high = (f"CAST({math.log(x)!r} AS DOUBLE)" for x in R.HILL)
+    width = math.log(R.HILL[1]) - math.log(R.HILL[0])
+    out = [
+        "d AS MATERIALIZED (SELECT condition_index, concentration AS dose, round(quantile_cont(relative_area, 0.5), 9) AS y FROM dosed WHERE relative_area IS NOT NULL AND concentration IS NOT NULL GROUP BY ALL)",
+        "g AS (SELECT condition_index, count(DISTINCT dose) >= 4 AND count(DISTINCT dose) FILTER (dose > 0) >= 3 AND max(y) > min(y) AS usable, ln(min(dose) FILTER (dose > 0)) AS lo, ln(max(dose) FILTER (dose > 0)) AS hi FROM d GROUP BY 1)",
+        f"at0 AS (SELECT condition_index, (lo + hi) / 2 AS m, (hi - lo + 2 * CAST({math.log(10)!r} AS DOUBLE)) / {R.FIRST_GRID - 1} AS dm, CAST({(math.log(R.HILL[0]) + math.log(R.HILL[1])) / 2!r} AS DOUBLE) AS h, CAST({width / (R.FIRST_GRID - 1)!r} AS DOUBLE) AS dh FROM g WHERE usable)",
+    ]
+    for k in range(zooms + 1):
+        n = R.GRID if k else R.FIRST_GRID
+        half = (n - 1) // 2
+        out.append(
+            f"e{k} AS (SELECT condition_index, i, dm, dh, m + (i // {n} - {half}) * dm AS m, least({high}, greatest({low}, h + (i % {n} - {half}) * dh)) AS h FROM at{k}, range({n * n}) AS r(i)),"
+            f" f{k} AS (SELECT e.*, y, CASE WHEN dose <= 0 THEN CAST(1 AS DOUBLE) ELSE 1 / (1 + exp(exp(h) * (ln(dose) - m))) END AS f FROM e{k} e JOIN d ON d.condition_index = e.condition_index),"
+            f" s{k} AS (SELECT condition_index, i, m, h, dm, dh, count(*) AS n, avg(f) AS mf, avg(y) AS mr, covar_pop(f, y) AS fr, var_pop(f) AS ff, var_pop(y) AS rr FROM f{k} GROUP BY ALL),"
+            f" b{k} AS (SELECT *, CASE WHEN ff > 1e-15 THEN fr / ff ELSE 0 END AS slope FROM s{k}), q{k} AS (SELECT *, mr - slope * mf AS bottom, round(greatest(0, n * (rr - slope * fr)), 9) AS sse FROM b{k}),"
+            f" at{k + 1} AS MATERIALIZED (SELECT condition_index, m, h, dm * {2 * R.REACH} / {R.GRID - 1} AS dm, dh * {2 * R.REACH} / {R.GRID - 1} AS dh, slope, bottom, sse FROM (SELECT *, row_number() OVER (PARTITION BY condition_index ORDER BY sse, i) AS k FROM q{k}) WHERE k = 1)"
+        )
+    return ", ".join(out)
+
+
+#: Doses that follow each well: its condition's wells in six steps, the first without any.
+DOSES = "CASE WHEN well % 6 = 0 THEN 0 ELSE pow(3, well % 6) END"
+_dosed = f"dosed AS (SELECT condition_index, CAST({DOSES.replace('well', 'CAST(substr(key, 2) AS BIGINT)')} AS DOUBLE) AS concentration, relative_area FROM final)"
+
+
+@query("ag_27", METRICS + f""", {_dosed}, {dose_fit_sql()} SELECT g.condition_index, round(exp(m), 3) AS midpoint, round(exp(h), 3) AS hill, round(bottom, 4) AS bottom, round(bottom + slope, 4) AS top, round(sse, 6) AS sse,
+CASE WHEN NOT usable THEN '{R.NOTE_NO_FIT}' END AS fit_error FROM g LEFT JOIN at15 ON at15.condition_index = g.condition_index""", "v_tracking")
 def ag_27(t: Tables) -> DataFrame:
-    doses = R.quartiles(R.final_rows(metrics(t)).where("concentration IS NOT NULL"), ["concentration"], "relative_area")
-    fit = R.dose_grid_fit(doses.select(F.col("concentration").alias("dose"), F.round("median", 9).alias("response")), [1, 3, 10, 30, 100, 300, 1000, 3000], [0.05, 0.5, 1, 2, 4, 10])
-    return fit.withColumns({"bottom": F.round("bottom", 2), "top": F.round("top", 2), "sse": F.round("sse", 4)})
+    well = F.substring("well_index", F.lit(2), F.lit(20)).cast("long") % 6
+    final = R.final_rows(metrics(t)).withColumn("concentration", F.when(well == 0, 0.0).otherwise(F.pow(F.lit(3.0), well)))
+    doses = R.quartiles(final, ["condition_index", "concentration"], "relative_area")
+    fit = R.dose_fit(doses.select("condition_index", F.col("concentration").alias("dose"), F.round("median", 9).alias("response")), ["condition_index"])
+    digits = {"midpoint": 3, "hill": 3, "bottom": 4, "top": 4, "sse": 6}
+    return fit.withColumns({k: F.round(k, n) for k, n in digits.items()})
 
 
 @query("wn_08", METRICS + "SELECT condition, key AS well_index, round(percent_change, 6) AS percent_change, row_number() OVER (PARTITION BY condition ORDER BY percent_change, key) AS waterfall_rank FROM final WHERE percent_change IS NOT NULL", "v_tracking")

@@ -108,27 +108,6 @@ def jn_12(t: Tables) -> DataFrame:
     return matches(t).where("mutual").orderBy("d", "a_id").select("a_id", "b_id", r6(c("d") * 0.65, "error_um"))
 
 
-SITES = """e AS (SELECT CAST(max(x_px) + 1 AS BIGINT) AS w, CAST(max(y_px) + 1 AS BIGINT) AS h FROM v_points), su AS (SELECT unnest(range(0, w // 60 + 1)) AS u FROM e), sv AS (SELECT unnest(range(0, h // 52 + 1)) AS v FROM e),
-sites AS (SELECT u * 1000000 + v AS site_id, CAST(u * 60 + (v % 2) * 30 AS DOUBLE) AS x, CAST(v * 52 AS DOUBLE) AS y FROM su CROSS JOIN sv)"""
-
-
-def sites(t: Tables) -> DataFrame:
-    """The lattice sites of the whole array, numbered without a product of tables."""
-    width, height = t.extent
-    across, down = width // 60 + 1, height // 52 + 1
-    at = t.spark.range(across * down).select(F.expr(f"id div {down}").alias("u"), (c("id") % down).alias("v"))
-    return at.select((c("u") * 1_000_000 + c("v")).alias("site_id"), (c("u") * 60 + (c("v") % 2) * 30).cast("double").alias("x"), (c("v") * 52).cast("double").alias("y"))
-
-
-@query("jn_13", f"""WITH {SITES}, n AS (SELECT site_id, well_id, sqrt((x - x_px) * (x - x_px) + (y - y_px) * (y - y_px)) AS d FROM sites, v_points_raw),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY d, well_id) AS k FROM n) WHERE k = 1)
-SELECT site_id, CASE WHEN d > CAST(0.34 AS DOUBLE) * 60 THEN 'missing' WHEN well_id >= 10000000 THEN 'recovered' ELSE 'observed' END AS status, round(d, 6) AS d FROM b""", "v_points_raw", "v_points")
-def jn_13(t: Tables) -> DataFrame:
-    near = G.nearest(sites(t), pts(t.points_raw))
-    status = F.when(c("d") > 0.34 * 60, "missing").when(c("b_id") >= 10_000_000, "recovered").otherwise("observed")
-    return near.select(c("a_id").alias("site_id"), status.alias("status"), r6("d", "d"))
-
-
 @query("jn_14", """WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT q.vec_id AS left_id, e.vec_id AS right_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: CAST(z[1] - z[2] AS DOUBLE) * CAST(z[1] - z[2] AS DOUBLE))), 9) AS d2 FROM q, embeddings e WHERE e.vec_id <> q.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY d2, right_id) AS k FROM d)
 SELECT a.left_id, a.right_id, round(sqrt(a.d2), 5) AS d, sqrt(a.d2) < CAST(0.75 AS DOUBLE) * sqrt(b.d2) AS accepted FROM k a JOIN k b ON a.left_id = b.left_id AND a.k = 1 AND b.k = 2""")

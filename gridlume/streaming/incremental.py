@@ -15,7 +15,7 @@ c = F.col
 
 
 def pending(work: DataFrame, completed: DataFrame, keys: list[str]) -> DataFrame:
-    """ST-01: work that isn't completed under the same fingerprint and version; state of another fingerprint doesn't count."""
+    """Work that isn't completed under the same fingerprint and version; state of another fingerprint doesn't count."""
     return work.join(completed.select(*keys, "fingerprint", "version"), [*keys, "fingerprint", "version"], "left_anti")
 
 
