@@ -5,8 +5,10 @@ bit by bit.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import exp, pi
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,24 +90,68 @@ def hysteresis(properties: DataFrame, least_area: int, high: float) -> DataFrame
     return properties.where((c("area") >= least_area) & (c("high") >= high))
 
 
+def row_distances(down: list[int | None]) -> list[int | None]:
+    """From each column's distance to the nearest background in it (None: it has none) the squared distance of each place of the row
+    to the nearest background anywhere. Two scans of the lower envelope of the columns' parabolas, so linear in the row; integers only.
+    """
+    tops: list[int] = []  # columns whose parabola is lowest somewhere, from left to right
+    starts: list[int] = []  # the first place where each is
+
+    def height(column: int, x: int) -> int:
+        return (x - column) ** 2 + down[column] ** 2
+
+    for u, g in enumerate(down):
+        if g is None:
+            continue
+        while tops and height(tops[-1], starts[-1]) > height(u, starts[-1]):
+            tops.pop()
+            starts.pop()
+        if not tops:
+            tops.append(u)
+            starts.append(0)
+        else:
+            i = tops[-1]
+            first = 1 + (u * u - i * i + g * g - down[i] ** 2) // (2 * (u - i))
+            if first < len(down):
+                tops.append(u)
+                starts.append(first)
+    if not tops:
+        return [None] * len(down)
+    out, k = [0] * len(down), len(tops) - 1
+    for x in range(len(down) - 1, -1, -1):
+        out[x] = height(tops[k], x)
+        if x == starts[k] and k:
+            k -= 1
+    return out
+
+
 def background_distance(labels: DataFrame) -> DataFrame:
     """RS-06: squared distance of each component pixel to the nearest other pixel inside the component's box; null if the
     component fills it.
 
-    Two passes, linear in the box: down each column the nearest such pixel, then along each row the least over its
-    columns, which are one array of the box's width.
+    Two passes, linear in the box: down each column the nearest such pixel, then along each row, which is one array of the
+    box's width, the lower envelope of its columns' parabolas.
     """
-    box = labels.groupBy("label").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
-    columns = box.select("label", F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1")
-    cells = columns.select("label", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
+    box = labels.groupBy("image_id", "label").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    columns = box.select("image_id", "label", F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1")
+    cells = columns.select("image_id", "label", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
     other = F.when(c("_in").isNull(), c("y"))
     down = Window.partitionBy("label", "x").orderBy("y")
     before = F.last(other, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(other, ignorenulls=True).over(down.rowsBetween(0, Window.unboundedFollowing))
     held = cells.join(labels.select("label", "x", "y", F.lit(True).alias("_in")), ["label", "x", "y"], "left").withColumn("_g", F.least(c("y") - before, after - c("y")))
-    rows = held.groupBy("label", "y").agg(F.collect_list(F.when(c("_g").isNotNull(), F.struct("x", (c("_g") * c("_g")).alias("g2")))).alias("_row"))
-    dx = lambda e: (c("x") - e["x"]) * (c("x") - e["x"]) + e["g2"]
-    return labels.select("label", *PIXEL).join(rows, ["label", "y"], "left").select("label", *PIXEL, F.array_min(F.transform("_row", dx)).alias("d2"))
+    line = F.array_sort(F.collect_list(F.struct("x", "_g", "_in"))).alias("_line")
+    rows = held.groupBy("image_id", "label", "y").agg(line).select("image_id", "label", "y", F.col("_line.x").alias("xs"), F.col("_line._g").alias("down"), F.col("_line._in").alias("own"))
+    kinds = {n: rows.schema[n].dataType.simpleString() for n in ("image_id", "label", "y", "xs", "down", "own")}
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [row_distances(g) for g in batch.column("down").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("image_id", "label", "y", "xs", "own")), pa.array(found, pa.list_(pa.int64()))], ["image_id", "label", "y", "xs", "own", "d2"])
+
+    made = rows.mapInArrow(measured, ", ".join(f"{n} {kinds[n]}" for n in ("image_id", "label", "y", "xs", "own")) + ", d2 array<bigint>")
+    each = made.select("image_id", "label", "y", F.explode(F.arrays_zip("xs", "own", "d2")).alias("p"))
+    return each.where(c("p.own")).select("label", "image_id", c("p.xs").alias("x"), "y", c("p.d2").alias("d2"))
 
 
 def local_maxima(pixels: DataFrame, distance: int, threshold: float, value: str = "v") -> DataFrame:

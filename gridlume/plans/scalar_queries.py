@@ -13,6 +13,7 @@ from gridlume.functions import scalar as S
 from gridlume.operators.lineage import shared_dir, stage
 from gridlume.plans.registry import query
 from gridlume.plans.views import Tables
+from gridlume.sources import files, stacks
 from gridlume.sources import tables as IO
 
 UM = 0.65
@@ -262,11 +263,26 @@ def src_06(t: Tables) -> DataFrame:
     return IO.distinct_names(object_keys(t), "key", ["page_id"]).select("page_id", "name")
 
 
-@query("src_07", """WITH g AS (SELECT image_id, CAST(gx.x AS BIGINT) AS x, CAST(gy.y AS BIGINT) AS y FROM (SELECT DISTINCT image_id FROM v_pixels), range(20, 64) AS gx(x), range(0, 12) AS gy(y))
-SELECT g.image_id, g.x, g.y, coalesce(p.v, 0) AS v FROM g LEFT JOIN v_pixels p ON p.image_id = g.image_id AND p.x = g.x AND p.y = g.y AND g.image_id % 2 = 0""", "v_pixels")
+#: Regions (x0, y0, width, height), channel, z, t: over the right edge and above the top with z and t past their ends; inside; a channel that isn't there; beside the image.
+REGIONS = (((20, -5, 90, 17), 1, 99, -4), ((3, 30, 20, 9), 0, 0, 0), ((40, 40, 5, 5), 7, 0, 0), ((200, 0, 5, 5), 0, 0, 0))
+_stack = "st AS (SELECT image_id % 2 AS channel, (image_id // 2) % 2 AS z, image_id // 4 AS t, x, y, v FROM v_pixels), size AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h, max(z) AS mz, max(t) AS mt FROM st)"
+
+
+def region_sql(number: int) -> str:
+    (x0, y0, w, h), channel, z, t = REGIONS[number]
+    return (
+        f"SELECT {number} AS region, gx.x AS x, gy.y AS y, coalesce(v, 0) AS v FROM (SELECT CAST(unnest(range({x0}, {x0 + w})) AS BIGINT) AS x) gx CROSS JOIN (SELECT CAST(unnest(range({y0}, {y0 + h})) AS BIGINT) AS y) gy CROSS JOIN size"
+        f" LEFT JOIN st ON st.x = gx.x AND st.y = gy.y AND channel = {channel} AND z = greatest(0, least(mz, {z})) AND t = greatest(0, least(mt, {t})) WHERE gx.x BETWEEN 0 AND w - 1 AND gy.y BETWEEN 0 AND h - 1"
+    )
+
+
+@query("src_07", f"WITH {_stack} " + " UNION ALL ".join(region_sql(k) for k in range(len(REGIONS))), "v_pixels")
 def src_07(t: Tables) -> DataFrame:
-    # a region over the right edge and above the top; odd images lack the channel
-    return IO.read_region(t.pixels, t.pixels.where("image_id % 2 = 0"), (20, -5, 90, 12), (64, 64))
+    root = f"{shared_dir(t.spark)}/stack-{uuid.uuid4().hex}"
+    image = c("image_id")
+    stacks.write_stack(t.pixels.select((image % 2).alias("channel"), (F.floor(image / 2) % 2).alias("z"), F.floor(image / 4).alias("t"), "x", "y", "v"), root, 16)
+    read = [stacks.read_region(t.spark, root, box, channel, z, at).withColumn("region", F.lit(k)) for k, (box, channel, z, at) in enumerate(REGIONS)]
+    return reduce(DataFrame.union, read).select("region", "x", "y", "v")
 
 
 LONG = "WITH p AS (SELECT image_id, x, y, v AS c0, (v * 3 + x) % 256 AS c1 FROM v_pixels) "
@@ -299,10 +315,17 @@ def src_12(t: Tables) -> DataFrame:
     return t.table("pages").select("page_id", IO.fingerprint("url", "page_id").alias("fingerprint"))
 
 
-@query("src_13", "SELECT doc_id, 'text' AS asset_type, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM documents")
+_lines = "SELECT c_nationkey, string_agg(CAST(c_custkey AS VARCHAR) || ',' || c_name || chr(10), '' ORDER BY c_custkey) AS content FROM customer GROUP BY 1"
+
+
+@query("src_13", f"SELECT 'nation=' || c_nationkey AS path, 'text' AS asset_type, CAST(strlen(content) AS BIGINT) AS bytes, sha256(content) AS sha256 FROM ({_lines})")
 def src_13(t: Tables) -> DataFrame:
-    d = t.table("documents")
-    return d.select("doc_id", F.lit("text").alias("asset_type"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    """Lists of customers, a text file a nation, written and scanned; files over 16 KB are hashed in chunks of 4 KB."""
+    root = f"{shared_dir(t.spark)}/package-{uuid.uuid4().hex}"
+    lines = t.table("customer").select(c("c_nationkey").alias("nation"), "c_custkey", F.concat(c("c_custkey").cast("string"), F.lit(","), "c_name").alias("line"))
+    lines.repartition("nation").sortWithinPartitions("nation", "c_custkey").drop("c_custkey").write.partitionBy("nation").text(root)
+    found = files.manifest(t.spark, root, 16 << 10, 4 << 10)
+    return found.withColumn("path", F.substring_index("path", "/", 1))
 
 
 @query("src_14", "SELECT page_id, coalesce(CASE WHEN page_id % 2 = 0 THEN md5(url) END, 'etag-' || page_id::VARCHAR) AS etag, '[' || (page_id % 9)::VARCHAR || ',512]' AS shape, CASE WHEN page_id % 5 = 0 THEN 'error' ELSE 'complete' END AS status, CASE WHEN page_id % 5 = 0 THEN 'unreadable' ELSE '' END AS error FROM pages")

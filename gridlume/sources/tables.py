@@ -101,15 +101,6 @@ def distinct_names(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return numbered.withColumn("name", F.when(c("_i") == 1, c("_base")).otherwise(F.concat(padded(c("_i"), 3), F.lit("_"), c("_base")))).drop("_base", "_i")
 
 
-def read_region(images: DataFrame, channel: DataFrame, box: tuple[int, int, int, int], size: tuple[int, int]) -> DataFrame:
-    """SRC-07: a clamped region of every image; pixels of a channel that isn't there are 0."""
-    x0, y0, x1, y1 = max(0, box[0]), max(0, box[1]), min(size[0], box[2]), min(size[1], box[3])
-    long = lambda lo, hi: F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi - 1).cast("long")))
-    grid = images.select("image_id").distinct().withColumn("x", long(x0, x1)).withColumn("y", long(y0, y1))
-    inside = channel.where((c("x") >= x0) & (c("x") < x1) & (c("y") >= y0) & (c("y") < y1))
-    return grid.join(inside, ["image_id", "x", "y"], "left").withColumn("v", F.coalesce("v", F.lit(0).cast("long")))
-
-
 def long_channels(pixels: DataFrame) -> DataFrame:
     """Two channels in long form, the second derived from the first."""
     each = F.array(F.struct(F.lit(0).alias("channel"), c("v").alias("v")), F.struct(F.lit(1).alias("channel"), ((c("v") * 3 + c("x")) % 256).alias("v")))
