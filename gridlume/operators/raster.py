@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridlume.operators.graph import components
 from gridlume.operators.lineage import stage
+from gridlume.operators.tiles import owned, tiled
 
 c = F.col
 PIXEL = ["image_id", "x", "y"]
@@ -264,6 +265,18 @@ def circles(pixels: DataFrame, rmin: int, rmax: int, edge: float, least_votes: i
     return best.join(counted.select(*PIXEL, "radius"), PIXEL)
 
 
+def circles_in_tiles(pixels: DataFrame, size: int, rmin: int, rmax: int, edge: float, least_votes: int, apart: float) -> DataFrame:
+    """RS-12 on large arrays: pixels are copied to tiles with halos, circles are sought in each tile, and each tile keeps the centres
+    in its core (GR-08, FN-16).
+
+    The halo reaches every edge that votes for a centre of the core or for one that competes with it, and a pixel more on
+    which gradients depend, so the result is that of the whole array whatever the tiles' size, and no group has more than a
+    tile's pixels. A centre outside the array is none.
+    """
+    halo = rmax + int(apart) + 2
+    return owned(circles(tiled(pixels, size, halo), rmin, rmax, edge, least_votes, apart), size, halo)
+
+
 def sampled(samples: DataFrame, pixels: DataFrame) -> DataFrame:
     """samples with fx, fy (rounded half to even, clipped to the image) get the pixel's value v."""
     size = pixels.groupBy("image_id").agg(F.max("x").alias("_w"), F.max("y").alias("_h"))

@@ -342,25 +342,52 @@ def discs(t: Tables, radius: float) -> DataFrame:
     return t.pixels.select("image_id").distinct().select("image_id", c("image_id").alias("well_id"), middle.alias("wx"), middle.alias("wy"), F.lit(radius).alias("wr"))
 
 
-@query("rs_12")
-def rs_12(t: Tables) -> DataFrame:
-    return R.circles(rendered(t), 55, 80, 200.0, 40, 20.0)
+#: Width and height of a rendered picture.
+SIDE = 136
+#: What each image's sum s of values says of its picture: centre, inner radius and thickness of a wall, level of the ground, side
+#: and half-width of a gap in the wall.
+PICTURE = {"cx": "62 + s % 13", "cy": "62 + floor(s / 13) % 13", "r0": "34 + floor(s / 169) % 7", "thick": "6 + s % 4", "ground": "160 + s % 16", "side": "floor(s / 7) % 4", "gap": "1 + s % 5"}
 
 
-def rendered(t: Tables) -> DataFrame:
-    """Each image's first row's values as a rendered ring of 63 to 73 pixels: a wall on a ground that follows the data."""
-    ground = t.pixels.groupBy("image_id").agg((F.floor(F.avg("v")) % 8 + 166).cast("long").alias("ground"))
-    axis = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(219).cast("long")))
-    grid = ground.withColumn("x", axis).withColumn("y", axis)
-    d = F.sqrt(F.pow(c("x") - 110, F.lit(2.0)) + F.pow(c("y") - 110, F.lit(2.0)))
-    return grid.select(*R.PIXEL, F.when(d.between(63, 73), F.lit(35).cast("long")).otherwise(c("ground")).alias("v"))
+def picture_numbers(t: Tables) -> DataFrame:
+    sums = t.pixels.groupBy("image_id").agg(F.sum("v").cast("long").alias("s"))
+    return sums.select("image_id", *(F.expr(f"CAST({e} AS BIGINT) AS {k}") for k, e in PICTURE.items()))
 
 
-RENDERED = "ground AS (SELECT image_id, CAST(floor(avg(v)) AS BIGINT) % 8 + 166 AS ground FROM v_pixels GROUP BY 1), ring AS (SELECT image_id, CAST(a.x AS BIGINT) AS x, CAST(b.y AS BIGINT) AS y, CASE WHEN sqrt(CAST((a.x - 110) * (a.x - 110) + (b.y - 110) * (b.y - 110) AS DOUBLE)) BETWEEN 63 AND 73 THEN 35 ELSE ground END AS v FROM ground, range(220) AS a(x), range(220) AS b(y))"
+def rendered(t: Tables) -> DataFrame:
+    """A wall around a well for each image: its place, size, gap and levels follow the sum of the image's values, and each pixel
+    has the last four bits of one of the image's own."""
+    axis = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long")))
+    grid = picture_numbers(t).withColumn("x", axis).withColumn("y", axis)
+    own = t.pixels.select("image_id", c("x").alias("u"), c("y").alias("w"), (c("v") % 16).alias("grain"))
+    grid = grid.withColumns({"u": c("x") % 64, "w": c("y") % 64}).join(own, ["image_id", "u", "w"], "left")
+    dx, dy = c("x") - c("cx"), c("y") - c("cy")
+    wall = F.sqrt((dx * dx + dy * dy).cast("double")).between(c("r0"), c("r0") + c("thick"))
+    side = F.when(c("side") < 2, F.abs(dy)).otherwise(F.abs(dx)) <= c("gap")
+    open_ = side & F.when(c("side") == 0, dx > 0).when(c("side") == 1, dx < 0).when(c("side") == 2, dy > 0).otherwise(dy < 0)
+    level = F.when(wall & ~open_, F.lit(30).cast("long")).otherwise(c("ground"))
+    return grid.select(*R.PIXEL, (level + F.coalesce("grain", F.lit(0).cast("long"))).alias("v"))
+
+
+RENDERED = f"""sums AS (SELECT image_id, CAST(sum(v) AS BIGINT) AS s FROM v_pixels GROUP BY 1), par AS MATERIALIZED (SELECT image_id, {", ".join(f"CAST({e} AS BIGINT) AS {k}" for k, e in PICTURE.items())} FROM sums),
+drawn AS (SELECT par.*, CAST(a.x AS BIGINT) AS x, CAST(b.y AS BIGINT) AS y FROM par, range({SIDE}) AS a(x), range({SIDE}) AS b(y)),
+ring AS MATERIALIZED (SELECT d.image_id, d.x, d.y, CASE WHEN sqrt(CAST((d.x - cx) * (d.x - cx) + (d.y - cy) * (d.y - cy) AS DOUBLE)) BETWEEN r0 AND r0 + thick
+AND NOT (CASE WHEN side < 2 THEN abs(d.y - cy) ELSE abs(d.x - cx) END <= gap AND CASE side WHEN 0 THEN d.x > cx WHEN 1 THEN d.x < cx WHEN 2 THEN d.y > cy ELSE d.y < cy END) THEN 30 ELSE ground END + coalesce(p.v % 16, 0) AS v
+FROM drawn d LEFT JOIN v_pixels p ON p.image_id = d.image_id AND p.x = d.x % 64 AND p.y = d.y % 64),
+well AS MATERIALIZED (SELECT image_id, CAST(cx AS DOUBLE) AS wx, CAST(cy AS DOUBLE) AS wy, r0 + thick / 2.0::DOUBLE AS wr FROM par)"""
 
 
 def ring_wells(t: Tables) -> DataFrame:
-    return t.pixels.select("image_id").distinct().select("image_id", F.lit(1).cast("long").alias("well_id"), *[F.lit(v).alias(k) for k, v in (("wx", 110.0), ("wy", 110.0), ("wr", 68.0))])
+    radius = (c("r0") + c("thick") / 2.0).alias("wr")
+    return picture_numbers(t).select("image_id", F.lit(1).cast("long").alias("well_id"), c("cx").cast("double").alias("wx"), c("cy").cast("double").alias("wy"), radius)
+
+
+@query("rs_12", f"""WITH {RENDERED}, {sobel_sql('ring')}, strong AS (SELECT gx.image_id, gx.x, gx.y, gx.v AS gx, gy.v AS gy, sqrt(gx.v * gx.v + gy.v * gy.v) AS g FROM gx JOIN gy ON gx.image_id = gy.image_id AND gx.x = gy.x AND gx.y = gy.y),
+votes AS (SELECT image_id, CAST(round(x + sg * r * gx / g) AS BIGINT) AS x, CAST(round(y + sg * r * gy / g) AS BIGINT) AS y, r FROM strong, range(28, 53) AS q(r), (VALUES (-1), (1)) AS z(sg) WHERE g >= 200),
+byr AS (SELECT image_id, x, y, r, count(*) AS n FROM votes GROUP BY ALL), counted AS (SELECT image_id, x, y, CAST(sum(n) AS BIGINT) AS votes, CAST(arg_max(r, n * 1000 - r) AS INT) AS radius FROM byr GROUP BY ALL), enough AS (SELECT * FROM counted WHERE votes >= 40), {maxima_sql('pk', 'enough', 12, 40, 'votes')}
+SELECT image_id, x, y, votes, radius FROM pk WHERE x BETWEEN 0 AND {SIDE - 1} AND y BETWEEN 0 AND {SIDE - 1}""", "v_pixels")
+def rs_12(t: Tables) -> DataFrame:
+    return R.circles_in_tiles(rendered(t), 72, 28, 52, 200.0, 40, 12.0)
 
 
 @query("rs_13", f"WITH {LABELS} SELECT image_id, label, round(avg(CASE WHEN (x - 32) * (x - 32) + (y - 32) * (y - 32) <= 400 THEN 1.0::DOUBLE ELSE 0 END), 6) AS inside_fraction FROM lab GROUP BY ALL", "v_pixels", recursive=True)
@@ -368,27 +395,38 @@ def rs_13(t: Tables) -> DataFrame:
     return plain_label(R.inside_fraction(labels(t), discs(t, 20.0))).withColumn("inside_fraction", F.round("inside_fraction", 6))
 
 
-OBJECTS = "(VALUES (0, 150.0, 110.0), (1, 110.0, 200.0), (2, 120.0, 112.0), (3, 60.0, 40.0)) AS k(o, ox, oy)"
+#: Objects by their place from the well's centre.
+PLACES = ((0, 30.0, 0.0), (1, 0.0, 52.0), (2, 6.0, 2.0), (3, -34.0, -36.0))
+OBJECTS = f"(VALUES {', '.join(map(str, PLACES))}) AS k(o, dx, dy)"
 
 
 def ring_objects(t: Tables) -> DataFrame:
-    places = F.inline(F.array(*[F.struct(F.lit(o).cast("long").alias("o"), F.lit(x).alias("ox"), F.lit(y).alias("oy")) for o, x, y in ((0, 150.0, 110.0), (1, 110.0, 200.0), (2, 120.0, 112.0), (3, 60.0, 40.0))]))
-    return ring_wells(t).select("*", places).withColumn("object_id", c("image_id") * 10 + c("o")).drop("well_id", "o")
+    places = F.inline(F.array(*[F.struct(F.lit(o).cast("long").alias("o"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for o, x, y in PLACES]))
+    return ring_wells(t).select("*", places).select("image_id", (c("image_id") * 10 + c("o")).alias("object_id"), "wx", "wy", "wr", (c("wx") + c("dx")).alias("ox"), (c("wy") + c("dy")).alias("oy"))
+
+
+def at_sql(axis: str) -> str:
+    """The pixel that a sample on a ray falls on."""
+    way = "cos" if axis == "x" else "sin"
+    return f"greatest(0, least({SIDE - 1}, CAST(round_even(round(w{axis} + radius * {way}(angle), 6), 0) AS BIGINT)))"
+
+
+RAY = "CAST({lo} AS DOUBLE) * wr + (CAST({hi} AS DOUBLE) * wr - CAST({lo} AS DOUBLE) * wr) * k / {n}"
 
 
-@query("rs_14", f"""WITH {RENDERED}, obj AS (SELECT image_id, image_id * 10 + o AS object_id, sqrt((ox - 110) * (ox - 110) + (oy - 110) * (oy - 110))::DOUBLE AS distance, atan2(CAST(oy - 110 AS DOUBLE), CAST(ox - 110 AS DOUBLE)) AS theta FROM ground, {OBJECTS}),
-s AS (SELECT image_id, object_id, distance, ray, k, 30.6::DOUBLE + 54.4::DOUBLE * k / 80 AS radius, theta + (-20 + 4 * ray) * pi() / 180 + band * pi() / 180 AS angle FROM obj, range(0, 11) AS a(ray), range(0, 81) AS b(k), (VALUES (-6), (-3), (0), (3), (6)) AS d(band) WHERE distance > CAST(27.2 AS DOUBLE)),
-m AS (SELECT s.image_id, object_id, distance, ray, k, radius, quantile_cont(CAST(v AS DOUBLE), 0.5) AS v FROM s JOIN ring ON ring.image_id = s.image_id AND ring.x = CAST(round_even(round(110 + radius * cos(angle), 6), 0) AS BIGINT) AND ring.y = CAST(round_even(round(110 + radius * sin(angle), 6), 0) AS BIGINT) GROUP BY ALL),
-g AS (SELECT o.object_id, o.distance, o.ray, o.k, o.radius, round(sum(p.v * t.w), 6) AS v FROM m o CROSS JOIN {taps_sql(R.gaussian_taps(1.2))} JOIN m p ON p.object_id = o.object_id AND p.ray = o.ray AND p.k = CASE WHEN o.k + t.k < 0 THEN -(o.k + t.k) - 1 WHEN o.k + t.k > 80 THEN 161 - (o.k + t.k) ELSE o.k + t.k END GROUP BY ALL),
-w AS (SELECT *, row_number() OVER (PARTITION BY object_id, ray ORDER BY v, k) AS o FROM g), f AS (SELECT object_id, avg(CASE WHEN radius + CAST(2.04 AS DOUBLE) < distance THEN 1.0::DOUBLE ELSE 0 END) AS wall_fraction FROM w WHERE o = 1 GROUP BY 1)
+@query("rs_14", f"""WITH {RENDERED}, obj AS (SELECT well.*, image_id * 10 + o AS object_id, sqrt(pow(wx + dx - wx, 2) + pow(wy + dy - wy, 2))::DOUBLE AS distance, atan2(CAST(wy + dy - wy AS DOUBLE), CAST(wx + dx - wx AS DOUBLE)) AS theta FROM well, {OBJECTS}),
+s AS (SELECT image_id, object_id, wx, wy, wr, distance, ray, k, {RAY.format(lo=0.45, hi=1.25, n=80)} AS radius, theta + (-20 + 4 * ray) * pi() / 180 + band * pi() / 180 AS angle FROM obj, range(0, 11) AS a(ray), range(0, 81) AS b(k), (VALUES (-6), (-3), (0), (3), (6)) AS d(band) WHERE distance > CAST(0.40 AS DOUBLE) * wr),
+m AS (SELECT s.image_id, object_id, distance, wr, ray, k, radius, quantile_cont(CAST(v AS DOUBLE), 0.5) AS v FROM s JOIN ring ON ring.image_id = s.image_id AND ring.x = {at_sql('x')} AND ring.y = {at_sql('y')} GROUP BY ALL),
+g AS (SELECT o.object_id, o.distance, o.wr, o.ray, o.k, o.radius, round(sum(p.v * t.w), 6) AS v FROM m o CROSS JOIN {taps_sql(R.gaussian_taps(1.2))} JOIN m p ON p.object_id = o.object_id AND p.ray = o.ray AND p.k = CASE WHEN o.k + t.k < 0 THEN -(o.k + t.k) - 1 WHEN o.k + t.k > 80 THEN 161 - (o.k + t.k) ELSE o.k + t.k END GROUP BY ALL),
+w AS (SELECT *, row_number() OVER (PARTITION BY object_id, ray ORDER BY v, k) AS o FROM g), f AS (SELECT object_id, avg(CASE WHEN radius + greatest(CAST(1 AS DOUBLE), CAST(0.03 AS DOUBLE) * wr) < distance THEN 1.0::DOUBLE ELSE 0 END) AS wall_fraction FROM w WHERE o = 1 GROUP BY 1)
 SELECT obj.object_id, round(coalesce(wall_fraction, 0), 6) AS wall_fraction FROM obj LEFT JOIN f USING (object_id)""", "v_pixels")
 def rs_14(t: Tables) -> DataFrame:
     return R.wall_before(rendered(t), ring_objects(t)).withColumn("wall_fraction", F.round("wall_fraction", 6))
 
 
-@query("rs_15", f"""WITH {RENDERED}, {gauss_sql('raw', 'ring', 1.0)}, dic AS (SELECT image_id, x, y, round(v, 6) AS v FROM raw), sp AS (SELECT image_id, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.9) AS p90 FROM dic WHERE (x - 110) * (x - 110) + (y - 110) * (y - 110) <= pow(CAST(1.35 AS DOUBLE) * 68, 2) GROUP BY 1),
-s AS (SELECT a, 30.6::DOUBLE + 54.4::DOUBLE * k / 99 AS radius, a * 2 * pi() / 72 AS angle FROM range(0, 72) AS x(a), range(0, 100) AS y(k)),
-g AS (SELECT dic.image_id, a, round(radius / 68, 9) AS share, v FROM s JOIN dic ON dic.x = CAST(round_even(round(110 + radius * cos(angle), 6), 0) AS BIGINT) AND dic.y = CAST(round_even(round(110 + radius * sin(angle), 6), 0) AS BIGINT)),
+@query("rs_15", f"""WITH {RENDERED}, {gauss_sql('raw', 'ring', 1.0)}, dic AS MATERIALIZED (SELECT image_id, x, y, round(v, 6) AS v FROM raw), sp AS (SELECT dic.image_id, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.9) AS p90 FROM dic JOIN well USING (image_id) WHERE (x - wx) * (x - wx) + (y - wy) * (y - wy) <= pow(CAST(1.35 AS DOUBLE) * wr, 2) GROUP BY 1),
+s AS (SELECT well.*, a, {RAY.format(lo=0.45, hi=1.25, n=99)} AS radius, a * 2 * pi() / 72 AS angle FROM well, range(0, 72) AS x(a), range(0, 100) AS y(k)),
+g AS (SELECT dic.image_id, a, round(radius / wr, 9) AS share, v FROM s JOIN dic ON dic.image_id = s.image_id AND dic.x = {at_sql('x')} AND dic.y = {at_sql('y')}),
 ray AS (SELECT image_id, a, quantile_cont(v, 0.5) FILTER (share BETWEEN CAST(0.45 AS DOUBLE) AND CAST(0.65 AS DOUBLE)) AS i, quantile_cont(v, 0.5) FILTER (share BETWEEN CAST(1.12 AS DOUBLE) AND CAST(1.25 AS DOUBLE)) AS o, min(v) FILTER (share BETWEEN CAST(0.72 AS DOUBLE) AND CAST(1.10 AS DOUBLE)) AS w FROM g GROUP BY ALL)
 SELECT ray.image_id, CAST(1 AS BIGINT) AS well_id, round(quantile_cont(((i + o) / 2 - w) / greatest(p90 - p10, 1), 0.5), 5) AS score FROM ray JOIN sp USING (image_id) GROUP BY 1""", "v_pixels")
 def rs_15(t: Tables) -> DataFrame:
@@ -400,11 +438,11 @@ def rs_16(t: Tables) -> DataFrame:
     return R.gradients(t.pixels).select(*R.PIXEL, F.round("g", 5).alias("g"))
 
 
-@query("rs_17", f"""WITH {RENDERED}, {sobel_sql('ring')}, p AS (SELECT ring.*, round(g, 6) AS g, sqrt(CAST((ring.x - 110) * (ring.x - 110) + (ring.y - 110) * (ring.y - 110) AS DOUBLE)) / 68 AS s FROM ring JOIN grad ON grad.image_id = ring.image_id AND grad.x = ring.x AND grad.y = ring.y),
+@query("rs_17", f"""WITH {RENDERED}, {sobel_sql('ring')}, p AS MATERIALIZED (SELECT ring.*, round(g, 6) AS g, sqrt(pow(ring.x - wx, 2) + pow(ring.y - wy, 2)) / wr AS s FROM ring JOIN grad ON grad.image_id = ring.image_id AND grad.x = ring.x AND grad.y = ring.y JOIN well ON well.image_id = ring.image_id),
 z AS (SELECT *, CASE WHEN s BETWEEN CAST(0.35 AS DOUBLE) AND CAST(0.65 AS DOUBLE) THEN 'i' WHEN s BETWEEN CAST(0.78 AS DOUBLE) AND CAST(1.08 AS DOUBLE) THEN 'w' WHEN s BETWEEN CAST(1.15 AS DOUBLE) AND CAST(1.38 AS DOUBLE) THEN 'o' END AS r FROM p),
 m AS (SELECT image_id, avg(v) FILTER (r = 'i') AS im, avg(v) FILTER (r = 'w') AS wm, avg(v) FILTER (r = 'o') AS om, avg(g) FILTER (r = 'i') AS ig, avg(g) FILTER (r = 'w') AS wg, avg(g) FILTER (r = 'o') AS og, quantile_cont(g, 0.9) FILTER (r IN ('i', 'o')) AS ref FROM z GROUP BY 1),
-s AS (SELECT a, 68 * (CAST(0.78 AS DOUBLE) + CAST(0.30 AS DOUBLE) * k / 12) AS radius, a * 2 * pi() / 96 AS angle FROM range(0, 96) AS x(a), range(0, 13) AS y(k)),
-pk AS (SELECT p.image_id, a, max(g) AS peak FROM s JOIN p ON p.x = CAST(round_even(round(110 + radius * cos(angle), 6), 0) AS BIGINT) AND p.y = CAST(round_even(round(110 + radius * sin(angle), 6), 0) AS BIGINT) GROUP BY ALL)
+s AS (SELECT well.*, a, {RAY.format(lo=0.78, hi=1.08, n=12)} AS radius, a * 2 * pi() / 96 AS angle FROM well, range(0, 96) AS x(a), range(0, 13) AS y(k)),
+pk AS (SELECT p.image_id, a, max(g) AS peak FROM s JOIN p ON p.image_id = s.image_id AND p.x = {at_sql('x')} AND p.y = {at_sql('y')} GROUP BY ALL)
 SELECT m.image_id, round(any_value((im + om) / 2 - wm), 5) AS darkness, round(any_value(wg / greatest(CAST(0.000001 AS DOUBLE), (ig + og) / 2)), 2) AS gradient_ratio, round(avg(CASE WHEN peak > ref THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage FROM m JOIN pk ON pk.image_id = m.image_id GROUP BY 1""", "v_pixels")
 def rs_17(t: Tables) -> DataFrame:
     out = R.ring_statistics(rendered(t), ring_wells(t))
