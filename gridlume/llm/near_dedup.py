@@ -8,11 +8,13 @@ long documents need one or two.
 Documents with equal sets form a class and are represented by its smallest doc_id. Representatives that share
 a band of ROWS slots are candidates. First each bucket's members meet its first one; after grouping, the pairs
 of a bucket that still lie in different groups follow, so each candidate pair is either tested or already in one
-group. Before sets are fetched a pair must pass an exact bound from the sets' bitmaps. A pair of exactly the
+group. In a bucket of more than CROWD members (texts with a passage in common and no links) those pairs must also share
+one of their rarest elements, which loses none that meets the threshold (rare_buckets). Before sets are fetched a pair must pass an exact bound from the sets' bitmaps. A pair of exactly the
 threshold shares no band with probability (1 - 0.85^5)^26 = 2.4e-7.
 
-Nothing hot meets in one task: a large bucket's rows are dealt to tasks in parts, a document with many pairs sends its
-set once for each PART of them, and classes with many copies get their roots by broadcast.
+Nothing hot is compared in one task: a large bucket's rows are dealt to tasks in parts, a document with many pairs sends its
+set once for each PART of them, and classes with many copies get their roots by broadcast. A bucket's rows do meet where its
+number is joined to them; these are ids and keys, which Spark's skew join deals out.
 
 Null or empty text: empty set, linked with nothing. Null doc_id: kept as a row of its own, never linked.
 Repeated rows have equal sets, and so one class. A doc_id with several texts is one node: it is linked with all that any
@@ -41,6 +43,8 @@ BITS = 1024
 PERCENT = 85
 #: Pairs of one document, and rows of one bucket, that are dealt to one task; most documents with more pairs, and most classes with many copies, that are broadcast.
 PART, MEMBERS, MOST_HUBS, MOST_HOT = 500, 1000, 100_000, 1000
+#: Members of a bucket with several groups up to which all of them are compared; beyond, they must share a rare element. Cells of its counts.
+CROWD, COUNTS = 64, 1 << 18
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -212,6 +216,70 @@ def possible():
     return 100 * shared >= PERCENT * (F.col("n_a") + F.col("n_b") - shared)
 
 
+def open_buckets(rows: DataFrame) -> DataFrame:
+    """key, members, largest (group) of the buckets that hold several groups. rows: key, doc, root; counted before a key's rows meet."""
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    return sizes.groupBy("key").agg(F.count("*").alias("groups"), F.sum("n").alias("members"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("groups > 1").drop("groups")
+
+
+def other_groups(rows: DataFrame) -> DataFrame:
+    """Pairs (a < b) of different groups of a bucket that can still meet the threshold. rows: key, doc, root, largest, parts, n, bits.
+
+    Of such a pair one lies outside the bucket's largest group: those are dealt to parts of their bucket, and each part meets
+    the whole bucket.
+    """
+    part = {"a": F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}
+    a, b = (rows.select("key", part[s].alias("part"), *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "root", "n", "bits", "largest"))) for s in "ab")
+    met = a.where("root_a <> largest_a").join(b, (a["key"] == b["key"]) & (a["part"] == b["part"]) & (F.col("root_a") != F.col("root_b")) & possible())
+    return met.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
+
+
+def rare_buckets(docs: DataFrame, crowd: DataFrame) -> DataFrame:
+    """Buckets of the documents in crowd (doc, root) by their rarest elements: key, doc, root, largest, parts.
+
+    Two sets that meet the threshold share at least PERCENT of the larger one, so under one order of all elements they share
+    one of the first n - ceil(PERCENT n / 100) + 1 of each. The order is by how many elements of the crowd fall on the
+    element's count cell (COUNTS cells, which are sent to all tasks), rare first, then by the element: any order is exact,
+    this one leaves out what the crowd has in common.
+    """
+    sets = stage(full_sets(docs, crowd.select(F.col("doc").alias("doc_id"))), "crowd-sets")
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTS, np.int64)
+        for batch in batches:
+            total += np.bincount(cell_of(batch.column(0).flatten().to_numpy()), minlength=COUNTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["cell", "n"])
+
+    counted = sets.select("shingles").mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = np.zeros(COUNTS, np.int64)
+    for batch in counted.toArrow().to_batches():  # at most COUNTS rows
+        counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column(1).offsets.to_numpy()
+            values, found = batch.column(1).values.to_numpy(), []
+            for i, j in zip(ends, ends[1:], strict=False):
+                own = values[i:j]
+                n = len(own)
+                order = np.lexsort((own, sent.value[cell_of(own)]))
+                found.append(own[order[: n + (-PERCENT * n) // 100 + 1]])
+            lengths = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))], ["doc_id", "rare"])
+
+    small_batches(docs.sparkSession)
+    elements = sets.mapInArrow(rare, "doc_id long, rare array<long>").select(F.col("doc_id").alias("doc"), F.explode("rare").alias("element")).distinct()
+    rows = stage(elements.join(crowd, "doc").select(F.col("element").alias("key"), "doc", "root"), "rare-elements")
+    shared = stage(open_buckets(rows), "rare-buckets")
+    return rows.join(shared, "key").select("key", "doc", "root", "largest", F.ceil(F.col("members") / MEMBERS).cast("int").alias("parts"))
+
+
+def cell_of(elements: np.ndarray) -> np.ndarray:
+    return (elements.view(np.uint64) % np.uint64(COUNTS)).astype(np.int64)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document."""
     sketch = stage(sketches(docs), "sketches")
@@ -225,17 +293,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = stage(buckets.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), "first-pairs")
     groups = components(confirmed(docs, bounded(first, bitmaps).distinct()))
 
-    # Pairs in buckets that still hold several groups: of each such pair one lies outside the bucket's largest group.
+    # Pairs of different groups that still share a bucket; in a crowded one they must share a rare element as well.
     root = F.coalesce("root", "doc").alias("root")
     grouped = stage(buckets.join(groups, F.col("doc") == F.col("node"), "left").select("key", "doc", root), "grouped-buckets")
-    sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.ceil(F.sum("n") / MEMBERS).cast("int").alias("parts"))
-    rows = stage(grouped.join(largest.where("groups > 1").drop("groups"), "key").join(bitmaps, "doc"), "open-buckets")
-    # Those outside the largest group are dealt to parts of their bucket; each part meets the whole bucket.
-    part = {"a": F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}
-    a, b = (rows.select("key", part[s].alias("part"), *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "root", "n", "bits", "largest"))) for s in "ab")
-    rest = a.where("root_a <> largest_a").join(b, (a["key"] == b["key"]) & (a["part"] == b["part"]) & (F.col("root_a") != F.col("root_b")) & possible())
-    rest = rest.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    open_ = stage(open_buckets(grouped), "open-buckets")
+    small = grouped.join(open_.where(F.col("members") <= CROWD), "key").select("key", "doc", "root", "largest", F.lit(1).alias("parts"))
+    crowd = grouped.join(open_.where(F.col("members") > CROWD).select("key"), "key", "left_semi").select("doc", "root").distinct()
+    rows = stage(small.union(rare_buckets(docs, stage(crowd, "crowd"))).join(bitmaps, "doc"), "open-members")
+    rest = other_groups(rows).join(first, ["a", "b"], "left_anti")
     # A group's members with its root stand for the links found so far.
     links = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(confirmed(docs, rest))
     groups = components(links)

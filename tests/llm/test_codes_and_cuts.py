@@ -244,3 +244,51 @@ def test_clean_documents_are_kept(spark, sf):
     rows = rules.judge(docs).join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(rules.F.avg(rules.F.col("kept").cast("int"))).collect()
     shares = {r[0]: r[1] for r in rows}
     assert shares[1] > 0.99 and shares.get(0, 0) < 0.1
+
+
+# Near duplicates in crowded buckets
+
+
+@pytest.mark.parametrize("crowd", [1, 64])
+def test_a_common_core_hides_no_link(spark, monkeypatch, crowd):
+    """Texts around one core: most share two thirds, some pairs nine tenths; components are those of comparing all pairs."""
+    from gridlume.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    pick = random.Random(11)
+    word = lambda: f"u{pick.randrange(10**9)}"
+    core, texts = [f"c{i}" for i in range(120)], []
+    for _ in range(70):
+        own = [word() for _ in range(30)]
+        texts.append(core + own)
+        for _ in range(pick.randrange(3)):
+            at = pick.randrange(len(own))
+            texts.append(core + own[:at] + [word() for _ in range(pick.randrange(1, 5))] + own[at:])
+    pick.shuffle(texts)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) < len(root)
+
+
+def test_every_linked_pair_shares_a_rare_element(spark):
+    """Pairs at the threshold meet in a bucket of rare elements, whatever the cells' counts."""
+    from gridlume.llm import near_dedup
+
+    pick = random.Random(4)
+    texts = []
+    for _ in range(40):
+        base = [f"w{pick.randrange(300)}" for _ in range(100)]
+        texts += [base, base[:-7] + [f"x{pick.randrange(10**6)}" for _ in range(7)]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    crowd = df.selectExpr("doc_id AS doc", "doc_id AS root")
+    met = {(r.a, r.b) for r in near_dedup.rare_buckets(df, crowd).alias("l").join(near_dedup.rare_buckets(df, crowd).alias("r"), "key").selectExpr("l.doc AS a", "r.doc AS b").distinct().collect()}
+    sets = [set(near_dedup.shingles(" ".join(t)).tolist()) for t in texts]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    assert len(linked) >= 40 and all(p in met for p in linked)
