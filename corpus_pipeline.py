@@ -32,9 +32,11 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; of rows with one doc_id, one."""
+    """The document with the smallest id of each group stays; of rows with one doc_id the one with the least text, null last."""
     kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    row, order = F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text", *(c for c in docs.columns if c != "text"))
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(row, order).alias("_row")).select("_row.*")
     return known.union(docs.where("doc_id is null")).select(*docs.columns)
 
 
