@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -24,15 +25,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlume.llm.common import small_batches, stage
+from gridlume.llm.token_counts import byte_alphabet
 
 #: Tokens in a length class, words that a worker remembers, and their longest.
-WIDTH, REMEMBERED, LONGEST = 16, 300_000, 64
+WIDTH, REMEMBERED, LONGEST = 16, 500_000, 64
 #: Characters of the texts that are told apart together; a longer text is by itself.
 TOGETHER = 1 << 20
 #: Pivots after which a search that no longer gains is ended.
 STALL = 400
 #: Stands between words that are encoded together.
 MARK = "|"
+#: Lower-case Latin letters, which no normalisation changes, and a run of ASCII marks after them: two pre-tokens of the vocabulary's pattern.
+SIMPLE = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 #: Pieces for which one more bucket is taken, and the most: each class is ranked in that many.
 PER_SALT, MOST_SALTS = 500_000, 4096
 
@@ -41,7 +45,7 @@ class Encoder:
     """Token ids of texts.
 
     The tokenizer drops white space and never joins words across it. So a batch's words are told apart by Arrow, each
-    distinct one is looked up once, those not met before are encoded together, and the texts' ids are gathered from
+    distinct one is looked up once, those not met before are encoded (plain ones by the model itself, the others in one text), and the texts' ids are gathered from
     one array of all known words' ids. Words of more than LONGEST letters aren't remembered, and when REMEMBERED others
     are, all are forgotten: that bounds a worker's memory.
     """
@@ -53,6 +57,7 @@ class Encoder:
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         (self.mark,) = self.raw([MARK])[0]
+        self.model, self.letters = self.tokenizer.model, [letter for letter, _ in sorted(byte_alphabet().items(), key=lambda x: x[1])]
         self.forget()
 
     def forget(self) -> None:
@@ -64,7 +69,24 @@ class Encoder:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def separate(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All words' ids one after another, and each word's size, from one text in which a mark that no word has stands between them."""
+        """All words' ids one after another, and each word's size. SIMPLE words go to the model by their one or two pre-tokens."""
+        found: list[list[int] | None] = []
+        for w in words:
+            parts = SIMPLE(w)
+            found.append(self.merged(parts[1]) + (self.merged(parts[2]) if parts[2] else []) if parts else None)
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        ids, sizes = self.together([words[i] for i in rest]) if rest else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        for i, part in zip(rest, np.split(ids, np.cumsum(sizes)[:-1])) if rest else []:
+            found[i] = part.tolist()
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), "<u4", int(sizes.sum())), sizes
+
+    def merged(self, part: str) -> list[int]:
+        """Ids of a pre-token, which the model gets as letters that stand for its bytes."""
+        return [t.id for t in self.model.tokenize(part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode())))]
+
+    def together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words' ids and sizes from one text in which a mark that no word has stands between them."""
         odd = [i for i, w in enumerate(words) if MARK in w or any(s in w for s in self.special)]
         alone = dict(zip(odd, self.raw([words[i] for i in odd]), strict=True)) if odd else {}
         joined = f" {MARK} ".join("" if i in alone else w for i, w in enumerate(words)) if odd else f" {MARK} ".join(words)
