@@ -171,6 +171,86 @@ def local_maxima(pixels: DataFrame, distance: int, threshold: float, value: str
     return peak.join(beaten, PIXEL, "left_anti")
 
 
+def component_maxima(field: DataFrame, distance: int | Column, floor: float, share: float, value: str) -> DataFrame:
+    """RS-07 inside each component: pixels that are the component's greatest within distance along both axes, and at least the larger of
+    floor and share of the component's maximum; of equal ones so near the first in (y, x). field (label, image_id, x, y, value).
+
+    distance is a number, or a column of whole numbers from 1 (one value a component). Sliding maxima, which miss what lies beyond
+    a gap of the component, leave few; these are held against the square around each, met by its places.
+    """
+    top = field.groupBy("label").agg(F.max(value).alias("_top"))
+    # Pixels below the threshold can't outdo one above it, so they are gone before.
+    strong = field.join(top, "label").where(c(value) >= F.greatest(F.lit(float(floor)), share * c("_top")))
+    strong = stage(strong.withColumn("_d", (distance if isinstance(distance, Column) else F.lit(distance)).cast("int")), "strong")
+    alone = strong.select(c("label").alias("image_id"), "x", "y", value)
+    near = local_maxima(alone, 1 if isinstance(distance, Column) else distance, float("-inf"), value).withColumnRenamed("image_id", "label")
+    peaks = near.join(strong.select("label", *PIXEL, "_d"), ["label", "x", "y"])
+    step = F.explode(F.sequence(-c("_d"), c("_d")))
+    around = peaks.select("label", *(c(k).alias(f"p{k}") for k in ("x", "y", value)), "_d").withColumn("dx", step).withColumn("dy", step)
+    around = around.withColumns({"x": c("px") + c("dx"), "y": c("py") + c("dy")}).join(strong.select("label", "x", "y", c(value).alias("_v")), ["label", "x", "y"])
+    earlier = (c("y") < c("py")) | ((c("y") == c("py")) & (c("x") < c("px")))
+    beaten = around.where((c("_v") > c(f"p{value}")) | ((c("_v") == c(f"p{value}")) & earlier)).select("label", c("px").alias("x"), c("py").alias("y")).distinct()
+    return peaks.join(beaten, ["label", "x", "y"], "left_anti").select("label", *PIXEL, value)
+
+
+def centroids(own: DataFrame) -> DataFrame:
+    """Each piece (label, px, py) of components: its centroid, area and greatest value. own (label, image_id, x, y, v, px, py)."""
+    return own.groupBy("image_id", "label", "px", "py").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("area"), F.max("v").alias("high"))
+
+
+def split_by_intensity(labels: DataFrame, least_area: int, high: float, distance: int, shape: dict | None = None) -> DataFrame:
+    """RS-08, intensity first: objects (image_id, label, cx, cy, area, pieces) of the components of labels (image_id, x, y, v, label) with
+    least_area pixels and a value of high.
+
+    First a component's intensity peaks (distance apart, at least high) take its pixels, each the nearest one; two pieces or
+    more that are large and bright enough are its objects. Of the others, those with exactly two peaks of background distance
+    (shape: distance, floor, share), radii and areas alike (ratio, area_ratio), sep apart, and pieces of least_area, are two
+    objects. The rest are one each. Nearest peak and power diagram stand in for a watershed.
+    """
+    shape = {"distance": 12, "floor": 7.0, "share": 0.55, "ratio": 0.60, "sep": 18.0, "least_area": 220, "area_ratio": 0.35} | (shape or {})
+    whole = region_properties(labels).where((c("area") >= least_area) & (c("high") >= high))
+    own = stage(labels.join(whole.select("label"), "label", "left_semi"), "splittable")
+    bright = component_maxima(own.select("label", *PIXEL, c("v").cast("double").alias("v")), distance, high, 0.0, "v").withColumn("r", F.lit(0.0))
+    several = bright.groupBy("label").count().where("count >= 2")
+    by_peak = pieces(own.select("label", *PIXEL), bright.join(several, "label", "left_semi").select("label", "x", "y", "r"))
+    first = centroids(by_peak.join(own, ["label", *PIXEL])).where((c("area") >= least_area) & (c("high") >= high))
+    split = first.groupBy("label").agg(F.count("*").alias("pieces")).where("pieces >= 2")
+    first = stage(first.join(split, "label"), "split-by-intensity")
+
+    rest = stage(own.join(first.select("label"), "label", "left_anti"), "not-split")
+    depth = stage(background_distance(rest).where("d2 IS NOT NULL").withColumn("r", F.sqrt("d2")), "depth")
+    deep = component_maxima(depth.select("label", *PIXEL, "r"), shape["distance"], shape["floor"], shape["share"], "r")
+    two = deep.groupBy("label").agg(F.count("*").alias("n"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min(F.struct("y", "x")).alias("a"), F.max(F.struct("y", "x")).alias("b"))
+    apart = F.sqrt(F.pow(c("a.x") - c("b.x"), F.lit(2.0)) + F.pow(c("a.y") - c("b.y"), F.lit(2.0)))
+    fit = two.where((c("n") == 2) & (c("r0") / c("r1") >= shape["ratio"]) & (apart >= shape["sep"])).select("label")
+    halves = centroids(pieces(rest.select("label", *PIXEL), deep.join(fit, "label", "left_semi").select("label", "x", "y", "r")).join(rest, ["label", *PIXEL]))
+    halves = halves.where((c("area") >= max(shape["least_area"], least_area)) & (c("high") >= high))
+    both = halves.groupBy("label").agg(F.count("*").alias("pieces"), (F.min("area") / F.max("area")).alias("_q")).where((c("pieces") == 2) & (c("_q") >= shape["area_ratio"]))
+    second = stage(halves.join(both.select("label", "pieces"), "label"), "split-by-shape")
+
+    done = first.select("label").union(second.select("label")).distinct()
+    one = whole.join(done, "label", "left_anti").select("image_id", "label", "cx", "cy", "area", F.lit(1).cast("long").alias("pieces"))
+    return first.union(second.select(*first.columns)).select("image_id", "label", "cx", "cy", "area", "pieces").union(one)
+
+
+def split_by_shape(labels: DataFrame, least_area: int, floor: float = 2.0, share: float = 0.45, least_distance: int = 5, most: int = 4) -> DataFrame:
+    """RS-10's splitting: objects (image_id, label, cx, cy, area) of the components of labels (image_id, x, y, v, label) with least_area
+    pixels. Two to most peaks of background distance, as far apart as follows from the component's area, split it when at
+    least two of their pieces have least_area; smaller pieces go."""
+    whole = region_properties(labels).where(c("area") >= least_area)
+    own = stage(labels.join(whole.select("label", "area"), "label"), "splittable")
+    depth = background_distance(own.select("label", *PIXEL)).where("d2 IS NOT NULL").withColumn("r", F.sqrt("d2"))
+    deep = stage(depth.join(whole.select("label", "area"), "label"), "depth")
+    tops = deep.groupBy("label").agg(F.max("r").alias("_top")).where(c("_top") > 2).select("label")
+    apart = F.greatest(F.lit(least_distance), F.bround(F.sqrt(c("area").cast("double")) * 0.18).cast("int"))
+    peaks = component_maxima(deep.join(tops, "label", "left_semi"), apart, floor, share, "r")
+    few = peaks.groupBy("label").count().where(c("count").between(2, most))
+    found = centroids(pieces(own.select("label", *PIXEL), peaks.join(few, "label", "left_semi").select("label", "x", "y", "r")).join(own, ["label", *PIXEL])).where(c("area") >= least_area)
+    split = found.groupBy("label").count().where("count >= 2").select("label")
+    found = stage(found.join(split, "label", "left_semi").select("image_id", "label", "cx", "cy", "area"), "split-regions")
+    return found.union(whole.join(found.select("label").distinct(), "label", "left_anti").select("image_id", "label", "cx", "cy", "area"))
+
+
 def component_peaks(labels: DataFrame, distance: int, threshold: float) -> DataFrame:
     """Peaks of the background distance inside each component: label, x, y, r."""
     d = stage(background_distance(labels).where("d2 IS NOT NULL").withColumn("r", F.sqrt("d2")), "distance")
@@ -218,20 +298,20 @@ def filled(mask: DataFrame) -> DataFrame:
     return mask.where("on = 1").select(*PIXEL).union(holes)
 
 
-def brightfield_candidates(pixels: DataFrame, radius: float, threshold: float, sigma: float = 1.0) -> DataFrame:
-    """RS-10: |v - blur| blurred and thresholded inside 0.70 r of the image's centre, opened once, closed twice, filled; kept
-    are components with centroid within 0.68 r and area up to 0.80 of the disc."""
+def brightfield_candidates(pixels: DataFrame, radius: float, threshold: float, sigma: float = 1.0, least_area: int = 20) -> DataFrame:
+    """RS-10: |v - blur| blurred and thresholded inside 0.70 r of the image's centre, opened once, closed twice, filled; regions of
+    least_area are split in up to four (split_by_shape), and kept are objects (image_id, label, cx, cy, area) with the centroid within
+    0.68 r and an area up to 0.80 of the inner disc."""
     blur = smoothed(pixels, 0.22 * radius).withColumnRenamed("v", "b")
     diff = smoothed(pixels.join(blur, PIXEL).select(*PIXEL, F.abs(c("v") - c("b")).alias("v")), sigma)
     middle = pixels.groupBy("image_id").agg((F.max("x") / 2).alias("mx"), (F.max("y") / 2).alias("my"))
-    d = F.sqrt(F.pow(c("x") - c("mx"), F.lit(2.0)) + F.pow(c("y") - c("my"), F.lit(2.0)))
-    on = diff.join(middle, "image_id").select(*PIXEL, F.when((F.round("v", 6) >= threshold) & (d <= 0.70 * radius), 1).otherwise(0).alias("on"))
+    off = lambda x, y: F.sqrt(F.pow(c(x) - c("mx"), F.lit(2.0)) + F.pow(c(y) - c("my"), F.lit(2.0)))
+    on = diff.join(middle, "image_id").select(*PIXEL, F.when((F.round("v", 6) >= threshold) & (off("x", "y") <= 0.70 * radius), 1).otherwise(0).alias("on"))
     opened = extreme(extreme(on, "on", 1, False), "on", 1, True)
     closed = stage(extreme(extreme(opened, "on", 2, True), "on", 2, False), "mask")
-    labels = labelled(filled(closed)).withColumn("v", F.lit(1))
-    props = region_properties(labels).join(middle, "image_id")
-    centred = F.sqrt(F.pow(c("cx") - c("mx"), F.lit(2.0)) + F.pow(c("cy") - c("my"), F.lit(2.0))) <= 0.68 * radius
-    return props.where(centred & (c("area") <= 0.80 * pi * radius * radius)).drop("mx", "my")
+    labels = stage(labelled(filled(closed)).withColumn("v", F.lit(1)), "regions")
+    objects = split_by_shape(labels, least_area).join(middle, "image_id")
+    return objects.where((F.round(off("cx", "cy"), 6) <= round(0.68 * radius, 6)) & (c("area") <= 0.80 * pi * (0.70 * radius) ** 2)).drop("mx", "my")
 
 
 def foci(pixels: DataFrame, wells: DataFrame, threshold: float, spacing: int, least_raw: float, sigma: float = 5.0) -> DataFrame:

@@ -324,9 +324,65 @@ def rs_09(t: Tables) -> DataFrame:
     return plain_label(R.pieces(own, stage(R.component_peaks(own, 2, 1.0), "component-peaks")))
 
 
-@query("rs_10")
+def pieces_sql(name: str, own: str, peaks: str, r: str) -> str:
+    """Pixels of own with the peak of their component of least d^2 - r^2."""
+    return f"""{name}_c AS (SELECT o.*, k.x AS px, k.y AS py, row_number() OVER (PARTITION BY o.label, o.image_id, o.x, o.y ORDER BY CAST((o.x - k.x) * (o.x - k.x) + (o.y - k.y) * (o.y - k.y) - {r} AS DOUBLE), k.y, k.x) AS k FROM {own} o JOIN {peaks} k ON k.label = o.label),
+{name} AS (SELECT image_id, label, px, py, avg(x) AS cx, avg(y) AS cy, count(*) AS area, max(v) AS high FROM {name}_c WHERE k = 1 GROUP BY ALL)"""
+
+
+def component_maxima_sql(name: str, field: str, distance: str, floor: float, share: float, value: str) -> str:
+    """field (label, image_id, x, y, value): no pixel of the component within distance is greater, or as great and earlier."""
+    return f"""{name}_s AS MATERIALIZED (SELECT f.*, {distance} AS dist FROM {field} f JOIN (SELECT label, max({value}) AS top FROM {field} GROUP BY 1) t ON t.label = f.label WHERE {value} >= greatest(CAST({floor} AS DOUBLE), CAST({share} AS DOUBLE) * top)),
+{name} AS MATERIALIZED (SELECT * FROM {name}_s p WHERE NOT EXISTS (SELECT 1 FROM {name}_s q WHERE q.label = p.label AND abs(q.x - p.x) <= p.dist AND abs(q.y - p.y) <= p.dist AND (q.{value} > p.{value} OR (q.{value} = p.{value} AND (q.y < p.y OR (q.y = p.y AND q.x < p.x))))))"""
+
+
+#: Sizes for components of images of 64 x 64.
+SMALL = {"distance": 2, "floor": 1.0, "share": 0.55, "ratio": 0.60, "sep": 2.0, "least_area": 4, "area_ratio": 0.35}
+
+
+@query("rs_08_intensity", f"""WITH {LABELS}, props AS (SELECT image_id, label, avg(x) AS cx, avg(y) AS cy, count(*) AS area, max(v) AS high FROM lab GROUP BY ALL HAVING count(*) >= 3 AND max(v) >= 200),
+own AS MATERIALIZED (SELECT lab.* FROM lab JOIN props USING (label)), inten AS (SELECT label, image_id, x, y, CAST(v AS DOUBLE) AS v FROM own), {component_maxima_sql('ipk', 'inten', '3', 200, 0, 'v')},
+several AS (SELECT * FROM ipk WHERE label IN (SELECT label FROM ipk GROUP BY 1 HAVING count(*) >= 2)), {pieces_sql('ip', 'own', 'several', '0')},
+good AS (SELECT * FROM ip WHERE area >= 3 AND high >= 200), firstn AS (SELECT label, count(*) AS pieces FROM good GROUP BY 1 HAVING count(*) >= 2),
+restp AS MATERIALIZED (SELECT * FROM own WHERE label NOT IN (SELECT label FROM firstn)), {DISTANCE}, depth AS (SELECT label, image_id, x, y, sqrt(CAST(d2 AS DOUBLE)) AS r FROM dist WHERE d2 IS NOT NULL AND label IN (SELECT label FROM restp)),
+{component_maxima_sql('dpk', 'depth', '2', 1.0, 0.55, 'r')}, two AS (SELECT label FROM dpk GROUP BY 1 HAVING count(*) = 2 AND min(r) / max(r) >= CAST(0.6 AS DOUBLE) AND sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) >= 2),
+dtwo AS (SELECT * FROM dpk WHERE label IN (SELECT label FROM two)), {pieces_sql('dp', 'restp', 'dtwo', 'k.r * k.r')}, dgood AS (SELECT * FROM dp WHERE area >= 4 AND high >= 200),
+secondn AS (SELECT label, count(*) AS pieces FROM dgood GROUP BY 1 HAVING count(*) = 2 AND min(area) / max(area)::DOUBLE >= CAST(0.35 AS DOUBLE)),
+obj AS (SELECT image_id, label, cx, cy, area, pieces FROM good JOIN firstn USING (label) UNION ALL SELECT image_id, label, cx, cy, area, pieces FROM dgood JOIN secondn USING (label)
+UNION ALL SELECT image_id, label, cx, cy, area, 1 FROM props WHERE label NOT IN (SELECT label FROM firstn) AND label NOT IN (SELECT label FROM secondn))
+SELECT image_id, label, round(cx, 6) AS cx, round(cy, 6) AS cy, area, pieces FROM obj""", "v_pixels", recursive=True)
+def rs_08_intensity(t: Tables) -> DataFrame:
+    return plain_label(R.split_by_intensity(labels(t), 3, 200.0, 3, SMALL)).withColumns({k: F.round(k, 6) for k in ("cx", "cy")})
+
+
+def square_sql(name: str, source: str, size: int, greatest: bool) -> str:
+    f = "max" if greatest else "min"
+    w = lambda a, b: f"(PARTITION BY image_id, {b} ORDER BY {a} RANGE BETWEEN {size} PRECEDING AND {size} FOLLOWING)"
+    return f"{name}_x AS (SELECT image_id, x, y, {f}(o) OVER {w('x', 'y')} AS o FROM {source}), {name} AS MATERIALIZED (SELECT image_id, x, y, {f}(o) OVER {w('y', 'x')} AS o FROM {name}_x)"
+
+
+_BRIGHT = 30.0, 32.0
+_touch = "i(dx) CROSS JOIN (VALUES (-1), (0), (1)) AS j(dy)"
+
+
+@query("rs_10", f"""WITH {gauss_sql('blur', 'v_pixels', 0.22 * _BRIGHT[0])}, edge AS MATERIALIZED (SELECT p.image_id, p.x, p.y, abs(p.v - b.v) AS v FROM v_pixels p JOIN blur b ON b.image_id = p.image_id AND b.x = p.x AND b.y = p.y), {gauss_sql('soft', 'edge', 1.0)},
+mid AS (SELECT image_id, max(x) / 2.0::DOUBLE AS mx, max(y) / 2.0::DOUBLE AS my, max(x) AS w, max(y) AS h FROM v_pixels GROUP BY 1),
+ons AS MATERIALIZED (SELECT s.image_id, x, y, CASE WHEN round(v, 6) >= {_BRIGHT[1]} AND sqrt(pow(x - mx, 2) + pow(y - my, 2)) <= CAST({0.70 * _BRIGHT[0]!r} AS DOUBLE) THEN 1 ELSE 0 END AS o FROM soft s JOIN mid USING (image_id)),
+{square_sql('e1', 'ons', 1, False)}, {square_sql('o1', 'e1', 1, True)}, {square_sql('d2', 'o1', 2, True)}, {square_sql('c2', 'd2', 2, False)},
+offs AS MATERIALIZED (SELECT c2.*, x = 0 OR y = 0 OR x = w OR y = h AS rim FROM c2 JOIN mid USING (image_id) WHERE o = 0),
+flood AS (SELECT image_id, x, y FROM offs WHERE rim UNION SELECT a.image_id, a.x, a.y FROM flood f CROSS JOIN (VALUES (-1), (0), (1)) AS {_touch} JOIN offs a ON a.image_id = f.image_id AND a.x = f.x + i.dx AND a.y = f.y + j.dy),
+px AS MATERIALIZED (SELECT image_id, x, y, 1 AS v, (image_id * 1000000 + y) * 1000000 + x AS id FROM c2 WHERE o = 1 OR (image_id, x, y) NOT IN (SELECT (image_id, x, y) FROM flood)),
+adj AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM px a CROSS JOIN (VALUES (-1), (0), (1)) AS {_touch} JOIN px b ON a.image_id = b.image_id AND b.x = a.x + i.dx AND b.y = a.y + j.dy WHERE a.id <> b.id),
+reach AS (SELECT id, id AS r FROM px UNION SELECT reach.id, adj.b FROM reach JOIN adj ON adj.a = reach.r),
+root AS (SELECT id, min(r) AS label FROM reach GROUP BY 1), lab AS MATERIALIZED (SELECT px.*, label FROM px JOIN root USING (id)), box AS (SELECT label, min(image_id) AS image_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM lab GROUP BY 1), {DISTANCE},
+props AS MATERIALIZED (SELECT image_id, label, avg(x) AS cx, avg(y) AS cy, count(*) AS area FROM lab GROUP BY ALL HAVING count(*) >= 20), own AS (SELECT lab.* FROM lab JOIN props USING (label)),
+depth AS MATERIALIZED (SELECT d.label, d.image_id, x, y, area, sqrt(CAST(d2 AS DOUBLE)) AS r FROM dist d JOIN props USING (label) WHERE d2 IS NOT NULL), deep AS (SELECT * FROM depth WHERE label IN (SELECT label FROM depth GROUP BY 1 HAVING max(r) > 2)),
+{component_maxima_sql('pk', 'deep', 'greatest(5, CAST(round_even(sqrt(CAST(area AS DOUBLE)) * CAST(0.18 AS DOUBLE), 0) AS BIGINT))', 2.0, 0.45, 'r')}, few AS (SELECT * FROM pk WHERE label IN (SELECT label FROM pk GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4)),
+{pieces_sql('pc', 'own', 'few', 'k.r * k.r')}, good AS (SELECT * FROM pc WHERE area >= 20), split AS (SELECT label FROM good GROUP BY 1 HAVING count(*) >= 2),
+obj AS (SELECT image_id, label, cx, cy, area FROM good WHERE label IN (SELECT label FROM split) UNION ALL SELECT image_id, label, cx, cy, area FROM props WHERE label NOT IN (SELECT label FROM split))
+SELECT image_id, label, round(cx, 6) AS cx, round(cy, 6) AS cy, area FROM obj JOIN mid USING (image_id) WHERE round(sqrt(pow(cx - mx, 2) + pow(cy - my, 2)), 6) <= CAST({round(0.68 * _BRIGHT[0], 6)!r} AS DOUBLE) AND area <= CAST({0.80 * 3.141592653589793 * (0.70 * _BRIGHT[0]) ** 2!r} AS DOUBLE)""", "v_pixels", recursive=True)
 def rs_10(t: Tables) -> DataFrame:
-    return R.brightfield_candidates(t.pixels, 30.0, 6.0)
+    return plain_label(R.brightfield_candidates(t.pixels, *_BRIGHT)).withColumns({k: F.round(k, 6) for k in ("cx", "cy")})
 
 
 @query("rs_11", f"""WITH raw AS (SELECT image_id, x, y, CAST(v - (v * 5 + y) % 256 AS DOUBLE) AS v FROM v_pixels), {gauss_sql('b', 'raw', 2.0)}, score AS (SELECT raw.image_id, raw.x, raw.y, round(raw.v - b.v, 6) AS score, raw.v AS raw FROM raw JOIN b ON b.image_id = raw.image_id AND b.x = raw.x AND b.y = raw.y),

@@ -12,7 +12,7 @@ def canonical(df):
 
 def assert_same(got, want):
     assert sorted(got.columns) == sorted(want.columns)
-    assert len(got) == len(want)
+    assert len(got) == len(want), (len(got), len(want))
     a, b = canonical(got), canonical(want)
     wrong = {c: int((a[c] != b[c]).sum()) for c in a.columns if not a[c].equals(b[c])}
     assert not wrong, wrong
