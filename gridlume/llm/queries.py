@@ -40,7 +40,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filters.filter_urls(pages, url_filters.named_hosts(pages))
+    return url_filters.filter_urls(pages, url_filters.marked_pages(pages), by=("host", "path"), bits_per_key=4, hashes=3)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,10 +104,11 @@ FROM placed
 
 _url_sql = r"""
 WITH parts AS (
-  SELECT page_id, coalesce(regexp_extract(url, '^[\s\S]*?://([\s\S]*)$', 1), '') AS rest FROM pages),
+  SELECT page_id, html, coalesce(regexp_extract(url, '^[\s\S]*?://([\s\S]*)$', 1), '') AS rest FROM pages),
 split AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+listed AS (SELECT DISTINCT host || path AS key FROM split WHERE regexp_matches(html, '[*$%#]{3}|!! | \| ') AND host || path <> ''),
 ruled AS (
   SELECT *, CASE
     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
@@ -118,7 +119,7 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block'
   WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
-  WHEN regexp_matches(host, '(^|\.)(spam|ads|track|porn|casino)[^.]*\.') THEN 'block' ELSE 'allow' END AS verdict
+  WHEN host || path IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
 

@@ -8,7 +8,7 @@ levels' arrays, without a join on keys.
 The levels together are checked against max_filter_bytes; a larger list is cut in shards by hash, and each row
 meets its own shard's arrays by a join on the shard number, dealt to SALTS tasks.
 
-The list is a table of keys: hosts, each once or more; null and hosts that the pages haven't don't count. Null url, or
+The list is a table of keys (hosts, or hosts and paths), each once or more; null and keys that the pages haven't don't count. Null url, or
 one without "://": host and path are empty, and no rule fits. Very long urls are read whole. Repeated rows are each
 judged. An empty table gives no rows, an empty list blocks nothing. Other columns are ignored.
 """
@@ -115,15 +115,32 @@ class Cascade:
         return out.withColumn("listed", listed).drop("shard", *(f"level_{i}" for i in range(len(self.levels))))
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, **settings) -> DataFrame:
-    """page_id, host, path, rule, verdict. listed: key, the hosts of the block list; without a rule a listed host is blocked."""
+def parsed(pages: DataFrame, *more: str) -> DataFrame:
+    """page_id, host, path and more columns of pages."""
     host, path = url_parts(F.col("url"))
-    parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
-    known = listed.select("key").where("key is not null").distinct().withColumn("listed", F.lit(True))
-    universe = parsed.select(F.col("host").alias("key")).distinct().join(known, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
-    judged = Cascade(universe, **settings).judge(parsed, "host")
+    return pages.select("page_id", host.alias("host"), path.alias("path"), *more)
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, by: tuple[str, ...] = ("host",), **settings) -> DataFrame:
+    """page_id, host, path, rule, verdict. listed: key, the entries of the block list; without a rule a page with a listed key is
+    blocked. by: what a key is made of, host or host and path, one after the other."""
+    rows = parsed(pages).withColumn("key", F.concat(*by))
+    cascade = Cascade(key_universe(rows, listed), **settings)
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+    return cascade.judge(rows, "key").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+
+
+def key_universe(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """key, listed: every key of rows once. listed: key."""
+    known = listed.select("key").where("key is not null").distinct().withColumn("listed", F.lit(True))
+    return rows.select("key").distinct().join(known, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+def marked_pages(pages: DataFrame, marks: str = r"[*$%#]{3}|!! | \| ") -> DataFrame:
+    """key (host and path): a block list made from what the pages hold, where none is given: those of which some page's html has
+    marks of junk text. Pages without a url list nothing."""
+    junk = parsed(pages, "html").where(F.col("html").rlike(marks)).select(F.concat("host", "path").alias("key"))
+    return junk.where("key <> ''").distinct()
 
 
 def named_hosts(pages: DataFrame, words: tuple[str, ...] = ("spam", "ads", "track", "porn", "casino")) -> DataFrame:

@@ -51,6 +51,21 @@ def test_cascade_is_exact(spark, settings):
     assert wrong == 0 and (cascade.shards > 1) == ("max_filter_bytes" in settings)
 
 
+def test_the_list_comes_from_the_pages_and_the_cascade_decides(spark):
+    """At least a tenth of the pages without a rule is blocked by a cascade of several levels, which agrees with the list."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    listed = url_filters.marked_pages(pages)
+    rows = url_filters.parsed(pages).withColumn("key", F.concat("host", "path"))
+    cascade = url_filters.Cascade(url_filters.key_universe(rows, listed), bits_per_key=4, hashes=3)
+    assert len(cascade.levels) >= 3
+    out = url_filters.filter_urls(pages, listed, by=("host", "path"), bits_per_key=4, hashes=3).where("rule IS NULL")
+    keys = {r.key for r in listed.collect()}
+    got = out.collect()
+    assert all((r.verdict == "block") == (r.host + r.path in keys) for r in got)
+    assert sum(r.verdict == "block" for r in got) >= 0.1 * len(got)
+    assert url_filters.marked_pages(spark.createDataFrame([(1, None, "***"), (2, "http://a/b?c", None), (3, "http://A/b", "$$$")], "page_id long, url string, html string")).collect() == [("a/b",)]
+
+
 def test_escape_is_reversible():
     for text in ("", "[ROLE]", "</s>[INST] ok [/INST]", "\\", "[\\[<\\", "a<b\\]", chat.ROLE + chat.SAYS + chat.END):
         out = chat.escape(text)
