@@ -109,14 +109,19 @@ class Reconstruction(NamedTuple):
 
 
 def reconstruct(points: DataFrame, diameter: float) -> Reconstruction:
-    """The lattice of an array of circles, from points (id, x, y) alone: pitch, largest component, angle, fit, straight region."""
+    """The lattice of an array of circles, from points (id, x, y) alone: pitch, largest component, angle, fit, straight region.
+
+    The pitch of AG-16, a median of smallest distances, is short where points are off their sites; it serves to find the
+    neighbours, whose median distance is the pitch of the fit.
+    """
     p = stage(points, "lattice-points")
     near = pairs_within(p, p, 2.20 * diameter, c("a_id") != c("b_id"))
     pitch_px = float(A.pitch(near, diameter, p.count()).first()["pitch"])
     edges = stage(annulus_edges(p, pitch_px), "lattice-edges")
     largest = labelled_components(p.select("id"), edges.select(c("a_id").alias("a"), c("b_id").alias("b"))).where("in_largest")
     seed = stage(p.join(largest.select(c("node").alias("id")), "id", "left_semi"), "lattice-seed")
-    angle = A.hex_angle(edges.join(seed.select(c("id").alias("a_id")), "a_id", "left_semi")).first()["angle"]
+    own = edges.join(seed.select(c("id").alias("a_id")), "a_id", "left_semi")
+    angle, pitch_px = A.hex_angle(own).first()["angle"], float(A.quantile_row(own, "d", {"m": 0.5}).first()["m"])
     fit = fit_lattice(seed, pitch_px, float(angle))
     placed = stage(fit.placed(seed), "lattice-placed")
     inliers = placed.where("inlier")

@@ -190,49 +190,66 @@ def dose_grid_fit(doses: DataFrame, midpoints: list[float], hills: list[float])
     return gate.crossJoin(best).select(*[F.when(ok, F.col(f"b.{c}")).alias(c) for c in ("midpoint", "hill", "bottom", "top", "sse")], F.when(~F.coalesce(ok, F.lit(False)), F.lit(NOTE_NO_FIT)).alias("fit_error"))
 
 
-#: Points of the first and of later grids on each axis, and how many steps of a grid the next one reaches to either side.
-FIRST_GRID, GRID, REACH = 17, 11, 2
-HILL = (0.05, 10.0)
+#: Points of the starting grid on each axis, bounds of the hill, and decades beyond the doses within which midpoints are sought.
+GRID, HILL, DECADES = 33, (0.05, 10.0), 3
 
 
-def dose_fit(doses: DataFrame, keys: list[str], zooms: int = 14) -> DataFrame:
+def dose_sums(points: DataFrame, known: DataFrame) -> DataFrame:
+    """For each row of points (_key, m, h, ..: logarithms of midpoint and hill) the best bottom, slope and squared error, and the
+    normal equations of a Gauss-Newton step, all from sums over the group's doses.
+
+    bottom and slope are linear, so the derivatives by m and h are taken less what 1 and f explain of them.
+    """
+    u = F.exp("h") * (F.ln("dose") - F.col("m"))
+    each = points.join(known, "_key").withColumn("f", F.when(F.col("dose") <= 0, 1.0).otherwise(1 / (1 + F.exp(u))))
+    bend = F.when(F.col("dose") <= 0, 0.0).otherwise(F.col("f") * (1 - F.col("f")))
+    each = each.withColumns({"a": bend * F.exp("h"), "b": F.when(F.col("dose") <= 0, 0.0).otherwise(-bend * u), "r": F.col("response")})
+    pairs = ("fr", "aa", "ab", "bb", "af", "bf", "ar", "br")
+    sums = each.groupBy(*points.columns).agg(F.count("*").alias("n"), F.avg("f").alias("mf"), F.avg("r").alias("mr"), F.var_pop("f").alias("ff"), F.var_pop("r").alias("rr"), *(F.covar_pop(*p).alias(p) for p in pairs))
+    c = F.col
+    slope = F.when(c("ff") > 1e-15, c("fr") / c("ff")).otherwise(0.0)
+    less = lambda p, q: F.when(c("ff") > 1e-15, c(p + q) - c(p + "f") * c(q + "f") / c("ff")).otherwise(0.0)
+    return sums.select(
+        *points.columns, slope.alias("slope"), (c("mr") - slope * c("mf")).alias("bottom"), F.greatest(F.lit(0.0), c("n") * (c("rr") - slope * c("fr"))).alias("sse"),
+        (slope * slope * less("a", "a")).alias("paa"), (slope * slope * less("a", "b")).alias("pab"), (slope * slope * less("b", "b")).alias("pbb"), (slope * (c("ar") - slope * c("af"))).alias("par"), (slope * (c("br") - slope * c("bf"))).alias("pbr"),
+    )
+
+
+def dose_fit(doses: DataFrame, keys: list[str], rounds: int = 16) -> DataFrame:
     """AG-27: four-parameter logistic of every group at once: bottom + (top - bottom) / (1 + (dose / midpoint) ** hill).
 
-    Bottom and top are closed-form from sums, so the squared error is a function of midpoint and hill: its least value is
-    sought on a grid of their logarithms, from a decade below the doses to one above and over HILL, and then on ever
-    smaller grids about the best point; hill stays inside its bounds. Equal errors (nine digits) go to the lower place in
-    the grid. doses (keys.., dose, response) has one row a concentration; null doses and responses don't count. A group
-    without four doses, three of them positive, or without a range of responses has the note instead.
+    Bottom and top are closed-form, so the squared error is a function of midpoint and hill. It starts from the best point of
+    a grid of their logarithms (equal errors to nine digits: the lower place) and goes on by damped Gauss-Newton rounds, each
+    one aggregation for all groups: a step that lowers the error is taken and the damping falls, else it rises. hill stays in
+    HILL, the midpoint within DECADES of the doses. doses (keys.., dose, response) has one row a concentration; null doses
+    and responses don't count. A group without four doses, three of them positive, or without a range of responses has the
+    note instead.
     """
     from gridlume.operators.lineage import stage
 
-    known = stage(doses.where("dose IS NOT NULL AND response IS NOT NULL").select(F.struct(F.lit(0).alias("_0"), *keys).alias("_key"), F.col("dose").cast("double").alias("dose"), F.col("response").cast("double").alias("response")), "doses")
-    positive = F.when(F.col("dose") > 0, F.col("dose"))
-    groups = known.groupBy("_key").agg(
-        ((F.count_distinct("dose") >= 4) & (F.count_distinct(positive) >= 3) & (F.max("response") > F.min("response"))).alias("usable"), F.ln(F.min(positive)).alias("lo"), F.ln(F.max(positive)).alias("hi")
-    )
+    c = F.col
+    known = stage(doses.where("dose IS NOT NULL AND response IS NOT NULL").select(F.struct(F.lit(0).alias("_0"), *keys).alias("_key"), c("dose").cast("double").alias("dose"), c("response").cast("double").alias("response")), "doses")
+    positive = F.when(c("dose") > 0, c("dose"))
+    ends = ((F.count_distinct("dose") >= 4) & (F.count_distinct(positive) >= 3) & (F.max("response") > F.min("response"))).alias("usable")
+    groups = stage(known.groupBy("_key").agg(ends, (F.ln(F.min(positive)) - math.log(10) * DECADES).alias("lo"), (F.ln(F.max(positive)) + math.log(10) * DECADES).alias("hi")), "dose-groups")
     low, high = map(math.log, HILL)
-    at = groups.where("usable").select(
-        "_key", ((F.col("lo") + F.col("hi")) / 2).alias("m"), ((F.col("hi") - F.col("lo") + 2 * math.log(10)) / (FIRST_GRID - 1)).alias("dm"), F.lit((low + high) / 2).alias("h"), F.lit((high - low) / (FIRST_GRID - 1)).alias("dh")
-    )
-    for number in range(zooms + 1):
-        n = GRID if number else FIRST_GRID
-        index = F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("i")
-        step = lambda k: F.col(k) - (n - 1) // 2
-        grid = at.select("*", index).withColumns({"a": F.expr(f"i div {n}"), "b": F.expr(f"i % {n}")})
-        grid = grid.select("_key", "i", "dm", "dh", (F.col("m") + step("a") * F.col("dm")).alias("m"), F.least(F.lit(high), F.greatest(F.lit(low), F.col("h") + step("b") * F.col("dh"))).alias("h"))
-        shape = F.when(F.col("dose") <= 0, 1.0).otherwise(1 / (1 + F.exp(F.exp("h") * (F.ln("dose") - F.col("m")))))
-        each = grid.join(known, "_key").withColumn("f", shape)
-        sums = each.groupBy("_key", "i", "m", "h", "dm", "dh").agg(
-            F.count("*").alias("n"), F.avg("f").alias("mf"), F.avg("response").alias("mr"), F.covar_pop("f", "response").alias("fr"), F.var_pop("f").alias("ff"), F.var_pop("response").alias("rr")
-        )
-        slope = F.when(F.col("ff") > 1e-15, F.col("fr") / F.col("ff")).otherwise(0.0)
-        sse = F.round(F.greatest(F.lit(0.0), F.col("n") * (F.col("rr") - slope * F.col("fr"))), 9).alias("sse")
-        tried = sums.select("_key", "i", "m", "h", "dm", "dh", slope.alias("slope"), (F.col("mr") - slope * F.col("mf")).alias("bottom"), sse)
-        best = tried.groupBy("_key").agg(F.min_by(F.struct("m", "h", "dm", "dh", "slope", "bottom", "sse"), F.struct("sse", "i")).alias("t")).select("_key", "t.*")
-        # Each round is written: fifteen rounds in one plan would be planned anew in every one.
-        at = stage(best.withColumns({"dm": F.col("dm") * 2 * REACH / (GRID - 1), "dh": F.col("dh") * 2 * REACH / (GRID - 1)}), "dose-fit")
+    grid = groups.where("usable").select("_key", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(GRID * GRID - 1))).alias("i"))
+    along = lambda k, a, b: a + (b - a) * F.expr(k) / (GRID - 1)
+    grid = grid.withColumns({"m": along(f"i div {GRID}", c("lo"), c("hi")), "h": along(f"i % {GRID}", F.lit(low), F.lit(high))})
+    parts = ("m", "h", "slope", "bottom", "sse", "paa", "pab", "pbb", "par", "pbr")
+    best = dose_sums(grid, known).groupBy("_key", "lo", "hi").agg(F.min_by(F.struct(*parts), F.struct(F.round("sse", 9), "i")).alias("t"))
+    at = stage(best.select("_key", "lo", "hi", "t.*", F.lit(0.01).alias("lam")), "dose-fit")
+    for _ in range(rounds):
+        paa, pbb = c("paa") * (1 + c("lam")), c("pbb") * (1 + c("lam"))
+        det = paa * pbb - c("pab") * c("pab")
+        dm, dh = (c("par") * pbb - c("pbr") * c("pab")) / det, (c("pbr") * paa - c("par") * c("pab")) / det
+        step = lambda k, d, a, b: F.when(det > 1e-300, F.least(b, F.greatest(a, c(k) + d))).otherwise(c(k)).alias(k)
+        tried = dose_sums(at.select("_key", step("m", dm, c("lo"), c("hi")), step("h", dh, F.lit(low), F.lit(high))), known)
+        both = at.join(tried.select("_key", F.struct(*parts).alias("t")), "_key")
+        better = c("t.sse") < c("sse")
+        # Each round is written: sixteen rounds in one plan would be planned anew in every one.
+        at = stage(both.select("_key", "lo", "hi", *(F.when(better, c(f"t.{k}")).otherwise(c(k)).alias(k) for k in parts), F.when(better, c("lam") / 10).otherwise(c("lam") * 10).alias("lam")), "dose-fit")
     out = groups.select("_key", "usable").join(at, "_key", "left")
-    found = lambda e, name: F.when(F.col("usable"), e).alias(name)
-    note = F.when(~F.col("usable"), F.lit(NOTE_NO_FIT)).alias("fit_error")
-    return out.select(*(F.col(f"_key.{k}").alias(k) for k in keys), found(F.exp("m"), "midpoint"), found(F.exp("h"), "hill"), found(F.col("bottom"), "bottom"), found(F.col("bottom") + F.col("slope"), "top"), found(F.col("sse"), "sse"), note)
+    found = lambda e, name: F.when(c("usable"), e).alias(name)
+    note = F.when(~c("usable"), F.lit(NOTE_NO_FIT)).alias("fit_error")
+    return out.select(*(c(f"_key.{k}").alias(k) for k in keys), found(F.exp("m"), "midpoint"), found(F.exp("h"), "hill"), found(c("bottom"), "bottom"), found(c("bottom") + c("slope"), "top"), found(c("sse"), "sse"), note)

@@ -90,10 +90,11 @@ pts{k} AS MATERIALIZED (SELECT id, x, y, CASE WHEN o.stop THEN pu ELSE n.u END A
 
 LATTICE = f"""WITH dia AS (SELECT 2 * quantile_cont(radius_px, 0.5) AS dia FROM v_points),
 nb AS (SELECT a_id, min(d) AS d FROM (SELECT a.well_id AS a_id, {DIST} AS d FROM v_points a JOIN v_points b ON a.well_id <> b.well_id), dia WHERE d BETWEEN CAST(1.03 AS DOUBLE) * dia AND CAST(2.2 AS DOUBLE) * dia GROUP BY 1),
-pit AS MATERIALIZED (SELECT quantile_cont(d, 0.5) AS pitch FROM nb),
-edges AS MATERIALIZED (SELECT e.* FROM (SELECT a.well_id AS a_id, b.well_id AS b_id, a.x_px AS ax, a.y_px AS ay, b.x_px AS bx, b.y_px AS b_y, {DIST} AS d FROM v_points a JOIN v_points b ON a.well_id < b.well_id) e, pit WHERE d BETWEEN CAST(0.78 AS DOUBLE) * pitch AND CAST(1.22 AS DOUBLE) * pitch),
+pit0 AS MATERIALIZED (SELECT quantile_cont(d, 0.5) AS pitch FROM nb),
+edges AS MATERIALIZED (SELECT e.* FROM (SELECT a.well_id AS a_id, b.well_id AS b_id, a.x_px AS ax, a.y_px AS ay, b.x_px AS bx, b.y_px AS b_y, {DIST} AS d FROM v_points a JOIN v_points b ON a.well_id < b.well_id) e, pit0 WHERE d BETWEEN CAST(0.78 AS DOUBLE) * pitch AND CAST(1.22 AS DOUBLE) * pitch),
 {BOTH}{SIZES}, seed AS MATERIALIZED (SELECT well_id AS id, CAST(x_px AS DOUBLE) AS x, CAST(y_px AS DOUBLE) AS y FROM v_points JOIN comp ON node = well_id WHERE root = (SELECT root FROM top)),
 th AS (SELECT atan2(avg(sin(6 * t)), avg(cos(6 * t))) / 6 AS g FROM (SELECT atan2(b_y - ay, bx - ax) AS t FROM edges WHERE a_id IN (SELECT id FROM seed))),
+pit AS MATERIALIZED (SELECT quantile_cont(d, 0.5) AS pitch FROM edges WHERE a_id IN (SELECT id FROM seed)),
 mid AS (SELECT quantile_cont(x, 0.5) AS ox, quantile_cont(y, 0.5) AS oy FROM seed),
 fit0 AS MATERIALIZED (SELECT ox, oy, pitch * cos(g) AS ax, pitch * sin(g) AS ay, pitch * cos(g + pi() / 3) AS bx, pitch * sin(g + pi() / 3) AS byy, false AS stop FROM mid, th, pit),
 pts0 AS (SELECT id, x, y, CAST(0 AS BIGINT) AS u, CAST(0 AS BIGINT) AS v, true AS keep FROM seed),

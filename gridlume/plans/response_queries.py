@@ -164,25 +164,33 @@ def ag_28(t: Tables) -> DataFrame:
     return long.groupBy(*KEYS, "metric").agg(F.count("value").alias("n"), r6(F.avg("value"), "mean"))
 
 
-def dose_fit_sql(zooms: int = 14) -> str:
-    """The same rounds: a grid over the logarithms of midpoint and hill, and ever smaller ones about the best point."""
-    low, high = (f"CAST({math.log(x)!r} AS DOUBLE)" for x in R.HILL)
-    width = math.log(R.HILL[1]) - math.log(R.HILL[0])
+def dose_fit_sql(rounds: int = 16) -> str:
+    """The same rounds: a grid over the logarithms of midpoint and hill, then damped Gauss-Newton steps."""
+    low, high, ten = (f"CAST({math.log(x)!r} AS DOUBLE)" for x in (*R.HILL, 10))
+    n, parts = R.GRID, ("m", "h", "slope", "bottom", "sse", "paa", "pab", "pbb", "par", "pbr")
+
+    def sums(points: str, keys: str) -> str:
+        f = f"SELECT p.*, y AS r, dose > 0 AS pos, exp(h) AS hill, CASE WHEN dose > 0 THEN exp(h) * (ln(dose) - m) ELSE 0 END AS u FROM {points} p JOIN d ON d.condition_index = p.condition_index"
+        g = f"SELECT *, CASE WHEN pos THEN 1 / (1 + exp(u)) ELSE CAST(1 AS DOUBLE) END AS f FROM ({f})"
+        e = f"SELECT *, CASE WHEN pos THEN f * (1 - f) * hill ELSE 0 END AS a, CASE WHEN pos THEN -f * (1 - f) * u ELSE 0 END AS b FROM ({g})"
+        cov = ", ".join(f"covar_pop({p[0]}, {p[1]}) AS {p}" for p in ("fr", "aa", "ab", "bb", "af", "bf", "ar", "br"))
+        s = f"SELECT {keys}, count(*) AS n, avg(f) AS mf, avg(r) AS mr, var_pop(f) AS ff, var_pop(r) AS rr, {cov} FROM ({e}) GROUP BY {keys}"
+        w = f"SELECT *, CASE WHEN ff > 1e-15 THEN fr / ff ELSE 0 END AS slope FROM ({s})"
+        less = lambda p, q: f"slope * slope * CASE WHEN ff > 1e-15 THEN {p}{q} - {p}f * {q}f / ff ELSE 0 END AS p{p}{q}"
+        return f"SELECT {keys}, slope, mr - slope * mf AS bottom, greatest(0, n * (rr - slope * fr)) AS sse, {less('a', 'a')}, {less('a', 'b')}, {less('b', 'b')}, slope * (ar - slope * af) AS par, slope * (br - slope * bf) AS pbr FROM ({w})"
+
     out = [
         "d AS MATERIALIZED (SELECT condition_index, concentration AS dose, round(quantile_cont(relative_area, 0.5), 9) AS y FROM dosed WHERE relative_area IS NOT NULL AND concentration IS NOT NULL GROUP BY ALL)",
-        "g AS (SELECT condition_index, count(DISTINCT dose) >= 4 AND count(DISTINCT dose) FILTER (dose > 0) >= 3 AND max(y) > min(y) AS usable, ln(min(dose) FILTER (dose > 0)) AS lo, ln(max(dose) FILTER (dose > 0)) AS hi FROM d GROUP BY 1)",
-        f"at0 AS (SELECT condition_index, (lo + hi) / 2 AS m, (hi - lo + 2 * CAST({math.log(10)!r} AS DOUBLE)) / {R.FIRST_GRID - 1} AS dm, CAST({(math.log(R.HILL[0]) + math.log(R.HILL[1])) / 2!r} AS DOUBLE) AS h, CAST({width / (R.FIRST_GRID - 1)!r} AS DOUBLE) AS dh FROM g WHERE usable)",
+        f"g AS (SELECT condition_index, count(DISTINCT dose) >= 4 AND count(DISTINCT dose) FILTER (dose > 0) >= 3 AND max(y) > min(y) AS usable, ln(min(dose) FILTER (dose > 0)) - {ten} * {R.DECADES} AS lo, ln(max(dose) FILTER (dose > 0)) + {ten} * {R.DECADES} AS hi FROM d GROUP BY 1)",
+        f"grid AS (SELECT condition_index, lo, hi, i, lo + (hi - lo) * (i // {n}) / {n - 1} AS m, {low} + ({high} - {low}) * (i % {n}) / {n - 1} AS h FROM g, range({n * n}) AS r(i) WHERE usable)",
+        f"at0 AS MATERIALIZED (SELECT condition_index, lo, hi, {', '.join(parts)}, CAST(0.01 AS DOUBLE) AS lam FROM (SELECT *, row_number() OVER (PARTITION BY condition_index ORDER BY round(sse, 9), i) AS k FROM ({sums('grid', 'condition_index, lo, hi, i, m, h')})) WHERE k = 1)",
     ]
-    for k in range(zooms + 1):
-        n = R.GRID if k else R.FIRST_GRID
-        half = (n - 1) // 2
-        out.append(
-            f"e{k} AS (SELECT condition_index, i, dm, dh, m + (i // {n} - {half}) * dm AS m, least({high}, greatest({low}, h + (i % {n} - {half}) * dh)) AS h FROM at{k}, range({n * n}) AS r(i)),"
-            f" f{k} AS (SELECT e.*, y, CASE WHEN dose <= 0 THEN CAST(1 AS DOUBLE) ELSE 1 / (1 + exp(exp(h) * (ln(dose) - m))) END AS f FROM e{k} e JOIN d ON d.condition_index = e.condition_index),"
-            f" s{k} AS (SELECT condition_index, i, m, h, dm, dh, count(*) AS n, avg(f) AS mf, avg(y) AS mr, covar_pop(f, y) AS fr, var_pop(f) AS ff, var_pop(y) AS rr FROM f{k} GROUP BY ALL),"
-            f" b{k} AS (SELECT *, CASE WHEN ff > 1e-15 THEN fr / ff ELSE 0 END AS slope FROM s{k}), q{k} AS (SELECT *, mr - slope * mf AS bottom, round(greatest(0, n * (rr - slope * fr)), 9) AS sse FROM b{k}),"
-            f" at{k + 1} AS MATERIALIZED (SELECT condition_index, m, h, dm * {2 * R.REACH} / {R.GRID - 1} AS dm, dh * {2 * R.REACH} / {R.GRID - 1} AS dh, slope, bottom, sse FROM (SELECT *, row_number() OVER (PARTITION BY condition_index ORDER BY sse, i) AS k FROM q{k}) WHERE k = 1)"
-        )
+    for k in range(rounds):
+        det = "(paa * (1 + lam) * (pbb * (1 + lam)) - pab * pab)"
+        dm, dh = f"(par * (pbb * (1 + lam)) - pbr * pab) / {det}", f"(pbr * (paa * (1 + lam)) - par * pab) / {det}"
+        out.append(f"try{k} AS (SELECT condition_index, CASE WHEN {det} > 1e-300 THEN least(hi, greatest(lo, m + {dm})) ELSE m END AS m, CASE WHEN {det} > 1e-300 THEN least({high}, greatest({low}, h + {dh})) ELSE h END AS h FROM at{k})")
+        taken = ", ".join(f"CASE WHEN t.sse < o.sse THEN t.{x} ELSE o.{x} END AS {x}" for x in parts)
+        out.append(f"at{k + 1} AS MATERIALIZED (SELECT o.condition_index, lo, hi, {taken}, CASE WHEN t.sse < o.sse THEN lam / 10 ELSE lam * 10 END AS lam FROM at{k} o JOIN ({sums(f'try{k}', 'condition_index, m, h')}) t ON t.condition_index = o.condition_index)")
     return ", ".join(out)
 
 
@@ -192,7 +200,7 @@ _dosed = f"dosed AS (SELECT condition_index, CAST({DOSES.replace('well', 'CAST(s
 
 
 @query("ag_27", METRICS + f""", {_dosed}, {dose_fit_sql()} SELECT g.condition_index, round(exp(m), 3) AS midpoint, round(exp(h), 3) AS hill, round(bottom, 4) AS bottom, round(bottom + slope, 4) AS top, round(sse, 6) AS sse,
-CASE WHEN NOT usable THEN '{R.NOTE_NO_FIT}' END AS fit_error FROM g LEFT JOIN at15 ON at15.condition_index = g.condition_index""", "v_tracking")
+CASE WHEN NOT usable THEN '{R.NOTE_NO_FIT}' END AS fit_error FROM g LEFT JOIN at16 ON at16.condition_index = g.condition_index""", "v_tracking")
 def ag_27(t: Tables) -> DataFrame:
     well = F.substring("well_index", F.lit(2), F.lit(20)).cast("long") % 6
     final = R.final_rows(metrics(t)).withColumn("concentration", F.when(well == 0, 0.0).otherwise(F.pow(F.lit(3.0), well)))

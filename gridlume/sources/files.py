@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlume.operators.lineage import file_system
+
 c = F.col
 #: Bytes up to which a file's content becomes one cell; larger ones are read in chunks.
 WHOLE, CHUNK = 32 << 20, 8 << 20
@@ -53,6 +55,18 @@ def hashed_in_chunks(paths: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return paths.select("path").mapInArrow(rows, "path string, sha256 string")
 
 
+def empty_files(spark: SparkSession, root: str) -> list[tuple[str, int, str]]:
+    """Files without content, which Spark's scans leave out, as the manifest has them; of the others nothing is kept."""
+    system, path = file_system(spark, root)
+    found, rows = system.listFiles(path, True), []
+    while found.hasNext():
+        file = found.next()
+        name = file.getPath().toString()
+        if file.getLen() == 0 and not any(part.startswith(("_", ".")) for part in name.removeprefix(path.toString()).split("/")):
+            rows.append((name, 0, hashlib.sha256(b"").hexdigest()))
+    return rows
+
+
 def manifest(spark: SparkSession, root: str, whole: int = WHOLE, chunk: int = CHUNK) -> DataFrame:
     """One row a file under root: path below root, asset_type, bytes, sha256 of its content.
 
@@ -65,5 +79,6 @@ def manifest(spark: SparkSession, root: str, whole: int = WHOLE, chunk: int = CH
     # As many partitions as files, within reason: a large file is a task.
     tasks = max(1, min(10_000, large.count()))
     slow = large.join(hashed_in_chunks(large.repartition(tasks, "path"), chunk), "path").select("path", "bytes", "sha256")
+    nothing = spark.createDataFrame(empty_files(spark, root), "path string, bytes long, sha256 string")
     below = F.substring_index(c("path"), root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
-    return small.union(slow).select(below.alias("path"), asset_type(c("path")).alias("asset_type"), "bytes", "sha256")
+    return small.union(slow).union(nothing).select(below.alias("path"), asset_type(c("path")).alias("asset_type"), "bytes", "sha256")
