@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridlume.operators import joins as J
 from gridlume.operators import spatial as G
 from gridlume.operators import summaries as A
+from gridlume.operators.lineage import stage
 from gridlume.operators.ordered import borderline, clusters, nearest_centre, numbered, spread_sample
 from gridlume.plans.registry import query
 from gridlume.plans.views import Tables
@@ -379,8 +380,8 @@ def wn_15(t: Tables) -> DataFrame:
 
 @query("wn_16", f"WITH {MATCH}, k AS (SELECT least(20, greatest(3, CAST(1.5 AS DOUBLE) * quantile_cont(d, 0.5))) AS cut FROM mm WHERE mutual) SELECT a_id, round(cut, 6) AS cut, d <= cut AS confident FROM mm, k WHERE mutual", "v_points", "v_points_t2")
 def wn_16(t: Tables) -> DataFrame:
-    m = matches(t).where("mutual").select("a_id", "d")
-    cut = m.agg(F.least(P(20.0), F.greatest(P(3.0), 1.5 * F.percentile("d", 0.5))).alias("cut"))
+    m = stage(matches(t).where("mutual").select("a_id", "d"), "mutual")
+    cut = A.quantile_row(m, "d", {"m": 0.5}).select(F.least(P(20.0), F.greatest(P(3.0), 1.5 * c("m"))).alias("cut"))
     # one row
     return m.crossJoin(F.broadcast(cut)).select("a_id", r6("cut", "cut"), (c("d") <= c("cut")).alias("confident"))
 

@@ -243,3 +243,24 @@ def test_files_are_hashed_whole_and_in_chunks(spark, tmp_path):
         got = {r.path: (r.asset_type, r.bytes, r.sha256) for r in files.manifest(spark, str(tmp_path), whole, 777).collect()}
         kinds = {"a/small.json": "settings", "b/c/large.parquet": "table", "empty.txt": "text", "with space.bin": "other"}
         assert got == {n: (kinds[n], len(b), hashlib.sha256(b).hexdigest()) for n, b in contents.items()}
+
+
+# Large samples
+
+
+def test_p_of_large_samples_is_the_series(spark):
+    """Beyond MOST_TERMS the expansion agrees with the finite series, summed here in whole."""
+
+    def series(rho, n):
+        v = n - 2
+        angle = math.atan(rho / math.sqrt((1 + rho) * (1 - rho)))
+        c2, even = math.cos(angle) ** 2, n % 2 == 0
+        term = total = 1.0
+        for k in range(1, ((n - 2) // 2 - 1 if even else (n - 5) // 2) + 1):
+            term *= ((2 * k - 1) / (2 * k) if even else 2 * k / (2 * k + 1)) * c2
+            total += term
+        return 1 - (math.sin(angle) * total if even else 2 / math.pi * (angle + math.sin(angle) * math.cos(angle) * total)), v
+
+    cases = [(r, n) for r in (0.0, 0.001, 0.012, 0.03) for n in (20_500, 40_001)]
+    got = spark.createDataFrame(cases, "r double, n long").select(response.spearman_p(F.col("r"), F.col("n"))).collect()
+    assert [g[0] for g in got] == pytest.approx([series(*x)[0] for x in cases], abs=1e-9)
