@@ -210,7 +210,18 @@ def warped(image, degrees, size):
     return (v[i, j] * (1 - y) * (1 - x) + v[i + 1, j] * y * (1 - x) + v[i, j + 1] * (1 - y) * x + v[i + 1, j + 1] * y * x).astype(np.uint8)
 
 
+def oblique(image, degrees):
+    """Turned in its own frame, black where nothing of it is shown."""
+    h, w = image.shape
+    y, x = np.mgrid[:h, :w]
+    t = np.deg2rad(degrees)
+    at = np.cos(t) * (y - h / 2) - np.sin(t) * (x - w / 2) + h / 2, np.sin(t) * (y - h / 2) + np.cos(t) * (x - w / 2) + w / 2
+    inside = (at[0] >= 0) & (at[0] <= h - 1) & (at[1] >= 0) & (at[1] <= w - 1)
+    return np.where(inside, warped(image, degrees, 1), 0).astype(np.uint8)
+
+
 EDITS = {
+    "by 30 degrees": lambda a: oblique(a, 30), "by 45 degrees": lambda a: oblique(a, 45), "by 70 degrees": lambda a: oblique(a, 70), "crop by 45 degrees": lambda a: oblique(a[20:105, 15:110], 45),
     "quarter turn": lambda a: np.rot90(a).copy(), "turned": lambda a: warped(a, 20, 1), "larger": lambda a: warped(a, 0, 1.2), "smaller": lambda a: warped(a, 0, 0.8),
     "noisy": lambda a: (a + np.random.default_rng(5).normal(0, 8, a.shape)).clip(0, 255).astype(np.uint8), "small crop": lambda a: a[75:120, 70:116].copy(),
 }
