@@ -2,9 +2,9 @@
 
 Corners are local maxima of the Harris response at several scales, placed between pixels. Around each the intensity
 centroid gives the orientation, and 128 seeded comparisons of smoothed grey levels, turned to it and interpolated, give
-the descriptor, which hardly depends on the pixel grid: copies turned by any angle are found like straight ones. Six Hamming
-tables, each of two of the descriptor's four words, are joined on equality, so descriptors that differ in up to two
-bits (or in one or two words) meet: each bucket's descriptors meet its first image's, and then, where a bucket still
+the descriptor, which hardly depends on the pixel grid: copies turned by any angle are found like straight ones. Four
+Hamming tables, each of three of the descriptor's four words, are joined on equality, so descriptors that differ in one
+bit (or in one word) meet: each bucket's descriptors meet its first image's, and then, where a bucket still
 holds several classes, those of the other classes; a bucket's images are dealt to tasks in parts of MEMBERS. Any two matches of two images fix a turn, a resizing and a shift; a
 pair with CONSENSUS keypoints that agree on one is a link, and links make classes by union-find, the same as if all
 pairs of images were compared. n_links follows from the class, so every copy of a picture has it. Keypoints are in
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from gridlume.llm.common import small_batches, stage
 from gridlume.operators.graph import components
+from gridlume.operators.lineage import release
 
 #: Half-width of a patch, its border with turned tests, bits, angle steps, keypoints at each scale on AREA pixels.
 HALF, BORDER, BITS, STEPS = 7, 8, 128, 32
@@ -36,6 +37,8 @@ SCALES = ((1.0, 24), (1.25, 16), (1.5, 12), (2.0, 8))
 AREA = 2304
 #: Keypoints that agree on one change; pixels at scale 1 and angle steps within which they do; part of a patch's contrast below which grey levels count as equal.
 CONSENSUS, NEAR, TURN, EQUAL = 4, 2.0, 2, 0.25
+#: Words of 32 bits, of BITS // 32, in which two descriptors that match are equal: with two, strangers' descriptors meet too often.
+EQUAL_WORDS = 3
 #: Keypoints that are described at once: they bound a worker's memory.
 PLACES = 2048
 #: Rows of one bucket that are dealt to one task.
@@ -124,7 +127,7 @@ def keypoints(stack: np.ndarray) -> tuple[np.ndarray, ...]:
         place = best[image, place]
         y, x = place // w, place % w
         down, right = (summit(r[image, y - j, x - k], r[image, y, x], r[image, y + j, x + k]) for j, k in ((1, 0), (0, 1)))
-        soft = box(box(a, 2), 1) / 225
+        soft = box(box(a, 1), 1) / 81
         for i in range(0, len(y), PLACES):
             some = slice(i, i + PLACES)
             found.append(described_places(a, soft, image[some], (y + down)[some], (x + right)[some], scale))
@@ -200,12 +203,14 @@ def agreed(match: DataFrame) -> DataFrame:
 
 def linked_images(points: DataFrame) -> DataFrame:
     """Links (a, b) with the same components as all pairs of images that have enough keypoints in agreement."""
-    tables = F.array(*[F.xxhash64(F.lit(i), F.col("words")[p], F.col("words")[q]) for i, (p, q) in enumerate(combinations(range(4), 2))])
+    tables = F.array(*[F.xxhash64(F.lit(i), *[F.col("words")[p] for p in chosen]) for i, chosen in enumerate(combinations(range(BITS // 32), EQUAL_WORDS))])
     columns = ["media_id", "y", "x", "scale", "angle"]
     keyed = points.select(*columns, F.explode(tables).alias("key"))
     # Only keys and ids are shuffled to find the buckets that two images share; where those are few, Spark broadcasts them to the keypoints.
     ends = keyed.groupBy("key").agg(F.min("media_id").alias("first"), F.max("media_id").alias("last")).where("first <> last").drop("last")
-    shared = stage(keyed.join(stage(ends, "shared-keys"), "key").distinct(), "shared-words")
+    ends = stage(ends, "shared-keys")
+    shared = stage(keyed.join(ends, "key").distinct(), "shared-words")
+    release(ends)
 
     def named(rows: DataFrame, side: str, *more: str) -> DataFrame:
         return rows.select("key", *[F.col(k).alias(side if k == "media_id" else f"{k}_{side}") for k in (*columns, *more)])
@@ -216,6 +221,7 @@ def linked_images(points: DataFrame) -> DataFrame:
     # Images of different groups meet only in buckets with several groups: there one of each pair lies outside the largest group.
     root = F.coalesce("root", "media_id").alias("root")
     grouped = stage(shared.join(groups, F.col("media_id") == F.col("node"), "left").select("key", *columns, root), "grouped-words")
+    release(shared)
     sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.ceil(F.sum("n") / MEMBERS).cast("int").alias("parts"))
     rows = stage(grouped.join(largest.where("groups > 1").drop("groups"), "key"), "open-words")
@@ -237,6 +243,7 @@ def copies(media: DataFrame) -> DataFrame:
     shown = points.select("media_id", "picture").distinct()
     same = stage(shown.join(shown.groupBy("picture").agg(F.min("media_id").alias("first")), "picture"), "equal-pictures")
     links = linked_images(points.join(same.where("media_id = first").drop("first"), ["media_id", "picture"], "left_semi"))
+    release(points)
     groups = stage(components(links.union(same.select("first", "media_id"))), "image-classes")
     sizes = groups.groupBy(F.col("root").alias("class_id")).agg(F.count("*").alias("n_links"))
     ids = media.select(F.col("media_id").cast("long").alias("media_id"))

@@ -169,7 +169,7 @@ def brute_classes(images):
         for b in sorted(images):
             if a < b and not np.array_equal(images[a], images[b]):
                 p, q = points[a], points[b]
-                i, j = np.nonzero((p[5][:, None] == q[5][None]).sum(2) >= 2)
+                i, j = np.nonzero((p[5][:, None] == q[5][None]).sum(2) >= media.EQUAL_WORDS)
                 match = {tuple(np.float32(v) for v in (p[1][x], p[2][x], q[1][y], q[2][y], np.exp(q[3][y] - p[3][x]), (q[4][y] - p[4][x]) % media.STEPS)) for x, y in zip(i, j, strict=True)}
                 linked = len(match) >= media.CONSENSUS and media.agree(*np.array(sorted(match), float).T)
             else:
