@@ -2,9 +2,9 @@
 
 Corners are local maxima of the Harris response at several scales, placed between pixels. Around each the intensity
 centroid gives the orientation, and 128 seeded comparisons of smoothed grey levels, turned to it and interpolated, give
-the descriptor, which hardly depends on the pixel grid: copies turned by any angle are found like straight ones. Four
-Hamming tables, each of three of the descriptor's four words, are joined on equality, so descriptors that differ in one
-bit (or in one word) meet: each bucket's descriptors meet its first image's, and then, where a bucket still
+the descriptor, which hardly depends on the pixel grid: copies turned by any angle are found like straight ones. Six
+Hamming tables, each of two of the descriptor's four words, are joined on equality, so descriptors that differ in up to
+two bits (or in one or two words) meet: each bucket's descriptors meet its first image's, and then, where a bucket still
 holds several classes, those of the other classes; a bucket's images are dealt to tasks in parts of MEMBERS. Any two matches of two images fix a turn, a resizing and a shift; a
 pair with CONSENSUS keypoints that agree on one is a link, and links make classes by union-find, the same as if all
 pairs of images were compared. n_links follows from the class, so every copy of a picture has it. Keypoints are in
@@ -37,8 +37,8 @@ SCALES = ((1.0, 24), (1.25, 16), (1.5, 12), (2.0, 8))
 AREA = 2304
 #: Keypoints that agree on one change; pixels at scale 1 and angle steps within which they do; part of a patch's contrast below which grey levels count as equal.
 CONSENSUS, NEAR, TURN, EQUAL = 4, 2.0, 2, 0.25
-#: Words of 32 bits, of BITS // 32, in which two descriptors that match are equal: with two, strangers' descriptors meet too often.
-EQUAL_WORDS = 3
+#: Words of 32 bits, of BITS // 32, in which two descriptors that match are equal.
+EQUAL_WORDS = 2
 #: Keypoints that are described at once: they bound a worker's memory.
 PLACES = 2048
 #: Rows of one bucket that are dealt to one task.
