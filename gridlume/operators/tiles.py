@@ -28,13 +28,14 @@ def gather_arrays(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda e: e["value"]).alias("values"))
 
 
-def tiled(pixels: DataFrame, size: int, halo: int) -> DataFrame:
+def tiled(pixels: DataFrame, size: int, halo: int, last: DataFrame | None = None) -> DataFrame:
     """pixels (image_id, x, y, ..) in every tile of size x size whose span with the halo holds them.
 
     The tile is the new image: image_id becomes a struct of image, tile_y, tile_x and the image's last x and y; x and y count
-    from the tile's corner, halo included. No row depends on more than its own image's size.
+    from the tile's corner, halo included. No row depends on more than its own image's size. last: image_id and the image's last
+    x and y (_x, _y), where pixels doesn't hold all of it.
     """
-    last = pixels.groupBy("image_id").agg(F.max("x").alias("_w"), F.max("y").alias("_h"))
+    last = (last if last is not None else pixels.groupBy("image_id").agg(F.max("x").alias("_x"), F.max("y").alias("_y"))).toDF("image_id", "_w", "_h")
     span = lambda k, n: F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((c(k) - halo) / size)), F.least(F.floor(c(n) / size), F.floor((c(k) + halo) / size))))
     out = pixels.join(last, "image_id").withColumn("_tx", span("x", "_w")).withColumn("_ty", span("y", "_h"))
     corner = lambda k: F.greatest(F.lit(0).cast("long"), c(k) * size - halo)
