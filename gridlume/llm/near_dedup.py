@@ -43,6 +43,8 @@ BITS = 1024
 PERCENT = 85
 #: Pairs of one document, and rows of one bucket, that are dealt to one task; most documents with more pairs, and most classes with many copies, that are broadcast.
 PART, MEMBERS, MOST_HUBS, MOST_HOT = 500, 1000, 100_000, 1000
+#: Most words of 64 bits of the filter of wanted ids that is broadcast; ids for each word up to there.
+MOST_WORDS, IDS = 1 << 19, 4
 #: Members of a bucket with several groups up to which all of them are compared; beyond, they must share a rare element. Cells of its counts.
 CROWD, COUNTS = 64, 1 << 18
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -138,8 +140,20 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_shingles long, sum_a long, sum_b long, bands array<long>, bits array<long>")
 
 
+def sifted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents whose id is in wanted (doc_id), and some others: texts are not shuffled to find them.
+
+    Each wanted id sets one of 64 bits of a word; the words are broadcast, MOST_WORDS at most, and beyond that more others pass.
+    """
+    words = max(1, min(MOST_WORDS, wanted.count() // IDS))
+    word = F.pmod(F.xxhash64("doc_id"), F.lit(words)).alias("_word")
+    bit = F.expr("shiftleft(1L, CAST(pmod(xxhash64(doc_id, 1), 64) AS INT))")
+    bits = wanted.where("doc_id is not null").groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+    return docs.withColumn("_word", word).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and the sorted shingle hashes of the documents in wanted; each id once."""
+    """doc_id and the sorted shingle hashes of the documents in wanted, and of some others (see sifted)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +161,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["doc_id", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    texts = sifted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted)
     return texts.mapInArrow(rows, "doc_id long, shingles array<long>")
 
 
