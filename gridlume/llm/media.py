@@ -4,8 +4,9 @@ Corners are local maxima of the Harris response at several scales, placed betwee
 centroid gives the orientation, and 128 seeded comparisons of smoothed grey levels, turned to it and interpolated, give
 the descriptor, which hardly depends on the pixel grid: copies turned by any angle are found like straight ones. Six
 Hamming tables, each of two of the descriptor's four words, are joined on equality, so descriptors that differ in up to
-two bits (or in one or two words) meet: each bucket's descriptors meet its first image's, and then, where a bucket still
-holds several classes, those of the other classes; a bucket's images are dealt to tasks in parts of MEMBERS. Any two matches of two images fix a turn, a resizing and a shift; a
+two bits (or in one or two words) meet: each bucket's descriptors meet its first image's; then, where a bucket still
+holds several classes, those of one image of each larger class, and at last those of all images of a larger class that enough
+of the image's places meet at all; a bucket's images are dealt to tasks in parts of MEMBERS. Any two matches of two images fix a turn, a resizing and a shift; a
 pair with CONSENSUS keypoints that agree on one is a link, and links make classes by union-find, the same as if all
 pairs of images were compared. n_links follows from the class, so every copy of a picture has it. Keypoints are in
 proportion to the area. An image is described by one task, in 130 bytes a pixel (measured at 4 million); stacks of small ones hold two million pixels.
@@ -43,6 +44,8 @@ EQUAL_WORDS = 2
 PLACES = 2048
 #: Rows of one bucket that are dealt to one task.
 MEMBERS = 1000
+#: A keypoint's image and place.
+COLUMNS = ["media_id", "y", "x", "scale", "angle"]
 
 
 def tests() -> np.ndarray:
@@ -204,36 +207,69 @@ def agreed(match: DataFrame) -> DataFrame:
 def linked_images(points: DataFrame) -> DataFrame:
     """Links (a, b) with the same components as all pairs of images that have enough keypoints in agreement."""
     tables = F.array(*[F.xxhash64(F.lit(i), *[F.col("words")[p] for p in chosen]) for i, chosen in enumerate(combinations(range(BITS // 32), EQUAL_WORDS))])
-    columns = ["media_id", "y", "x", "scale", "angle"]
-    keyed = points.select(*columns, F.explode(tables).alias("key"))
+    keyed = points.select(*COLUMNS, F.explode(tables).alias("key"))
     # Only keys and ids are shuffled to find the buckets that two images share; where those are few, Spark broadcasts them to the keypoints.
     ends = keyed.groupBy("key").agg(F.min("media_id").alias("first"), F.max("media_id").alias("last")).where("first <> last").drop("last")
     ends = stage(ends, "shared-keys")
     shared = stage(keyed.join(ends, "key").distinct(), "shared-words")
     release(ends)
 
-    def named(rows: DataFrame, side: str, *more: str) -> DataFrame:
-        return rows.select("key", *[F.col(k).alias(side if k == "media_id" else f"{k}_{side}") for k in (*columns, *more)])
+    def named(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select("key", *[F.col(k).alias(side if k == "media_id" else f"{k}_{side}") for k in COLUMNS])
 
     match = named(shared.where("media_id = first"), "a").join(named(shared.where("media_id <> first"), "b"), "key")
     groups = components(stage(agreed(match.drop("key")), "image-links"))
 
-    # Images of different groups meet only in buckets with several groups: there one of each pair lies outside the largest group.
-    root = F.coalesce("root", "media_id").alias("root")
-    grouped = stage(shared.join(groups, F.col("media_id") == F.col("node"), "left").select("key", *columns, root), "grouped-words")
+    # Images of different groups meet only in buckets with several groups. First they meet the one of a larger group that has most words
+    # there, which joins what is left of large groups; then all that can still be linked.
+    rows = open_words(shared, groups)
     release(shared)
-    sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.ceil(F.sum("n") / MEMBERS).cast("int").alias("parts"))
-    rows = stage(grouped.join(largest.where("groups > 1").drop("groups"), "key"), "open-words")
-    a, b = (named(rows, side, "root", "largest", "parts") for side in "ab")
-    a = a.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts_a")).cast("int"))
-    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)))
-    # Both sides of a pair are taken in the order of the ids, so that its matches in all buckets vote together.
-    rest = a.where("root_a <> largest_a").join(b, ["key", "part"]).where("root_a <> root_b and (a < b or root_b = largest_b)")
-    pair = [F.when(F.col("a") < F.col("b"), F.col(f"{k}_{s}" if k else s)).otherwise(F.col(f"{k}_{o}" if k else o)).alias(f"{k}_{s}" if k else s) for s, o in ("ab", "ba") for k in ("", *columns[1:])]
-    links = agreed(rest.select(*pair))
+    found = stage(agreed(met(rows, leading(rows))), "leader-links")
     # A group's members with its root stand for the links found so far.
-    return groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)
+    groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+    before, rows = rows, open_words(rows, groups)
+    release(before)
+    return groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(agreed(met(rows, rows)))
+
+
+def open_words(words: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of words (key, COLUMNS) those of buckets with several groups: with root, n (the group's images in all buckets), largest (the root of
+    the bucket's group that is largest by n) and parts.
+    """
+    members = groups.union(groups.select("root", "root")).distinct()
+    members = members.join(groups.groupBy("root").agg((F.count("*") + 1).alias("n")), "root")
+    grouped = words.select("key", *COLUMNS).join(members, F.col("media_id") == F.col("node"), "left")
+    grouped = stage(grouped.select("key", *COLUMNS, F.coalesce("root", "media_id").alias("root"), F.coalesce("n", F.lit(1)).alias("n")), "grouped-words")
+    sizes = grouped.groupBy("key", "root", "n").agg(F.count("*").alias("rows"))
+    buckets = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.ceil(F.sum("rows") / MEMBERS).cast("int").alias("parts"))
+    rows = stage(grouped.join(buckets.where("groups > 1").drop("groups"), "key"), "open-words")
+    release(grouped)
+    return rows
+
+
+def leading(rows: DataFrame) -> DataFrame:
+    """The rows of each group's image with most of them."""
+    most = rows.groupBy("root", "media_id").agg(F.count("*").alias("k")).groupBy("root").agg(F.max_by("media_id", F.struct("k", "media_id")).alias("media_id"))
+    return rows.join(most.select("media_id"), "media_id", "left_semi")
+
+
+def met(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """The matches of images (rows) with those of larger groups (others, of equal groups the higher root's) that can be linked.
+
+    Of two groups it is the same in all buckets whose images meet the other's, so a pair has all its matches here. A link takes
+    CONSENSUS places: an image with fewer that meet any image of a group is linked with none of them, and doesn't meet them one by one.
+    """
+    part = {"a": F.pmod(F.xxhash64("media_id"), F.col("parts")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}
+    side = lambda df, s, *more: df.select("key", part[s].alias("part"), *[F.col(k).alias({"media_id": s}.get(k, f"{k}_{s}")) for k in (*COLUMNS, "root", "n", *more)])
+    a, b = side(rows.where("root <> largest"), "a"), side(others, "b")
+    groups = b.select("key", "part", "root_b", "n_b").distinct()
+    toward = stage(a.join(groups, ["key", "part"]).where("n_a < n_b or (n_a = n_b and root_a < root_b)").drop("n_a", "root_a", "n_b"), "toward-groups")
+    enough = toward.groupBy("a", "root_b").agg(F.size(F.collect_set(F.struct("y_a", "x_a"))).alias("places")).where(F.col("places") >= CONSENSUS)
+    both = toward.join(enough.drop("places"), ["a", "root_b"]).join(b.drop("n_b"), ["key", "part", "root_b"])
+    # Both sides of a pair are taken in the order of the ids.
+    names = {s: [s, *(f"{k}_{s}" for k in COLUMNS[1:])] for s in "ab"}
+    pair = [F.when(F.col("a") < F.col("b"), F.col(i)).otherwise(F.col(j)).alias(i) for x, y in ("ab", "ba") for i, j in zip(names[x], names[y], strict=True)]
+    return both.select(*pair)
 
 
 def copies(media: DataFrame) -> DataFrame:

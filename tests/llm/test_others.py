@@ -155,6 +155,19 @@ def test_copies_meet_beside_a_stranger_of_smaller_id(spark):
     assert got == {1: (1, 0), **{k: (2, 4) for k in (2, 3, 4, 5, 6)}}
 
 
+def test_a_stranger_of_few_places_meets_no_member_of_a_large_group(spark, monkeypatch):
+    """Forty copies share all words, a stranger has those of three places: once the copies are a group it isn't compared with each."""
+    one = media.stage(media.described(media_rows(spark, {2: mosaic(1)[:90, :90]})), "points")
+    copies = one.withColumn("media_id", F.explode(F.expr("sequence(2L, 41L)")))
+    few = [r.y for r in one.select("y").distinct().orderBy("y").limit(3).collect()]
+    stranger = one.where(F.col("y").isin(few)).dropDuplicates(["y"]).withColumns({"media_id": F.lit(100).cast("long"), "x": F.rand(2) * 1e6})
+    compared, agreed = [], media.agreed
+    monkeypatch.setattr(media, "agreed", lambda match: compared.append(match.count()) or agreed(match))
+    links = media.linked_images(copies.union(stranger)).collect()
+    assert {k for e in links for k in e} == set(range(2, 42))
+    assert compared[0] > 0 and sum(compared[1:]) == 0
+
+
 def brute_classes(images):
     """Every pair of images, every pair of their keypoints: classes by the links alone."""
     points = {k: media.keypoints(i[None].astype(np.uint8)) for k, i in images.items()}
