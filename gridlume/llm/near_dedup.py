@@ -168,6 +168,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The candidate pairs that are links, by the full sets of the documents they name."""
     pairs = stage(pairs, "candidates")
+    if pairs.isEmpty():
+        return pairs
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = full_sets(docs, wanted).withColumn("_set", F.xxhash64("shingles")).dropDuplicates(["doc_id", "_set"]).drop("_set")
     return stage(verified(pairs, stage(sets, "full-sets")), "confirmed")
@@ -313,7 +315,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_ = stage(open_buckets(grouped), "open-buckets")
     small = grouped.join(open_.where(F.col("members") <= CROWD), "key").select("key", "doc", "root", "largest", F.lit(1).alias("parts"))
     crowd = grouped.join(open_.where(F.col("members") > CROWD).select("key"), "key", "left_semi").select("doc", "root").distinct()
-    rows = stage(small.union(rare_buckets(docs, stage(crowd, "crowd"))).join(bitmaps, "doc"), "open-members")
+    crowd = stage(crowd, "crowd")
+    rows = small if crowd.isEmpty() else small.union(rare_buckets(docs, crowd))
+    rows = stage(rows.join(bitmaps, "doc"), "open-members")
     rest = other_groups(rows).join(first, ["a", "b"], "left_anti")
     # A group's members with its root stand for the links found so far.
     links = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(confirmed(docs, rest))
