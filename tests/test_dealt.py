@@ -15,3 +15,10 @@ def test_copies_in_cells_are_dealt_and_merged(spark):
     a = p.toPandas().to_numpy()
     want = sum(((a[:, 1] - x) ** 2 + (a[:, 2] - y) ** 2 <= 400).sum() for _, x, y in a)
     assert got.count() == want
+
+
+def test_numbers_of_a_field_are_not_one_window(spark, sf):
+    from gridlume.plans import QUERIES
+
+    plan = QUERIES["wn_13"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "windowspecdefinition(_part" in plan and "windowspecdefinition(field" not in plan
