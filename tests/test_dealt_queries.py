@@ -5,7 +5,7 @@ import pytest
 from gridlume.operators import lineage, spatial
 from gridlume.plans import QUERIES, raster_queries, table_queries
 
-NAMES = ["jn_10", "ag_17", "jn_11", "jn_12", "wn_12", "wn_14", "gr_04", "ag_24", "wn_16"]
+NAMES = ["jn_10", "ag_17", "jn_11", "jn_12", "wn_12", "wn_14", "gr_04", "ag_24", "wn_16", "ag_18"]
 
 
 @pytest.mark.parametrize("name", NAMES)
