@@ -205,19 +205,66 @@ def dose_grid_fit(doses: DataFrame, midpoints: list[float], hills: list[float])
 GRID, HILL, DECADES = 33, (0.05, 10.0), 3
 
 
-def dose_sums(points: DataFrame, known: DataFrame) -> DataFrame:
+#: Doses of a group that are one array.
+BLOCK = 1024
+#: Variances and covariances of a curve f, its derivatives a by midpoint and b by hill, and the responses r.
+MOMENTS = ("ff", "rr", "fr", "aa", "ab", "bb", "af", "bf", "ar", "br")
+
+
+def dose_blocks(known: DataFrame, sizes: DataFrame) -> DataFrame:
+    """known (_key, dose, response) as arrays in order of dose, a row an array; a group of more than BLOCK doses (n in sizes) is dealt by their hashes."""
+    dealt = known.join(sizes, "_key").withColumn("block", F.pmod(F.xxhash64("dose", "response"), F.ceil(F.col("n") / BLOCK)))
+    return dealt.groupBy("_key", "block").agg(F.array_sort(F.collect_list(F.struct("dose", "response"))).alias("doses"))
+
+
+def dose_moments() -> tuple[Column, Column]:
+    """Count, means and MOMENTS of a point (m, h) over the doses of its block, and over its blocks' _part.
+
+    Where f is nearly 1 at all doses they are of the size of rounding errors, so sums go by order of dose, then of block: the same
+    on any partitions.
+    """
+    c = F.col
+    hill, rest = F.exp("h"), ("f", "a", "b", "r")
+    at = F.transform("doses", lambda d: F.struct((d["dose"] <= 0).alias("none"), (hill * (F.ln(d["dose"]) - c("m"))).alias("u"), d["response"].alias("r")))
+    at = F.transform(at, lambda d: F.struct(d["none"], d["u"], d["r"], F.when(d["none"], 1.0).otherwise(1 / (1 + F.exp(d["u"]))).alias("f")))
+    bend = lambda d, by: F.when(d["none"], 0.0).otherwise(d["f"] * (1 - d["f"]) * by)
+    at = F.transform(at, lambda d: F.struct(d["f"], bend(d, hill).alias("a"), bend(d, -d["u"]).alias("b"), d["r"]))
+    zero = F.struct(*(F.lit(0.0).alias(k) for k in ("n", *rest, *MOMENTS)))
+
+    def add(s: Column, d: Column) -> Column:
+        n = s["n"] + 1
+        mean = {k: s[k] + (d[k] - s[k]) / n for k in rest}
+        return F.struct(n.alias("n"), *(mean[k].alias(k) for k in rest), *((s[p + q] + (d[q] - s[q]) * (d[p] - mean[p])).alias(p + q) for p, q in MOMENTS))
+
+    def both(s: Column, t: Column) -> Column:
+        n = s["n"] + t["n"]
+        share = t["n"] / n
+        return F.struct(n.alias("n"), *((s[k] + (t[k] - s[k]) * share).alias(k) for k in rest), *((s[p + q] + t[p + q] + (t[p] - s[p]) * (t[q] - s[q]) * s["n"] * share).alias(p + q) for p, q in MOMENTS))
+
+    return F.aggregate(at, zero, add), F.aggregate(F.array_sort(F.collect_list("_part")), zero, lambda s, t: both(s, t["s"]))
+
+
+def best_places(grid: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of grid (_key, .., m, h) that may have their group's least squared error, those within the rounding errors of sums in any order."""
+    c = F.col
+    f = F.when(c("dose") <= 0, 1.0).otherwise(1 / (1 + F.exp(F.exp("h") * (F.ln("dose") - c("m")))))
+    each = grid.join(known, "_key").withColumn("f", f)
+    sums = each.groupBy(*grid.columns).agg(F.count("*").alias("n"), F.var_pop("f").alias("ff"), F.var_pop("response").alias("rr"), F.covar_pop("f", "response").alias("fr"))
+    sse = c("n") * (c("rr") - F.when(c("ff") > 1e-15, c("fr") * c("fr") / c("ff")).otherwise(0.0))
+    least = F.min("sse").over(Window.partitionBy("_key"))
+    return sums.withColumn("sse", sse).withColumn("least", least).where(c("sse") <= c("least") + 1e-6 * c("n") * c("rr") + 2e-9).select(*grid.columns)
+
+
+def dose_sums(points: DataFrame, blocks: DataFrame, moments: tuple[Column, Column]) -> DataFrame:
     """For each row of points (_key, m, h, ..: logarithms of midpoint and hill) the best bottom, slope and squared error, and the
     normal equations of a Gauss-Newton step, all from sums over the group's doses.
 
     bottom and slope are linear, so the derivatives by m and h are taken less what 1 and f explain of them.
     """
-    u = F.exp("h") * (F.ln("dose") - F.col("m"))
-    each = points.join(known, "_key").withColumn("f", F.when(F.col("dose") <= 0, 1.0).otherwise(1 / (1 + F.exp(u))))
-    bend = F.when(F.col("dose") <= 0, 0.0).otherwise(F.col("f") * (1 - F.col("f")))
-    each = each.withColumns({"a": bend * F.exp("h"), "b": F.when(F.col("dose") <= 0, 0.0).otherwise(-bend * u), "r": F.col("response")})
-    pairs = ("fr", "aa", "ab", "bb", "af", "bf", "ar", "br")
-    sums = each.groupBy(*points.columns).agg(F.count("*").alias("n"), F.avg("f").alias("mf"), F.avg("r").alias("mr"), F.var_pop("f").alias("ff"), F.var_pop("r").alias("rr"), *(F.covar_pop(*p).alias(p) for p in pairs))
-    c = F.col
+    c, (of_block, of_all) = F.col, moments
+    parts = points.join(blocks, "_key").select(*points.columns, F.struct("block", of_block.alias("s")).alias("_part"))
+    sums = parts.groupBy(*points.columns).agg(of_all.alias("s"))
+    sums = sums.select(*points.columns, c("s.n").alias("n"), c("s.f").alias("mf"), c("s.r").alias("mr"), *((c(f"s.{k}") / c("s.n")).alias(k) for k in MOMENTS))
     slope = F.when(c("ff") > 1e-15, c("fr") / c("ff")).otherwise(0.0)
     less = lambda p, q: F.when(c("ff") > 1e-15, c(p + q) - c(p + "f") * c(q + "f") / c("ff")).otherwise(0.0)
     return sums.select(
@@ -232,9 +279,10 @@ def dose_fit(doses: DataFrame, keys: list[str], rounds: int = 16) -> DataFrame:
     Bottom and top are closed-form, so the squared error is a function of midpoint and hill. It starts from the best point of
     a grid of their logarithms (equal errors to nine digits: the lower place) and goes on by damped Gauss-Newton rounds, each
     one aggregation for all groups: a step that lowers the error is taken and the damping falls, else it rises. hill stays in
-    HILL, the midpoint within DECADES of the doses. doses (keys.., dose, response) has one row a concentration; null doses
-    and responses don't count. A group without four doses, three of them positive, or without a range of responses has the
-    note instead.
+    HILL, the midpoint within DECADES of the doses. Where only the highest dose stands out, every midpoint well beyond it fits
+    as well, and rounding errors decide the rounds: only the order of the sums makes the result the same in every run. doses
+    (keys.., dose, response) has one row a concentration; null doses and responses don't count. A group without four doses,
+    three of them positive, or without a range of responses has the note instead.
     """
     from gridlume.operators.lineage import stage
 
@@ -242,20 +290,22 @@ def dose_fit(doses: DataFrame, keys: list[str], rounds: int = 16) -> DataFrame:
     known = stage(doses.where("dose IS NOT NULL AND response IS NOT NULL").select(F.struct(F.lit(0).alias("_0"), *keys).alias("_key"), c("dose").cast("double").alias("dose"), c("response").cast("double").alias("response")), "doses")
     positive = F.when(c("dose") > 0, c("dose"))
     ends = ((F.count_distinct("dose") >= 4) & (F.count_distinct(positive) >= 3) & (F.max("response") > F.min("response"))).alias("usable")
-    groups = stage(known.groupBy("_key").agg(ends, (F.ln(F.min(positive)) - math.log(10) * DECADES).alias("lo"), (F.ln(F.max(positive)) + math.log(10) * DECADES).alias("hi")), "dose-groups")
+    groups = stage(known.groupBy("_key").agg(F.count("*").alias("n"), ends, (F.ln(F.min(positive)) - math.log(10) * DECADES).alias("lo"), (F.ln(F.max(positive)) + math.log(10) * DECADES).alias("hi")), "dose-groups")
+    blocks = stage(dose_blocks(known, groups.select("_key", "n")), "dose-blocks")
     low, high = map(math.log, HILL)
     grid = groups.where("usable").select("_key", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(GRID * GRID - 1))).alias("i"))
     along = lambda k, a, b: a + (b - a) * F.expr(k) / (GRID - 1)
     grid = grid.withColumns({"m": along(f"i div {GRID}", c("lo"), c("hi")), "h": along(f"i % {GRID}", F.lit(low), F.lit(high))})
     parts = ("m", "h", "slope", "bottom", "sse", "paa", "pab", "pbb", "par", "pbr")
-    best = dose_sums(grid, known).groupBy("_key", "lo", "hi").agg(F.min_by(F.struct(*parts), F.struct(F.round("sse", 9), "i")).alias("t"))
+    moments = dose_moments()
+    best = dose_sums(best_places(grid, known), blocks, moments).groupBy("_key", "lo", "hi").agg(F.min_by(F.struct(*parts), F.struct(F.round("sse", 9), "i")).alias("t"))
     at = stage(best.select("_key", "lo", "hi", "t.*", F.lit(0.01).alias("lam")), "dose-fit")
     for _ in range(rounds):
         paa, pbb = c("paa") * (1 + c("lam")), c("pbb") * (1 + c("lam"))
         det = paa * pbb - c("pab") * c("pab")
         dm, dh = (c("par") * pbb - c("pbr") * c("pab")) / det, (c("pbr") * paa - c("par") * c("pab")) / det
         step = lambda k, d, a, b: F.when(det > 1e-300, F.least(b, F.greatest(a, c(k) + d))).otherwise(c(k)).alias(k)
-        tried = dose_sums(at.select("_key", step("m", dm, c("lo"), c("hi")), step("h", dh, F.lit(low), F.lit(high))), known)
+        tried = dose_sums(at.select("_key", step("m", dm, c("lo"), c("hi")), step("h", dh, F.lit(low), F.lit(high))), blocks, moments)
         both = at.join(tried.select("_key", F.struct(*parts).alias("t")), "_key")
         better = c("t.sse") < c("sse")
         # Each round is written: sixteen rounds in one plan would be planned anew in every one.
